@@ -22,8 +22,9 @@ def mean_sql(n: str, s1: str, scale: bool = False) -> str:
 
 
 def var_sql(n: str, s1: str, s2: str) -> str:
-    return (f"(CASE WHEN {n} > 0 THEN CAST(CAST({n} AS HUGEINT) * CAST({s2} AS HUGEINT) - "
-            f"CAST({s1} AS HUGEINT) * CAST({s1} AS HUGEINT) AS DOUBLE) / "
+    # hugeint -> double casts can round twice; text -> double is correctly rounded
+    return (f"(CASE WHEN {n} > 0 THEN CAST(CAST(CAST({n} AS HUGEINT) * CAST({s2} AS HUGEINT) - "
+            f"CAST({s1} AS HUGEINT) * CAST({s1} AS HUGEINT) AS VARCHAR) AS DOUBLE) / "
             f"(CAST({n} AS DOUBLE) * CAST({n} AS DOUBLE)) ELSE 0.0 END)")
 
 
@@ -215,3 +216,102 @@ rec AS (SELECT *, {", ".join(copies)} FROM r0)"""
 def features_sql(columns: list[str], full: bool) -> str:
     rec = "RECURSIVE " if full else ""
     return f"WITH {rec}{features_ctes(full)}\nSELECT {', '.join(columns)} FROM rec"
+
+
+# ---------------------------------------------------------------------------
+# Extended statistics (D20-D28) and session windows (H2), on idle-split flows.
+# ---------------------------------------------------------------------------
+
+def _median_mode_ctes(src: str, val: str, name: str) -> str:
+    """Exact median (mean of the two middle values) and lowest most frequent value per flow."""
+    return f"""{name}_vc AS (SELECT flow_pkt, {val} AS v, count(*) AS c FROM {src} GROUP BY ALL),
+{name}_cum AS (SELECT *, sum(c) OVER (PARTITION BY flow_pkt ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum,
+ sum(c) OVER (PARTITION BY flow_pkt) AS tot FROM {name}_vc),
+{name}_mm AS (SELECT flow_pkt,
+ CAST(min(v) FILTER (WHERE cum > floor((tot - 1) / 2)) + min(v) FILTER (WHERE cum > floor(tot / 2)) AS DOUBLE) / 2.0 AS med,
+ first(v ORDER BY c DESC, v ASC) AS mode FROM {name}_cum GROUP BY flow_pkt)"""
+
+
+def _ctx_ctes() -> str:
+    return f"""WITH {flows_ctes(False)},
+x AS (SELECT *, ts_us - lag(ts_us) OVER wf AS iat, lag(is_fwd) OVER wf AS prev_is_fwd,
+ row_number() OVER wf AS rn FROM a WINDOW wf AS (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq))"""
+
+
+def response_time_sql() -> str:
+    return f"""{_ctx_ctes()},
+rt AS (SELECT flow_pkt, iat AS resp FROM x WHERE prev_is_fwd AND NOT is_fwd),
+base AS (SELECT DISTINCT flow_pkt FROM a),
+m AS (SELECT flow_pkt, count(*) AS n, CAST(sum(resp) AS BIGINT) AS s1, sum(CAST(resp AS HUGEINT) * resp) AS s2 FROM rt GROUP BY flow_pkt),
+{_median_mode_ctes('rt', 'resp', 'r')},
+j AS (SELECT base.flow_pkt, coalesce(m.n, 0) AS n, m.s1, m.s2, r_mm.med, r_mm.mode FROM base
+ LEFT JOIN m USING (flow_pkt) LEFT JOIN r_mm USING (flow_pkt)),
+st AS (SELECT flow_pkt,
+ CASE WHEN n > 0 THEN {var_sql('n', 's1', 's2')} / 1000000000000.0 ELSE -1.0 END AS resp_var,
+ CASE WHEN n > 0 THEN {mean_sql('n', 's1', True)} ELSE -1.0 END AS resp_mean,
+ med / 1000000.0 AS resp_median,
+ CASE WHEN n > 0 THEN CAST(mode AS DOUBLE) / 1000000.0 ELSE -1.0 END AS resp_mode,
+ CASE WHEN n > 0 THEN {std_sql('n', 's1', 's2', True)} ELSE -1.0 END AS resp_std FROM j)
+SELECT *, CASE WHEN resp_std <> 0 THEN 3.0 * (resp_mean - resp_median) / resp_std ELSE -10.0 END AS resp_skew,
+ CASE WHEN resp_std <> 0 THEN (resp_mean - resp_mode) / resp_std ELSE -10.0 END AS resp_skew2,
+ CASE WHEN resp_mean <> 0 THEN resp_std / resp_mean ELSE -1.0 END AS resp_cov FROM st"""
+
+
+def time_moments_sql() -> str:
+    return f"""{_ctx_ctes()},
+rel AS (SELECT flow_pkt, ts_us - flow_us AS rel_us FROM a),
+m AS (SELECT flow_pkt, count(*) AS n, CAST(sum(rel_us) AS BIGINT) AS s1, sum(CAST(rel_us AS HUGEINT) * rel_us) AS s2 FROM rel GROUP BY flow_pkt),
+{_median_mode_ctes('rel', 'rel_us', 't')},
+st AS (SELECT flow_pkt, {var_sql('n', 's1', 's2')} / 1000000000000.0 AS time_var, {std_sql('n', 's1', 's2', True)} AS time_std,
+ {mean_sql('n', 's1', True)} AS time_mean, med / 1000000.0 AS time_median, CAST(mode AS DOUBLE) / 1000000.0 AS time_mode
+ FROM m JOIN t_mm USING (flow_pkt))
+SELECT *, CASE WHEN time_std <> 0 THEN 3.0 * (time_mean - time_median) / time_std ELSE -10.0 END AS time_skew,
+ CASE WHEN time_std <> 0 THEN (time_mean - time_mode) / time_std ELSE -10.0 END AS time_skew2,
+ CASE WHEN time_mean <> 0 THEN time_std / time_mean ELSE -1.0 END AS time_cov FROM st"""
+
+
+def length_moments_sql() -> str:
+    return f"""{_ctx_ctes()},
+m AS (SELECT flow_pkt, count(*) AS n, CAST(sum(frame_len) AS BIGINT) AS s1, sum(CAST(frame_len AS HUGEINT) * frame_len) AS s2 FROM a GROUP BY flow_pkt),
+{_median_mode_ctes('a', 'frame_len', 'l')},
+st AS (SELECT flow_pkt, {mean_sql('n', 's1')} AS mean, {std_sql('n', 's1', 's2')} AS std, med AS len_median, mode AS len_mode
+ FROM m JOIN l_mm USING (flow_pkt))
+SELECT flow_pkt, len_median, len_mode,
+ CASE WHEN std <> 0 THEN 3.0 * (mean - len_median) / std ELSE -10.0 END AS len_skew,
+ CASE WHEN std <> 0 THEN (mean - CAST(len_mode AS DOUBLE)) / std ELSE -10.0 END AS len_skew2,
+ CASE WHEN mean <> 0 THEN std / mean ELSE -1.0 END AS len_cov FROM st"""
+
+
+def first_sizes_sql() -> str:
+    return f"""{_ctx_ctes()}
+SELECT flow_pkt, list(frame_len ORDER BY rn) FILTER (WHERE rn <= 50) AS first_sizes FROM x GROUP BY flow_pkt"""
+
+
+def byte_rates_sql() -> str:
+    dur = "(CAST(last_us - first_us AS DOUBLE) / 1000000.0)"
+    rate = lambda x: f"CASE WHEN last_us <> first_us THEN CAST({x} AS DOUBLE) / {dur} ELSE -1.0 END"
+    return f"""{_ctx_ctes()},
+gg AS (SELECT flow_pkt, CAST(coalesce(sum(frame_len) FILTER (WHERE is_fwd), 0) AS BIGINT) AS bytes_sent,
+ CAST(coalesce(sum(frame_len) FILTER (WHERE NOT is_fwd), 0) AS BIGINT) AS bytes_received,
+ CAST(coalesce(sum(ip_hdr_len) FILTER (WHERE is_fwd), 0) AS BIGINT) AS fwd_hdr,
+ CAST(coalesce(sum(ip_hdr_len) FILTER (WHERE NOT is_fwd), 0) AS BIGINT) AS bwd_hdr,
+ CAST(min(ip_hdr_len) FILTER (WHERE is_fwd) AS BIGINT) AS fwd_hdr_min, CAST(min(ip_hdr_len) FILTER (WHERE NOT is_fwd) AS BIGINT) AS bwd_hdr_min,
+ min(ts_us) AS first_us, max(ts_us) AS last_us FROM a GROUP BY flow_pkt)
+SELECT flow_pkt, bytes_sent, bytes_received, {rate('bytes_sent')} AS sent_rate, {rate('bytes_received')} AS received_rate,
+ {rate('fwd_hdr')} AS fwd_header_rate, {rate('bwd_hdr')} AS bwd_header_rate,
+ {div_sql('fwd_hdr', 'bwd_hdr', '-1.0')} AS header_in_out_ratio, fwd_hdr, bwd_hdr, fwd_hdr_min, bwd_hdr_min FROM gg"""
+
+
+def relative_times_sql() -> str:
+    return f"""{_ctx_ctes()}
+SELECT flow_pkt, rn - 1 AS idx, coalesce(CAST(iat AS DOUBLE) / 1000000.0, 0.0) AS rel_time FROM x"""
+
+
+def session_window_sql() -> str:
+    return f"""WITH {flows_ctes(False)}
+SELECT lo_ip, lo_port, hi_ip, hi_port, min(ts_us) AS start_us, max(ts_us) + 240000000 AS end_us,
+ count(*) FILTER (WHERE is_fwd) AS tot_fwd_pkts, count(*) FILTER (WHERE NOT is_fwd) AS tot_bwd_pkts,
+ CAST(coalesce(sum(frame_len) FILTER (WHERE is_fwd), 0) AS BIGINT) AS totlen_fwd_pkts,
+ CAST(coalesce(sum(frame_len) FILTER (WHERE NOT is_fwd), 0) AS BIGINT) AS totlen_bwd_pkts,
+ CAST(max(ts_us) - min(ts_us) AS DOUBLE) / 1000000.0 AS flow_duration
+FROM a GROUP BY lo_ip, lo_port, hi_ip, hi_port, flow_pkt"""

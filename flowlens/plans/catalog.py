@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from flowlens.plans import flow_queries
+from flowlens.plans import flow_queries, serve_queries, train_queries
 
 
 def _modules():
-    return [flow_queries]
+    return [flow_queries, train_queries, serve_queries]
 
 
 def queries() -> dict:

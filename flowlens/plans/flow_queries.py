@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowlens import oracle as O
 from flowlens.operators.assemble import assemble_flows, flow_sessions
+from flowlens.operators import features as D
 from flowlens.operators.features import flow_features
+from flowlens.streaming.windows import session_flows
 from flowlens.sources import fixtures as fx
 
 HEADER = ["flow_pkt", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
@@ -56,11 +58,35 @@ def flow_record_82(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_features(assemble_flows(fx.packets(spark, sf_dir)))
 
 
+def _extended(fn):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(assemble_flows(fx.packets(spark, sf_dir), long_flow_cut=False))
+    return q
+
+
+EXTENDED = {
+    "flow_response_time": D.flow_response_times,   # D20
+    "flow_time_moments": D.flow_time_moments,      # D21
+    "flow_length_moments": D.flow_length_moments,  # D22
+    "flow_first_sizes": D.flow_first_sizes,        # D23
+    "flow_byte_rates": D.flow_byte_rates,          # D24, D25, D28
+    "flow_relative_times": D.flow_relative_times,  # D27
+}
+
+
+def session_window_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 batch twin: session_window flows with D1-D4."""
+    return session_flows(fx.packets(spark, sf_dir))
+
+
 def queries() -> dict:
     q = {"flow_sessions_idle": _sessions(False), "flow_sessions_full": _sessions(True)}
     for name, (full, cols) in SUBSETS.items():
         q[name] = _subset(full, cols)
     q["flow_record_82"] = flow_record_82
+    for name, fn in EXTENDED.items():
+        q[name] = _extended(fn)
+    q["session_window_flows"] = session_window_flows
     return q
 
 
@@ -70,4 +96,8 @@ def oracle() -> dict:
     for name, (full, cols) in SUBSETS.items():
         o[name] = O.features_sql(HEADER + cols, full)
     o["flow_record_82"] = O.features_sql(["flow_pkt", *FLOW_COLUMNS_82], True)
+    o.update({"flow_response_time": O.response_time_sql(), "flow_time_moments": O.time_moments_sql(),
+              "flow_length_moments": O.length_moments_sql(), "flow_first_sizes": O.first_sizes_sql(),
+              "flow_byte_rates": O.byte_rates_sql(), "flow_relative_times": O.relative_times_sql(),
+              "session_window_flows": O.session_window_sql()})
     return o
