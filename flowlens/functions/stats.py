@@ -75,8 +75,8 @@ def safe_double(x: Column) -> Column:
 
 
 def finite_or_zero(x: Column) -> Column:
-    """+/-inf and NaN and null -> 0.0."""
-    return F.when(is_bad_double(x), F.lit(0.0)).otherwise(x)
+    """+/-inf, NaN and null -> 0.0 (NaN compares above +inf in Spark, null is not < inf)."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x).otherwise(F.lit(0.0))
 
 
 def clip(x: Column, lo: Column, hi: Column) -> Column:

@@ -169,26 +169,31 @@ def _phi_frame(scaled: DataFrame, features: list[str], L: np.ndarray, Tm: np.nda
         for pdf in batches:
             X = pdf[features].to_numpy(dtype=np.float64)
             P = kernel_matrix(X, Lb, kernel, gamma, degree, coef0) @ Tb
-            out = pdf[keep].copy()
-            for k in range(r):
-                out[f"phi{k}"] = P[:, k]
-            yield out
+            yield pd.concat([pdf[keep].reset_index(drop=True),
+                             pd.DataFrame(P, columns=[f"phi{k}" for k in range(r)])], axis=1)
 
     return scaled.select(*keep, *features).mapInPandas(fmap, schema)
 
 
 def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", gamma="scale", nu: float = 0.05,
                   n_landmarks: int = 256, iterations: int = 40, hash_col: str = "row_hash", degree: int = 3,
-                  coef0: float = 0.0, scaler: Scaler | None = None, cache: bool = True) -> OneClassModel:
+                  coef0: float = 0.0, scaler: Scaler | None = None, cache: bool = True,
+                  tol: float = 1e-3) -> OneClassModel:
     """Distributed fit on (unscaled) benign training rows. ``hash_col`` orders the seeded
     landmark choice (F4). Returns a model whose training outlier share is close to nu."""
+    import time as _time
+    _t0 = _time.time()
+    _lap = (lambda tag: print(f"[fit] {tag} {_time.time() - _t0:.1f}s", flush=True)) if os.environ.get("FLOWLENS_TRACE") else (lambda tag: None)
     if n_landmarks > MAX_LANDMARKS:
         raise ValueError("n_landmarks exceeds MAX_LANDMARKS")
     scaler = scaler or fit_standard(train, features)
+    _lap("scaler")
     z = scaler.transform(train.select(hash_col, *features))
     g = gamma_value(gamma, z, features)
+    _lap("gamma")
     L = np.array([[r[c] for c in features] for r in seeded_sample(z, n_landmarks, hash_col).collect()],
                  dtype=np.float64)
+    _lap("landmarks")
     Kmm = kernel_matrix(L, L, kernel, g, degree, coef0)
     Kmm = (Kmm + Kmm.T) / 2.0
     lam, U = np.linalg.eigh(Kmm)
@@ -201,6 +206,7 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
     pc = [F.col(f"phi{k}") for k in range(r)]
     n_row = phi.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(pc)]).collect()[0]
     n = n_row["n"]
+    _lap("phi materialised")
     w = np.array([n_row[f"m{k}"] for k in range(r)], dtype=np.float64)  # nu = 1 solution
 
     def score_expr(wv):
@@ -208,20 +214,31 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
 
     rho = None
     for t in range(iterations):
-        s = score_expr(w)
-        aggs = [F.percentile_approx(s, nu, 10000).alias("rho")]
+        # the score is projected once per row; the aggregate then only compares and sums
+        scored = phi.select(score_expr(w).alias("_s"), *pc)
+        s = F.col("_s")
+        # the quantile (object aggregate) and the sums (code-generated hash aggregate) run
+        # as two aggregations so the wide one keeps whole-stage codegen
+        new_rho = float(scored.agg(F.percentile_approx(s, nu, 10000).alias("rho")).collect()[0]["rho"])
         if rho is not None:
             viol = s < F.lit(rho)
-            aggs += [F.count(F.when(viol, 1)).alias("nv")] + [F.sum(F.when(viol, c)).alias(f"g{k}") for k, c in enumerate(pc)]
-        row = phi.agg(*aggs).collect()[0]
-        new_rho = float(row["rho"])
+            row = scored.agg(F.count(F.when(viol, 1)).alias("nv"),
+                             *[F.sum(F.when(viol, c)).alias(f"g{k}") for k, c in enumerate(pc)]).collect()[0]
+        converged = False
         if rho is not None:
             gsum = np.array([row[f"g{k}"] or 0.0 for k in range(r)], dtype=np.float64)
             target = gsum / (nu * n)
             eta = 2.0 / (t + 2.0)
-            w = (1.0 - eta) * w + eta * target
+            w_new = (1.0 - eta) * w + eta * target
+            step = np.linalg.norm(w_new - w) / max(np.linalg.norm(w), 1e-12)
+            converged = step < tol and abs(new_rho - rho) <= tol * max(abs(rho), 1e-12)
+            w = w_new
         rho = new_rho
-    rho = float(phi.agg(F.percentile_approx(score_expr(w), nu, 10000).alias("rho")).collect()[0]["rho"])
+        if converged:
+            break
+        _lap(f"iteration {t}")
+    rho = float(phi.select(score_expr(w).alias("_s")).agg(F.percentile_approx("_s", nu, 10000).alias("rho"))
+                .collect()[0]["rho"])
     if cache:
         phi.unpersist()
     a = Tm @ w

@@ -28,16 +28,14 @@ def drop_header_rows(df: DataFrame, csv: str = "csv") -> DataFrame:
 
 
 def csv_to_record(df: DataFrame, csv: str = "csv", keep: list[str] | None = None) -> DataFrame:
-    """Positional array -> named string columns (82 layout; 80 layout lacks the IPs)."""
+    """Positional array -> named string columns (82 layout; 80 layout lacks the IPs).
+
+    One offset per row (2 for the 80-field layout); each field is then a bounds-safe
+    lookup, so no per-row array is rebuilt."""
     keep = keep or []
-    wide = F.size(F.col(csv)) == 82
-    cols = []
-    for i, name in enumerate(FLOW_COLUMNS_82):
-        if i < 2:
-            cols.append(F.when(wide, F.col(csv)[i]).alias(name))
-        else:
-            cols.append(F.when(wide, F.col(csv)[i]).otherwise(F.col(csv)[i - 2]).alias(name))
-    return df.select(*keep, *cols)
+    off = F.when(F.size(F.col(csv)) == 80, F.lit(2)).otherwise(F.lit(0))
+    return df.select(*keep, *[F.get(F.col(csv), F.lit(i) - off).alias(name)
+                              for i, name in enumerate(FLOW_COLUMNS_82)])
 
 
 def record_to_features(df: DataFrame, keep: list[str] | None = None, features: list[str] | None = None,
@@ -52,7 +50,7 @@ def record_to_features(df: DataFrame, keep: list[str] | None = None, features: l
     for f in features:
         src = inv.get(f)
         if src is not None and src in df.columns and src not in UNMAPPED:
-            x = safe_double(F.col(src))
+            x = F.col(src).try_cast("double")
             if time_unit and src == "flow_duration":
                 x = x * F.lit(float(time_unit))
             out.append(finite_or_zero(x).alias(f))
