@@ -41,6 +41,21 @@ def _kind_sql(x: str = "label") -> str:
 TRAIN_SQL = "(label = 'BENIGN' AND substr(row_hash, 1, 8) < 'cccccccc')"
 
 
+def _order_cte(name: str, src: str, col: str) -> str:
+    """Ranked non-null values of one column (for exact quantiles in the oracle)."""
+    return f"{name} AS (SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS i FROM {src} WHERE {col} IS NOT NULL)"
+
+
+def _quantile_sql(ranked: str, p: float) -> str:
+    """Exact linear-interpolated quantile written with the operation order of Spark's
+    ``percentile``: pos = (n - 1) p; (ceil - pos) * lo + (pos - floor) * hi."""
+    return (f"(SELECT CASE WHEN ceil(pos) = floor(pos) OR hi = lo THEN lo "
+            f"ELSE (ceil(pos) - pos) * lo + (pos - floor(pos)) * hi END FROM "
+            f"(SELECT pos, (SELECT v FROM {ranked} WHERE i = floor(pos)) AS lo, "
+            f"(SELECT v FROM {ranked} WHERE i = ceil(pos)) AS hi FROM "
+            f"(SELECT CAST(count(*) - 1 AS DOUBLE) * {p} AS pos FROM {ranked})))")
+
+
 # -- F1, F2, F3, B12, B15 --------------------------------------------------------
 
 def label_distribution(spark, sf_dir):
@@ -89,20 +104,32 @@ def impute_and_cap(spark, sf_dir):
     return clean.drop_bad_rows(x, FEATS).select(*KEYS, *FEATS)
 
 
-def _impute_and_cap_sql():
+def _impute_cap_sql(fe: list[str], cols_out: str, extra: str = "", cap: bool = True) -> str:
     nul = ", ".join(f"CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) = 'Infinity'::DOUBLE THEN NULL ELSE {c} END AS {c}"
-                    for c in FEATS)
-    med = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in FEATS)
-    fill = ", ".join(f"coalesce({c}, coalesce(m_{c}, 0.0)) AS {c}" for c in FEATS)
-    q = ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in FEATS)
-    cap = ", ".join(f"CASE WHEN hi_{c} > 1e8 OR lo_{c} < -1e8 THEN greatest(least({c}, hi_{c}), lo_{c}) ELSE {c} END AS {c}"
-                    for c in FEATS)
-    return f"""WITH {LAB},
-n AS (SELECT {K}, {nul} FROM t),
-m AS (SELECT {med} FROM n),
-f AS (SELECT {K}, {fill} FROM n, m),
-q AS (SELECT {q} FROM f)
-SELECT {K}, {cap} FROM f, q"""
+                    for c in fe)
+    ranked_n = ", ".join(_order_cte(f"rn_{c}", "n", c) for c in fe)
+    med = ", ".join(f"{_quantile_sql(f'rn_{c}', 0.5)} AS m_{c}" for c in fe)
+    fill = ", ".join(f"coalesce({c}, coalesce(m_{c}, 0.0)) AS {c}" for c in fe)
+    head = f"""WITH {LAB},
+n AS (SELECT {K}{extra}, {nul} FROM t),
+{ranked_n},
+m AS (SELECT {med}),
+f AS (SELECT {K}{extra}, {fill} FROM n, m)"""
+    if not cap:
+        return head + f"\nSELECT {cols_out} FROM f"
+    ranked_f = ", ".join(_order_cte(f"rf_{c}", "f", c) for c in fe)
+    q = ", ".join(f"{_quantile_sql(f'rf_{c}', 0.01)} AS lo_{c}, {_quantile_sql(f'rf_{c}', 0.99)} AS hi_{c}" for c in fe)
+    capped = ", ".join(f"CASE WHEN hi_{c} > 1e8 OR lo_{c} < -1e8 THEN greatest(least({c}, hi_{c}), lo_{c}) ELSE {c} END AS {c}"
+                       for c in fe)
+    return head + f""",
+{ranked_f},
+q AS (SELECT {q}),
+g AS (SELECT {K}{extra}, {capped} FROM f, q)
+SELECT {cols_out} FROM g"""
+
+
+def _impute_and_cap_sql():
+    return _impute_cap_sql(FEATS, f"{K}, {', '.join(FEATS)}")
 
 
 def clean_paper(spark, sf_dir):
@@ -112,16 +139,9 @@ def clean_paper(spark, sf_dir):
 
 
 def _clean_paper_sql():
-    nul = ", ".join(f"CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) = 'Infinity'::DOUBLE THEN NULL ELSE {c} END AS {c}"
-                    for c in FEATS)
-    med = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in FEATS)
-    fill = ", ".join(f"coalesce({c}, coalesce(m_{c}, 0.0)) AS {c}" for c in FEATS)
     # f5 duplicates f0 and f4 is constant: both are dropped
-    return f"""WITH {LAB},
-n AS (SELECT {K}, label, {nul} FROM t),
-m AS (SELECT {med} FROM n),
-f AS (SELECT {K}, label, {fill} FROM n, m)
-SELECT {K}, label, CAST(label <> 'BENIGN' AS INTEGER) AS Attack, f0, f1, f2, f3 FROM f"""
+    return _impute_cap_sql(FEATS, f"{K}, label, CAST(label <> 'BENIGN' AS INTEGER) AS Attack, f0, f1, f2, f3",
+                           ", label", cap=False)
 
 
 def clean_default(spark, sf_dir):
@@ -131,19 +151,7 @@ def clean_default(spark, sf_dir):
 
 def _clean_default_sql():
     fe = ["f0", "f1", "f2", "f3", "f5"]  # f4 is constant and dropped before the value fixes
-    nul = ", ".join(f"CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) = 'Infinity'::DOUBLE THEN NULL ELSE {c} END AS {c}"
-                    for c in fe)
-    med = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in fe)
-    fill = ", ".join(f"coalesce({c}, coalesce(m_{c}, 0.0)) AS {c}" for c in fe)
-    q = ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in fe)
-    cap = ", ".join(f"CASE WHEN hi_{c} > 1e8 OR lo_{c} < -1e8 THEN greatest(least({c}, hi_{c}), lo_{c}) ELSE {c} END AS {c}"
-                    for c in fe)
-    return f"""WITH {LAB},
-n AS (SELECT {K}, label, {nul} FROM t),
-m AS (SELECT {med} FROM n),
-f AS (SELECT {K}, label, {fill} FROM n, m),
-q AS (SELECT {q} FROM f)
-SELECT {K}, label, CAST(label <> 'BENIGN' AS INTEGER) AS Attack, {cap} FROM f, q"""
+    return _impute_cap_sql(fe, f"{K}, label, CAST(label <> 'BENIGN' AS INTEGER) AS Attack, {', '.join(fe)}", ", label")
 
 
 # -- F4, G1-G4, F8, E2 --------------------------------------------------------------
@@ -229,10 +237,11 @@ def robust_scale(spark, sf_dir):
 
 
 def _robust_scale_sql():
-    st = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}, coalesce(nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1.0) AS s_{c}"
-                   for c in SCALE_FEATS)
+    ranked = ", ".join(_order_cte(f"r_{c}", "tr", c) for c in SCALE_FEATS)
+    st = ", ".join(f"{_quantile_sql(f'r_{c}', 0.5)} AS m_{c}, coalesce(nullif({_quantile_sql(f'r_{c}', 0.75)} - "
+                   f"{_quantile_sql(f'r_{c}', 0.25)}, 0), 1.0) AS s_{c}" for c in SCALE_FEATS)
     z = ", ".join(f"(round(({c} - m_{c}) / s_{c}, 9) + 0.0) AS {c}_r" for c in SCALE_FEATS)
-    return f"WITH {LAB}, s AS (SELECT {st} FROM t WHERE {TRAIN_SQL}) SELECT {K}, {z} FROM t, s"
+    return f"WITH {LAB}, tr AS (SELECT * FROM t WHERE {TRAIN_SQL}), {ranked}, s AS (SELECT {st}) SELECT {K}, {z} FROM t, s"
 
 
 def gamma_scale(spark, sf_dir):
