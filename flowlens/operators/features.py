@@ -346,5 +346,5 @@ def flow_relative_times(assembled: DataFrame) -> DataFrame:
     builds an unbounded list per flow; here it stays a long table."""
     w = _w()
     return assembled.select(
-        *FLOW_ID, (F.row_number().over(w) - 1).alias("idx"),
+        *FLOW_ID, (F.row_number().over(w) - 1).cast("long").alias("idx"),
         F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w)).cast("double") / US, F.lit(0.0)).alias("rel_time"))

@@ -50,7 +50,7 @@ def keyed_cte() -> str:
  FROM packets WHERE protocol IN (6, 17))"""
 
 
-def flows_ctes(full: bool) -> str:
+def flows_ctes(full: bool, weight: int = 1) -> str:
     """CTEs ending in ``a``: packets with flow_pkt, flow_us, is_fwd (R1, or R1+R2+R3)."""
     head = f"{packets_cte()},\n{keyed_cte()},\n"
     if not full:
@@ -75,7 +75,10 @@ s AS (SELECT p.*, w.flow_seq AS fseq FROM p JOIN w ON p.kk = w.kk AND p.rn = w.r
     tail = f"""fl AS (SELECT *, first_value(pkt_seq) OVER wf AS flow_pkt, first_value(ts_us) OVER wf AS flow_us,
  first_value(src_ip) OVER wf AS f_ip, first_value(src_port) OVER wf AS f_port
  FROM s WINDOW wf AS (PARTITION BY {KEY}, fseq ORDER BY ts_us, pkt_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-a AS (SELECT * EXCLUDE (f_ip, f_port), (src_ip = f_ip AND src_port = f_port) AS is_fwd FROM fl)"""
+a0 AS (SELECT * EXCLUDE (f_ip, f_port), (src_ip = f_ip AND src_port = f_port) AS is_fwd FROM fl),
+a AS (SELECT *, 0 AS rep FROM a0"""
+    # first_packet_weight = 2: the first packet of every flow appears twice (Q1)
+    tail += " UNION ALL SELECT *, 1 AS rep FROM a0 WHERE pkt_seq = flow_pkt)" if weight == 2 else ")"
     return head + seq + tail
 
 
@@ -110,7 +113,7 @@ def _moments(x: str, cond: str, nm: str) -> str:
             f"max({v}) AS {nm}_max, min({v}) AS {nm}_min")
 
 
-def features_ctes(full: bool) -> str:
+def features_ctes(full: bool, weight: int = 1, active_idle: str = "gaps") -> str:
     """CTEs ending in ``rec``: flow_pkt + the 82 record fields."""
     flags = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U", "ece": "E"}
     fl = ",\n ".join(f"count(*) FILTER (WHERE contains(tcp_flags, '{c}')) AS {n}_flag_cnt" for n, c in flags.items())
@@ -140,8 +143,10 @@ def features_ctes(full: bool) -> str:
         *[f"{n}_flag_cnt" for n in flags],
         f"{div_sql('nb', 'nf')} AS down_up_ratio", f"{mean_sql('n', 'len_s1')} AS pkt_size_avg",
         "init_fwd_win_byts", "init_bwd_win_byts",
-        *_iat("active", "act_n", "act_s1", "act_s2", "act_max", "act_min", False),
-        *_iat("idle", "idl_n", "idl_s1", "idl_s2", "idl_max", "idl_min", False),
+        *(_iat("active", "act_n", "act_s1", "act_s2", "act_max", "act_min", False)
+          + _iat("idle", "idl_n", "idl_s1", "idl_s2", "idl_max", "idl_min", False)
+          if active_idle == "gaps" else
+          [f"CAST(0.0 AS DOUBLE) AS {p}_{st}" for p in ("active", "idle") for st in ("max", "min", "mean", "std")]),
         f"{div_sql('fb_bytes', 'fb_cnt')} AS fwd_byts_b_avg", f"{div_sql('fb_pkts', 'fb_cnt')} AS fwd_pkts_b_avg",
         f"{div_sql('bb_bytes', 'bb_cnt')} AS bwd_byts_b_avg", f"{div_sql('bb_pkts', 'bb_cnt')} AS bwd_pkts_b_avg",
         f"{div_sql('fb_bytes', '(CAST(fb_us AS DOUBLE) / 1000000.0)')} AS fwd_blk_rate_avg",
@@ -151,19 +156,19 @@ def features_ctes(full: bool) -> str:
               "fwd_urg_flags AS cwr_flag_count", "tot_fwd_pkts AS subflow_fwd_pkts",
               "tot_bwd_pkts AS subflow_bwd_pkts", "totlen_fwd_pkts AS subflow_fwd_byts",
               "totlen_bwd_pkts AS subflow_bwd_byts"]
-    return f"""{flows_ctes(full)},
+    return f"""{flows_ctes(full, weight)},
 x AS (SELECT *, ts_us - lag(ts_us) OVER wf AS iat, lag(is_fwd) OVER wf AS prev_is_fwd,
  ts_us - lag(ts_us) OVER wd AS dir_iat, row_number() OVER wf AS rn
- FROM a WINDOW wf AS (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq),
- wd AS (PARTITION BY flow_pkt, is_fwd ORDER BY ts_us, pkt_seq)),
+ FROM a WINDOW wf AS (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq, rep),
+ wd AS (PARTITION BY flow_pkt, is_fwd ORDER BY ts_us, pkt_seq, rep)),
 y AS (SELECT *, sum(CASE WHEN iat IS NULL OR iat > 5000000 THEN 1 ELSE 0 END)
- OVER (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq ROWS UNBOUNDED PRECEDING) AS island FROM x),
+ OVER (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq, rep ROWS UNBOUNDED PRECEDING) AS island FROM x),
 isl AS (SELECT flow_pkt, island, max(ts_us) - min(ts_us) AS dur,
  max(island) OVER (PARTITION BY flow_pkt) AS last_island FROM y GROUP BY flow_pkt, island),
 act AS (SELECT flow_pkt, {_moments('dur', 'island < last_island AND dur > 0', 'act')} FROM isl GROUP BY flow_pkt),
 pay AS (SELECT flow_pkt, ts_us, pkt_seq, is_fwd, payload_len,
  lag(ts_us) OVER wp AS pts, lag(is_fwd) OVER wp AS pfwd
- FROM a WHERE payload_len > 0 WINDOW wp AS (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq)),
+ FROM a WHERE payload_len > 0 AND rep = 0 WINDOW wp AS (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq)),
 pay2 AS (SELECT *, sum(CASE WHEN pts IS NULL OR pfwd <> is_fwd OR ts_us - pts > 1000000 THEN 1 ELSE 0 END)
  OVER (PARTITION BY flow_pkt ORDER BY ts_us, pkt_seq ROWS UNBOUNDED PRECEDING) AS run FROM pay),
 runs AS (SELECT flow_pkt, run, bool_and(is_fwd) AS is_fwd, count(*) AS c, sum(payload_len) AS b,
@@ -213,9 +218,9 @@ r0 AS (SELECT {", ".join(rec_cols)} FROM j),
 rec AS (SELECT *, {", ".join(copies)} FROM r0)"""
 
 
-def features_sql(columns: list[str], full: bool) -> str:
+def features_sql(columns: list[str], full: bool, weight: int = 1, active_idle: str = "gaps") -> str:
     rec = "RECURSIVE " if full else ""
-    return f"WITH {rec}{features_ctes(full)}\nSELECT {', '.join(columns)} FROM rec"
+    return f"WITH {rec}{features_ctes(full, weight, active_idle)}\nSELECT {', '.join(columns)} FROM rec"
 
 
 # ---------------------------------------------------------------------------

@@ -58,6 +58,19 @@ def flow_record_82(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_features(assemble_flows(fx.packets(spark, sf_dir)))
 
 
+def flow_record_reference_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference session's counting - first packet twice, active/idle 0."""
+    return flow_features(assemble_flows(fx.packets(spark, sf_dir), first_packet_weight=2), active_idle="reference")
+
+
+# B2: a --fields list; unknown names are ignored and record order is kept
+FIELDS = ["flow_duration", "no_such_field", "tot_fwd_pkts", "src_ip", "syn_flag_cnt", "idle_mean"]
+
+
+def flow_fields_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_features(assemble_flows(fx.packets(spark, sf_dir)), fields=FIELDS)
+
+
 def _extended(fn):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(assemble_flows(fx.packets(spark, sf_dir), long_flow_cut=False))
@@ -84,6 +97,8 @@ def queries() -> dict:
     for name, (full, cols) in SUBSETS.items():
         q[name] = _subset(full, cols)
     q["flow_record_82"] = flow_record_82
+    q["flow_record_reference_mode"] = flow_record_reference_mode
+    q["flow_fields_projection"] = flow_fields_projection
     for name, fn in EXTENDED.items():
         q[name] = _extended(fn)
     q["session_window_flows"] = session_window_flows
@@ -96,6 +111,8 @@ def oracle() -> dict:
     for name, (full, cols) in SUBSETS.items():
         o[name] = O.features_sql(HEADER + cols, full)
     o["flow_record_82"] = O.features_sql(["flow_pkt", *FLOW_COLUMNS_82], True)
+    o["flow_record_reference_mode"] = O.features_sql(["flow_pkt", *FLOW_COLUMNS_82], True, 2, "reference")
+    o["flow_fields_projection"] = O.features_sql(["flow_pkt"] + [c for c in FLOW_COLUMNS_82 if c in FIELDS], True)
     o.update({"flow_response_time": O.response_time_sql(), "flow_time_moments": O.time_moments_sql(),
               "flow_length_moments": O.length_moments_sql(), "flow_first_sizes": O.first_sizes_sql(),
               "flow_byte_rates": O.byte_rates_sql(), "flow_relative_times": O.relative_times_sql(),
