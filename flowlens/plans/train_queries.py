@@ -7,6 +7,8 @@ counts and ratios of counts are compared exactly.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -395,6 +397,43 @@ def tuning_results(spark, sf_dir):
     return top_results(res)
 
 
+def training_run_summary(spark, sf_dir):
+    """G21/G22/G9/A9 (rows-only): a full training run in the 'hyperparam' mode."""
+    from flowlens.plans.training import run_training
+    run = run_training(fx.labelled(spark, sf_dir), features=["f0", "f1", "f2", "f3"], mode="hyperparam",
+                       profile="paper", keep=tuple(KEYS + ["ship_day", "file_no"]), n_landmarks=32, iterations=10)
+    return run.summary
+
+
+def model_description(spark, sf_dir):
+    """A11 (rows-only): the one-row description of the fixed-recipe model."""
+    return fixture_model(_lab(spark, sf_dir)).describe(spark)
+
+
+def _labelled_csv_files(spark, sf_dir):
+    """A7 then A5: the labelled view written as CSV files (8 by file_no) in the shared
+    checkpoint directory, read back as one scan."""
+    import glob
+    import os
+    from flowlens.session import ensure_checkpoint_dir
+    from flowlens.sources.labelled import read_labelled
+    src = os.path.join(sf_dir, "lineitem.parquet")
+    path = os.path.join(ensure_checkpoint_dir(spark), "fixtures",
+                        f"{hashlib.md5(os.path.abspath(src).encode()).hexdigest()[:12]}_{int(os.path.getmtime(src))}", "labelled_csv")
+    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+        (fx.labelled(spark, sf_dir).repartition(8, "file_no").write.mode("overwrite").option("header", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    files = sorted(glob.glob(os.path.join(path, "part-*.csv")))
+    return read_labelled(spark, files, label="label",
+                         keep_text=("label", "ship_day", "row_hash"))
+
+
+def labelled_csv_roundtrip(spark, sf_dir):
+    df = _labelled_csv_files(spark, sf_dir)
+    return df.select(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")],
+                     F.col("l_linenumber").cast("int").alias("l_linenumber"), "label", *FEATS)
+
+
 def queries() -> dict:
     return {
         "label_distribution": label_distribution, "distinct_labels": distinct_labels,
@@ -409,6 +448,8 @@ def queries() -> dict:
         "prediction_distribution": prediction_distribution, "eval_by_test_set": eval_by_test_set,
         "one_class_fit": one_class_fit, "tuning_results": tuning_results,
         "alerts_per_day": _alerts("1 day"), "alerts_sliding_2d": _alerts("2 days", "1 day"),
+        "training_run_summary": training_run_summary, "model_description": model_description,
+        "labelled_csv_roundtrip": labelled_csv_roundtrip,
     }
 
 
@@ -443,6 +484,8 @@ SELECT test_set, kind, n, CAST(n AS DOUBLE) * 100.0 / CAST(sum(n) OVER (PARTITIO
  (round(stddev_pop(score), 9) + 0.0) AS score_std FROM sd""",
         "prediction_distribution": f"WITH {sc} SELECT prediction, count(*) AS n FROM sd GROUP BY prediction",
         "alerts_per_day": _alerts_sql(False), "alerts_sliding_2d": _alerts_sql(True),
+        "labelled_csv_roundtrip": f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, label, {', '.join(FEATS)} "
+                                  f"FROM ({duckdb_view('labelled')})",
         "eval_by_test_set": f"""WITH {sc}, {_paper_split_cte(False)},
 j AS (SELECT ps.test_set, sd.Attack, sd.yhat FROM ps JOIN sd USING (row_hash) WHERE ps.test_set <> 'train'),
 cm AS (SELECT test_set, {CM} FROM j GROUP BY test_set)

@@ -7,6 +7,8 @@ one SQL text with dialect tokens, so Spark and the DuckDB oracle read identical
 
 from __future__ import annotations
 
+import hashlib
+
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,7 +137,7 @@ def flow_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     it then no longer re-derive the 82 strings of every row."""
     from flowlens.session import ensure_checkpoint_dir
     src = os.path.join(sf_dir, "lineitem.parquet")
-    tag = f"{abs(hash(os.path.abspath(src))):x}_{int(os.path.getmtime(src)) if os.path.exists(src) else 0}"
+    tag = f"{hashlib.md5(os.path.abspath(src).encode()).hexdigest()[:12]}_{int(os.path.getmtime(src)) if os.path.exists(src) else 0}"
     path = os.path.join(ensure_checkpoint_dir(spark), "fixtures", tag, "flow_csv.parquet")
     if not os.path.exists(os.path.join(path, "_SUCCESS")):
         flow_csv_view(spark, sf_dir).write.mode("overwrite").parquet(path)

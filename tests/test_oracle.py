@@ -22,7 +22,7 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_iterative():
-    assert set(ROWS_ONLY) <= {"one_class_fit", "tuning_results"}
+    assert set(ROWS_ONLY) <= {"one_class_fit", "tuning_results", "training_run_summary", "model_description"}
 
 
 def test_entry_smoke(spark):
