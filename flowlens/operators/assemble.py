@@ -11,10 +11,10 @@ Rules: R1 idle split (gap > 240 s, C3), R2 long-flow cut (the packet that makes
 duration exceed 120 s is the last of its flow, C4), R3 FIN close (a FIN packet at
 duration >= 90 s closes the flow, C5). Ends are decided by event time only.
 
-Scale notes. R1 is computed in 240 s time buckets: the previous packet of the first row
-of a bucket can only sit in the previous bucket (an emptier gap is an idle cut anyway),
-so a hot endpoint pair is spread over all its buckets and only one small per-bucket
-aggregate is joined back. R2/R3 are recursive (each cut depends on the previous flow
+Scale notes. R1 is computed on 240 s time buckets: only the first packet of a bucket can
+start a session, so the split is a partial aggregation to one row per (key, bucket), a
+window over that small summary and a join back - a hot endpoint pair never lands in one
+window task. R2/R3 are recursive (each cut depends on the previous flow
 start); they run as one sorted pass per idle session with O(1) state in ``mapInPandas``
 that never materialises a session, after which flows are re-hashed by ``flow_pkt`` so
 the feature windows and aggregates spread a hot session over its flows.
@@ -71,27 +71,26 @@ def idle_sessions(packets: DataFrame, key: list[str], idle_us: int = IDLE_TIMEOU
     """C3 (R1): a gap strictly greater than ``idle_us`` starts a new session.
 
     Adds ``sess_us, sess_seq, sess_ip, sess_port`` (the session's first packet).
+
+    Packets are bucketed by ``ts_us div idle_us``. Two packets of one bucket are less than
+    ``idle_us`` apart, so a session can only start at the first packet of a bucket, and it
+    does exactly when the previous non-empty bucket of the key ended more than ``idle_us``
+    earlier. The split therefore needs one partial aggregation to a (key, bucket) summary,
+    a window over that summary (a key has one row per active bucket, so a hot key stays
+    small there) and one equi-join back - no window over the packets themselves.
     """
     b = packets.withColumn("sb", F.floor(F.col("ts_us") / F.lit(idle_us)).cast("long"))
-    w = Window.partitionBy(*key, "sb").orderBy("ts_us", "pkt_seq")
-    b = b.withColumn("prev_local", F.lag("ts_us").over(w))
-    # Last packet time of the previous bucket, one row per (key, bucket).
-    last_prev = (b.groupBy(*key, "sb").agg(F.max("ts_us").alias("prev_bucket_last"))
-                 .withColumn("sb", F.col("sb") + 1))
-    b = b.join(last_prev, on=[*key, "sb"], how="left")
-    prev_ts = F.coalesce(F.col("prev_local"), F.col("prev_bucket_last"))
-    b = b.withColumn("is_start", prev_ts.isNull() | ((F.col("ts_us") - prev_ts) > idle_us))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = b.withColumn("local_start", F.max(F.when(F.col("is_start"), _start_struct())).over(run))
-    # Latest session start of all earlier buckets (small table: one row per key and bucket).
-    starts = b.groupBy(*key, "sb").agg(F.max(F.when(F.col("is_start"), _start_struct())).alias("bucket_start"))
-    wb = Window.partitionBy(*key).orderBy("sb").rowsBetween(Window.unboundedPreceding, -1)
-    carry = starts.withColumn("carry_start", F.max("bucket_start").over(wb)).select(*key, "sb", "carry_start")
-    b = b.join(carry, on=[*key, "sb"], how="left")
-    s = F.coalesce(F.col("local_start"), F.col("carry_start"))
-    return (b.withColumns({"sess_us": s["s_us"], "sess_seq": s["s_seq"],
-                           "sess_ip": s["s_ip"], "sess_port": s["s_port"]})
-            .drop("sb", "prev_local", "prev_bucket_last", "is_start", "local_start", "carry_start"))
+    summary = b.groupBy(*key, "sb").agg(F.min(_start_struct()).alias("first"), F.max("ts_us").alias("last"))
+    w = Window.partitionBy(*key).orderBy("sb")
+    prev_last = F.lag("last").over(w)
+    summary = summary.withColumn(
+        "start", F.when(prev_last.isNull() | ((F.col("first.s_us") - prev_last) > idle_us), F.col("first")))
+    summary = summary.withColumn(
+        "sess", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    s = F.col("sess")
+    return (b.join(summary.select(*key, "sb", "sess"), on=[*key, "sb"], how="inner")
+            .withColumns({"sess_us": s["s_us"], "sess_seq": s["s_seq"], "sess_ip": s["s_ip"], "sess_port": s["s_port"]})
+            .drop("sb", "sess"))
 
 
 def _cut_batches(long_us: int, fin_us: int, fin_close: bool, key: list[str]):
