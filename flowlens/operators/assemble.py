@@ -15,9 +15,11 @@ Scale notes. R1 is computed on 240 s time buckets: only the first packet of a bu
 start a session, so the split is a partial aggregation to one row per (key, bucket), a
 window over that small summary and a join back - a hot endpoint pair never lands in one
 window task. R2/R3 are recursive (each cut depends on the previous flow
-start); they run as one sorted pass per idle session with O(1) state in ``mapInPandas``
-that never materialises a session, after which flows are re-hashed by ``flow_pkt`` so
-the feature windows and aggregates spread a hot session over its flows.
+start); they run as one sorted pass per idle session over narrow rows with O(1) state in
+``mapInPandas`` that emits flow starts only; packets get their flow by an equi-join on
+(session, 90 s bucket), since a bucket of that width holds at most one flow start. Flows
+are then re-hashed by ``flow_pkt`` so the feature windows and aggregates spread a hot
+session over its flows.
 """
 
 from __future__ import annotations
@@ -93,87 +95,101 @@ def idle_sessions(packets: DataFrame, key: list[str], idle_us: int = IDLE_TIMEOU
             .drop("sb", "sess"))
 
 
-def _cut_batches(long_us: int, fin_us: int, fin_close: bool, key: list[str]):
-    """Sorted one-pass R2/R3 cut with state carried across Arrow batches."""
+def _flow_starts(long_us: int, fin_us: int, fin_close: bool, sess: list[str]):
+    """Sorted one-pass R2/R3 cut over narrow rows; yields one row per flow start.
+
+    State carried across Arrow batches: the open flow's session and start time, and whether
+    its last packet closed it. Within a batch the pass jumps from cut to cut with binary
+    search (the next cut is the first packet past start + 120 s, or the first FIN at or
+    past start + 90 s), so Python work is per flow, not per packet."""
 
     def run(batches):
-        state = None  # (session tuple, flow start us, start seq, start ip, start port, closed)
+        state = None  # (session tuple, flow start us, closed)
         for pdf in batches:
             n = len(pdf)
             if n == 0:
                 continue
             ts = pdf["ts_us"].to_numpy(dtype=np.int64)
-            seq = pdf["pkt_seq"].to_numpy(dtype=np.int64)
-            fin = pdf["tcp_flags"].fillna("").str.contains("F", regex=False).to_numpy() if fin_close \
-                else np.zeros(n, dtype=bool)
-            sess_cols = [pdf[c].to_numpy() for c in (*key, "sess_us", "sess_seq")]
-            # Session boundaries inside the batch.
+            fin = pdf["fin"].fillna(False).to_numpy(dtype=bool) if fin_close else np.zeros(n, dtype=bool)
+            sess_cols = [pdf[c].to_numpy() for c in sess]
             new_sess = np.zeros(n, dtype=bool)
             new_sess[0] = True
             for c in sess_cols:
                 new_sess[1:] |= c[1:] != c[:-1]
             bounds = np.flatnonzero(new_sess).tolist() + [n]
-            # next FIN position at or after i (n if none)
             idx = np.where(fin, np.arange(n), n)
-            next_fin = np.minimum.accumulate(idx[::-1])[::-1]
-            src_ip = pdf["src_ip"].to_numpy()
-            src_port = pdf["src_port"].to_numpy()
-            f_us = np.empty(n, dtype=np.int64)
-            f_seq = np.empty(n, dtype=np.int64)
-            f_ip = np.empty(n, dtype=object)
-            f_port = np.empty(n, dtype=np.int64)
+            next_fin = np.minimum.accumulate(idx[::-1])[::-1]  # next FIN at or after i
+            starts = []
             for bi in range(len(bounds) - 1):
                 lo, hi = bounds[bi], bounds[bi + 1]
                 sess_key = tuple(c[lo] for c in sess_cols)
-                i = lo
-                if state is not None and state[0] == sess_key and not state[5]:
-                    cur = state[1:5]
-                    first_cand = lo
+                seg = ts[lo:hi]
+                if state is not None and state[0] == sess_key and not state[2]:
+                    s_us, first_cand = state[1], lo       # flow continues from the previous batch
                 else:
-                    cur = (ts[lo], seq[lo], src_ip[lo], src_port[lo])
-                    first_cand = lo + 1
+                    s_us, first_cand = int(ts[lo]), lo + 1
+                    starts.append(lo)
                 closed = False
-                while i < hi:
-                    s_us = cur[0]
-                    seg = ts[lo:hi]
-                    j_long = lo + int(np.searchsorted(seg, s_us + long_us, side="right"))
-                    j_long = max(j_long, first_cand)
+                while True:
+                    j_long = max(lo + int(np.searchsorted(seg, s_us + long_us, side="right")), first_cand)
+                    j_fin = hi
                     if fin_close:
-                        j_fin0 = max(lo + int(np.searchsorted(seg, s_us + fin_us, side="left")), first_cand)
-                        j_fin = int(next_fin[j_fin0]) if j_fin0 < hi else hi
-                        j_fin = min(j_fin, hi)
-                    else:
-                        j_fin = hi
-                    e = min(j_long, j_fin)  # last packet of the flow, or hi if still open
-                    end = min(e + 1, hi)
-                    f_us[i:end] = cur[0]
-                    f_seq[i:end] = cur[1]
-                    f_ip[i:end] = cur[2]
-                    f_port[i:end] = cur[3]
+                        j0 = max(lo + int(np.searchsorted(seg, s_us + fin_us, side="left")), first_cand)
+                        j_fin = int(next_fin[j0]) if j0 < hi else hi
+                    e = min(j_long, j_fin, hi)  # last packet of the flow, or hi if still open
                     if e >= hi:
                         closed = False
                         break
-                    i = e + 1
-                    closed = True
-                    if i < hi:
-                        cur = (ts[i], seq[i], src_ip[i], src_port[i])
-                        first_cand = i + 1
-                        closed = False
-                state = (sess_key, *cur, closed)
-            yield pdf.assign(flow_us=f_us, flow_pkt=f_seq, flow_ip=f_ip, flow_port=f_port)
+                    if e + 1 >= hi:
+                        closed = True
+                        break
+                    s_us, first_cand = int(ts[e + 1]), e + 2
+                    starts.append(e + 1)
+                state = (sess_key, s_us, closed)
+            if starts:
+                sel = pdf.iloc[starts]
+                yield pd.DataFrame({**{c: sel[c].to_numpy() for c in sess},
+                                    "flow_us": sel["ts_us"].to_numpy(), "flow_pkt": sel["pkt_seq"].to_numpy(),
+                                    "flow_ip": sel["src_ip"].to_numpy(), "flow_port": sel["src_port"].to_numpy()})
 
     return run
 
 
 def cut_long_flows(sessions: DataFrame, key: list[str], long_us: int = LONG_FLOW_US,
                    fin_us: int = FIN_CLOSE_US, fin_close: bool = True) -> DataFrame:
-    """C4 (R2) and C5 (R3) on top of idle sessions: one sorted pass per session."""
+    """C4 (R2) and C5 (R3) on top of idle sessions.
+
+    1. One sorted pass per session over narrow rows (time, seq, source, FIN) emits the flow
+       starts only.
+    2. Consecutive flow starts are at least 90 s apart (120 s without FIN closes), so a
+       bucket of that width holds at most one start. Each (session, bucket) that has packets
+       gets its own start (if any) and the latest earlier start (carry window over the
+       per-bucket summary), and packets join it on (session, bucket): a packet belongs to
+       the bucket's start when it is not before it, else to the carried one.
+    """
     sess = [*key, "sess_us", "sess_seq"]
-    ordered = sessions.repartition(*sess).sortWithinPartitions(*sess, "ts_us", "pkt_seq")
-    schema = T.StructType(list(ordered.schema.fields) + [
+    width = min(fin_us, long_us) if fin_close else long_us
+    narrow = sessions.select(*sess, "ts_us", "pkt_seq", "src_ip", "src_port",
+                             F.coalesce(F.col("tcp_flags"), F.lit("")).contains("F").alias("fin"))
+    ordered = narrow.repartition(*sess).sortWithinPartitions(*sess, "ts_us", "pkt_seq")
+    out_schema = T.StructType([ordered.schema[c] for c in sess] + [
         T.StructField("flow_us", T.LongType()), T.StructField("flow_pkt", T.LongType()),
         T.StructField("flow_ip", T.StringType()), T.StructField("flow_port", T.LongType())])
-    return ordered.mapInPandas(_cut_batches(long_us, fin_us, fin_close, key), schema)
+    starts = ordered.mapInPandas(_flow_starts(long_us, fin_us, fin_close, sess), out_schema)
+    fb = F.floor(F.col("ts_us") / F.lit(width)).cast("long")
+    st = starts.select(*sess, F.floor(F.col("flow_us") / F.lit(width)).cast("long").alias("fb"),
+                       F.struct(F.col("flow_us").alias("us"), F.col("flow_pkt").alias("pkt"),
+                                F.col("flow_ip").alias("ip"), F.col("flow_port").alias("port")).alias("own"))
+    buckets = sessions.select(*sess, fb.alias("fb")).distinct()
+    w = Window.partitionBy(*sess).orderBy("fb")
+    summary = buckets.join(st, on=[*sess, "fb"], how="left").withColumn(
+        "carry", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    j = sessions.withColumn("fb", fb).join(summary, on=[*sess, "fb"], how="inner")
+    mine = F.col("own").isNotNull() & (
+        (F.col("ts_us") > F.col("own.us")) | ((F.col("ts_us") == F.col("own.us")) & (F.col("pkt_seq") >= F.col("own.pkt"))))
+    f = F.when(mine, F.col("own")).otherwise(F.col("carry"))
+    return j.withColumns({"flow_us": f["us"], "flow_pkt": f["pkt"], "flow_ip": f["ip"], "flow_port": f["port"]}) \
+        .drop("fb", "own", "carry")
 
 
 def assemble_flows(packets: DataFrame, long_flow_cut: bool = True, fin_close: bool = True,
