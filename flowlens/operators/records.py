@@ -15,6 +15,22 @@ from flowlens.schemas import FEATURE_NAME_MAP, FLOW_COLUMNS_80, FLOW_COLUMNS_82,
 UNMAPPED = ("src_ip", "dst_ip", "src_port", "protocol", "timestamp")
 
 
+# Transport fields removed from a shipped event before scoring.
+TRANSPORT_FIELDS = ["@version", "@timestamp", "agent", "ecs", "event", "host", "input", "log", "message", "tags",
+                    "decoded"]
+
+
+def drop_transport_metadata(df: DataFrame, nested: str = "decoded.csv", target: str = "csv") -> DataFrame:
+    """Move the nested CSV array to a top-level column and drop transport fields."""
+    out = df.withColumn(target, F.col(nested)) if "." in nested and nested.split(".")[0] in df.columns else df
+    return out.drop(*[c for c in TRANSPORT_FIELDS if c in out.columns])
+
+
+def csv_prediction(scored: DataFrame) -> DataFrame:
+    """The event's prediction as the service returns it (lower case), on the same row."""
+    return scored.withColumn("prediction", F.lower(F.col("prediction")))
+
+
 def split_by_width(df: DataFrame, csv: str = "csv", widths: tuple[int, ...] = (80, 82)) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by array width; rejects go to a second output."""
     ok = F.size(F.col(csv)).isin(*widths)

@@ -47,9 +47,45 @@ def scoring_requests(spark, sf_dir):
     return R.request_map_to_features(req, "request", keep=KEYS)
 
 
+# G12 end to end with a fixed recipe: standard scaler over all accepted events, the 8
+# events with the lowest keys as support vectors, alpha = sv_id / 36, gamma 0.25, rho 0.3.
+CSV_MODEL_FEATS = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets"]
+
+
+def csv_score(spark, sf_dir):
+    from pyspark.sql import Window
+    from flowlens.operators.oneclass import model_from_table
+    from flowlens.operators.scale import fit_standard
+    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS)
+    sc = fit_standard(feats, CSV_MODEL_FEATS)
+    sv = sc.transform(feats.orderBy(*KEYS).limit(8))
+    tab = sv.select(F.row_number().over(Window.orderBy(*KEYS)).alias("sv_id"),
+                    F.array(*[F.col(f"`{c}`") for c in CSV_MODEL_FEATS]).alias("x")) \
+        .withColumn("alpha", F.col("sv_id") / F.lit(36.0))
+    model = model_from_table(tab, sc, CSV_MODEL_FEATS, 0.3, "rbf", 0.25)
+    scored = R.csv_prediction(model.transform(feats))
+    return scored.select(*KEYS, F.round("score", 9).alias("score"), "prediction")
+
+
+def _csv_score_sql() -> str:
+    q = [f'"{c}"' for c in CSV_MODEL_FEATS]
+    st = ", ".join(f"avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1.0) AS s{i}" for i, c in enumerate(q))
+    z = ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(q))
+    d2 = " + ".join(f"(z.z{i} - v.z{i}) * (z.z{i} - v.z{i})" for i in range(len(q)))
+    feats = _features_sql("c").replace(f"WITH {CSV} ", "")
+    return f"""WITH {CSV}, fe AS ({feats}),
+sc AS (SELECT {st} FROM fe),
+z AS (SELECT row_number() OVER () AS rid, {K}, {z} FROM fe, sc),
+v AS (SELECT row_number() OVER (ORDER BY {K}) AS sv_id, * EXCLUDE (rid) FROM (SELECT * FROM z ORDER BY {K} LIMIT 8)),
+ks AS (SELECT z.rid, any_value(z.l_orderkey) AS l_orderkey, any_value(z.l_linenumber) AS l_linenumber,
+ any_value(z.l_partkey) AS l_partkey, any_value(z.l_suppkey) AS l_suppkey,
+ sum(v.sv_id / 36.0 * exp(-0.25 * ({d2}))) - 0.3 AS score FROM z CROSS JOIN v GROUP BY z.rid)
+SELECT {K}, (round(score, 9) + 0.0) AS score, CASE WHEN score <= 0 THEN 'attack' ELSE 'benign' END AS prediction FROM ks"""
+
+
 def queries() -> dict:
     return {"csv_to_features": csv_to_features, "csv_width_rejects": csv_width_rejects,
-            "scoring_requests": scoring_requests}
+            "scoring_requests": scoring_requests, "csv_score": csv_score}
 
 
 def oracle() -> dict:
@@ -57,4 +93,5 @@ def oracle() -> dict:
         "csv_to_features": _features_sql("c"),
         "csv_width_rejects": f"WITH {CSV} SELECT {K}, CAST(len(csv) AS INTEGER) AS width FROM c WHERE len(csv) NOT IN (80, 82)",
         "scoring_requests": _features_sql("c"),
+        "csv_score": _csv_score_sql(),
     }
