@@ -60,13 +60,15 @@ def read_labelled(spark: SparkSession, files: list[str], rows_per_file: int | No
 
 
 def read_labelled_with_fallback(spark: SparkSession, files: list[str], **kw) -> DataFrame:
-    """UTF-8 first; files whose text holds U+FFFD (undecodable bytes) are re-read as
-    ISO-8859-1, which never fails. Pass 1 counts such rows per file in one job."""
+    """UTF-8 first; files with lines that are not valid UTF-8 are re-read as
+    ISO-8859-1, which never fails. Pass 1 finds such files in one job."""
     present = [f for f in files if os.path.exists(f)]
     if not present:
         raise FileNotFoundError("no data files found")
     raw = spark.read.text(present).select(F.col("_metadata.file_path").alias("p"), "value")
-    bad = {r["p"] for r in raw.filter(F.col("value").contains(REPLACEMENT_CHAR)).select("p").distinct().collect()}
+    # the text source keeps raw bytes; a line is undecodable when it is not valid UTF-8
+    malformed = ~F.is_valid_utf8(F.col("value")) | F.col("value").contains(REPLACEMENT_CHAR)
+    bad = {r["p"] for r in raw.filter(malformed).select("p").distinct().collect()}  # at most one row per file
     good = [f for f in present if not any(b.endswith(os.path.abspath(f)) for b in bad)]
     latin = [f for f in present if f not in good]
     out = read_labelled(spark, good, **kw) if good else None

@@ -107,3 +107,37 @@ def test_alert_windows_stream(spark, tmp_path):
     got = sorted(map(tuple, spark.sql("SELECT * FROM alerts_h5").collect()))
     want = sorted(map(tuple, alerts_per_window(df.withColumn("ts", F.timestamp_micros("ts_us")), "ts", "1 minute").collect()))
     assert got == want
+
+
+def test_capture_key_and_ttl(spark, tmp_path):
+    """With the capture in the key, a conversation split over two files is two flows;
+    D26: initial TTL of the first packet; B4: nested CSV moved up, transport fields dropped."""
+    from flowlens.operators.features import flow_initial_ttl
+    from flowlens.operators.records import drop_transport_metadata
+    pk = [(1_000_000, "10.0.0.1", "10.0.0.2", 1000, 80, 0x02, 0), (1_100_000, "10.0.0.2", "10.0.0.1", 80, 1000, 0x12, 0)]
+    _pcap(tmp_path / "a.pcap", pk)
+    _pcap(tmp_path / "b.pcap", [(2_000_000, "10.0.0.1", "10.0.0.2", 1000, 80, 0x10, 5)])
+    packets, _ = ingest_captures(spark, str(tmp_path))
+    merged = assemble_flows(packets)
+    separate = assemble_flows(packets, capture_col="capture")
+    assert merged.select("flow_pkt").distinct().count() == 1
+    assert separate.select("flow_pkt").distinct().count() == 2
+    assert [r["init_ttl"] for r in flow_initial_ttl(merged).collect()] == [64]
+    ev = spark.createDataFrame([(("a", ["1", "2"]), "x", "h")], "decoded struct<x:string, csv:array<string>>, message string, host string")
+    out = drop_transport_metadata(ev)
+    assert out.columns == ["csv"] and out.collect()[0]["csv"] == ["1", "2"]
+
+
+def test_labelled_reader_caps_and_encoding(spark, tmp_path):
+    """A5 caps and early stop, A6 latin-1 fallback."""
+    from flowlens.sources.labelled import read_labelled, read_labelled_with_fallback
+    for i in range(3):
+        (tmp_path / f"f{i}.csv").write_text(" Flow Duration, Label\n" + "".join(f"{j},BENIGN\n" for j in range(10)))
+    files = [str(tmp_path / f"f{i}.csv") for i in range(3)] + [str(tmp_path / "missing.csv")]
+    assert read_labelled(spark, files).count() == 30
+    assert read_labelled(spark, files, rows_per_file=4).count() == 12
+    assert read_labelled(spark, files, rows_per_file=4, target_rows=6).count() == 8
+    assert dict(read_labelled(spark, files).dtypes)["Flow Duration"] == "double"
+    (tmp_path / "lat.csv").write_bytes("Flow Duration,Label\n1,Caf\xe9\n".encode("latin-1"))
+    df = read_labelled_with_fallback(spark, [str(tmp_path / "lat.csv"), str(tmp_path / "f0.csv")])
+    assert "Café" in {r["Label"] for r in df.collect()}
