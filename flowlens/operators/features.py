@@ -1,12 +1,13 @@
 """Flow features: assembled packets -> one record per flow (operators D1-D28).
 
-Plan shape: one hash exchange on ``flow_pkt``; two window passes with the same spec
-(partition ``flow_pkt``, order ``ts_us, pkt_seq, rep``), which Spark runs over one sort;
-then one ``groupBy(flow_pkt)`` whose aggregates are all algebraic (counts, sums, exact
-sums of squares, min, max), so partial aggregation applies. Per-direction lags use
-``last(..., ignorenulls)`` over ``UNBOUNDED PRECEDING .. 1 PRECEDING`` instead of a second
-partitioning, and the bulk state machine (D17) is re-expressed as running windows:
-the contribution of a payload packet depends only on its position in the current run.
+Plan shape: one exchange on ``flow_pkt``, two window passes with one spec over one sort
+(or, opt-in for hot flows, windows per (flow, time bucket) with carries from a small
+per-bucket summary, see ``packet_context``); then one ``groupBy(flow_pkt)`` whose aggregates are all algebraic (counts, sums,
+exact sums of squares, min, max), so partial aggregation applies before its exchange.
+Per-direction lags use ``last(..., ignorenulls)`` over ``UNBOUNDED PRECEDING .. 1 PRECEDING``
+instead of a second partitioning, and the bulk state machine (D17) is re-expressed as
+running windows: the contribution of a payload packet depends only on its position in the
+current run.
 """
 
 from __future__ import annotations
@@ -22,11 +23,125 @@ from flowlens.schemas import ACTIVE_TIMEOUT_US, BULK_BOUND, CLUMP_TIMEOUT_US, FL
 US = 1_000_000.0
 
 
+BUCKET_US = 1_000_000  # time bucket inside a flow for the skew-spread scan (opt-in)
+
+
 def _w():
     return Window.partitionBy(*FLOW_ID).orderBy(*ORDER)
 
 
-def packet_context(assembled: DataFrame) -> DataFrame:
+def packet_context(assembled: DataFrame, bucket_us: int | None = None) -> DataFrame:
+    """Per-packet lag and running columns used by the flow aggregates.
+
+    Default (``bucket_us=None``): one window spec per flow, two passes over one sort - a
+    linear plan with a single exchange. With ``bucket_us`` the scan is split by time (below);
+    that plan branches into per-bucket summaries, so give it a materialised input (e.g. the
+    tagged packets written to the shared checkpoint directory) to avoid recomputing the
+    assembly per branch.
+    """
+    if bucket_us is None:
+        return _packet_context_linear(assembled)
+    return _packet_context_bucketed(assembled, bucket_us)
+
+
+def _packet_context_bucketed(assembled: DataFrame, bucket_us: int) -> DataFrame:
+    """A scan over a flow's packets is split into time buckets so one hot flow is not one
+    window task: windows run per (flow, bucket), and what a row needs from earlier buckets
+    (previous packet, last forward / backward time, last payload packet, running payload
+    count and sum, last idle-island start, last bulk-run break) comes from a per-bucket
+    summary with a window over buckets (one row per active bucket), joined back on
+    (flow, bucket). Two such rounds: the second needs the gaps of the first."""
+    c = F.col
+    fwd = c("is_fwd")
+    a = assembled.withColumns({
+        "fb": F.floor(c("ts_us") / F.lit(bucket_us)).cast("long"),
+        "is_payload": (c("payload_len") > 0) & (c("rep") == 0),
+    })
+    wl = Window.partitionBy(*FLOW_ID, "fb").orderBy(*ORDER)
+    before = wl.rowsBetween(Window.unboundedPreceding, -1)
+    upto = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ws = Window.partitionBy(*FLOW_ID).orderBy("fb")
+    ws_before = ws.rowsBetween(Window.unboundedPreceding, -1)
+    order = F.struct(*ORDER)
+    pay_struct = F.struct(c("ts_us").alias("t"), fwd.alias("f"))
+
+    # round 1: local lags and running sums, and their carries from earlier buckets
+    a = a.withColumns({
+        "l_prev_ts": F.lag("ts_us").over(wl),
+        "l_prev_is_fwd": F.lag("is_fwd").over(wl),
+        "l_prev_fwd_ts": F.last(F.when(fwd, c("ts_us")), ignorenulls=True).over(before),
+        "l_prev_bwd_ts": F.last(F.when(~fwd, c("ts_us")), ignorenulls=True).over(before),
+        "l_prev_pay": F.last(F.when(c("is_payload"), pay_struct), ignorenulls=True).over(before),
+        "l_pay_n": F.sum(F.when(c("is_payload"), 1).otherwise(0)).over(upto),
+        "l_pay_sum": F.sum(F.when(c("is_payload"), c("payload_len")).otherwise(0)).over(upto),
+    })
+    s1 = a.groupBy(*FLOW_ID, "fb").agg(
+        F.max_by(pay_struct, order).alias("last_row"),
+        F.max(F.when(fwd, c("ts_us"))).alias("last_fwd"), F.max(F.when(~fwd, c("ts_us"))).alias("last_bwd"),
+        F.max_by(F.when(c("is_payload"), pay_struct), F.when(c("is_payload"), order)).alias("last_pay"),
+        F.sum(F.when(c("is_payload"), 1).otherwise(0)).alias("b_pay_n"),
+        F.sum(F.when(c("is_payload"), c("payload_len")).otherwise(0)).alias("b_pay_sum"))
+    c1 = s1.select(*FLOW_ID, "fb",
+                   F.lag("last_row").over(ws).alias("c_last_row"),
+                   F.max("last_fwd").over(ws_before).alias("c_fwd_ts"),
+                   F.max("last_bwd").over(ws_before).alias("c_bwd_ts"),
+                   F.last("last_pay", ignorenulls=True).over(ws_before).alias("c_pay"),
+                   F.coalesce(F.sum("b_pay_n").over(ws_before), F.lit(0)).alias("c_pay_n"),
+                   F.coalesce(F.sum("b_pay_sum").over(ws_before), F.lit(0)).cast("long").alias("c_pay_sum"))
+    a = a.join(c1, on=[*FLOW_ID, "fb"], how="left")
+    first_in_bucket = c("l_prev_ts").isNull()
+    a = a.withColumns({
+        "prev_ts": F.coalesce(c("l_prev_ts"), c("c_last_row.t")),
+        "prev_is_fwd": F.when(first_in_bucket, c("c_last_row.f")).otherwise(c("l_prev_is_fwd")),
+        "prev_fwd_ts": F.coalesce(c("l_prev_fwd_ts"), c("c_fwd_ts")),
+        "prev_bwd_ts": F.coalesce(c("l_prev_bwd_ts"), c("c_bwd_ts")),
+        "prev_pay": F.coalesce(c("l_prev_pay"), c("c_pay")),
+        "pay_n": c("l_pay_n") + c("c_pay_n"),
+        "pay_sum": c("l_pay_sum") + c("c_pay_sum"),
+    })
+    gap = c("ts_us") - c("prev_ts")
+    a = a.withColumns({
+        "iat": gap,
+        "dir_iat": c("ts_us") - F.when(fwd, c("prev_fwd_ts")).otherwise(c("prev_bwd_ts")),
+        "resp": F.when(c("prev_is_fwd") & ~fwd, gap),
+        "island_start": c("prev_ts").isNull() | (gap > ACTIVE_TIMEOUT_US),
+        "brk": c("is_payload") & (c("prev_pay").isNull() | (c("prev_pay.f") != fwd)
+                                  | ((c("ts_us") - c("prev_pay.t")) > CLUMP_TIMEOUT_US)),
+    })
+    # round 2: last island start and last run break, locally and carried
+    brk_struct = F.struct(c("pay_n").alias("n"), c("ts_us").alias("t"), (c("pay_sum") - c("payload_len")).alias("base"))
+    a = a.withColumns({
+        "l_island": F.last(F.when(c("island_start"), c("ts_us")), ignorenulls=True).over(before),
+        "l_run": F.last(F.when(c("brk"), brk_struct), ignorenulls=True).over(upto),
+    })
+    s2 = a.groupBy(*FLOW_ID, "fb").agg(
+        F.max(F.when(c("island_start"), c("ts_us"))).alias("b_island"),
+        F.max_by(F.when(c("brk"), brk_struct), F.when(c("brk"), order)).alias("b_run"))
+    c2 = s2.select(*FLOW_ID, "fb", F.max("b_island").over(ws_before).alias("c_island"),
+                   F.last("b_run", ignorenulls=True).over(ws_before).alias("c_run"))
+    a = a.join(c2, on=[*FLOW_ID, "fb"], how="left")
+    run = F.coalesce(c("l_run"), c("c_run"))
+    a = a.withColumns({
+        "prev_island_us": F.coalesce(c("l_island"), c("c_island")),
+        "run_first_n": run["n"], "run_first_us": run["t"], "run_base_sum": run["base"],
+    })
+    k = c("pay_n") - c("run_first_n") + 1
+    at_bound = c("is_payload") & (k == BULK_BOUND)
+    past_bound = c("is_payload") & (k > BULK_BOUND)
+    return a.withColumns({
+        "blk_start": at_bound,
+        "blk_pkts": F.when(at_bound, F.lit(BULK_BOUND)).when(past_bound, 1).otherwise(0).cast("long"),
+        "blk_bytes": F.when(at_bound, c("pay_sum") - c("run_base_sum"))
+        .when(past_bound, c("payload_len")).otherwise(0).cast("long"),
+        "blk_us": F.when(at_bound, c("ts_us") - c("run_first_us"))
+        .when(past_bound, c("ts_us") - c("prev_pay.t")).otherwise(0).cast("long"),
+        "idle_us": F.when(c("iat") > ACTIVE_TIMEOUT_US, c("iat")),
+        "active_us": F.when((c("iat") > ACTIVE_TIMEOUT_US) & ((c("prev_ts") - c("prev_island_us")) > 0),
+                            c("prev_ts") - c("prev_island_us")),
+    })
+
+
+def _packet_context_linear(assembled: DataFrame) -> DataFrame:
     """Per-packet lag columns used by the flow aggregates (two passes, one sort)."""
     w = _w()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -210,10 +325,12 @@ def with_record_copies(df: DataFrame) -> DataFrame:
     })
 
 
-def flow_features(assembled: DataFrame, active_idle: str = "gaps", fields: list[str] | None = None) -> DataFrame:
+def flow_features(assembled: DataFrame, active_idle: str = "gaps", fields: list[str] | None = None,
+                  bucket_us: int | None = None) -> DataFrame:
     """The full 82-column record per flow. ``fields`` is B2 (unknown names ignored,
-    record order kept); Catalyst prunes the aggregates of unselected fields."""
-    rec = flow_record(flow_aggregates(packet_context(assembled)), active_idle)
+    record order kept); Catalyst prunes the aggregates of unselected fields. ``bucket_us``
+    (opt-in, for hot flows) only changes how the scan is split, never the result."""
+    rec = flow_record(flow_aggregates(packet_context(assembled, bucket_us)), active_idle)
     if fields is not None:
         wanted = set(fields)
         rec = rec.select(*FLOW_ID, *[c for c in FLOW_COLUMNS_82 if c in wanted])

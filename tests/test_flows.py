@@ -144,3 +144,12 @@ def test_cut_state_across_arrow_batches(spark):
         assert sorted(map(tuple, flow_sessions(assemble_flows(p)).collect())) == base
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_bucket_width_invariance(spark):
+    from flowlens.sources import fixtures as fx
+    from tests.conftest import SF001
+    a = assemble_flows(fx.packets(spark, SF001))
+    base = sorted(map(tuple, flow_features(a).collect()))
+    for width in (1_000, 1_000_000, 50_000_000, 10**15):
+        assert sorted(map(tuple, flow_features(a, bucket_us=width).collect())) == base
