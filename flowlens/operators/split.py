@@ -54,13 +54,6 @@ def seeded_sample(df: DataFrame, n: int, hash_col: str = "row_hash") -> DataFram
     return whole.unionByName(edge)
 
 
-def first_rows_per_file(df: DataFrame, n: int, file_col: str, order_cols: list[str]) -> DataFrame:
-    """The first n rows of each file by a stable order (bounded by n per file)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(file_col).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-
-
 def is_unknown_label(label: Column) -> Column:
     """Contains 'slowloris' or 'slowhttptest', or equals 'bot' (case-insensitive)."""
     low = F.lower(label)
