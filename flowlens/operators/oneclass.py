@@ -187,13 +187,15 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
     _lap = (lambda tag: print(f"[fit] {tag} {_time.time() - _t0:.1f}s", flush=True)) if os.environ.get("FLOWLENS_TRACE") else (lambda tag: None)
     if n_landmarks > MAX_LANDMARKS:
         raise ValueError("n_landmarks exceeds MAX_LANDMARKS")
-    scaler = scaler or fit_standard(train, features)
+    src = train.select(hash_col, *features)
+    if cache:  # read by the scaler, gamma, landmark and phi jobs; released at the end
+        src = src.persist()
+    scaler = scaler or fit_standard(src, features)
     _lap("scaler")
-    z = scaler.transform(train.select(hash_col, *features))
+    z = scaler.transform(src)
     g = gamma_value(gamma, z, features)
     _lap("gamma")
-    L = np.array([[r[c] for c in features] for r in seeded_sample(z, n_landmarks, hash_col).collect()],
-                 dtype=np.float64)
+    L = seeded_sample(z, n_landmarks, hash_col).select(*features).toPandas().to_numpy(dtype=np.float64)
     _lap("landmarks")
     Kmm = kernel_matrix(L, L, kernel, g, degree, coef0)
     Kmm = (Kmm + Kmm.T) / 2.0
@@ -215,8 +217,7 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
 
     # rho during the iterations: nu-quantile over a seeded sample of at most rho_sample rows
     # (a bounded matrix on the driver); the final rho is computed over all rows
-    P_s = np.array([[r_[f"phi{k}"] for k in range(r)] for r_ in
-                    seeded_sample(phi, rho_sample, hash_col).select(*pc).collect()], dtype=np.float64)
+    P_s = seeded_sample(phi, rho_sample, hash_col).select(*pc).toPandas().to_numpy(dtype=np.float64)
     for t in range(iterations):
         # the violators of the current w give the fixed-point target; the score is
         # projected once per row and the sums run as one code-generated hash aggregate
@@ -237,6 +238,7 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
                 .collect()[0]["rho"])
     if cache:
         phi.unpersist()
+        src.unpersist()
     a = Tm @ w
     return OneClassModel(list(features), scaler, L, a, rho, kernel, g, degree, coef0, nu,
                          {"kernel": kernel, "gamma": gamma, "nu": nu, "n_landmarks": n_landmarks,
