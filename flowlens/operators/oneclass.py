@@ -177,11 +177,19 @@ def _phi_frame(scaled: DataFrame, features: list[str], L: np.ndarray, Tm: np.nda
 
 
 def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", gamma="scale", nu: float = 0.05,
-                  n_landmarks: int = 256, iterations: int = 40, hash_col: str = "row_hash", degree: int = 3,
-                  coef0: float = 0.0, scaler: Scaler | None = None, cache: bool = True,
-                  tol: float = 0.02, rho_sample: int = 20_000) -> OneClassModel:
+                  **kw) -> OneClassModel:
     """Distributed fit on (unscaled) benign training rows. ``hash_col`` orders the seeded
     landmark choice (F4). Returns a model whose training outlier share is close to nu."""
+    return fit_one_class_nus(train, features, kernel, gamma, [nu], **kw)[0]
+
+
+def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf", gamma="scale",
+                      nus: list[float] = (0.05,), n_landmarks: int = 256, iterations: int = 40,
+                      hash_col: str = "row_hash", degree: int = 3, coef0: float = 0.0,
+                      scaler: Scaler | None = None, cache: bool = True, tol: float = 0.02,
+                      rho_sample: int = 20_000) -> list[OneClassModel]:
+    """One scaler, landmark set and cached feature map per (kernel, gamma), then one
+    optimisation per nu value over the same cache."""
     import time as _time
     _t0 = _time.time()
     _lap = (lambda tag: print(f"[fit] {tag} {_time.time() - _t0:.1f}s", flush=True)) if os.environ.get("FLOWLENS_TRACE") else (lambda tag: None)
@@ -210,7 +218,7 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
     n_row = phi.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(pc)]).collect()[0]
     n = n_row["n"]
     _lap("phi materialised")
-    w = np.array([n_row[f"m{k}"] for k in range(r)], dtype=np.float64)  # nu = 1 solution
+    w0 = np.array([n_row[f"m{k}"] for k in range(r)], dtype=np.float64)  # nu = 1 solution
 
     def score_expr(wv):
         return sum((F.lit(float(wv[k])) * pc[k] for k in range(1, r)), F.lit(float(wv[0])) * pc[0])
@@ -218,31 +226,34 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
     # rho during the iterations: nu-quantile over a seeded sample of at most rho_sample rows
     # (a bounded matrix on the driver); the final rho is computed over all rows
     P_s = seeded_sample(phi, rho_sample, hash_col).select(*pc).toPandas().to_numpy(dtype=np.float64)
-    for t in range(iterations):
-        # the violators of the current w give the fixed-point target; the score is
-        # projected once per row and the sums run as one code-generated hash aggregate
-        scored = phi.select(score_expr(w).alias("_s"), *pc)
-        s = F.col("_s")
-        rho = float(np.quantile(P_s @ w, nu))
-        viol = s < F.lit(rho)
-        row = scored.agg(*[F.sum(F.when(viol, c)).alias(f"g{k}") for k, c in enumerate(pc)]).collect()[0]
-        target = np.array([row[f"g{k}"] or 0.0 for k in range(r)], dtype=np.float64) / (nu * n)
-        # Frank-Wolfe step; w . (w - target) is the duality gap of the current iterate
-        gap = float(w @ (w - target)) / max(float(w @ w), 1e-300)
-        _lap(f"iteration {t} gap={gap:.2e} rho={rho:.6f}")
-        if gap < tol:
-            break
-        eta = 2.0 / (t + 2.0)
-        w = (1.0 - eta) * w + eta * target
-    rho = float(phi.select(score_expr(w).alias("_s")).agg(F.percentile_approx("_s", nu, 10000).alias("rho"))
-                .collect()[0]["rho"])
+    models = []
+    for nu in nus:
+        w = w0.copy()
+        for t in range(iterations):
+            # the violators of the current w give the fixed-point target; the score is
+            # projected once per row and the sums run as one code-generated hash aggregate
+            scored = phi.select(score_expr(w).alias("_s"), *pc)
+            s = F.col("_s")
+            rho = float(np.quantile(P_s @ w, nu))
+            viol = s < F.lit(rho)
+            row = scored.agg(*[F.sum(F.when(viol, c)).alias(f"g{k}") for k, c in enumerate(pc)]).collect()[0]
+            target = np.array([row[f"g{k}"] or 0.0 for k in range(r)], dtype=np.float64) / (nu * n)
+            # Frank-Wolfe step; w . (w - target) is the duality gap of the current iterate
+            gap = float(w @ (w - target)) / max(float(w @ w), 1e-300)
+            _lap(f"nu {nu} iteration {t} gap={gap:.2e} rho={rho:.6f}")
+            if gap < tol:
+                break
+            eta = 2.0 / (t + 2.0)
+            w = (1.0 - eta) * w + eta * target
+        rho = float(phi.select(score_expr(w).alias("_s")).agg(F.percentile_approx("_s", nu, 10000).alias("rho"))
+                    .collect()[0]["rho"])
+        models.append(OneClassModel(list(features), scaler, L, Tm @ w, rho, kernel, g, degree, coef0, nu,
+                                    {"kernel": kernel, "gamma": gamma, "nu": nu, "n_landmarks": n_landmarks,
+                                     "iterations": iterations, "n_train": n}))
     if cache:
         phi.unpersist()
         src.unpersist()
-    a = Tm @ w
-    return OneClassModel(list(features), scaler, L, a, rho, kernel, g, degree, coef0, nu,
-                         {"kernel": kernel, "gamma": gamma, "nu": nu, "n_landmarks": n_landmarks,
-                          "iterations": iterations, "n_train": n})
+    return models
 
 
 def fit_with_fallback(train: DataFrame, features: list[str], fallback_rows: int = 50_000, **kw) -> OneClassModel:
@@ -271,14 +282,23 @@ def tune(train: DataFrame, validation: DataFrame, features: list[str], grid_df:
          **fit_kw) -> tuple[DataFrame, dict]:
     """Fit every grid row on ``train``, evaluate on ``validation``; the best is the first
     strictly greater F1. The grid is bounded (72 rows), so it is iterated on the driver;
+    rows sharing (kernel, gamma) share one scaler, landmark set and cached feature map, and
     each fit and evaluation is a distributed job. Returns (results table, best params)."""
     from flowlens.operators.evaluate import confusion, metrics_from_confusion
     spark = train.sparkSession
     results, best, best_f1 = [], None, -1.0
     scaler = fit_standard(train, features)
-    for g in grid_df.orderBy("idx").collect():
-        gamma = g["gamma"] if g["gamma"] in ("scale", "auto") else float(g["gamma"])
-        model = fit_one_class(train, features, g["kernel"], gamma, g["nu"], scaler=scaler, **fit_kw)
+    rows = grid_df.orderBy("idx").collect()
+    groups: dict[tuple, list] = {}
+    for g in rows:
+        groups.setdefault((g["kernel"], g["gamma"]), []).append(g)
+    fitted = {}
+    for (kernel, gamma_s), members in groups.items():  # one feature cache per (kernel, gamma)
+        gamma = gamma_s if gamma_s in ("scale", "auto") else float(gamma_s)
+        ms = fit_one_class_nus(train, features, kernel, gamma, [m["nu"] for m in members], scaler=scaler, **fit_kw)
+        fitted.update({m["idx"]: (mod, gamma) for m, mod in zip(members, ms)})
+    for g in rows:  # evaluate and pick the first strictly greater F1 in grid order
+        model, gamma = fitted[g["idx"]]
         scored = model.transform(validation).withColumn("yhat", F.col("is_anomaly").cast("int"))
         m = metrics_from_confusion(confusion(scored, label_col, "yhat")).collect()[0].asDict()
         n_train = model.params.get("n_train", 0)
