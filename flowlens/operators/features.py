@@ -330,6 +330,9 @@ def flow_features(assembled: DataFrame, active_idle: str = "gaps", fields: list[
     """The full 82-column record per flow. ``fields`` is B2 (unknown names ignored,
     record order kept); Catalyst prunes the aggregates of unselected fields. ``bucket_us``
     (opt-in, for hot flows) only changes how the scan is split, never the result."""
+    if bucket_us is not None:  # the bucketed scan branches; read its input from a written table
+        from flowlens.sources.io import materialize
+        assembled = materialize(assembled, "tagged-packets")
     rec = flow_record(flow_aggregates(packet_context(assembled, bucket_us)), active_idle)
     if fields is not None:
         wanted = set(fields)

@@ -26,3 +26,16 @@ def read_parquet(spark: SparkSession, path: str | list[str], schema=None, balanc
     reader = spark.read.schema(schema) if schema is not None else spark.read
     df = reader.parquet(*([path] if isinstance(path, str) else path))
     return spread(df) if balance else df
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as parquet under the session's shared ``spark.checkpoint.dir`` and read it
+    back: cuts lineage so plans that branch over it do not recompute its inputs, and the
+    table survives executor loss."""
+    import os
+    import uuid
+    from flowlens.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "flowlens", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -24,3 +24,8 @@ def test_flagship_plan_shape(spark):
     plan = _plan(flow_features(assemble_flows(fx.packets(spark, SF001))))
     assert plan.count("MapInPandas") == 1          # the cut runs once
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bucketed_scan_reads_materialised_input(spark):
+    plan = _plan(flow_features(assemble_flows(fx.packets(spark, SF001)), bucket_us=1_000_000))
+    assert "MapInPandas" not in plan  # the cut ran once, before the table was written
