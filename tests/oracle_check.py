@@ -51,14 +51,25 @@ def rows_of(columns, records):
     return sorted(tuple(_norm(r[i]) for i in order) for r in records), [columns[i] for i in order]
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "array<bigint>": "BIGINT[]", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
 def compare(spark_df, sql: str, con) -> tuple[bool, str]:
     s_cols = spark_df.columns
+    s_types = dict(spark_df.dtypes)
     s_rows = [tuple(r) for r in spark_df.collect()]
+    rel = con.sql(sql)
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
+    bad_types = [(c, s_types[c], d_types.get(c)) for c in s_cols
+                 if SPARK_TO_DUCK.get(s_types[c], s_types[c]) != d_types.get(c)]
+    if bad_types:
+        return False, f"types differ: {bad_types}"
     a, names = rows_of(s_cols, s_rows)
     b, _ = rows_of(d_cols, d_rows)
     if len(a) != len(b):
