@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from flowlens.plans import flow_queries, serve_queries, train_queries
+from flowlens.session import ship_package
 
 
 def _modules():
@@ -17,6 +18,7 @@ def _utc(fn):
     @functools.wraps(fn)
     def q(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return fn(spark, sf_dir)
     return q
 

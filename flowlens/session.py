@@ -8,7 +8,9 @@ split size, checkpoint directory) are read from the session when already set.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,18 +34,40 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset (local tests)
-    a scratch directory is created and registered.
+    ``spark.checkpoint.dir`` is read from the session. Only a local master may do without it: a
+    scratch directory is then created and registered. On any other master a machine-local folder
+    would be invisible to the other executors, so an unset directory is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that Python functions of it can be
+    loaded there without PYTHONPATH and without an installed copy on the executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="flowlens-zip-"), "flowlens.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("flowlens", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._flowlens_shipped = True
