@@ -36,14 +36,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 class WordBPE:
     """Encoder with a bounded cache of words."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 400_000, special: bool = True):
+        """``special``: whether the special tokens' strings in a text stand for their ids, or are ordinary text."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.path, self.limit = path, cache_words
         self.byte_id = np.array([vocab[c] for c in byte_alphabet()], np.int64)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = [t["content"] for t in spec.get("added_tokens", [])] if special else []
         self.size = max(vocab.values()) + 2
         key = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
