@@ -10,15 +10,16 @@ slot so far are never made: a long document costs little more than one point per
 Signatures are cut into bands. Documents that share a band are compared by the exact multiset overlap:
 
 1. Equal texts form one class, named by a 64-bit hash; classes, not rows, are compared.
-2. In every band bucket one class is the pivot, and the others are compared with it: as many pairs as members, never
-   all pairs. Verified pairs are links. Then each pivot leaves its bucket, and members that are still in different
-   components go on with pivots from the bucket's smaller components (up to 64 a round), until every bucket is one
-   component or empty. So no link between different components is lost, and no bucket is ever collected.
-3. Verification sends the pivot's shingles once to each block of its partners. Blocks are of bounded
-   size, so a pivot with a third of all documents as partners is spread over many tasks.
+2. In every band bucket the smallest doc_id is the pivot, and the others are compared with it: as many pairs as members, never
+   all pairs. Verified pairs are links. The pivot leaves its bucket, and members that are still in different components go on
+   with a few more pivots: first from the bucket's largest component, so that the rest finds its link soon, then from the
+   smallest ones, until every bucket is one component or empty. So no link between different components is lost, and no bucket is
+   ever collected.
+3. A pivot's signature, and for pairs that pass its shingles, is sent once to each block of its partners. Blocks are of
+   bounded size, so a pivot with a third of all documents as partners is spread over many tasks.
 
 Two pairs are the exception to "every pair": those whose signatures agree in under ``floor`` of the slots are
-skipped. At similarity 0.8 that has a chance under 1e-7, far below that of sharing no band (5e-5).
+skipped. At similarity 0.8 that has a chance of about 1e-6, far below that of sharing no band (5e-5).
 
 Defined results: null texts and texts without a word are one document each, alone; a text of one to four words has
 one shingle, all its words; repeated rows and equal texts are one group; of a group, the smallest doc_id stays,
@@ -28,6 +29,7 @@ id and text are read, so other columns cannot clash. Rows with a null doc_id ran
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import fresh, mix64, prepare, spans, stored, table
 from flowlens.llm.graph import components
 
-WORDS, SIMILARITY, ROWS, BANDS, FLOOR, BLOCK = 5, 0.8, 5, 25, 0.55, 128
+WORDS, SIMILARITY, ROWS, BANDS, FLOOR, BLOCK = 5, 0.8, 5, 25, 0.62, 128
 U = np.uint64
 
 
@@ -178,35 +180,46 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, bag binary")
 
 
-def verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) pairs -> those whose multisets overlap by ``similarity`` or more. ``a`` is the pivot: its row is
-    sent once per block of at most ``BLOCK`` partners."""
-    size = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    blocks = size.select("a", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+def beside_pivots(pairs: DataFrame, data: DataFrame, value: str) -> DataFrame:
+    """(a, b) pairs -> rows (a, node, is_pivot, value) laid out so that ``a``'s own row precedes those of its partners. It is
+    sent once per block of about ``BLOCK`` partners."""
+    blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     member = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("node"))
     pivot = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"))
     both = (member.withColumn("is_pivot", F.lit(False)).unionAll(pivot.withColumn("is_pivot", F.lit(True)))
-            .join(data, "node"))
-    # rows of a block side by side, the pivot first
-    laid = both.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("is_pivot"))
+            .join(data.select("node", value), "node"))
+    return both.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("is_pivot")).select("a", "node", "is_pivot", value)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = bag = None
-        for b in batches:
-            rows = zip(*(b.column(b.schema.get_field_index(c)) for c in ("a", "node", "is_pivot", "sig", "bag")), strict=True)
-            found = []
-            for a, node, is_pivot, s, g in rows:
-                s, g = np.frombuffer(s.as_buffer(), "<u2"), np.frombuffer(g.as_buffer(), "<u8")
-                if is_pivot.as_py():
-                    sig, bag = s.copy(), g.copy()
-                elif (s == sig).mean() >= FLOOR and min(len(g), len(bag)) >= similarity * max(len(g), len(bag)):
-                    at = np.minimum(np.searchsorted(bag, g), len(bag) - 1)
-                    common = int((bag[at] == g).sum())
-                    if common >= similarity * (len(g) + len(bag) - common) - 1e-9:
-                        found.append((a.as_py(), node.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return laid.mapInArrow(run, "a long, b long")
+
+def linked(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) pairs -> those whose multisets overlap by ``similarity`` or more. Signatures (250 bytes) go first; the shingles
+    themselves are sent for pairs that agree in ``FLOOR`` of the slots."""
+
+    def agree(x: np.ndarray, y: np.ndarray) -> bool:
+        return (x == y).mean() >= FLOOR
+
+    def overlap(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+            return False
+        common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+        return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+    def compare(rows: DataFrame, kind: str, test) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = None
+            for b in batches:
+                found = []
+                for a, node, is_pivot, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    v = np.frombuffer(v, kind)
+                    if is_pivot:
+                        mine = v
+                    elif test(mine, v):
+                        found.append((a, node))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        return rows.mapInArrow(run, "a long, b long")
+
+    likely = stored(compare(beside_pivots(pairs, data, "sig"), "<u2", agree), "likely")
+    return compare(beside_pivots(likely, data, "bag"), "<u8", overlap)
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -219,7 +232,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sigs = stored(signatures(texts), "signatures")
     member = sigs.select("node", F.explode("bands").alias("bucket"))
     several = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    member = stored(member.join(several.select("bucket"), "bucket").distinct(), "buckets")
+    member = member.join(several.select("bucket"), "bucket").distinct().join(classes, "node")
+    member = stored(member.select("node", "bucket", "doc_id"), "buckets")
+    wanted = member.select("node", "doc_id").distinct()
     # shingles of the candidates alone, one text of each class
     wanted = classes.join(member.select("node").distinct(), "node")
     one = texts.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
@@ -227,29 +242,30 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     data = stored(data, "bags")
     member = member.withColumn("component", F.col("node"))
     links = done = None
-    pivots = 1
-    while True:
-        # pivots: one vertex of each of the bucket's smallest components, but none of its largest
-        size = member.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
-        many = size.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-        pick = size.join(many.where("parts > 1"), "bucket").where("component <> largest")
-        pick = pick.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "pivot")))
-        pick = pick.where(F.col("rank") <= pivots).select("bucket", "pivot", F.col("component").alias("own"))
-        left = stored(member.join(pick.groupBy("bucket").agg(F.collect_list(F.struct("pivot", "own")).alias("pivots")), "bucket"), "open")
+    for pivots, hubs in itertools.chain([(1, True), (4, True), (16, True)], itertools.repeat((64, False))):
+        # first, pivots come from each bucket's largest component, so that those outside find a link soon; later from the
+        # smallest ones, until every member outside the largest has been compared with all others
+        size = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        many = size.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
+        left = stored(member.join(size.join(many, "bucket"), ["bucket", "component"]), "open")
         if left.isEmpty():
             break
-        pairs = left.select("node", "component", F.explode("pivots").alias("p")).where("component <> p.own")
-        pairs = pairs.select(F.col("p.pivot").alias("a"), F.col("node").alias("b")).distinct()
+        order = Window.partitionBy("bucket").orderBy(F.desc("n") if hubs else F.asc("n"), "doc_id", "node")
+        pick = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+        pick = pick.groupBy("bucket").agg(F.collect_list(F.struct("node", "component")).alias("pivots"))
+        left = stored(left.join(pick, "bucket"), "pivots")
+        pairs = left.select("node", "component", F.explode("pivots").alias("p")).where("component <> p.component")
+        pairs = pairs.select(F.least("p.node", "node").alias("x"), F.greatest("p.node", "node").alias("y"), F.col("p.node").alias("a"))
+        pairs = pairs.groupBy("x", "y").agg(F.min("a").alias("a")).select("x", "y", "a")
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = pairs.join(done, ["x", "y"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = stored(verified(pairs, data, similarity), "links")
-        done = pairs if done is None else done.unionAll(pairs)
+        done = pairs.select("x", "y") if done is None else done.unionAll(pairs.select("x", "y"))
+        found = stored(linked(pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), data, similarity), "links")
         links = found if links is None else links.unionAll(found)
         parts = stored(components(links), "parts").withColumnRenamed("id", "node")
-        member = left.where(~F.exists("pivots", lambda p: p["pivot"] == F.col("node"))).select("node", "bucket").join(
-            parts, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-        pivots = min(64, 8 * pivots)
+        member = left.where(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).select("node", "bucket", "doc_id").join(
+            parts, "node", "left").select("node", "bucket", "doc_id", F.coalesce("component", "node").alias("component"))
     if links is None:
         return classes.select("node", "doc_id", F.col("node").alias("component"))
     return classes.join(parts, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
