@@ -287,8 +287,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     best = groups(docs, similarity).groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("k"))
     best = best.select(F.col("k.node").alias(node), F.col("k.doc_id").alias(doc))
     rows = docs.withColumns({node: class_key("text"), doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
-    kept = rows.join(best, [node, doc], "left_semi").dropDuplicates([node, doc])
-    return kept.unionAll(rows.where(F.col(node).isNull())).select(*docs.columns)
+    kept = rows.join(best, [node, doc], "left_semi").dropDuplicates([node, doc]).select(*docs.columns)
+    return kept.unionAll(rows.where(F.col(node).isNull()).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

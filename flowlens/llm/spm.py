@@ -135,7 +135,7 @@ class Encoder:
             rank = np.empty_like(rank)
             rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
             nxt = np.zeros(len(rank), np.int64)
-            nxt[: len(rank) - step] = rank[step:] + 1
+            nxt[: max(len(rank) - step, 0)] = rank[step:] + 1
             rank = rank * (len(rank) + 2) + nxt
             order = np.argsort(rank)
             step *= 2

@@ -162,7 +162,7 @@ def train(rows: list[tuple[str | None, int]], p: ToxicityParams) -> tuple[np.nda
         g_word = np.zeros_like(word)
         for k, gb in enumerate(soft @ g):
             g_word[k, w_list] = np.add.reduceat(gb[d_sorted] * ww_sorted, w_at)
-        g_emb = np.stack([np.add.reduceat((gw * share)[by_bucket], bucket_at) for gw in g_word])
+        g_emb = np.stack([np.add.reduceat(np.append((gw * share)[by_bucket], 0.0), bucket_at) for gw in g_word])
         grads = g_emb + p.decay * emb / len(used), bag @ g.T + p.decay * soft, g.sum(1)
         for a, grad, (m, v) in zip((emb, soft, bias), grads, state, strict=True):
             m += 0.1 * (grad - m)
