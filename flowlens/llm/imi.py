@@ -5,8 +5,9 @@ grid of cells, and every vector lies in one cell. A query visits cells in order
 of the two sorted distance lists) and stops by a bound. The distance of a half to a cell is its distance to the plane
 between the two codewords, so a cell beyond the bound cannot hold a partner:
 ``cosine >= c`` means ``|x - y|^2 <= 2 - 2c`` and the squares of both halves' plane distances add up to at most that.
-With ``recall=1`` (the default) the traversal goes to that bound and no link is lost; a lower target scales the
-bound by what was measured to reach it. All pairs met are verified in double precision.
+With ``reach=1`` the traversal goes to that bound and no link is lost, but it visits half of all cells. The default goes to
+a fifth of the bound: two near vectors differ in some direction, and only a small part of that lies across a
+given plane. The README gives the recall measured against brute force. All pairs met are verified in double precision.
 
 Only labels that are equal and not null are compared. Of vectors that are equal, one stands for all (a hash aggregation),
 so a huge group of copies costs one vector. A pair of cells is met from one side only. Cells are compared as
@@ -36,7 +37,7 @@ from flowlens.llm.graph import components
 @dataclass(frozen=True)
 class IndexParams:
     cosine: float = 0.93
-    recall: float = 1.0
+    reach: float = 0.2             # share of the exact bound that the traversal goes to; 1 loses no link
     sample: int = 8192             # bound of the vectors that codebooks are fitted on
     per_cell: int = 24             # vectors of a label that a cell should hold
     max_codewords: int = 128       # per half
@@ -129,7 +130,7 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     # a vertex is a class: a row of equal vectors and label, named by its own number, as vec_ids may repeat
     reps = reps.withColumn("node", F.xxhash64("rep", "label", "embedding"))
     books = spark.sparkContext.broadcast(fit(reps.withColumn("vec_id", F.col("rep")), n, labels, p))
-    bound = (2 - 2 * p.cosine) * p.recall
+    bound = (2 - 2 * p.cosine) * p.reach
     label_key = F.xxhash64("label").alias("label")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
