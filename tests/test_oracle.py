@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from flowlens.plans import catalog
 from tests.conftest import SF001
 from tests.oracle_check import compare, duck
 
 ORACLE = E.oracle_sql()
-ROWS_ONLY = [k for k in E.queries() if k not in ORACLE]
+ROWS_ONLY = [k for k in catalog.queries() if k not in ORACLE]
 
 
 @pytest.fixture(scope="module")
