@@ -36,7 +36,7 @@ class ToxicityParams:
     dim: int = 3
     n_min: int = 3
     n_max: int = 5
-    min_texts: int = 25            # texts of the sample that an n-gram must occur in
+    min_share: float = 1 / 60      # an n-gram must occur in so many texts of the sample, as a share of the smaller class (two at least)
     window: int = 8
     least: int = 8                 # words that a bag counts at least; a shorter one is filled with neutral words
     steps: int = 100
@@ -104,7 +104,7 @@ def train(rows: list[tuple[str | None, int]], p: ToxicityParams) -> tuple[np.nda
     # only buckets met in several texts are trained: an n-gram of one or two texts tells nothing, and stays at 0
     word_of = np.repeat(np.arange(len(vocab)), sub_n)
     met = np.bincount(sub, np.bincount(np.concatenate([np.unique(i) for i in ids]), minlength=len(vocab))[word_of], p.buckets)
-    known = np.unique(sub[met[sub] >= p.min_texts])
+    known = np.unique(sub[met[sub] >= max(2, p.min_share * min(y.sum(), (1 - y).sum()))])
     slot = np.full(p.buckets, len(known))                         # the last slot stands for all others, and is held at 0
     slot[known] = np.arange(len(known))
     sub = slot[sub]
