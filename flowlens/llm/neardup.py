@@ -11,15 +11,19 @@ Signatures are cut into bands. Documents that share a band are compared by the e
 
 1. Equal texts form one class, named by a 64-bit hash; classes, not rows, are compared.
 2. In every band bucket the smallest doc_id is the pivot, and the others are compared with it: as many pairs as members, never
-   all pairs. Verified pairs are links. The pivot leaves its bucket, and members that are still in different components go on
-   with a few more pivots: first from the bucket's largest component, so that the rest finds its link soon, then from the
-   smallest ones, until every bucket is one component or empty. So no link between different components is lost, and no bucket is
-   ever collected.
+   all pairs. Verified pairs are links. The pivot leaves its bucket, and buckets that still hold several components go on once
+   more with four pivots of their largest component.
 3. A pivot's signature, and for pairs that pass its shingles, is sent once to each block of its partners. Blocks are of
    bounded size, so a pivot with a third of all documents as partners is spread over many tasks.
+4. What is then still apart is compared block by block: the members outside a bucket's largest component against all of its
+   members. A task holds one block of the former, of bounded rows and bytes, and streams one block of the latter; it compares
+   signatures as matrices, verifies what they let pass, and returns links between components only. So pairs are never rows,
+   no bucket is ever collected, and no link between different components is lost. Only this step's arithmetic grows with the
+   product of the two sides: documents that share a band and are no near-duplicates of the bucket's largest component.
 
-Two pairs are the exception to "every pair": those whose signatures agree in under ``floor`` of the slots are
-skipped. At similarity 0.8 that has a chance of about 1e-6, far below that of sharing no band (5e-5).
+Two exceptions to "every pair": those whose signatures agree in under ``FLOOR`` of the slots are skipped, at similarity 0.8
+a chance of about 1e-6; and step 4 leaves a pair to the first band in which both signatures agree in 16 bits of each slot, which
+is not a shared band with a chance of about 1e-5. Both are below the chance of sharing no band at all (5e-5).
 
 Defined results: null texts and texts without a word are one document each, alone; a text of one to four words has
 one shingle, all its words; repeated rows and equal texts are one group; of a group, the smallest doc_id stays,
@@ -29,7 +33,6 @@ id and text are read, so other columns cannot clash. Rows with a null doc_id ran
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ from flowlens.llm.common import fresh, mix64, prepare, spans, stored, table
 from flowlens.llm.graph import components
 
 WORDS, SIMILARITY, ROWS, BANDS, FLOOR, BLOCK = 5, 0.8, 5, 25, 0.62, 128
+#: Bounds of one block in step 4.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8_000_000
 U = np.uint64
 
 
@@ -191,19 +196,21 @@ def beside_pivots(pairs: DataFrame, data: DataFrame, value: str) -> DataFrame:
     return both.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("is_pivot")).select("a", "node", "is_pivot", value)
 
 
-def linked(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
+def overlaps(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two bags have a multiset Jaccard similarity of ``similarity`` or more."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+
+def linked(pairs: DataFrame, sigs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """(a, b) pairs -> those whose multisets overlap by ``similarity`` or more. Signatures (250 bytes) go first; the shingles
     themselves are sent for pairs that agree in ``FLOOR`` of the slots."""
 
     def agree(x: np.ndarray, y: np.ndarray) -> bool:
         return (x == y).mean() >= FLOOR
 
-    def overlap(x: np.ndarray, y: np.ndarray) -> bool:
-        if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-            return False
-        common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-        return common >= similarity * (len(x) + len(y) - common) - 1e-9
-
     def compare(rows: DataFrame, kind: str, test) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = None
@@ -218,8 +225,84 @@ def linked(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
         return rows.mapInArrow(run, "a long, b long")
 
-    likely = stored(compare(beside_pivots(pairs, data, "sig"), "<u2", agree), "likely")
-    return compare(beside_pivots(likely, data, "bag"), "<u8", overlap)
+    likely = stored(compare(beside_pivots(pairs, sigs, "sig"), "<u2", agree), "likely")
+    return compare(beside_pivots(likely, bag, "bag"), "<u8", lambda x, y: overlaps(x, y, similarity))
+
+
+class Block:
+    """The rows outside the largest component in one block of a bucket, and the components already linked there."""
+
+    def __init__(self, key: tuple, similarity: float):
+        self.key, self.similarity, self.rows, self.sig, self.root = key, similarity, [], None, {}
+
+    def find(self, c: int) -> int:
+        while self.root.get(c, c) != c:
+            c = self.root[c]
+        return c
+
+    def links(self, rows: list[dict]) -> list[tuple[int, int]]:
+        """Links of ``rows`` to the block that connect components not yet connected here."""
+        if not self.rows or not rows:
+            return []
+        if self.sig is None:
+            self.sig = np.stack([np.frombuffer(r["sig"], "<u2") for r in self.rows])
+        other = np.stack([np.frombuffer(r["sig"], "<u2") for r in rows])
+        agree = np.zeros((len(self.sig), len(other)), np.uint8)
+        first = np.full(agree.shape, BANDS, np.uint8)
+        for band in range(BANDS):
+            whole = np.ones(agree.shape, bool)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                same = self.sig[:, k, None] == other[None, :, k]
+                agree += same
+                whole &= same
+            first[whole & (first == BANDS)] = band
+        a, b = (np.array([r["node"] for r in side]) for side in (self.rows, rows))
+        twice = np.array([r["apart"] for r in rows])[None, :] & (b[None, :] < a[:, None])   # two rows of the block's kind
+        out = []
+        for i, j in np.argwhere((agree >= FLOOR * ROWS * BANDS) & (first == rows[0]["band"]) & ~twice).tolist():
+            x, y = self.find(self.rows[i]["component"]), self.find(rows[j]["component"])
+            if x != y and overlaps(np.frombuffer(self.rows[i]["bag"], "<u8"), np.frombuffer(rows[j]["bag"], "<u8"), self.similarity):
+                self.root[x] = y
+                out.append((self.rows[i]["node"], rows[j]["node"]))
+        return out
+
+
+def linked_apart(members: DataFrame, sigs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """(node, bucket, band, component) -> links (a, b) that connect all components of a bucket that any link connects."""
+    sized = members.join(bag.select("node", F.octet_length("bag").alias("bytes")), "node")
+    size = sized.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    of = size.groupBy("bucket").agg(F.max(F.struct("n", "component", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES)).cast("long")
+
+    of = of.select("bucket", F.col("top.component").alias("top"), blocks(F.col("n"), F.col("bytes")).alias("of_all"),
+                   blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("of_apart"))
+    rows = members.join(of.where("of_apart > 0"), "bucket").withColumn("apart", F.col("component") != F.col("top"))
+
+    def dealt(rows, held, here, salt, there):
+        return rows.select("node", "bucket", "band", "component", "apart", F.lit(held).alias("held"), F.pmod(F.xxhash64("node", F.lit(salt)), F.col(here)).alias("x"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.col(there) - 1)).alias("y"))
+
+    mine = dealt(rows.where("apart"), True, "of_apart", 1, "of_all")
+    rest = dealt(rows, False, "of_all", 2, "of_apart").withColumnsRenamed({"x": "y", "y": "x"}).select(*mine.columns)
+    both = mine.unionAll(rest).join(sigs.select("node", "sig"), "node").join(bag.select("node", "bag"), "node")
+    both = both.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", F.desc("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block((), similarity)
+        for b in batches:
+            found, wait = [], []
+            for r in b.to_pylist():
+                key = (r["bucket"], r["x"], r["y"])
+                if key != block.key:
+                    found += block.links(wait)
+                    block, wait = Block(key, similarity), []
+                (block.rows if r["held"] else wait).append(r)
+            found += block.links(wait)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -230,42 +313,43 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = texts.where("node is not null")
     classes = stored(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
     sigs = stored(signatures(texts), "signatures")
-    member = sigs.select("node", F.explode("bands").alias("bucket"))
+    member = sigs.select("node", F.posexplode("bands").alias("band", "bucket"))
     several = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     member = member.join(several.select("bucket"), "bucket").distinct().join(classes, "node")
-    member = stored(member.select("node", "bucket", "doc_id"), "buckets")
+    member = stored(member.select("node", "bucket", "band", "doc_id"), "buckets")
+    # signatures and shingles of the candidates alone, one text of each class
     wanted = member.select("node", "doc_id").distinct()
-    # shingles of the candidates alone, one text of each class
-    wanted = classes.join(member.select("node").distinct(), "node")
-    one = texts.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
-    data = bags(one).join(sigs.select("node", "sig").dropDuplicates(["node"]), "node")
-    data = stored(data, "bags")
+    sigs = stored(sigs.select("node", "sig").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sigs")
+    bag = stored(bags(texts.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])), "bags")
     member = member.withColumn("component", F.col("node"))
     links = done = None
-    for pivots, hubs in itertools.chain([(1, True), (4, True), (16, True)], itertools.repeat((64, False))):
-        # first, pivots come from each bucket's largest component, so that those outside find a link soon; later from the
-        # smallest ones, until every member outside the largest has been compared with all others
+    for pivots in (1, 4, 0):
         size = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         many = size.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
         left = stored(member.join(size.join(many, "bucket"), ["bucket", "component"]), "open")
         if left.isEmpty():
             break
-        order = Window.partitionBy("bucket").orderBy(F.desc("n") if hubs else F.asc("n"), "doc_id", "node")
-        pick = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-        pick = pick.groupBy("bucket").agg(F.collect_list(F.struct("node", "component")).alias("pivots"))
-        left = stored(left.join(pick, "bucket"), "pivots")
-        pairs = left.select("node", "component", F.explode("pivots").alias("p")).where("component <> p.component")
-        pairs = pairs.select(F.least("p.node", "node").alias("x"), F.greatest("p.node", "node").alias("y"), F.col("p.node").alias("a"))
-        pairs = pairs.groupBy("x", "y").agg(F.min("a").alias("a")).select("x", "y", "a")
-        if done is not None:
-            pairs = pairs.join(done, ["x", "y"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        done = pairs.select("x", "y") if done is None else done.unionAll(pairs.select("x", "y"))
-        found = stored(linked(pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), data, similarity), "links")
+        if pivots:
+            # pivots come from each bucket's largest component, so that those outside find a link soon
+            order = Window.partitionBy("bucket").orderBy(F.desc("n"), "doc_id", "node")
+            pick = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+            pick = pick.groupBy("bucket").agg(F.collect_list(F.struct("node", "component")).alias("pivots"))
+            left = left.join(pick, "bucket")
+            pairs = left.select("node", "component", F.explode("pivots").alias("p")).where("component <> p.component")
+            pairs = pairs.select(F.least("p.node", "node").alias("x"), F.greatest("p.node", "node").alias("y"), F.col("p.node").alias("a"))
+            pairs = pairs.groupBy("x", "y").agg(F.min("a").alias("a")).select("x", "y", "a")
+            if done is not None:
+                pairs = pairs.join(done, ["x", "y"], "left_anti")
+            done = pairs = stored(pairs, "pairs")
+            found = linked(pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), sigs, bag, similarity)
+        else:
+            found = linked_apart(left, sigs, bag, similarity)
+        found = stored(found, "links")
         links = found if links is None else links.unionAll(found)
         parts = stored(components(links), "parts").withColumnRenamed("id", "node")
-        member = left.where(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).select("node", "bucket", "doc_id").join(
-            parts, "node", "left").select("node", "bucket", "doc_id", F.coalesce("component", "node").alias("component"))
+        if pivots:
+            member = left.where(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).select("node", "bucket", "band", "doc_id").join(
+                parts, "node", "left").select("node", "bucket", "band", "doc_id", F.coalesce("component", "node").alias("component"))
     if links is None:
         return classes.select("node", "doc_id", F.col("node").alias("component"))
     return classes.join(parts, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

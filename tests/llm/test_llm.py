@@ -62,6 +62,24 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("rows_a_block", [512, 7])
+def test_near_copies_below_the_threshold_keep_every_link(spark, monkeypatch, rows_a_block):
+    prepare(spark)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_a_block)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 400, 200)]
+    rows = []
+    for k in range(150):                                    # most pairs lie between 0.5 and 0.85
+        w = list(base)
+        for at in rng.choice(200, int(rng.integers(1, 11)), replace=False):
+            w[at] = f"e{rng.integers(0, 30)}"
+        rows.append((k, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_groups(rows)
+    assert 1 < len(set(want.values())) < 150
+    assert got == want
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 6, 60), rng.integers(0, 6, 60)
