@@ -280,13 +280,14 @@ def linked_apart(members: DataFrame, sigs: DataFrame, bag: DataFrame, similarity
                    blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("of_apart"))
     rows = members.join(of.where("of_apart > 0"), "bucket").withColumn("apart", F.col("component") != F.col("top"))
 
-    def dealt(rows, held, here, salt, there):
-        return rows.select("node", "bucket", "band", "component", "apart", F.lit(held).alias("held"), F.pmod(F.xxhash64("node", F.lit(salt)), F.col(here)).alias("x"),
-                           F.explode(F.sequence(F.lit(0).cast("long"), F.col(there) - 1)).alias("y"))
-
-    mine = dealt(rows.where("apart"), True, "of_apart", 1, "of_all")
-    rest = dealt(rows, False, "of_all", 2, "of_apart").withColumnsRenamed({"x": "y", "y": "x"}).select(*mine.columns)
-    both = mine.unionAll(rest).join(sigs.select("node", "sig"), "node").join(bag.select("node", "bag"), "node")
+    def dealt(rows, held, mine, others):
+        """Each row in its own block of the ``mine`` ones, once for each of the ``others``."""
+        at = F.pmod(F.xxhash64("node", F.lit(held)), F.col(mine)).alias("x" if held else "y")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias("y" if held else "x")
+        return rows.select("node", "bucket", "band", "component", "apart", F.lit(held).alias("held"), at, each)
+
+    mine, rest = dealt(rows.where("apart"), True, "of_apart", "of_all"), dealt(rows, False, "of_all", "of_apart")
+    both = mine.unionByName(rest).join(sigs.select("node", "sig"), "node").join(bag.select("node", "bag"), "node")
     both = both.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", F.desc("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
