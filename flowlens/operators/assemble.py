@@ -44,8 +44,9 @@ def tcp_udp_only(packets: DataFrame) -> DataFrame:
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Unordered endpoint key (the forward lookup and the reverse lookup coincide)."""
-    src_first = (F.col("src_ip") < F.col("dst_ip")) | (
-        (F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port")))
+    # struct order puts nulls first, so both directions of a packet without an address or port share a key
+    src_first = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) <= \
+        F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
     out = packets.withColumns({
         "lo_ip": F.when(src_first, F.col("src_ip")).otherwise(F.col("dst_ip")),
         "lo_port": F.when(src_first, F.col("src_port")).otherwise(F.col("dst_port")),
@@ -64,6 +65,13 @@ def key_columns(key_includes_protocol: bool = False, capture_col: str | None = N
     return cols
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Equi-join in which null key values match each other (packets without an address or port stay)."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def _start_struct() -> Column:
     return F.struct(F.col("ts_us").alias("s_us"), F.col("pkt_seq").alias("s_seq"),
                     F.col("src_ip").alias("s_ip"), F.col("src_port").alias("s_port"))
@@ -90,7 +98,7 @@ def idle_sessions(packets: DataFrame, key: list[str], idle_us: int = IDLE_TIMEOU
     summary = summary.withColumn(
         "sess", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     s = F.col("sess")
-    return (b.join(summary.select(*key, "sb", "sess"), on=[*key, "sb"], how="inner")
+    return (_join_null_safe(b, summary.select(*key, "sb", "sess"), [*key, "sb"], "inner")
             .withColumns({"sess_us": s["s_us"], "sess_seq": s["s_seq"], "sess_ip": s["s_ip"], "sess_port": s["s_port"]})
             .drop("sb", "sess"))
 
@@ -115,14 +123,14 @@ def _flow_starts(long_us: int, fin_us: int, fin_close: bool, sess: list[str]):
             new_sess = np.zeros(n, dtype=bool)
             new_sess[0] = True
             for c in sess_cols:
-                new_sess[1:] |= c[1:] != c[:-1]
+                new_sess[1:] |= (c[1:] != c[:-1]) & ~(pd.isna(c[1:]) & pd.isna(c[:-1]))
             bounds = np.flatnonzero(new_sess).tolist() + [n]
             idx = np.where(fin, np.arange(n), n)
             next_fin = np.minimum.accumulate(idx[::-1])[::-1]  # next FIN at or after i
             starts = []
             for bi in range(len(bounds) - 1):
                 lo, hi = bounds[bi], bounds[bi + 1]
-                sess_key = tuple(c[lo] for c in sess_cols)
+                sess_key = tuple(None if pd.isna(c[lo]) else c[lo] for c in sess_cols)
                 seg = ts[lo:hi]
                 if state is not None and state[0] == sess_key and not state[2]:
                     s_us, first_cand = state[1], lo       # flow continues from the previous batch
@@ -182,9 +190,9 @@ def cut_long_flows(sessions: DataFrame, key: list[str], long_us: int = LONG_FLOW
                                 F.col("flow_ip").alias("ip"), F.col("flow_port").alias("port")).alias("own"))
     buckets = sessions.select(*sess, fb.alias("fb")).distinct()
     w = Window.partitionBy(*sess).orderBy("fb")
-    summary = buckets.join(st, on=[*sess, "fb"], how="left").withColumn(
+    summary = _join_null_safe(buckets, st, [*sess, "fb"], "left").withColumn(
         "carry", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    j = sessions.withColumn("fb", fb).join(summary, on=[*sess, "fb"], how="inner")
+    j = _join_null_safe(sessions.withColumn("fb", fb), summary, [*sess, "fb"], "inner")
     mine = F.col("own").isNotNull() & (
         (F.col("ts_us") > F.col("own.us")) | ((F.col("ts_us") == F.col("own.us")) & (F.col("pkt_seq") >= F.col("own.pkt"))))
     f = F.when(mine, F.col("own")).otherwise(F.col("carry"))
@@ -209,7 +217,7 @@ def assemble_flows(packets: DataFrame, long_flow_cut: bool = True, fin_close: bo
     else:
         f = s.withColumns({"flow_us": F.col("sess_us"), "flow_pkt": F.col("sess_seq"),
                            "flow_ip": F.col("sess_ip"), "flow_port": F.col("sess_port")})
-    f = f.withColumn("is_fwd", (F.col("src_ip") == F.col("flow_ip")) & (F.col("src_port") == F.col("flow_port")))
+    f = f.withColumn("is_fwd", F.col("src_ip").eqNullSafe(F.col("flow_ip")) & F.col("src_port").eqNullSafe(F.col("flow_port")))
     f = f.drop("sess_us", "sess_seq", "sess_ip", "sess_port", "flow_ip", "flow_port")
     return weight_first_packet(f, first_packet_weight)
 

@@ -31,6 +31,10 @@ from flowlens.operators.scale import Scaler, fit_standard, gamma_value
 from flowlens.operators.split import seeded_sample
 
 MAX_LANDMARKS = 4096
+#: Scoring evaluates the kernel for so many vectors at a time.
+SCORE_BLOCK = 1024
+#: Bound of a stored model that is loaded and broadcast for scoring.
+MAX_MODEL_BYTES = 512 * 1024 * 1024
 
 # Reference hyper-parameter grids (kernel, gamma, nu) and defaults.
 HYPERPARAM_GRID = {
@@ -81,8 +85,9 @@ class OneClassModel:
     def decision_column(self, df: DataFrame, scaled: bool = False) -> Column:
         """f(x) = sum_i a_i K(l_i, x) - rho as an Arrow-batched pandas UDF.
 
-        The model (m x d floats, m <= MAX_LANDMARKS) is shipped once per executor as a
-        broadcast variable."""
+        The model (m x d floats, at most MAX_MODEL_BYTES when loaded from a table) is shipped
+        once per executor as a broadcast variable; the kernel is summed over blocks of
+        SCORE_BLOCK vectors, so a batch never holds rows x m values."""
         spark = df.sparkSession
         bc = spark.sparkContext.broadcast({
             "L": self.landmarks, "a": self.coef, "rho": self.rho, "kernel": self.kernel, "gamma": self.gamma,
@@ -95,8 +100,11 @@ class OneClassModel:
             X = x.to_numpy(dtype=np.float64)
             if not m["scaled"]:
                 X = (X - m["center"]) / m["scale"]
-            K = kernel_matrix(X, m["L"], m["kernel"], m["gamma"], m["degree"], m["coef0"])
-            return pd.Series(K @ m["a"] - m["rho"])
+            f = np.zeros(len(X))
+            for i in range(0, len(m["a"]), SCORE_BLOCK):
+                K = kernel_matrix(X, m["L"][i:i + SCORE_BLOCK], m["kernel"], m["gamma"], m["degree"], m["coef0"])
+                f += K @ m["a"][i:i + SCORE_BLOCK]
+            return pd.Series(f - m["rho"])
 
         return decision(F.struct(*[F.col(c) for c in self.features]))
 
@@ -128,13 +136,10 @@ class OneClassModel:
     def load(spark: SparkSession, path: str) -> "OneClassModel":
         cfg = json.loads(spark.read.json(os.path.join(path, "config")).collect()[0]["config"])
         sc = spark.read.parquet(os.path.join(path, "scaler")).orderBy("idx").collect()
-        lm = spark.read.parquet(os.path.join(path, "landmarks")).orderBy("sv_id").collect()
-        if len(lm) > MAX_LANDMARKS:
-            raise ValueError("model larger than MAX_LANDMARKS")
+        x, alpha = _vectors(spark.read.parquet(os.path.join(path, "landmarks")), len(sc))
         scaler = Scaler([r["feature"] for r in sc], [r["center"] for r in sc], [r["scale"] for r in sc],
                         cfg.get("scaler_kind", "standard"))
-        return OneClassModel(scaler.features, scaler, np.array([r["x"] for r in lm], dtype=np.float64),
-                             np.array([r["alpha"] for r in lm], dtype=np.float64), float(cfg["rho"]),
+        return OneClassModel(scaler.features, scaler, x, alpha, float(cfg["rho"]),
                              cfg["kernel"], float(cfg["gamma"]), int(cfg["degree"]), float(cfg["coef0"]),
                              float(cfg["nu"]), cfg.get("params", {}), cfg.get("metrics", {}))
 
@@ -147,14 +152,21 @@ class OneClassModel:
                                             "rho double, metrics string")
 
 
+def _vectors(model_df: DataFrame, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, alpha) of a support-vector table by sv_id, after a check of its size."""
+    size = model_df.count() * (n_features + 1) * 8
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(f"support-vector table of {size} bytes exceeds MAX_MODEL_BYTES")
+    t = model_df.orderBy("sv_id").select("x", "alpha").toArrow()
+    x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return x.reshape(t.num_rows, n_features), t["alpha"].to_numpy().astype(np.float64)
+
+
 def model_from_table(model_df: DataFrame, scaler: Scaler, features: list[str], rho: float, kernel: str = "rbf",
                      gamma: float = 1.0, degree: int = 3, coef0: float = 0.0) -> OneClassModel:
     """Model from a support-vector table (sv_id, x array<double>, alpha), e.g. a fixed one."""
-    if model_df.limit(MAX_LANDMARKS + 1).count() > MAX_LANDMARKS:
-        raise ValueError("support-vector table larger than MAX_LANDMARKS")
-    rows = model_df.orderBy("sv_id").collect()
-    return OneClassModel(features, scaler, np.array([r["x"] for r in rows], dtype=np.float64),
-                         np.array([r["alpha"] for r in rows], dtype=np.float64), rho, kernel, gamma, degree, coef0)
+    x, alpha = _vectors(model_df, len(features))
+    return OneClassModel(features, scaler, x, alpha, rho, kernel, gamma, degree, coef0)
 
 
 # -- fitting (G8, G9) ------------------------------------------------------

@@ -7,7 +7,8 @@ arriving earlier packet, so they wait and are then applied in (ts_us, pkt_seq) o
 packets behind the watermark are dropped by Spark). The function emits every packet
 tagged with its flow and a close marker when a flow ends: at the packet that cuts it
 (R2/R3), at the next packet after an idle gap, or by event-time timeout once the
-watermark passes last + 240 s (R1 and C7's end-of-input flush).
+watermark passes last + 240 s (R1). At the end of the input nothing moves the watermark any more:
+``end_of_input`` does, and so closes the flows that are left (C7).
 
 ``foreachBatch`` then appends tagged packets to a parquet table partitioned by event hour
 and computes the 82 features of the flows closed in the batch with the batch operator
@@ -33,6 +34,8 @@ from flowlens.operators.features import flow_features
 from flowlens.schemas import FIN_CLOSE_US, IDLE_TIMEOUT_US, LONG_FLOW_US, PACKETS
 
 HOUR_US = 3_600_000_000
+#: Port of the marker packet that ``end_of_input`` writes; no real packet has it.
+END_PORT = -1
 
 STATE_SCHEMA = T.StructType([
     T.StructField("buf", T.BinaryType()),
@@ -123,9 +126,27 @@ def meter_stream(packets: DataFrame, watermark: str = "1 minute", idle_us: int =
     """H1: streaming packets -> tagged packets and flow close markers (see module doc)."""
     p = with_flow_key(tcp_udp_only(packets)).withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
     cols = [*KEY, *[f.name for f in PACKETS.fields]]
-    return p.select(*cols, "ts").groupBy(*KEY).applyInPandasWithState(
+    tagged = p.select(*cols, "ts").groupBy(*KEY).applyInPandasWithState(
         _meter_fn(idle_us, long_us, fin_us, fin_close), TAGGED_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
+    return tagged.filter(F.coalesce(F.col("lo_port"), F.lit(0)) != END_PORT)
+
+
+def end_of_input(spark: SparkSession, in_dir: str, margin_us: int = 86_400_000_000) -> None:
+    """Declare that no more packets will come to the parquet folder ``in_dir``.
+
+    Writes one marker packet ``margin_us`` after the last packet there. The running query (or its next
+    ``availableNow`` start on the same checkpoint) moves its watermark past every packet, applies those that wait and
+    closes every open flow; the marker itself is not part of the output. Packets that arrive afterwards are late.
+    ``margin_us`` must exceed the watermark delay plus the idle timeout. An empty folder needs no marker."""
+    last = spark.read.schema(PACKETS).parquet(in_dir).agg(F.max("ts_us")).first()[0]
+    if last is None:
+        return
+    marker = {f.name: None for f in PACKETS.fields} | {
+        "pkt_seq": -1, "ts_us": last + margin_us, "src_ip": "", "dst_ip": "", "src_port": END_PORT, "dst_port": END_PORT,
+        "protocol": 6, "tcp_flags": ""}
+    row = tuple(0 if marker[f.name] is None and not isinstance(f.dataType, T.StringType) else marker[f.name] for f in PACKETS.fields)
+    spark.createDataFrame([row], PACKETS).write.mode("append").parquet(in_dir)
 
 
 def flows_batch_writer(tagged_path: str, flows_path: str, first_packet_weight: int = 1, active_idle: str = "gaps"):

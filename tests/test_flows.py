@@ -153,3 +153,11 @@ def test_bucket_width_invariance(spark):
     base = sorted(map(tuple, flow_features(a).collect()))
     for width in (1_000, 1_000_000, 50_000_000, 10**15):
         assert sorted(map(tuple, flow_features(a, bucket_us=width).collect())) == base
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_packets_without_address_or_port_are_kept(spark, cut):
+    a, b = "10.0.0.1", "10.0.0.2"
+    rows = [pk(0, 0, a, b, 1, 2), pk(1, 10, None, b, 5, 6), pk(2, 20, b, None, 6, 5), pk(3, 30, a, b, None, 9), pk(4, 300_000_000, a, b, None, 9)]
+    got = {r["pkt_seq"]: (r["flow_pkt"], r["is_fwd"]) for r in assemble_flows(df(spark, rows), long_flow_cut=cut).collect()}
+    assert got == {0: (0, True), 1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}

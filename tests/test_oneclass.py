@@ -50,3 +50,16 @@ def test_save_load_roundtrip(spark, toy, tmp_path):
     s2 = [r["score"] for r in m2.transform(toy).orderBy("id").collect()]
     assert np.allclose(s1, s2)
     assert m2.describe(spark).count() == 1
+
+
+def test_scores_with_more_vectors_than_one_block(spark):
+    from flowlens.operators.oneclass import model_from_table
+    from flowlens.operators.scale import Scaler
+    rng = np.random.RandomState(3)
+    x, alpha = rng.normal(size=(5000, 2)), rng.rand(5000) / 5000
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]], float(alpha[i])) for i in range(5000)],
+                                  "sv_id int, x array<double>, alpha double")
+    m = model_from_table(table, Scaler(["a", "b"], [0.0, 0.0], [1.0, 1.0], "standard"), ["a", "b"], rho=0.1, gamma=0.5)
+    rows = [(0.0, 0.0), (1.5, -2.0), (9.0, 9.0)]
+    got = [r["score"] for r in m.transform(spark.createDataFrame(rows, "a double, b double")).collect()]
+    assert np.allclose(got, kernel_matrix(np.array(rows), x, "rbf", 0.5, 3, 0.0) @ alpha - 0.1)
