@@ -113,9 +113,21 @@ def paper_split(df: DataFrame, label: str = "label", train_fraction: float = 0.8
 
 
 def stratified_split(df: DataFrame, strata: str, train_fraction: float = 0.8, hash_col: str = "row_hash") -> DataFrame:
-    """Per-stratum split by hash threshold; ``part`` in {train, test}. Each stratum keeps
-    its own proportion in expectation without a per-stratum window (no hot-stratum task)."""
-    return df.withColumn("part", F.when(in_fraction(train_fraction, hash_col), F.lit("train")).otherwise(F.lit("test")))
+    """``part`` in {train, test}; of each stratum's n rows the floor(n * fraction + 0.5) lowest hashes train.
+
+    Ranks are counted within (stratum, first three hex digits of the hash) and shifted by a running sum over
+    that summary (at most 4,096 rows a stratum), so no task holds a whole stratum. A null stratum is one too."""
+    from pyspark.sql import Window
+    b = df.withColumn("_cell", F.substring(hash_col, 1, 3))
+    cell = b.groupBy(F.col(strata).alias("_s"), F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_s")
+    cell = cell.withColumns({
+        "_below": F.coalesce(F.sum("_n").over(whole.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_take": F.floor(F.sum("_n").over(whole) * F.lit(train_fraction) + F.lit(0.5))}).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(strata, "_cell").orderBy(hash_col))
+    j = b.withColumn("_rank", rank).join(cell, F.col(strata).eqNullSafe(F.col("_s")) & F.col("_cell").eqNullSafe(F.col("_c")))
+    part = F.when(F.col("_rank") + F.col("_below") <= F.col("_take"), F.lit("train")).otherwise(F.lit("test"))
+    return j.withColumn("part", part).drop("_cell", "_rank", "_s", "_c", "_below", "_take")
 
 
 def composition(df: DataFrame, label: str = "label", set_col: str | None = None) -> DataFrame:

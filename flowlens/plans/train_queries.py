@@ -466,7 +466,8 @@ def oracle() -> dict:
         "seeded_sample_large": f"WITH {LAB} SELECT {K}, row_hash FROM t ORDER BY row_hash LIMIT 30000",
         "benign_split": f"WITH {LAB} SELECT {K}, label, CASE WHEN {TRAIN_SQL} THEN 'train' ELSE 'test' END AS part FROM t",
         "paper_split": f"WITH {_paper_split_cte()} SELECT {K}, label, test_set FROM ps",
-        "stratified_split": f"WITH {LAB} SELECT {K}, label, CASE WHEN substr(row_hash, 1, 8) < 'cccccccc' THEN 'train' ELSE 'test' END AS part FROM t",
+        "stratified_split": f"""WITH {LAB} SELECT {K}, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY row_hash)
+ <= floor(CAST(count(*) OVER (PARTITION BY label) AS DOUBLE) * CAST(0.8 AS DOUBLE) + 0.5) THEN 'train' ELSE 'test' END AS part FROM t""",
         "composition": f"""WITH {_paper_split_cte()}, g AS (SELECT test_set, kind, count(*) AS n FROM ps GROUP BY ALL)
 SELECT test_set, kind, n, CAST(n AS DOUBLE) * 100.0 / CAST(sum(n) OVER (PARTITION BY test_set) AS DOUBLE) AS pct FROM g""",
         "unknown_rows": f"WITH {LAB} SELECT {K}, label FROM t WHERE {_unknown_sql()}",

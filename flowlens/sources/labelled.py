@@ -11,6 +11,7 @@ import os
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 REPLACEMENT_CHAR = "�"
@@ -29,17 +30,26 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...]) -> DataFrame:
 def read_labelled(spark: SparkSession, files: list[str], rows_per_file: int | None = None,
                   target_rows: int | None = None, label: str = "Label",
                   keep_text: tuple[str, ...] = ("Flow ID", "Source IP", "Destination IP", "Timestamp")) -> DataFrame:
-    """A5: concatenate labelled CSV files. Missing files warn; none found raises.
+    """A5: concatenate labelled CSV files by column name. Missing files (any URI Spark reads) warn; none found raises.
     ``rows_per_file`` caps each file; with ``target_rows`` files stop being added once the
     running total reaches it (as the reference's sample modes do)."""
-    present = [f for f in files if os.path.exists(f)]
+    header = {}
     for f in files:
-        if f not in present:
+        try:
+            header[f] = tuple(_read(spark, [f]).columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             warnings.warn(f"file not found: {f}")
+    present = list(header)
     if not present:
         raise FileNotFoundError("no data files found")
     if rows_per_file is None and target_rows is None:
-        df = _read(spark, present)
+        # one read for the files of each header: a file's values belong to its own header's names
+        df = None
+        for h in dict.fromkeys(header.values()):
+            part = _read(spark, [f for f in present if header[f] == h])
+            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     else:
         parts, total = [], 0
         for f in present:

@@ -101,6 +101,20 @@ def _records_pcap(data: bytes):
         yield ts_us, orig, frame, link_off
 
 
+def _ticks_per_second(options: bytes, endian: str) -> int:
+    """Time resolution of a pcapng interface from its options (``if_tsresol``, code 9; microseconds if absent)."""
+    pos = 0
+    while pos + 4 <= len(options):
+        code, size = struct.unpack_from(endian + "HH", options, pos)
+        if code == 0:
+            break
+        if code == 9 and size == 1 and pos + 4 < len(options):
+            v = options[pos + 4]
+            return 2 ** (v & 0x7F) if v & 0x80 else 10 ** v
+        pos += 4 + (size + 3) // 4 * 4
+    return 1_000_000
+
+
 def _records_pcapng(data: bytes):
     pos, endian, link_off, tsres = 0, "<", {}, {}
     iface = 0
@@ -117,7 +131,7 @@ def _records_pcapng(data: bytes):
         if btype == 1:  # interface description
             lt = struct.unpack_from(endian + "H", data, pos + 8)[0]
             link_off[iface] = {1: 14, 101: 0, 228: 0}.get(lt)
-            tsres[iface] = 1_000_000
+            tsres[iface] = _ticks_per_second(data[pos + 16:pos + blen - 4], endian)
             iface += 1
         elif btype == 6:  # enhanced packet block
             ifid, hi, lo, cap, orig = struct.unpack_from(endian + "IIIII", data, pos + 8)

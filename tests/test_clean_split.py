@@ -58,3 +58,12 @@ def test_benign_split_fraction(spark):
 
 def test_unknown_labels():
     assert split.hash_threshold(0.8) == "cccccccd" or split.hash_threshold(0.8) == "cccccccc"
+
+
+def test_stratified_split_is_exact_in_each_stratum(spark):
+    from flowlens.operators.split import row_hash, stratified_split
+    rows = [(k * 100 + i, lab) for k, (lab, n) in enumerate([("a", 5), ("b", 5), (None, 10), ("c", 1), ("d", 99)]) for i in range(n)]
+    d = spark.createDataFrame(rows, "id long, label string").withColumn("row_hash", row_hash(["id"]))
+    got = {(r["label"], r["part"]): r["count"] for r in stratified_split(d, "label").groupBy("label", "part").count().collect()}
+    assert got == {("a", "train"): 4, ("a", "test"): 1, ("b", "train"): 4, ("b", "test"): 1, (None, "train"): 8, (None, "test"): 2,
+                   ("c", "train"): 1, ("d", "train"): 79, ("d", "test"): 20}

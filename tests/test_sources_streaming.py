@@ -3,6 +3,7 @@
 import os
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators.assemble import assemble_flows
@@ -11,6 +12,7 @@ from flowlens.operators.records import csv_events_to_features
 from flowlens.schemas import FLOW_COLUMNS_82, PACKETS
 from flowlens.sources import fixtures as fx
 from flowlens.sources.flowcsv import read_flows_csv, write_flows_csv
+from flowlens.sources.labelled import read_labelled
 from flowlens.sources.packets import ingest_captures
 from tests.conftest import SF001
 
@@ -43,6 +45,29 @@ def test_ingest_captures(spark, tmp_path):
     assert len(rec) == 1 and rec[0]["tot_fwd_pkts"] == 2 and rec[0]["syn_flag_cnt"] == 2
 
 
+@pytest.mark.parametrize("resolution, ticks", [(None, 1_500_000), (9, 1_500_000_000), (0x80 | 10, 1536)])
+def test_pcapng_time_resolution(resolution, ticks):
+    import struct
+    from flowlens.sources.packets import _records_pcapng
+
+    def block(kind, body):
+        return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+    options = b"" if resolution is None else struct.pack("<HHB3xHH", 9, 1, resolution, 0, 0)
+    data = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 65535) + options) \
+        + block(6, struct.pack("<IIIII", 0, ticks >> 32, ticks & 0xFFFFFFFF, 4, 4) + b"abcd")
+    assert [(t, f) for t, _, f, _ in _records_pcapng(data)] == [(1_500_000, b"abcd")]
+
+
+def test_labelled_files_with_their_own_header_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("A,B,Label\n1,2,x\n")
+    (tmp_path / "b.csv").write_text("B,A,Label\n20,10,y\n")
+    files = [f"file://{tmp_path}/a.csv", str(tmp_path / "b.csv")]
+    for kw in ({}, {"rows_per_file": 5}):
+        got = read_labelled(spark, files, **kw).select("A", "B", "Label").collect()
+        assert sorted(map(tuple, got)) == [(1.0, 2.0, "x"), (10.0, 20.0, "y")]
+
+
 def test_flow_csv_roundtrip(spark, tmp_path):
     recs = flow_features(assemble_flows(fx.packets(spark, SF001)))
     write_flows_csv(recs, str(tmp_path / "out"))
