@@ -47,6 +47,8 @@ from flowlens.llm.graph import components
 WORDS, SIMILARITY, ROWS, BANDS, FLOOR, BLOCK = 5, 0.8, 5, 25, 0.62, 128
 #: Bounds of one block in step 4.
 BLOCK_ROWS, BLOCK_BYTES = 512, 8_000_000
+#: Rows of the broadcast bitmap, 64 bits each.
+BITMAP_ROWS = 1 << 20
 U = np.uint64
 
 
@@ -185,14 +187,25 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, bag binary")
 
 
+def within(data: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``data`` whose node is among those of ``keys``, and by chance a few others: a bitmap of at most ``BITMAP_ROWS`` rows
+    is broadcast, so that rows no join will want are not shuffled. It grows no further with the input; with very many keys
+    more rows pass. An exact join must follow."""
+    word, bit = (F.expr(f"node & {BITMAP_ROWS - 1}L"), F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 32) & 63 as int))"))
+    bits = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    both = data.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return both.where("_bits & _bit <> 0").select(*data.columns)
+
+
 def beside_pivots(pairs: DataFrame, data: DataFrame, value: str) -> DataFrame:
     """(a, b) pairs -> rows (a, node, is_pivot, value) laid out so that ``a``'s own row precedes those of its partners. It is
     sent once per block of about ``BLOCK`` partners."""
     blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     member = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("node"))
     pivot = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     both = (member.withColumn("is_pivot", F.lit(False)).unionAll(pivot.withColumn("is_pivot", F.lit(True)))
-            .join(data.select("node", value), "node"))
+            .join(within(data.select("node", value), nodes), "node"))
     return both.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("is_pivot")).select("a", "node", "is_pivot", value)
 
 
@@ -287,7 +300,7 @@ def linked_apart(members: DataFrame, sigs: DataFrame, bag: DataFrame, similarity
         return rows.select("node", "bucket", "band", "component", "apart", F.lit(held).alias("held"), at, each)
 
     mine, rest = dealt(rows.where("apart"), True, "of_apart", "of_all"), dealt(rows, False, "of_all", "of_apart")
-    both = mine.unionByName(rest).join(sigs.select("node", "sig"), "node").join(bag.select("node", "bag"), "node")
+    both = mine.unionByName(rest).join(within(sigs.select("node", "sig"), members), "node").join(within(bag.select("node", "bag"), members), "node")
     both = both.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", F.desc("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +334,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # signatures and shingles of the candidates alone, one text of each class
     wanted = member.select("node", "doc_id").distinct()
     sigs = stored(sigs.select("node", "sig").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sigs")
-    bag = stored(bags(texts.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])), "bags")
+    bag = stored(bags(within(texts, wanted).join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])), "bags")
     member = member.withColumn("component", F.col("node"))
     links = done = None
     for pivots in (1, 4, 0):
