@@ -331,10 +331,11 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     several = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     member = member.join(several.select("bucket"), "bucket").distinct().join(classes, "node")
     member = stored(member.select("node", "bucket", "band", "doc_id"), "buckets")
-    # signatures and shingles of the candidates alone, one text of each class
+    # signatures and shingles of the candidates alone, one text of each class; inner joins (``wanted`` holds a class once), as
+    # Catalyst would push a semi join below the bitmap
     wanted = member.select("node", "doc_id").distinct()
-    sigs = stored(sigs.select("node", "sig").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sigs")
-    bag = stored(bags(within(texts, wanted).join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])), "bags")
+    sigs = stored(within(sigs.select("node", "sig"), wanted).join(wanted.select("node"), "node").dropDuplicates(["node"]), "sigs")
+    bag = stored(bags(within(texts, wanted).join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"])), "bags")
     member = member.withColumn("component", F.col("node"))
     links = done = None
     for pivots in (1, 4, 0):
