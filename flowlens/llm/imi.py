@@ -4,13 +4,15 @@ Each half of the (normalised) vectors has its own codebook, fitted on a bounded
 grid of cells, and every vector lies in one cell. A query visits cells in order of distance (multi-sequence traversal
 of the two sorted distance lists) and stops by a bound. The distance of a half to a cell is its distance to the plane
 between the two codewords, so a cell beyond the bound cannot hold a partner:
-``cosine >= c`` means ``|x - y|^2 <= 2 - 2c`` and the squares of both halves' plane distances add up to at most that.
-With ``reach=1`` the traversal goes to that bound and no link is lost, but it visits half of all cells. The default goes to
-a fifth of the bound: two near vectors differ in some direction, and only a small part of that lies across a
-given plane. The README gives the recall measured against brute force. All pairs met are verified in double precision.
+``cosine >= c`` means ``|x - y|^2 <= 2 - 2c``. The plane between the cells of x and y has x on one side and y on the other, so the
+distances of both to it add up to at most their distance, in each half. With a and b the pairs of plane distances of x and of y,
+``|a|^2 + |b|^2 <= |a + b|^2 <= 2 - 2c``: one of the two lies within half of the bound. So each vector visits the cells within
+half of the bound (``reach=0.5``), a pair counts whichever side finds it, and no link is lost. All pairs met are verified in
+double precision.
 
+Cells next to one another in number form a group of about ``block`` vectors; a vector is sent once to each group that holds a cell it visits.
 Only labels that are equal and not null are compared. Of vectors that are equal, one stands for all (a hash aggregation),
-so a huge group of copies costs one vector. A pair of cells is met from one side only. Cells are compared as
+so a huge group of copies costs one vector. A pair that both sides find counts once. Groups are compared as
 blocks of bounded size, as many tasks as needed; a block yields for each vector how many links it has there and one
 edge to the smallest vector of its piece, never the pairs.
 
@@ -29,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.llm.common import prepare, stored, table
 from flowlens.llm.graph import components
@@ -37,7 +40,7 @@ from flowlens.llm.graph import components
 @dataclass(frozen=True)
 class IndexParams:
     cosine: float = 0.93
-    reach: float = 0.2             # share of the exact bound that the traversal goes to; 1 loses no link
+    reach: float = 0.5             # share of the exact bound that the traversal of either side goes to; from 0.5 on no link is lost
     sample: int = 8192             # bound of the vectors that codebooks are fitted on
     per_cell: int = 24             # vectors of a label that a cell should hold
     max_codewords: int = 128       # per half
@@ -62,7 +65,7 @@ def plane_distances(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarra
     d = ((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T)
     own = np.argmin(d, 1)
     between = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(2), 1e-24))
-    low = np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * between[own])
+    low = np.maximum(d - d[np.arange(len(x)), own][:, None] - 1e-13, 0) / (2 * between[own])      # rounding may only lower it
     low[np.arange(len(x)), own] = 0
     return own, low**2
 
@@ -122,7 +125,7 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     good = rows.where(usable)
     key = ["label", "embedding"]
     same = good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("norm").alias("norm"))
-    reps = stored(same.select("rep", "copies", *key, F.transform("embedding", lambda x: x / F.col("norm")).alias("unit")), "reps")
+    reps = stored(same.select("rep", "copies", "norm", *key, F.transform("embedding", lambda x: x / F.col("norm")).alias("unit")), "reps")
     n, labels = reps.agg(F.count("*"), F.count_distinct("label")).first()
     member = good.join(reps.select("rep", "copies", *key), key).select("vec_id", "rep", "copies")
     if n == 0:
@@ -131,12 +134,14 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     reps = reps.withColumn("node", F.xxhash64("rep", "label", "embedding"))
     books = spark.sparkContext.broadcast(fit(reps.withColumn("vec_id", F.col("rep")), n, labels, p))
     bound = (2 - 2 * p.cosine) * p.reach
+    width = max(1, p.block // p.per_cell)                            # cells of a group
+    sent_type = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
     label_key = F.xxhash64("label").alias("label")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, label, unit = (c.to_pylist() for c in batch.columns)
-            out: dict[str, list] = {c: [] for c in ("label", "cell", "node", "probe", "unit")}
+            out: dict[str, list] = {c: [] for c in ("label", "cell", "node", "probe", "home", "met")}
             by_size: dict[int, list[int]] = {}
             for k, u in enumerate(unit):
                 by_size.setdefault(len(u), []).append(k)
@@ -151,19 +156,22 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
                 wide = len(book[1])
                 for r, k in enumerate(rows_):
                     i, j = traverse(low1[r], low2[r], bound)
-                    home = int(own1[r]) * wide + int(own2[r])
-                    cells = i * wide + j
-                    cells = cells[cells > home].tolist()         # a pair of cells is met from the lower one
-                    for c, probe in [(home, False), *((c, True) for c in cells)]:
+                    home = (int(own1[r]) * wide + int(own2[r])) // width
+                    groups = np.unique((i * wide + j) // width)
+                    seen = np.zeros(len(book[0]) * wide // width + 1, bool)
+                    seen[groups] = True
+                    met = np.packbits(seen, bitorder="little").tobytes()
+                    for g in [home, *groups[groups != home].tolist()]:
                         out["label"].append(label[k])
-                        out["cell"].append(c * 4096 + size % 4096)
+                        out["cell"].append(g * 4096 + size % 4096)
                         out["node"].append(node[k])
-                        out["probe"].append(probe)
-                        out["unit"].append(unit[k])
+                        out["probe"].append(g != home)
+                        out["home"].append(home)
+                        out["met"].append(met if g == home else None)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("label", pa.int64()), ("cell", pa.int64()), ("node", pa.int64()),
-                                                                    ("probe", pa.bool_()), ("unit", pa.list_(pa.float64()))]))
+                                                                    ("probe", pa.bool_()), ("home", pa.int64()), ("met", pa.binary())]))
 
-    schema = "label long, cell long, node long, probe boolean, unit array<double>"
+    schema = "label long, cell long, node long, probe boolean, home long, met binary"
     placed = reps.select("node", label_key, "unit").repartition(max(8, spark.sparkContext.defaultParallelism * 4), "node").mapInArrow(assign, schema)
     placed = stored(placed, "cells")
     size = placed.groupBy("label", "cell").agg(F.count_if("probe").alias("probes"), F.count_if(~F.col("probe")).alias("members"))
@@ -178,17 +186,19 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
                  F.transform(upto("mb"), lambda m: F.struct(F.least(m, "own").alias("m"), F.greatest(m, "own").alias("o"))),
                  F.when(F.col("pb") > 0, F.transform(upto("pb"), lambda o: F.struct(F.col("own").alias("m"), (o + F.col("mb")).alias("o"))))
                  .otherwise(F.array().cast("array<struct<m:bigint,o:bigint>>")))))
-    sent = at.select("label", "cell", "node", "unit", "own", "probe", F.explode(meets).alias("b")).select(
-        "label", "cell", F.col("b.m").alias("m"), F.col("b.o").alias("o"), "node", "unit",
+    sent = at.select("label", "cell", "node", "home", "met", "own", "probe", F.explode(meets).alias("b")).select(
+        "label", "cell", F.col("b.m").alias("m"), F.col("b.o").alias("o"), "node", "home", "met",
         F.when(F.col("probe"), F.col("own") + F.lit(1 << 40)).otherwise(F.col("own")).alias("side"))
     cosine = p.cosine
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         m = part["m"].iloc[0]
         left = (part["side"] == m).to_numpy()
-        alone = left.all()                                        # a block with itself
+        alone = m == part["o"].iloc[0]                            # a block with itself
+        if left.all() and not alone:                              # no row hashed to the other block
+            return pd.DataFrame({"node": [], "n": [], "root": []}, dtype=np.int64)
         node = part["node"].to_numpy()
-        x = np.stack(part["unit"].to_numpy())
+        x = np.stack(part["embedding"].to_numpy()).astype(np.float64) / part["norm"].to_numpy()[:, None]
         li, ri = np.flatnonzero(left), np.arange(len(node)) if alone else np.flatnonzero(~left)
         a, b = [], []
         for lo in range(0, len(li), 512):
@@ -200,6 +210,13 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
             a.append(i[exact])
             b.append(j[exact])
         a, b = (np.concatenate(v) if v else np.zeros(0, int) for v in (a, b))
+        group = part["cell"].iloc[0] // 4096
+        home = part["home"].to_numpy()
+        if not alone and home[ri[0]] != group:                    # probes: a pair that both sides find counts in the higher group
+            seen = np.zeros((len(node), 8 * len(part["met"].iloc[li[0]])), bool)
+            seen[li] = np.unpackbits(np.stack([np.frombuffer(m, np.uint8) for m in part["met"].iloc[li]]), axis=1, bitorder="little")
+            once = (home[b] < group) | ~seen[a, home[b]]
+            a, b = a[once], b[once]
         low = pieces_of(a, b, len(node))
         # the number of linked vectors counts copies, which the other side's row knows
         used = np.unique(np.concatenate([a, b]))
@@ -208,8 +225,8 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
         got = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
         return pd.DataFrame({"node": node[used], "n": got[used].astype(np.int64), "root": root})
 
-    weight = reps.select("node", "copies")
-    sent = sent.join(weight, "node")
+    # vectors join last, so that they cross the network once for each block
+    sent = sent.join(reps.select("node", "copies", "norm", F.col("embedding").cast(sent_type).alias("embedding")), "node")
     found = stored(sent.groupBy("label", "cell", "m", "o").applyInPandas(compare, "node long, n long, root long"), "links")
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     total = found.groupBy("node").agg(F.sum("n").alias("n"))

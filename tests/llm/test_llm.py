@@ -280,6 +280,23 @@ def test_embedding_links_odd_rows(spark):
     assert all(out[k] == (0, k) for k in (4, 5, 6, 7, 8, 10, 11, 12)) and len(out) == 12
 
 
+def test_embedding_links_lose_none(spark):
+    rng = np.random.default_rng(4)
+    wide = rng.normal(size=(600, 16)) * np.arange(1, 17.0) ** -1.0
+    sets = [rng.normal(size=(1500, 4)), np.concatenate([wide, wide + 0.25 * rng.normal(size=wide.shape) * np.arange(1, 17.0) ** -1.0])]
+    rows, want = [], {}
+    for label, x in enumerate(sets):
+        x = x.astype(np.float32).astype(float)
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        near = unit @ unit.T >= 0.93
+        for k in range(len(x)):
+            rows.append((10_000 * label + k, x[k].tolist(), label))
+            want[10_000 * label + k] = int(near[k].sum()) - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for p in (imi.IndexParams(per_cell=8, block=32), imi.IndexParams()):
+        assert {r["vec_id"]: r["n_links"] for r in imi.links(df, p).collect()} == want
+
+
 @pytest.mark.parametrize("module", [chat, imi])
 def test_oracles(spark, module):
     ok, msg = compare(module.query(spark, SF001), module.ORACLE, duck(SF001))
