@@ -1,16 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised to levels, ``1 + floor(log_b(count))``, and an n-gram of level q is put
-into a Bloom filter q times, as (n-gram, 1) to (n-gram, q). Workers get the filter by broadcast. A count is read back by probing
+into a Bloom filter q times, as (n-gram, 1) to (n-gram, q). A count is read back by probing
 (n-gram, 1), (n-gram, 2), ... until one is missing; the last hit's level stands for the mean count of that level.
 A word's probability mixes the pair's relative frequency with the smoothed frequency of the word alone. The weight is
 picked from a grid by the likelihood of all training text, each pair counted without itself (leave one out).
 
-Flow: each part of the input sends its distinct n-grams, counted, as packed blocks to segments by hash. A segment adds them
-up, builds its own piece of the filter and returns to each part the exact counts of that part's words, which the base
-score needs. So a word's count crosses the network once for each part that holds it, whatever its frequency, and no table of
-words is ever broadcast or collected. The filter has at most ``max_bytes``: up to that, every n-gram has ``bits`` bits;
-beyond it all n-grams still go in, and false hits become more frequent (``filter_load`` in the result).
+Flow: each part of the input sends its distinct n-grams, counted, as packed blocks to segments by hash; pairs and words that
+only texts outside training hold go along with a count of 0. A segment adds them up, builds its own piece of the filter, probes it for every
+n-gram of every part, and returns the levels to the parts, for words with the exact counts that the base score needs. The filter
+never leaves its segments, so every n-gram has ``bits`` bits whatever the size of the input, and nothing that grows is broadcast or
+collected. An n-gram crosses the network twice for each part that holds it, whatever its frequency. Parts are cut to about ``part_bytes`` of text.
 
 Defined results: a null text counts as empty (one token, the end); repeated rows count and are scored each; rows with a null id are
 in training by the hash of the empty id; an empty table gives an empty result; other columns are not read. Words are compared by a
@@ -40,7 +40,7 @@ class LMParams:
     base: float = 1.5              # of the levels
     bits: int = 8                  # of the filter for each entry
     hashes: int = 4
-    max_bytes: int = 64 << 20
+    part_bytes: int = 64 << 20     # text of a part, about
     segment_bytes: int = 8 << 20   # input text for each segment
     flush: int = 4_000_000         # tokens that a part counts before it sends them
     cache_words: int = 400_000
@@ -50,9 +50,9 @@ def levels(count: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def level_values(base: float, n: int = 96) -> np.ndarray:
-    """Mean of the whole numbers of each level; level 0 is a count of 0."""
-    out = [0.0]
+def level_values(base: float) -> np.ndarray:
+    """Mean of the whole numbers of each level, up to that of any 64-bit count; level 0 is a count of 0."""
+    out, n = [0.0], int(levels(np.array([2**63 - 1]), base)[0]) + 1
     for j in range(1, n):
         lo, hi = np.ceil(base ** (j - 1) - 1e-9), np.ceil(base**j - 1e-9) - 1
         out.append(float(lo + hi) / 2 if hi >= lo else float(base ** (j - 0.5)))
@@ -118,36 +118,36 @@ def filter_bits(key: np.ndarray, level: np.ndarray | int, k: int, mask: np.ndarr
 
 
 class Filter:
-    """All segments' bit tables, in one array."""
-
-    def __init__(self, tables: list[bytes], hashes: int):
-        self.hashes = hashes
-        size = np.array([len(t) for t in tables], np.int64)
-        self.at = (np.cumsum(size) - size) * 8
-        self.mask = size * 8 - 1
-        self.data = np.frombuffer(b"".join(tables), np.uint8)
+    """One segment's bit table, and the highest level in it."""
+
+    def __init__(self, key: np.ndarray, level: np.ndarray, p: LMParams):
+        self.hashes, self.top = p.hashes, int(level.max()) if len(level) else 0
+        self.entries = int(level.sum())
+        self.size = 1 << int(np.ceil(np.log2(max(self.entries * p.bits, 64))))
+        self.bits = np.zeros(self.size, bool)
+        for j in range(1, self.top + 1):
+            some = key[level >= j]
+            for k in range(p.hashes):
+                self.bits[filter_bits(some, j, k, self.size - 1).astype(np.int64)] = True
 
-    def level(self, h: np.ndarray, kind: int) -> np.ndarray:
+    def level(self, key: np.ndarray) -> np.ndarray:
         """Level of each n-gram: probe (n-gram, 1), (n-gram, 2), ... until one is not there."""
-        seg = segment_of(h, len(self.at))
-        key = entry_key(seg, h & U(0xFFFFFFFF), kind)
-        out = np.zeros(len(h), np.int64)
-        live, at, mask = np.arange(len(h)), self.at[seg], self.mask[seg]
-        level = 1
-        while len(live):
+        out = np.zeros(len(key), "<u2")
+        live = np.arange(len(key))
+        for level in range(1, self.top + 1):
             for k in range(self.hashes):
-                bit = filter_bits(key, level, k, mask).astype(np.int64) + at
-                hit = (self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                hit = self.bits[filter_bits(key, level, k, self.size - 1).astype(np.int64)]
                 if not hit.all():
-                    live, key, at, mask = live[hit], key[hit], at[hit], mask[hit]
+                    live, key = live[hit], key[hit]
             out[live] = level
-            level += 1
+            if not len(live):
+                break
         return out
 
 
 def count_parts(docs: DataFrame, segments: int, p: LMParams) -> DataFrame:
-    """(part, train, text) -> packed counts by segment: of the distinct words of each part (with 0 where only texts outside training
-    hold them) and of the distinct pairs of its training texts."""
+    """(part, train, text) -> packed counts by segment: of the distinct words and the distinct pairs of each part (with 0 where
+    only texts outside training hold them)."""
 
     def packed(rows: list, part: int, h: np.ndarray, c: np.ndarray, kind: int) -> None:
         order = np.argsort(h)
@@ -161,7 +161,7 @@ def count_parts(docs: DataFrame, segments: int, p: LMParams) -> DataFrame:
             if kind:
                 # few pairs occur 255 times in a part; those take part as several entries
                 low, n = (h[a:b] & U(0xFFFFFFFF)).astype("<u4"), c[a:b]
-                times = -(-n // 255)
+                times = np.maximum(-(-n // 255), 1)
                 low, n = np.repeat(low, times), np.minimum(255, np.repeat(n, times) - 255 * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)))
                 data = low.tobytes() + n.astype(np.uint8).tobytes()
             else:
@@ -176,8 +176,7 @@ def count_parts(docs: DataFrame, segments: int, p: LMParams) -> DataFrame:
             rows: list = []
             for part, (words, pairs) in held.items():
                 packed(rows, part, np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words]), 0)
-                g = np.concatenate(pairs) if pairs else np.zeros(0, U)
-                packed(rows, part, g, np.ones(len(g), np.int64), 1)
+                packed(rows, part, np.concatenate([g for g, _ in pairs]), np.concatenate([c for _, c in pairs]), 1)
             held.clear()
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
@@ -197,7 +196,8 @@ def count_parts(docs: DataFrame, segments: int, p: LMParams) -> DataFrame:
                     words, back = np.unique(h, return_inverse=True)
                     words_, pairs = held.setdefault(int(which), ([], []))
                     words_.append((words, np.bincount(back, own, len(words)).astype(np.int64)))
-                    pairs.append(pair_hash(before, h)[own])
+                    pair, back = np.unique(pair_hash(before, h), return_inverse=True)
+                    pairs.append((pair, np.bincount(back, own, len(pair)).astype(np.int64)))
                     total += len(h)
                     if total >= p.flush:
                         yield emit()
@@ -209,8 +209,8 @@ def count_parts(docs: DataFrame, segments: int, p: LMParams) -> DataFrame:
 
 
 def add_up(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
-    """Packed counts -> each segment's piece of the filter (kind 2) and, for each part, exact counts of its words (kind 0)."""
-    most = max(64, p.max_bytes * 8 // segments)
+    """Packed counts -> for each part, exact counts and levels of its words (kind 0) and levels of its pairs (kind 1), and each
+    segment's totals (kind 2)."""
 
     def segment(seg: int, rows: list) -> list:
         words = [(part, np.frombuffer(d[: 8 * n], "<u8"), np.frombuffer(d[8 * n:], "<u4")) for kind, part, n, d in rows if kind == 0]
@@ -218,33 +218,32 @@ def add_up(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
         c = np.concatenate([c for _, _, c in words]).astype(np.int64) if words else np.zeros(0, np.int64)
         word, back = np.unique(h, return_inverse=True)
         total = np.bincount(back, c, len(word)).astype(np.int64)
-        low = np.concatenate([np.frombuffer(d[: 4 * n], "<u4") for kind, _, n, d in rows if kind] or [np.zeros(0, "<u4")])
-        times = np.concatenate([np.frombuffer(d[4 * n:], np.uint8) for kind, _, n, d in rows if kind] or [np.zeros(0, np.uint8)])
+        pairs = [(part, np.frombuffer(d[: 4 * n], "<u4"), np.frombuffer(d[4 * n:], np.uint8)) for kind, part, n, d in rows if kind]
+        low = np.concatenate([x for _, x, _ in pairs] or [np.zeros(0, "<u4")])
+        times = np.concatenate([c for _, _, c in pairs] or [np.zeros(0, np.uint8)])
         order = np.argsort(low)
         low, times = low[order], times[order].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, int)
         pair, pair_n = low[start], np.add.reduceat(times, start) if len(low) else times
-        known = total > 0
-        key = np.concatenate([entry_key(np.full(int(known.sum()), seg), word[known] & U(0xFFFFFFFF), 0), entry_key(np.full(len(pair), seg), pair, 1)])
-        level = levels(np.concatenate([total[known], pair_n]), p.base)
-        entries = int(level.sum())
-        size = 1 << int(np.clip(np.ceil(np.log2(max(entries * p.bits, 64))), 6, np.floor(np.log2(most))))
-        bits = np.zeros(size, bool)
-        for j in range(1, int(level.max()) + 1 if len(level) else 1):
-            some = key[level >= j]
-            for k in range(p.hashes):
-                bits[filter_bits(some, j, k, size - 1).astype(np.int64)] = True
-        out = [(2, seg, len(word), np.packbits(bits, bitorder="little").tobytes(), int(total.sum()), int(known.sum()), entries)]
+        keys = lambda x, kind: entry_key(np.full(len(x), seg), x, kind)
+        word_key, pair_key = keys(word & U(0xFFFFFFFF), 0), keys(pair, 1)
+        known, met = total > 0, pair_n > 0
+        table = Filter(np.concatenate([word_key[known], pair_key[met]]), levels(np.concatenate([total[known], pair_n[met]]), p.base), p)
+        word_level, pair_level = table.level(word_key), table.level(pair_key)
+        out = [(2, seg, len(word), b"", int(total.sum()), int(known.sum()), table.entries, table.size)]
         at = 0
         for part, w, _ in words:
-            got = total[back[at:at + len(w)]]
+            some = back[at:at + len(w)]
             at += len(w)
-            out.append((0, part, len(w), w.astype("<u8").tobytes() + got.astype("<u8").tobytes(), 0, 0, 0))
+            out.append((0, part, len(w), w.astype("<u8").tobytes() + total[some].astype("<u8").tobytes() + word_level[some].tobytes(), seg, 0, 0, 0))
+        for part, x, _ in pairs:
+            x = np.unique(x)
+            out.append((1, part, len(x), x.astype("<u4").tobytes() + pair_level[np.searchsorted(pair, x)].tobytes(), seg, 0, 0, 0))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        names = ["kind", "key", "n", "data", "tokens", "types", "entries"]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names = ["kind", "key", "n", "data", "tokens", "types", "entries", "bits"]
         now, rows = None, []
 
         def done(seg: int, rows: list) -> pa.RecordBatch:
@@ -261,7 +260,7 @@ def add_up(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
             yield done(now, rows)
 
     laid = counted.repartition(min(segments, 4096), "seg").sortWithinPartitions("seg")
-    return laid.mapInArrow(run, "kind int, key int, n long, data binary, tokens long, types long, entries long")
+    return laid.mapInArrow(run, "kind int, key int, n long, data binary, tokens long, types long, entries long, bits long")
 
 
 def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame:
@@ -270,35 +269,43 @@ def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", train.alias("train"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part")), "lm-docs")
     octets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # input partitions with much text are several parts
+    most = rows.groupBy("part").agg(F.sum(F.octet_length("text")).alias("octets")).agg(F.max("octets")).first()[0] or 0
+    if most > p.part_bytes:
+        cut = -(-most // p.part_bytes)
+        rows = rows.withColumn("part", (F.col("part") * cut + F.pmod(F.xxhash64("doc_id", "text"), F.lit(cut))).cast("int"))
     segments = 1 << int(np.clip(np.ceil(np.log2(max(octets / p.segment_bytes, 1))), 3, 16))
     made = stored(add_up(count_parts(rows, segments, p), segments, p), "lm-counts")
-    whole = made.where("kind = 2")
-    tokens, types, entries = (x or 0 for x in whole.agg(F.sum("tokens"), F.sum("types"), F.sum("entries")).first())
-    empty = np.zeros(8, np.uint8).tobytes()
-    tables = {r["key"]: bytes(r["data"]) for r in whole.select("key", "data").collect()}        # at most max_bytes
-    given = spark.sparkContext.broadcast([tables.get(s, empty) for s in range(segments)])
-    load = sum(len(t) for t in tables.values()) * 8 / max(entries, 1)
+    tokens, types, entries, bits = (x or 0 for x in made.where("kind = 2").agg(*(F.sum(c) for c in ("tokens", "types", "entries", "bits"))).first())
+    load = bits / max(entries, 1)
     log_total = float(np.log10(tokens + 0.5 * (types + 1)))
     grid = np.array(GRID)
 
     # each part's words and then its texts
-    words = made.where("kind = 0").select(F.col("key").alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("doc_id"),
+    words = made.where("kind < 2").select(F.col("key").alias("part"), F.col("kind").alias("side"), F.col("tokens").cast("int").alias("seg"), F.lit(None).cast("long").alias("doc_id"),
                                           F.lit(False).alias("train"), F.lit(None).cast("string").alias("text"), "n", "data")
-    texts = rows.select("part", F.lit(1).alias("side"), F.col("doc_id").cast("long").alias("doc_id"), "train", "text", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"))
+    texts = rows.select("part", F.lit(2).alias("side"), F.lit(0).alias("seg"), F.col("doc_id").cast("long").alias("doc_id"), "train", "text", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"))
     laid = words.unionAll(texts).repartition("part").sortWithinPartitions("part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Filter(given.value, p.hashes)
         value = level_values(p.base)
         smooth = tokens + 0.5 * (types + 1)
         vocab = Vocabulary(p.cache_words)
-        end_level = lookup.level(np.array([END]), 0)[0]
-        now, blobs, known_h, known_c = None, [], None, None
+        now, blobs, known = None, ([], []), None
         count = np.zeros(0, np.int64)
         alone = np.zeros(0)
 
-        def exact(h: np.ndarray) -> np.ndarray:
-            return known_c[np.searchsorted(known_h, h)]
+        def one_of_each(blobs: list) -> list[np.ndarray]:
+            key, at = np.unique(np.concatenate([b[0] for b in blobs]), return_index=True)
+            return [key, *(np.concatenate([b[k] for b in blobs])[at] for k in range(1, len(blobs[0])))]
+
+        def exact(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(known[0][0], h)
+            return known[0][1][at].astype(np.int64), value[known[0][2][at]]
+
+        def pair_level(h: np.ndarray) -> np.ndarray:
+            key = (segment_of(h, segments).astype(U) << U(32)) | (h & U(0xFFFFFFFF))
+            return known[1][1][np.searchsorted(known[1][0], key)]
 
         for b in batches:
             col = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
@@ -306,18 +313,20 @@ def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame
             cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (side[1:] != side[:-1])])) if len(part) else []
             for lo, hi in zip(cut, [*cut[1:], len(part)], strict=True):
                 if part[lo] != now:
-                    now, blobs, known_h = part[lo], [], None
+                    now, blobs, known = part[lo], ([], []), None
                     vocab.clear()
                     count, alone = np.zeros(0, np.int64), np.zeros(0)
-                if side[lo] == 0:
-                    for n, d in zip(col["n"].slice(lo, hi - lo).to_pylist(), col["data"].slice(lo, hi - lo).to_pylist(), strict=True):
-                        blobs.append((np.frombuffer(d[: 8 * n], "<u8"), np.frombuffer(d[8 * n:], "<u8")))
+                if side[lo] < 2:
+                    for seg, n, d in zip(*(col[c].slice(lo, hi - lo).to_pylist() for c in ("seg", "n", "data")), strict=True):
+                        if side[lo] == 0:
+                            blobs[0].append((np.frombuffer(d[: 8 * n], "<u8"), np.frombuffer(d[8 * n:16 * n], "<u8"), np.frombuffer(d[16 * n:], "<u2")))
+                        else:
+                            blobs[1].append(((U(seg) << U(32)) | np.frombuffer(d[: 4 * n], "<u4").astype(U), np.frombuffer(d[4 * n:], "<u2")))
                     continue
-                if known_h is None:
-                    h = np.concatenate([x for x, _ in blobs])
-                    order = np.argsort(h)
-                    known_h, known_c = h[order], np.concatenate([x for _, x in blobs])[order].astype(np.int64)
-                    blobs = []
+                if known is None:
+                    known = one_of_each(blobs[0]), one_of_each(blobs[1])
+                    blobs = ([], [])
+                    end_count, end_value = (x[0] for x in exact(np.array([END])))
                 for at in range(lo, hi, 250):
                     upto = min(at + 250, hi)
                     ids, n, void = vocab.read(col["text"].slice(at, upto - at).to_pylist())
@@ -325,17 +334,16 @@ def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame
                         count, alone = np.zeros(0, np.int64), np.zeros(0)
                     if len(vocab.hash) > len(count):
                         new = vocab.hash[len(count):]
-                        count = np.concatenate([count, exact(new)])
-                        alone = np.concatenate([alone, value[lookup.level(new, 0)]])
+                        count, alone = (np.concatenate(x) for x in zip((count, alone), exact(new), strict=True))
                     h, before = with_ends(vocab.hash[ids], n)
                     ends = np.cumsum(n + 1)
                     start = ends - n - 1
-                    c = np.insert(count[ids], np.cumsum(n), exact(np.array([END]))[0])
-                    one = np.insert(alone[ids], np.cumsum(n), value[end_level])
+                    c = np.insert(count[ids], np.cumsum(n), end_count)
+                    one = np.insert(alone[ids], np.cumsum(n), end_value)
                     hist = np.empty_like(one)
                     hist[1:] = one[:-1]
-                    hist[start] = value[end_level]
-                    two = np.minimum(value[lookup.level(pair_hash(before, h), 1)], hist)
+                    hist[start] = end_value
+                    two = np.minimum(value[pair_level(pair_hash(before, h))], hist)
                     single = (one + 0.5) / smooth
                     pair = two / np.maximum(hist, 1)
                     less = np.maximum(two - 1, 0) / np.maximum(hist - 1, 1)

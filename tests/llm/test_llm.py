@@ -214,6 +214,39 @@ def test_lm_counts_and_base(spark, odd):
     assert all(r["score"] < 0 for r in rows)
 
 
+def test_lm_filter_keeps_its_bits_for_each_entry(spark):
+    prepare(spark)
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 3000, 60))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for p in (lm.LMParams(segment_bytes=1 << 10), lm.LMParams(segment_bytes=1 << 10, part_bytes=4000, flush=500)):
+        out = lm.score(df, F.col("doc_id") < 150, p).collect()
+        assert len(out) == 200 and all(r["filter_load"] >= p.bits for r in out)
+        got[p.flush] = {r["doc_id"]: (r["score"], r["base_score"]) for r in out}
+    assert np.allclose(*(list(dict(sorted(g.items())).values()) for g in got.values()))
+    # pairs of the held-out texts, read from the filter, against exact counts
+    count, pairs = collections.Counter(), collections.Counter()
+    for k, t in rows:
+        if k < 150:
+            w = ["", *t.split(), ""]
+            count.update(w[1:])
+            pairs.update(zip(w, w[1:], strict=False))
+    n, v = sum(count.values()), len(count)
+    value = lm.level_values(1.5)
+    level = lambda c: value[lm.levels(np.array([c]), 1.5)[0]] if c else 0.0
+
+    def exact(t, weight):
+        w = ["", *t.split(), ""]
+        h = [level(count[a]) for a in w]
+        return sum(np.log10(weight * min(level(pairs[a, b]), ha) / max(ha, 1) + (1 - weight) * (hb + 0.5) / (n + 0.5 * (v + 1)))
+                   for a, b, ha, hb in zip(w, w[1:], h, h[1:], strict=False))
+
+    off = min(np.mean([abs(exact(t, w) - got[500][k][0]) / 61 for k, t in rows if k >= 150]) for w in lm.GRID)
+    assert off < 0.05
+    assert len(lm.level_values(1.5)) > lm.levels(np.array([2**62]), 1.5)[0]
+
+
 def test_fingerprints(spark, odd):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
     rows = sorted(docs.collect(), key=lambda r: -r["doc_id"])
