@@ -2,7 +2,9 @@
 
 A word is the mean of the embeddings of its character n-grams (hashed into a fixed table), a bag is the
 mean of its words, and a two-class softmax reads the bag. Embeddings and softmax are trained together.
-Unseen misspellings share n-grams with words seen in training and so share their vectors.
+Unseen misspellings share n-grams with words seen in training and so share their vectors. A token of more
+than ``piece`` characters (a script without spaces, joined words, pasted data) is read as several words: pieces of that
+length, each overlapping the one before by ``n_max - 1`` characters, so that every n-gram of it counts.
 
 A toxic phrase in a long text would drown in one mean, so a text is read as overlapping windows of
 ``window`` words and scored by its most toxic window; training alternates between whole texts and the
@@ -37,6 +39,7 @@ class ToxicityParams:
     n_min: int = 3
     n_max: int = 5
     min_share: float = 1 / 60      # an n-gram must occur in so many texts of the sample, as a share of the smaller class (two at least)
+    piece: int = 64                # characters of a word; longer tokens are several words
     window: int = 8
     least: int = 8                 # words that a bag counts at least; a shorter one is filled with neutral words
     steps: int = 100
@@ -52,7 +55,7 @@ def subword_buckets(words: list[str], p: ToxicityParams) -> tuple[np.ndarray, np
     """Hashed n-grams of every word with its edges marked: flat bucket numbers and the count for each word."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    marked = ["<" + w[:64] + ">" for w in words]
+    marked = ["<" + w + ">" for w in words]
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
     ends = np.cumsum(lens)
@@ -71,8 +74,13 @@ def subword_buckets(words: list[str], p: ToxicityParams) -> tuple[np.ndarray, np
     return b[order], np.bincount(o, minlength=len(words))
 
 
-def tokens(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+def tokens(text: str | None, p: ToxicityParams) -> list[str]:
+    """Words of a text; a token that is too long gives overlapping pieces, each a word."""
+    words = text.lower().split() if text else []
+    if not words or len(max(words, key=len)) <= p.piece:
+        return words
+    step = p.piece - p.n_max + 1
+    return [w[k:k + p.piece] for w in words for k in range(0, max(len(w) - p.n_max + 1, 1), step)] if step > 0 else words
 
 
 def core(token: str) -> str:
@@ -97,7 +105,7 @@ def train(rows: list[tuple[str | None, int]], p: ToxicityParams) -> tuple[np.nda
     if len(set(y)) < 2:
         return np.zeros(p.buckets), 50.0 if len(y) and y[0] else -50.0
     vocab: dict[str, int] = {}
-    ids = [np.fromiter((vocab.setdefault(core(t), len(vocab)) for t in tokens(text)), np.int64) for text, _ in rows]
+    ids = [np.fromiter((vocab.setdefault(core(t), len(vocab)) for t in tokens(text, p)), np.int64) for text, _ in rows]
     n = np.array([len(i) for i in ids])
     flat = np.concatenate(ids)
     sub, sub_n = subword_buckets(list(vocab), p)
@@ -217,7 +225,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
         cache: dict[str, float] = {}
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
-            words = [tokens(t) for t in texts_of(batch, text)]
+            words = [tokens(t, p) for t in texts_of(batch, text)]
             new = list({w for ws in words for w in ws if w not in cache})
             if len(cache) + len(new) > p.word_cache:
                 cache.clear()

@@ -123,6 +123,23 @@ def test_toxicity_learns_words_and_survives_odd_rows(spark, odd):
     assert toxicity.train([], toxicity.ToxicityParams())[1] == -50
 
 
+def test_toxicity_reads_tokens_to_their_end(spark):
+    p = toxicity.ToxicityParams()
+    for n in (1, 63, 64, 65, 68, 69, 123, 124, 125, 500):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        got = {w[k:k + p.n_max] for w in toxicity.tokens("a " + word, p)[1:] for k in range(max(len(w) - p.n_max + 1, 1))}
+        assert got == {word[k:k + p.n_max] for k in range(max(n - p.n_max + 1, 1))}
+        assert all(len(w) <= p.piece for w in toxicity.tokens(word, p))
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdeghilmnorst"), 6)) for _ in range(200)]
+    rows = [(" ".join([*rng.choice(words, 20), *["worthlez", "idiotic"] * (k % 2)]), k % 2) for k in range(400)]
+    model = toxicity.train(rows, p)
+    clean = "_".join(rng.choice(words, 30))
+    df = spark.createDataFrame([(1, clean), (2, clean + "_worthlez_idiotic" * 4), (3, clean + "_worthlez_idiotic" * 4 + "_" + clean)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert got[1] < 0.5 and got[2] > got[1] + 0.2 and got[3] > got[1] + 0.2
+
+
 def test_language_id(spark, odd):
     rows = [("the cat and the dog are in the house with that man " * 3, "en"), ("der Hund und die Katze sind nicht im Haus mit dem Mann " * 3, "de")] * 30
     model = langid.train(rows, langid.LangParams())
