@@ -5,11 +5,14 @@ tokens in a row, its s-mers are the runs of ``S`` tokens inside. A k-mer is an a
 s-mer, by hash, is its first or its last. Whether a k-mer is an anchor depends on its own tokens only, so an edit changes no
 anchor elsewhere, and equal passages have equal anchors wherever they stand.
 
+Only 9 tokens in a row are sure to hold a closed syncmer. So texts of fewer than ``SHORT`` tokens have all runs of ``S`` tokens as anchors too, and
+texts of fewer than ``TINY`` also each token. Texts on either side of a limit still share the anchors of the longer runs.
+
 A fingerprint is the 32-bit hashes of the anchors in text order, as hexadecimal text. The likeness of two is the Dice
 coefficient of their sets of anchors; ``matched_positions`` gives the anchors that two texts share with their positions.
 
-Defined results: a null text counts as empty; a text of fewer than ``K`` tokens has one anchor, all its tokens;
-the fingerprint of a text without tokens is empty, and two empty ones are alike (1), an empty and another one are not (0);
+Defined results: a null text counts as empty; every text with a token has an anchor;
+the fingerprint of a text without tokens, and of no other, is empty, and two empty ones are alike (1), an empty and another one are not (0);
 equal texts have equal fingerprints; an empty table gives an empty result. Next document: descending doc_id,
 null ids last, ties by text hash, after the last the first; a single row is its own next. Other columns are not read.
 """
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import prepare, table
 
 K, S, RANGES = 6, 2, 200
+SHORT, TINY = 32, 8
 
 
 def token_hashes(text: Column) -> Column:
@@ -48,9 +52,11 @@ def anchors_of(df: DataFrame, text: str, name: str) -> DataFrame:
         return F.when(edge <= rest, F.struct(i.alias("pos"), made.bitwiseAND(0xFFFFFFFF).alias("hash")))
 
     long_ = F.filter(F.transform(F.sequence(F.lit(0), F.size(t) - K), closed), lambda x: x.isNotNull())
-    short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(F.transform(t, lambda x: x.cast("string")), " ")).bitwiseAND(0xFFFFFFFF).alias("hash")))
-    none = F.filter(short, lambda x: F.lit(False))
-    made = F.when(F.size(t) >= K, long_).when(F.size(t) > 0, short).otherwise(none)
+    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    each = lambda x: F.transform(x, lambda h, i: F.struct(i.alias("pos"), h.bitwiseAND(0xFFFFFFFF).alias("hash")))
+    long_ = F.when(F.size(t) >= K, long_).otherwise(none)
+    short = F.array_sort(F.concat(long_, each(F.col(m)), F.when(F.size(t) < TINY, each(F.col(t))).otherwise(none)))
+    made = F.when(F.size(t) >= SHORT, long_).otherwise(short)
     return df.withColumn(name, made).drop(t, m)
 
 

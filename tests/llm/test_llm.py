@@ -282,6 +282,23 @@ def test_fingerprints(spark, odd):
     assert syncmers.with_next(odd.limit(0)).count() == 0 and syncmers.with_next(odd).count() == len(ODD)
 
 
+def test_likeness_of_short_texts(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in [*range(3, 15), 20, 31, 32, 33, 40]:
+        for _ in range(20):
+            text, nxt = (" ".join("".join(rng.choice(list("abcdefghij"), rng.integers(4, 8))) for _ in range(n)) for _ in range(2))
+            cut = len(text) // 3
+            rows.append((n, text, text[: len(text) - cut] + nxt[:cut], nxt))
+    df = spark.createDataFrame(rows, "n int, text string, edited string, nxt string")
+    df = syncmers.anchors_of(syncmers.anchors_of(syncmers.anchors_of(df, "text", "own"), "edited", "new"), "nxt", "next")
+    out = df.select("n", syncmers.fingerprint("own").alias("f"), syncmers.likeness("own", "own").alias("same"),
+                    syncmers.likeness("own", "new").alias("near"), syncmers.likeness("own", "next").alias("other")).collect()
+    assert all(r["f"] and r["same"] == 1 and r["other"] == 0 for r in out)
+    assert all(0 < r["near"] < 1 for r in out)
+    assert len({r["f"] for r in out}) == len(out)
+
+
 def test_chat_round_trip_with_parts(spark):
     prepare(spark)
     part = lambda **k: tuple(k.get(f.name) for f in chat.PART)
