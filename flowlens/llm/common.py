@@ -64,22 +64,25 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def bounded_sample(df: DataFrame, by: str, per_value: int, key: str) -> list:
+def bounded_sample(df: DataFrame, by: str, per_value: int, key: str, size: int | None = None) -> list:
     """At most ``per_value`` rows for each value of ``by`` (a column of few values), chosen by the hash of
-    ``key``: the same rows whatever the partitioning. Only about that many rows reach the driver."""
+    ``key``: the same rows whatever the partitioning. Only about that many rows reach the driver. With ``size``, so many fewer
+    of a value whose texts (column ``text``) are long that about ``size`` bytes are expected, at least one; texts of any length can be in it."""
     h = fresh(df, "_h")
     df = df.withColumn(h, F.xxhash64(F.col(key).cast("string")))
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    octets = F.lit(0) if size is None else F.sum(F.octet_length("text"))
+    counts = {r[0]: (r[1], r[2]) for r in df.groupBy(by).agg(F.count("*"), octets).collect()}
+    bound = {v: per_value if size is None or not b else max(1, min(per_value, size * n // b)) for v, (n, b) in counts.items()}
     share = F.lit(False)
-    for value, n in counts.items():
+    for value, (n, _) in counts.items():
         # 1.5 x the share wanted, so that the hash order, not chance, decides; then trimmed below
-        cut = int(min(1.0, (1.5 * per_value + 200) / n) * (2**64)) - 2**63
+        cut = int(min(1.0, (1.5 * bound[value] + min(200, bound[value] + 20)) / n) * (2**64)) - 2**63
         share = share | ((F.col(by) == F.lit(value)) & (F.col(h) <= F.lit(min(cut, 2**63 - 1))))
     rows = sorted(df.where(share).collect(), key=lambda r: (r[h], str(r[key])))
     out, seen = [], {}
     for r in rows:
         seen[r[by]] = seen.get(r[by], 0) + 1
-        if seen[r[by]] <= per_value:
+        if seen[r[by]] <= bound[r[by]]:
             out.append(r)
     return out
 

@@ -3,7 +3,8 @@
 A text becomes a normalised TF-IDF vector of hashed byte n-grams (1 + log of the count, times the n-gram's
 inverse document frequency). Every language has several centroids (spherical k-means over its texts); the nearest one by cosine
 names the language. A text that is farther from its centroid than texts of that language and length ever
-were in training, by a margin, is rejected.
+were in training, by a margin, is rejected. Texts longer than all of that language in training have the limit of its longest
+ones, as cosines rise with length. A language without 20 training texts of about one length has no limit.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0 and count as rejected; repeated rows
 are classified alike; a tie goes to the language that sorts first; an empty table gives an empty
@@ -35,7 +36,7 @@ class LangParams:
     centroids: int = 4
     rounds: int = 8
     per_lang: int = 800            # bound of the training sample, texts of each language
-    max_chars: int = 10_000        # longer texts are not used for training (they are classified whole)
+    sample_bytes: int = 64 << 20   # bound of that sample in expected bytes, each language
     margin: float = 0.5            # share of the lowest training cosine, by length, under which a text is rejected
     block: int = 64
 
@@ -111,14 +112,17 @@ def train(rows: list[tuple[str, str]], p: LangParams) -> dict:
             seen = sim[(y == k) & (bins == b)]
             low = min(low, np.quantile(seen, 0.005)) if len(seen) >= 20 else low * 0.8
             floor[k, b] = 0 if np.isinf(low) else p.margin * low
+        trained = np.flatnonzero(floor[k])
+        if len(trained):                                       # longer texts than any in training
+            floor[k, trained[-1] + 1:] = floor[k, trained[-1]]
     return {"langs": langs, "centres": centres.astype(np.float32), "owner": owner, "idf": idf, "floor": floor}
 
 
 def fit(docs: DataFrame, learn, p: LangParams = LangParams()) -> dict:
     """Train on a bounded sample, for each language, of the texts for which the condition ``learn`` holds."""
     rows = docs.select("doc_id", "text", "lang").where(
-        learn & F.col("lang").isNotNull() & F.length("text").between(1, p.max_chars))
-    return train([(r["text"], r["lang"]) for r in bounded_sample(rows, "lang", p.per_lang, "doc_id")], p)
+        learn & F.col("lang").isNotNull() & (F.length("text") > 0))
+    return train([(r["text"], r["lang"]) for r in bounded_sample(rows, "lang", p.per_lang, "doc_id", p.sample_bytes)], p)
 
 
 def classify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "rejected"),

@@ -150,6 +150,25 @@ def test_language_id(spark, odd):
     assert {r["lang_pred"] for r in langid.classify(odd, langid.train([], langid.LangParams())).collect()} == {"und"}
 
 
+def test_long_texts_are_rejected_and_learned(spark):
+    import base64
+    rng = np.random.default_rng(3)
+    en, de = "the cat and dog are in house with that man she was not here".split(), "der Hund und die Katze sind nicht im Haus mit dem Mann".split()
+    made = lambda words, n: " ".join(rng.choice(words, n))
+    rows = [(made(w, int(n)), lang) for w, lang in ((en, "en"), (de, "de")) for n in rng.integers(20, 400, 120)]
+    model = langid.train(rows, langid.LangParams())
+    alien = base64.b64encode(rng.bytes(60_000)).decode()
+    texts = [alien[:n] for n in (3000, 9000, 17_000, 70_000)] + ["".join(map(chr, rng.integers(0x4E00, 0x9000, n))) for n in (3000, 9000, 20_000)]
+    good = [made(w, n) for w in (en, de) for n in (30, 600, 2500, 8000, 30_000)]
+    df = spark.createDataFrame(list(enumerate(texts + good)), "doc_id long, text string")
+    got = {r["doc_id"]: r["rejected"] for r in langid.classify(df, model).collect()}
+    assert [got[k] for k in range(len(texts + good))] == [True] * len(texts) + [False] * len(good)
+    # a language that has only long texts is learned
+    long_ = spark.createDataFrame([(k, made(de, 3000), "de") for k in range(5)] + [(9, made(en, 50), "en")], "doc_id long, text string, lang string")
+    assert langid.fit(long_, F.lit(True))["langs"] == ["de", "en"]
+    assert len(langid.bounded_sample(long_, "lang", 800, "doc_id", 25_000)) < 4
+
+
 TEXTS = ["", "a  b", "   ", "  lead", "trail  ", "a     b", "日本語 テスト! 🙂 x", "é" * 300, "a" * 999, "don't we'll\n\n\tX  y", "▁a b▁▁c",
          "a\0b", "ªº½", "ﬁ \xa0x", "1234567890 00000000", " ", "x " * 50, "a \n b\t\tc  ", "\x1c\x1d a\x85b"]
 
