@@ -4,7 +4,7 @@ The reference fits libsvm's One-Class SVM on one machine. Here the fit is re-aim
 cluster (SURVEY 4.3): m landmarks (seeded, lowest row hashes) give a Nystroem feature map
 phi(x) = K(x, L) U diag(lambda)^-1/2; phi is computed once per row in ``mapInPandas`` and
 kept as r plain double columns, so every optimisation pass is one JVM aggregation with
-partial aggregation: sums of phi over margin violators plus the nu-quantile of the scores.
+partial aggregation: the nu-quantile of the scores of all rows, then sums of phi over margin violators.
 The primal nu-one-class objective
     1/2 |w|^2 - rho + 1/(nu n) sum max(0, rho - w . phi(x))
 is minimised by Frank-Wolfe steps w <- (1-eta) w + eta/(nu n) sum_viol phi(x), eta = 2/(t+2),
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -66,6 +67,10 @@ def kernel_matrix(X: np.ndarray, L: np.ndarray, kernel: str, gamma: float, degre
     raise ValueError(f"unknown kernel {kernel}")
 
 
+class FitFailure(ArithmeticError):
+    """The fit met numbers that it cannot go on with."""
+
+
 @dataclass
 class OneClassModel:
     features: list[str]
@@ -198,8 +203,7 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
 def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf", gamma="scale",
                       nus: list[float] = (0.05,), n_landmarks: int = 256, iterations: int = 40,
                       hash_col: str = "row_hash", degree: int = 3, coef0: float = 0.0,
-                      scaler: Scaler | None = None, cache: bool = True, tol: float = 0.02,
-                      rho_sample: int = 20_000) -> list[OneClassModel]:
+                      scaler: Scaler | None = None, cache: bool = True, tol: float = 0.02) -> list[OneClassModel]:
     """One scaler, landmark set and cached feature map per (kernel, gamma), then one
     optimisation per nu value over the same cache."""
     import time as _time
@@ -219,8 +223,15 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
     _lap("landmarks")
     Kmm = kernel_matrix(L, L, kernel, g, degree, coef0)
     Kmm = (Kmm + Kmm.T) / 2.0
-    lam, U = np.linalg.eigh(Kmm)
+    if not np.isfinite(Kmm).all():
+        raise FitFailure("the kernel matrix of the landmarks is not finite")
+    try:
+        lam, U = np.linalg.eigh(Kmm)
+    except np.linalg.LinAlgError as e:
+        raise FitFailure(str(e)) from e
     keep = lam > 1e-10
+    if not keep.any():
+        raise FitFailure("the kernel matrix of the landmarks has no positive eigenvalue")
     Tm = U[:, keep] / np.sqrt(lam[keep])
     r = Tm.shape[1]
     phi = _phi_frame(z, features, L, Tm, kernel, g, degree, coef0, [hash_col])
@@ -235,9 +246,13 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
     def score_expr(wv):
         return sum((F.lit(float(wv[k])) * pc[k] for k in range(1, r)), F.lit(float(wv[0])) * pc[0])
 
-    # rho during the iterations: nu-quantile over a seeded sample of at most rho_sample rows
-    # (a bounded matrix on the driver); the final rho is computed over all rows
-    P_s = seeded_sample(phi, rho_sample, hash_col).select(*pc).toPandas().to_numpy(dtype=np.float64)
+    # rho is an approximate quantile (rank error 1/10,000) over all rows, in the iterations as at the end
+    def rho_of(w: np.ndarray, nu: float) -> float:
+        rho = phi.select(score_expr(w).alias("_s")).agg(F.percentile_approx("_s", nu, 10000).alias("rho")).collect()[0]["rho"]
+        if rho is None or not np.isfinite(rho) or not np.isfinite(w).all():
+            raise FitFailure("the scores of the training rows are not finite")
+        return float(rho)
+
     models = []
     for nu in nus:
         w = w0.copy()
@@ -246,7 +261,7 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
             # projected once per row and the sums run as one code-generated hash aggregate
             scored = phi.select(score_expr(w).alias("_s"), *pc)
             s = F.col("_s")
-            rho = float(np.quantile(P_s @ w, nu))
+            rho = rho_of(w, nu)
             viol = s < F.lit(rho)
             row = scored.agg(*[F.sum(F.when(viol, c)).alias(f"g{k}") for k, c in enumerate(pc)]).collect()[0]
             target = np.array([row[f"g{k}"] or 0.0 for k in range(r)], dtype=np.float64) / (nu * n)
@@ -257,8 +272,7 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
                 break
             eta = 2.0 / (t + 2.0)
             w = (1.0 - eta) * w + eta * target
-        rho = float(phi.select(score_expr(w).alias("_s")).agg(F.percentile_approx("_s", nu, 10000).alias("rho"))
-                    .collect()[0]["rho"])
+        rho = rho_of(w, nu)
         models.append(OneClassModel(list(features), scaler, L, Tm @ w, rho, kernel, g, degree, coef0, nu,
                                     {"kernel": kernel, "gamma": gamma, "nu": nu, "n_landmarks": n_landmarks,
                                      "iterations": iterations, "n_train": n}))
@@ -269,12 +283,16 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
 
 
 def fit_with_fallback(train: DataFrame, features: list[str], fallback_rows: int = 50_000, **kw) -> OneClassModel:
-    """If the fit fails, refit on a seeded sample of ``fallback_rows`` rows."""
+    """If the fit fails numerically, warn and refit on a seeded sample of ``fallback_rows`` rows. ``params`` of the model
+    tells which it was (``fallback_used``). Other errors, such as a lost executor, are raised."""
     try:
-        return fit_one_class(train, features, **kw)
-    except Exception:  # noqa: BLE001
-        hash_col = kw.get("hash_col", "row_hash")
-        return fit_one_class(seeded_sample(train, fallback_rows, hash_col), features, **kw)
+        model = fit_one_class(train, features, **kw)
+        model.params["fallback_used"] = False
+    except FitFailure as e:
+        warnings.warn(f"fit failed ({e}); refit on a sample of at most {fallback_rows} rows", stacklevel=2)
+        model = fit_one_class(seeded_sample(train, fallback_rows, kw.get("hash_col", "row_hash")), features, **kw)
+        model.params["fallback_used"] = True
+    return model
 
 
 # -- tuning (G13) ------------------------------------------------------------

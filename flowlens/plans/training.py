@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import clean, evaluate as ev, split
-from flowlens.operators.oneclass import OneClassModel, fit_one_class
+from flowlens.operators.oneclass import OneClassModel, fit_with_fallback
 
 # ---------------------------------------------------------------------------
 # The reference's sample-size modes (total rows, rows per file, benign
@@ -68,12 +68,8 @@ def run_training(labelled: DataFrame, features: list[str] | None = None, mode: s
         train = split.seeded_sample(train, cfg["benign_rows"], hash_col)
     fit_kw = dict(kernel=p["kernel"], gamma=p["gamma"], nu=p["nu"], n_landmarks=n_landmarks,
                   iterations=iterations, hash_col=hash_col)
-    try:
-        model = fit_one_class(train, feats, **fit_kw)
-        n_train_used = model.params.get("n_train")
-    except Exception:  # noqa: BLE001 - G9: refit on a reduced seeded sample
-        model = fit_one_class(split.seeded_sample(train, cfg["fallback_rows"], hash_col), feats, **fit_kw)
-        n_train_used = model.params.get("n_train")
+    model = fit_with_fallback(train, feats, cfg["fallback_rows"], **fit_kw)    # G9
+    n_train_used = model.params.get("n_train")
     fit_s = time.time() - t0
     test = sets.filter(F.col("test_set") != "train")
     scored = model.transform(test).withColumn("yhat", F.col("is_anomaly").cast("int"))
@@ -87,8 +83,9 @@ def run_training(labelled: DataFrame, features: list[str] | None = None, mode: s
     summary = spark.createDataFrame(
         [(mode, profile, p["kernel"], str(p["gamma"]), float(p["nu"]), float(model.gamma), len(feats),
           int(n_train_used or 0), int(len(model.coef)), float(model.rho), ov.get("accuracy"), ov.get("precision"),
-          ov.get("recall"), ov.get("f1_score"), round(fit_s, 3), json.dumps(model.metrics))],
+          ov.get("recall"), ov.get("f1_score"), round(fit_s, 3), json.dumps(model.metrics),
+          model.params["fallback_used"])],
         "mode string, profile string, kernel string, gamma string, nu double, gamma_value double, n_features int, "
         "n_train bigint, n_landmarks int, rho double, accuracy double, precision double, recall double, "
-        "f1_score double, train_seconds double, metrics_by_set string")
+        "f1_score double, train_seconds double, metrics_by_set string, fallback_used boolean")
     return TrainingRun(model, metrics, summary)

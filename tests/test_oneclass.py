@@ -63,3 +63,37 @@ def test_scores_with_more_vectors_than_one_block(spark):
     rows = [(0.0, 0.0), (1.5, -2.0), (9.0, 9.0)]
     got = [r["score"] for r in m.transform(spark.createDataFrame(rows, "a double, b double")).collect()]
     assert np.allclose(got, kernel_matrix(np.array(rows), x, "rbf", 0.5, 3, 0.0) @ alpha - 0.1)
+
+
+def test_rho_of_the_iterations_is_from_all_rows(spark, toy, monkeypatch):
+    from flowlens.operators import oneclass
+    asked = []
+    real = oneclass.seeded_sample
+    monkeypatch.setattr(oneclass, "seeded_sample", lambda df, n, *a: asked.append(n) or real(df, n, *a))
+    fit_one_class(toy.filter("Attack = 0"), ["a", "b"], "rbf", "scale", 0.1, n_landmarks=16, iterations=2)
+    assert asked == [16]                                    # the landmarks only
+
+
+def test_fallback_only_for_numeric_failures(spark, toy, monkeypatch):
+    from flowlens.operators import oneclass
+    train = toy.filter("Attack = 0")
+    real, seen = oneclass.fit_one_class, []
+
+    def fails(error):
+        def fit(df, features, **kw):
+            seen.append(df.count())
+            if len(seen) == 1:
+                raise error
+            return real(df, features, n_landmarks=8, iterations=1)
+        return fit
+
+    monkeypatch.setattr(oneclass, "fit_one_class", fails(oneclass.FitFailure("not finite")))
+    with pytest.warns(UserWarning, match="not finite"):
+        model = oneclass.fit_with_fallback(train, ["a", "b"], 500)
+    assert seen == [3000, 500] and model.params["fallback_used"] is True
+    seen.clear()
+    monkeypatch.setattr(oneclass, "fit_one_class", fails(RuntimeError("executor lost")))
+    with pytest.raises(RuntimeError):
+        oneclass.fit_with_fallback(train, ["a", "b"], 500)
+    with pytest.raises(oneclass.FitFailure):
+        real(train.withColumn("a", toy.a * float("inf")), ["a", "b"], n_landmarks=8, iterations=1)
