@@ -117,6 +117,22 @@ def filter_bits(key: np.ndarray, level: np.ndarray | int, k: int, mask: np.ndarr
     return (a + U(k) * ((a >> U(33)) | U(1))) & np.asarray(mask).astype(U)
 
 
+def squeeze(key: np.ndarray, *more: np.ndarray) -> bytes:
+    """An ascending column, as differences, and others beside it, compressed byte plane by byte plane."""
+    columns = np.diff(key, prepend=np.zeros(1, key.dtype)), *more
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, n: int, *types: str) -> list[np.ndarray]:
+    wide = [np.dtype(t).itemsize for t in types]
+    raw, at, out = np.frombuffer(pa.decompress(data, n * sum(wide), codec="zstd", asbytes=True), np.uint8), 0, []
+    for t, w in zip(types, wide, strict=True):
+        out.append(np.ascontiguousarray(raw[at:at + n * w].reshape(w, n).T).view(t).ravel())
+        at += n * w
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
+
+
 class Filter:
     """One segment's bit table, and the highest level in it."""
 
@@ -163,9 +179,9 @@ def count_parts(docs: DataFrame, segments: int, p: LMParams) -> DataFrame:
                 low, n = (h[a:b] & U(0xFFFFFFFF)).astype("<u4"), c[a:b]
                 times = np.maximum(-(-n // 255), 1)
                 low, n = np.repeat(low, times), np.minimum(255, np.repeat(n, times) - 255 * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)))
-                data = low.tobytes() + n.astype(np.uint8).tobytes()
+                data = squeeze(low, n.astype(np.uint8))
             else:
-                data = h[a:b].astype("<u8").tobytes() + c[a:b].astype("<u4").tobytes()
+                data = squeeze(h[a:b].astype("<u8"), c[a:b].astype("<u4"))
             rows.append((int(s), kind, part, b - a if not kind else len(low), data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +229,12 @@ def add_up(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
     segment's totals (kind 2)."""
 
     def segment(seg: int, rows: list) -> list:
-        words = [(part, np.frombuffer(d[: 8 * n], "<u8"), np.frombuffer(d[8 * n:], "<u4")) for kind, part, n, d in rows if kind == 0]
+        words = [(part, *expand(d, n, "<u8", "<u4")) for kind, part, n, d in rows if kind == 0]
         h = np.concatenate([w for _, w, _ in words]) if words else np.zeros(0, U)
         c = np.concatenate([c for _, _, c in words]).astype(np.int64) if words else np.zeros(0, np.int64)
         word, back = np.unique(h, return_inverse=True)
         total = np.bincount(back, c, len(word)).astype(np.int64)
-        pairs = [(part, np.frombuffer(d[: 4 * n], "<u4"), np.frombuffer(d[4 * n:], np.uint8)) for kind, part, n, d in rows if kind]
+        pairs = [(part, *expand(d, n, "<u4", "u1")) for kind, part, n, d in rows if kind]
         low = np.concatenate([x for _, x, _ in pairs] or [np.zeros(0, "<u4")])
         times = np.concatenate([c for _, _, c in pairs] or [np.zeros(0, np.uint8)])
         order = np.argsort(low)
@@ -235,10 +251,10 @@ def add_up(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
         for part, w, _ in words:
             some = back[at:at + len(w)]
             at += len(w)
-            out.append((0, part, len(w), w.astype("<u8").tobytes() + total[some].astype("<u8").tobytes() + word_level[some].tobytes(), seg, 0, 0, 0))
+            out.append((0, part, len(w), squeeze(w, total[some].astype("<u8"), word_level[some]), seg, 0, 0, 0))
         for part, x, _ in pairs:
             x = np.unique(x)
-            out.append((1, part, len(x), x.astype("<u4").tobytes() + pair_level[np.searchsorted(pair, x)].tobytes(), seg, 0, 0, 0))
+            out.append((1, part, len(x), squeeze(x, pair_level[np.searchsorted(pair, x)]), seg, 0, 0, 0))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +335,10 @@ def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame
                 if side[lo] < 2:
                     for seg, n, d in zip(*(col[c].slice(lo, hi - lo).to_pylist() for c in ("seg", "n", "data")), strict=True):
                         if side[lo] == 0:
-                            blobs[0].append((np.frombuffer(d[: 8 * n], "<u8"), np.frombuffer(d[8 * n:16 * n], "<u8"), np.frombuffer(d[16 * n:], "<u2")))
+                            blobs[0].append(expand(d, n, "<u8", "<u8", "<u2"))
                         else:
-                            blobs[1].append(((U(seg) << U(32)) | np.frombuffer(d[: 4 * n], "<u4").astype(U), np.frombuffer(d[4 * n:], "<u2")))
+                            low, level = expand(d, n, "<u4", "<u2")
+                            blobs[1].append(((U(seg) << U(32)) | low.astype(U), level))
                     continue
                 if known is None:
                     known = one_of_each(blobs[0]), one_of_each(blobs[1])
