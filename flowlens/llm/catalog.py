@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from flowlens.llm import (chat, imi, langid, lm, neardup, packing, spm, syncmers, tokenscan, toxicity)
+from flowlens.llm import (chat, fim, imi, langid, lines, lm, neardup, packing, spm, syncmers, tokenscan, toxicity, trie)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_embedding_near_dedup": imi.query,
     "op9_sentencepiece": spm.query,
     "op10_best_fit_packing": packing.query,
+    "op11_fill_in_middle": fim.query,
+    "op12_line_dedup": lines.query,
+    "op13_conversation_trie": trie.query,
 }
 
 
@@ -33,4 +36,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_chat_formatting": chat.ORACLE, "op8_embedding_near_dedup": imi.ORACLE}
+    return {"op6_chat_formatting": chat.ORACLE, "op8_embedding_near_dedup": imi.ORACLE, "op11_fill_in_middle": fim.ORACLE,
+            "op12_line_dedup": lines.ORACLE, "op13_conversation_trie": trie.ORACLE}

@@ -18,19 +18,30 @@ def prepare(spark: SparkSession) -> None:
     """Session settings that every operator of this package relies on."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")      # long texts make smaller batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlens-llm/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: the lineage ends there, and a lost
-    executor costs no earlier work."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlens-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    executor costs no earlier work. With ``by``, in a folder for each of these columns' values."""
+    path = shared_path(df.sparkSession, name)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more, by the file system that holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def crc_mod(column: str, m: int) -> Column:
