@@ -202,7 +202,7 @@ def trie(turns: DataFrame, convs: DataFrame, height: int | None = None) -> DataF
 
     last = convs.where("n = 0").select("conv_id", *root).unionAll(
         turns.join(convs.select("conv_id", F.col("n").alias("depth")), ["conv_id", "depth"]).select("conv_id", *key))
-    out = nodes.join(total, key).join(digests(last), key, "left")
+    out = stored(nodes.join(total, key).join(digests(last), key, "left"), "nodes")
 
     # a parent of a large share of all nodes is one of a few, and its row is sent to every task
     most = max(HOT, (nodes.count() or 0) // HOT)
