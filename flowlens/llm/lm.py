@@ -6,15 +6,17 @@ into a Bloom filter q times, as (n-gram, 1) to (n-gram, q). A count is read back
 A word's probability mixes the pair's relative frequency with the smoothed frequency of the word alone. The weight is
 picked from a grid by the likelihood of all training text, each pair counted without itself (leave one out).
 
-Flow: each part of the input sends its distinct n-grams, counted, as packed blocks to segments by hash; pairs and words that
-only texts outside training hold go along with a count of 0. A segment adds them up, builds its own piece of the filter, probes it for every
-n-gram of every part, and returns the levels to the parts, for words with the exact counts that the base score needs. The filter
-never leaves its segments, so every n-gram has ``bits`` bits whatever the size of the input, and nothing that grows is broadcast or
-collected. An n-gram crosses the network twice for each part that holds it, whatever its frequency. Parts are cut to about ``part_bytes`` of text.
+Flow: (1) the tasks send the n-grams of training texts, counted, as packed blocks to segments by hash. (2) A segment adds them up and stores
+its piece: the bits of its n-grams, and the exact counts of its words, which the base score needs. (3) While all pieces together take at most
+``broadcast_bytes``, which is checked before anything is collected, they are broadcast to the workers, and texts are scored as they are
+scanned: every pair of a batch is probed level by level. Beyond that, the texts go to the filter in two steps: parts of about ``part_bytes`` of text send their distinct n-grams to the
+segments, which probe their pieces for them, and get the levels back. Both ways probe the same bits in the same manner, so scores are equal.
+Every n-gram has ``bits`` bits whatever the size of the input, and the number of segments follows the input. Memory of a task: ``flush`` tokens in (1),
+the n-grams of a segment in (2), the pieces or the distinct n-grams of a part in (3), besides a batch of texts.
 
 Defined results: a null text counts as empty (one token, the end); repeated rows count and are scored each; rows with a null id are
-in training by the hash of the empty id; an empty table gives an empty result; other columns are not read. Words are compared by a
-64-bit hash, pairs by 32 bits within their segment.
+in training by the hash of the empty id; an empty table gives an empty result; other columns are not read; a very long text is counted and scored whole,
+in a batch of its own. Words and pairs are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ GRID = (0.01, 0.05, 0.15, 0.3, 0.5, 0.7)
 @dataclass(frozen=True)
 class LMParams:
     base: float = 1.5              # of the levels
-    bits: int = 8                  # of the filter for each entry
+    bits: int = 10                 # of the filter for each entry
     hashes: int = 4
-    part_bytes: int = 64 << 20     # text of a part, about
-    segment_bytes: int = 8 << 20   # input text for each segment
-    flush: int = 4_000_000         # tokens that a part counts before it sends them
-    cache_words: int = 400_000
+    segment_bytes: int = 16 << 20  # input text for each segment
+    broadcast_bytes: int = 192 << 20   # most that is broadcast: the filter's bits, and 16 bytes for each word
+    part_bytes: int = 16 << 20     # text of a part, about, where the filter is not broadcast
+    flush: int = 1_000_000         # tokens that a task counts before it sends them
+    cache_words: int = 100_000
 
 
 def levels(count: np.ndarray, base: float) -> np.ndarray:
@@ -108,19 +111,24 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (((h >> U(32)) * U(segments)) >> U(32)).astype(np.int64)
 
 
-def entry_key(seg: np.ndarray, low: np.ndarray, kind: int) -> np.ndarray:
-    return mix64((seg.astype(U) << U(33)) ^ (low.astype(U) << U(1)) ^ U(kind))
+def entry_key(h: np.ndarray, kind: int) -> np.ndarray:
+    """The key of a word (kind 0) or of a pair (kind 1)."""
+    return mix64(h ^ (U(kind) * U(0xD6E8FEB86659FD93)))
 
 
-def filter_bits(key: np.ndarray, level: np.ndarray | int, k: int, mask: np.ndarray | int) -> np.ndarray:
+def filter_bit(key: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> Iterator[np.ndarray]:
+    """The bits of (n-gram, level), one for each hash, in a piece of ``size`` bits."""
     a = mix64(key + np.asarray(level).astype(U) * U(0x9E3779B97F4A7C15))
-    return (a + U(k) * ((a >> U(33)) | U(1))) & np.asarray(mask).astype(U)
+    high, low, size = a >> U(32), (a & U(0xFFFFFFFF)) | U(1), np.asarray(size).astype(U)
+    while True:
+        yield ((high * size) >> U(32)).astype(np.int64)
+        high = (high + low) & U(0xFFFFFFFF)
 
 
 def squeeze(key: np.ndarray, *more: np.ndarray) -> bytes:
     """An ascending column, as differences, and others beside it, compressed byte plane by byte plane."""
     columns = np.diff(key, prepend=np.zeros(1, key.dtype)), *more
-    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns), codec="zstd", asbytes=True)
 
 
 def expand(data: bytes, n: int, *types: str) -> list[np.ndarray]:
@@ -133,254 +141,346 @@ def expand(data: bytes, n: int, *types: str) -> list[np.ndarray]:
     return out
 
 
-class Filter:
-    """One segment's bit table, and the highest level in it."""
+def make_bits(key: np.ndarray, level: np.ndarray, p: LMParams) -> tuple[np.ndarray, int]:
+    """The bits of a piece that holds each key at levels 1 to ``level``: packed, with their number."""
+    size = max(int(level.sum()) * p.bits, 64)
+    table = np.zeros(-(-size // 8) * 8, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        some = key[level >= j]
+        for _, bit in zip(range(p.hashes), filter_bit(some, j, size), strict=False):
+            table[bit] = True
+    return np.packbits(table, bitorder="little"), size
 
-    def __init__(self, key: np.ndarray, level: np.ndarray, p: LMParams):
-        self.hashes, self.top = p.hashes, int(level.max()) if len(level) else 0
-        self.entries = int(level.sum())
-        self.size = 1 << int(np.ceil(np.log2(max(self.entries * p.bits, 64))))
-        self.bits = np.zeros(self.size, bool)
-        for j in range(1, self.top + 1):
-            some = key[level >= j]
-            for k in range(p.hashes):
-                self.bits[filter_bits(some, j, k, self.size - 1).astype(np.int64)] = True
 
-    def level(self, key: np.ndarray) -> np.ndarray:
+class Pieces:
+    """The filter's pieces ``first``, ``first`` + 1, ..., to be probed."""
+
+    def __init__(self, bits: list[np.ndarray], size: list[int], top: list[int], segments: int, hashes: int, first: int = 0):
+        self.bits = np.concatenate([*bits, np.zeros(1, np.uint8)])
+        self.offset = np.cumsum([0, *(len(b) * 8 for b in bits)])[:-1]
+        self.size, self.top = np.array(size, np.int64), np.array(top, np.int64)
+        self.segments, self.hashes, self.first = segments, hashes, first
+
+    def level(self, h: np.ndarray, kind: int) -> np.ndarray:
         """Level of each n-gram: probe (n-gram, 1), (n-gram, 2), ... until one is not there."""
-        out = np.zeros(len(key), "<u2")
-        live = np.arange(len(key))
-        for level in range(1, self.top + 1):
-            for k in range(self.hashes):
-                hit = self.bits[filter_bits(key, level, k, self.size - 1).astype(np.int64)]
-                if not hit.all():
-                    live, key = live[hit], key[hit]
+        out = np.zeros(len(h), "<u2")
+        live, key, seg = np.arange(len(h)), entry_key(h, kind), segment_of(h, self.segments) - self.first
+        for level in range(1, int(self.top.max(initial=0)) + 1):
+            below = self.top[seg] >= level
+            if not below.all():
+                live, key, seg = live[below], key[below], seg[below]
+            hit = np.ones(len(live), bool)
+            for _, bit in zip(range(self.hashes), filter_bit(key, level, self.size[seg]), strict=False):
+                bit += self.offset[seg]
+                hit &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & np.uint8(1) > 0
+            live, key, seg = live[hit], key[hit], seg[hit]
             out[live] = level
             if not len(live):
                 break
         return out
 
 
-def count_parts(docs: DataFrame, segments: int, p: LMParams) -> DataFrame:
-    """(part, train, text) -> packed counts by segment: of the distinct words and the distinct pairs of each part (with 0 where
-    only texts outside training hold them)."""
-
-    def packed(rows: list, part: int, h: np.ndarray, c: np.ndarray, kind: int) -> None:
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-        h, c = h[start], np.add.reduceat(c, start) if len(h) else c
-        seg = segment_of(h, segments)                           # ascending, as h is
-        cut = np.searchsorted(seg, np.arange(segments + 1))
-        for s in np.flatnonzero(cut[1:] > cut[:-1]):
-            a, b = cut[s], cut[s + 1]
-            if kind:
-                # few pairs occur 255 times in a part; those take part as several entries
-                low, n = (h[a:b] & U(0xFFFFFFFF)).astype("<u4"), c[a:b]
-                times = np.maximum(-(-n // 255), 1)
-                low, n = np.repeat(low, times), np.minimum(255, np.repeat(n, times) - 255 * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)))
-                data = squeeze(low, n.astype(np.uint8))
-            else:
-                data = squeeze(h[a:b].astype("<u8"), c[a:b].astype("<u4"))
-            rows.append((int(s), kind, part, b - a if not kind else len(low), data))
+def by_segment(h: np.ndarray, segments: int) -> Iterator[tuple[int, int, int]]:
+    """(segment, from, to) of ascending hashes."""
+    cut = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
+    for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        yield s, int(cut[s]), int(cut[s + 1])
+
+
+def add_equal(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different hashes, and the sums of their counts."""
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    return h[start], np.add.reduceat(c, start) if len(h) else c
+
+
+def record(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def read_ngrams(texts: list[str | None], vocab: Vocabulary, flush: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the tokens of some texts, and of the pairs that end in them; about ``flush`` tokens at most, or one text."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or (hi - lo < 250 and size + len(texts[hi] or "") < 8 * flush)):
+            size += len(texts[hi] or "")
+            hi += 1
+        ids, n, _ = vocab.read(texts[lo:hi])
+        h, before = with_ends(vocab.hash[ids], n)
+        yield h, pair_hash(before, h)
+        lo = hi
+
+
+COUNTED = "seg int, kind int, n long, data binary"
+
+
+def count_ngrams(texts: DataFrame, segments: int, p: LMParams) -> DataFrame:
+    """(text) -> counts of the n-grams, packed by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(p.cache_words)
-        held: dict = {}
+        vocab, held, total = Vocabulary(p.cache_words), ([], []), 0
 
         def emit() -> pa.RecordBatch:
             rows: list = []
-            for part, (words, pairs) in held.items():
-                packed(rows, part, np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words]), 0)
-                packed(rows, part, np.concatenate([g for g, _ in pairs]), np.concatenate([c for _, c in pairs]), 1)
-            held.clear()
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
-                                              names=["seg", "kind", "part", "n", "data"])
+            for kind, parts in enumerate(held):
+                h, c = add_equal(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts.clear()
+                rows += [(s, kind, b - a, squeeze(h[a:b].astype("<u8"), c[a:b].astype("<u4"))) for s, a, b in by_segment(h, segments)]
+            return record(rows, COUNTED)
 
-        total = 0
         for b in batches:
-            part, train, text = (np.array(b.column(0)), np.array(b.column(1)), b.column(2).to_pylist())
-            for which in np.unique(part):
-                for lo in range(0, len(text), 250):
-                    rows = [k for k in range(lo, min(lo + 250, len(text))) if part[k] == which]
-                    if not rows:
-                        continue
-                    ids, n, _ = vocab.read([text[k] for k in rows])
-                    h, before = with_ends(vocab.hash[ids], n)
-                    own = np.repeat(train[rows], n + 1)
-                    words, back = np.unique(h, return_inverse=True)
-                    words_, pairs = held.setdefault(int(which), ([], []))
-                    words_.append((words, np.bincount(back, own, len(words)).astype(np.int64)))
-                    pair, back = np.unique(pair_hash(before, h), return_inverse=True)
-                    pairs.append((pair, np.bincount(back, own, len(pair)).astype(np.int64)))
-                    total += len(h)
-                    if total >= p.flush:
-                        yield emit()
-                        total = 0
-        if held:
+            for both in read_ngrams(b.column(0).to_pylist(), vocab, p.flush):
+                total += len(both[0])
+                for parts, h in zip(held, both, strict=True):
+                    parts.append(np.unique(h, return_counts=True))
+                if total >= p.flush:
+                    yield emit()
+                    total = 0
+        if total:
             yield emit()
 
-    return docs.select("part", "train", "text").mapInArrow(run, "seg int, kind int, part int, n long, data binary")
-
-
-def add_up(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
-    """Packed counts -> for each part, exact counts and levels of its words (kind 0) and levels of its pairs (kind 1), and each
-    segment's totals (kind 2)."""
-
-    def segment(seg: int, rows: list) -> list:
-        words = [(part, *expand(d, n, "<u8", "<u4")) for kind, part, n, d in rows if kind == 0]
-        h = np.concatenate([w for _, w, _ in words]) if words else np.zeros(0, U)
-        c = np.concatenate([c for _, _, c in words]).astype(np.int64) if words else np.zeros(0, np.int64)
-        word, back = np.unique(h, return_inverse=True)
-        total = np.bincount(back, c, len(word)).astype(np.int64)
-        pairs = [(part, *expand(d, n, "<u4", "u1")) for kind, part, n, d in rows if kind]
-        low = np.concatenate([x for _, x, _ in pairs] or [np.zeros(0, "<u4")])
-        times = np.concatenate([c for _, _, c in pairs] or [np.zeros(0, np.uint8)])
-        order = np.argsort(low)
-        low, times = low[order], times[order].astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, int)
-        pair, pair_n = low[start], np.add.reduceat(times, start) if len(low) else times
-        keys = lambda x, kind: entry_key(np.full(len(x), seg), x, kind)
-        word_key, pair_key = keys(word & U(0xFFFFFFFF), 0), keys(pair, 1)
-        known, met = total > 0, pair_n > 0
-        table = Filter(np.concatenate([word_key[known], pair_key[met]]), levels(np.concatenate([total[known], pair_n[met]]), p.base), p)
-        word_level, pair_level = table.level(word_key), table.level(pair_key)
-        out = [(2, seg, len(word), b"", int(total.sum()), int(known.sum()), table.entries, table.size)]
-        at = 0
-        for part, w, _ in words:
-            some = back[at:at + len(w)]
-            at += len(w)
-            out.append((0, part, len(w), squeeze(w, total[some].astype("<u8"), word_level[some]), seg, 0, 0, 0))
-        for part, x, _ in pairs:
-            x = np.unique(x)
-            out.append((1, part, len(x), squeeze(x, pair_level[np.searchsorted(pair, x)]), seg, 0, 0, 0))
-        return out
+    return texts.select("text").mapInArrow(run, COUNTED)
+
+
+PIECE = "seg int, tokens long, types long, entries long, size long, top int, words binary, bits binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        names = ["kind", "key", "n", "data", "tokens", "types", "entries", "bits"]
-        now, rows = None, []
 
-        def done(seg: int, rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*segment(seg, rows), strict=True), types, strict=True)], names=names)
+def make_pieces(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
+    """Packed counts -> each segment's piece of the filter, and its words with their counts."""
 
+    def piece(seg: int, blocks: tuple[list, list]) -> pa.RecordBatch:
+        (w, wc), (g, gc) = (add_equal(np.concatenate([h for h, _ in x] or [np.zeros(0, U)]), np.concatenate([c for _, c in x] or [np.zeros(0, np.int64)])) for x in blocks)
+        level = levels(np.concatenate([wc, gc]), p.base)
+        bits, size = make_bits(np.concatenate([entry_key(w, 0), entry_key(g, 1)]), level, p)
+        return record([(seg, int(wc.sum()), len(w), int(level.sum()), size, int(level.max(initial=0)), squeeze(w.astype("<u8"), wc.astype("<u8")), bits.tobytes())], PIECE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, ([], [])
         for b in batches:
-            for seg, *row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("seg", "kind", "part", "n", "data")), strict=True):
+            for seg, kind, n, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("seg", "kind", "n", "data")), strict=True):
                 if seg != now:
-                    if rows:
-                        yield done(now, rows)
-                    now, rows = seg, []
-                rows.append(row)
-        if rows:
-            yield done(now, rows)
+                    if now is not None:
+                        yield piece(now, blocks)
+                    now, blocks = seg, ([], [])
+                h, c = expand(data, n, "<u8", "<u4")
+                blocks[kind].append((h, c.astype(np.int64)))
+                if len(blocks[kind]) == 64:                  # blocks of equal n-grams shrink as they are added up
+                    blocks[kind][:] = [add_equal(*(np.concatenate(x) for x in zip(*blocks[kind], strict=True)))]
+        if now is not None:
+            yield piece(now, blocks)
+
+    return counted.repartition(segments, "seg").sortWithinPartitions("seg").mapInArrow(run, PIECE)
+
+
+SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
+
+
+class Scorer:
+    """Scores batches of texts with the counts and levels that ``lookup`` finds: of words (counts, levels) and of pairs (levels)."""
+
+    def __init__(self, words, pairs, tokens: int, types: int, p: LMParams):
+        self.words, self.pairs = words, pairs
+        self.value, self.smooth = level_values(p.base), tokens + 0.5 * (types + 1)
+        self.vocab, self.flush = Vocabulary(p.cache_words), p.flush
+        self.count, self.alone = np.zeros(0, np.int64), np.zeros(0)
+        count, level = words(np.array([END]))
+        self.end_count, self.end_value = count[0], self.value[level[0]]
+
+    def blocks(self, ids: pa.Array, train: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        size = np.cumsum([len(t or "") for t in texts.to_pylist()])
+        lo = 0
+        while lo < len(texts):
+            done = size[lo - 1] if lo else 0
+            hi = min(lo + 250, max(lo + 1, int(np.searchsorted(size, done + 8 * self.flush, side="right"))))
+            yield self.block(*(x.slice(lo, hi - lo) for x in (ids, train, texts)))
+            lo = hi
+
+    def block(self, doc_id: pa.Array, train: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        ids, n, void = self.vocab.read(texts.to_pylist())
+        if void:
+            self.count, self.alone = np.zeros(0, np.int64), np.zeros(0)
+        if len(self.vocab.hash) > len(self.count):
+            count, level = self.words(self.vocab.hash[len(self.count):])
+            self.count, self.alone = np.concatenate([self.count, count]), np.concatenate([self.alone, self.value[level]])
+        h, before = with_ends(self.vocab.hash[ids], n)
+        ends = np.cumsum(n + 1)
+        start = ends - n - 1
+        c = np.insert(self.count[ids], np.cumsum(n), self.end_count)
+        one = np.insert(self.alone[ids], np.cumsum(n), self.end_value)
+        hist = np.empty_like(one)
+        hist[1:] = one[:-1]
+        hist[start] = self.end_value
+        pair, back = np.unique(pair_hash(before, h), return_inverse=True)
+        two = np.minimum(self.value[self.pairs(pair)][back], hist)
+        single = (one + 0.5) / self.smooth
+        share = two / np.maximum(hist, 1)
+        less = np.maximum(two - 1, 0) / np.maximum(hist - 1, 1)
+        own = np.array(train)
+        score, out = [], []
+        for w in GRID:
+            score.append(np.add.reduceat(np.log10(w * share + (1 - w) * single), start))
+            out.append(np.where(own, np.add.reduceat(np.log10(w * less + (1 - w) * single), start), 0))
+        flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * len(x[0]) + 1, len(x), dtype=np.int32)), pa.array(np.stack(x, 1).ravel()))
+        base = np.add.reduceat(np.log10(c + 0.5), start) - (n + 1) * np.log10(self.smooth)
+        return pa.RecordBatch.from_arrays([doc_id, train, pa.array(n + 1), pa.array(np.add.reduceat((c > 0).astype(np.int64), start)), pa.array(base), flat(score), flat(out)],
+                                          names=[f.split()[0] for f in SCORED.split(", ")])
+
+
+def counts_of(h: np.ndarray, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Exact counts, 0 for words that are not among the ascending ones."""
+    at = np.searchsorted(words, h)
+    hit = at < len(words)
+    hit[hit] = words[at[hit]] == h[hit]
+    out = np.zeros(len(h), np.int64)
+    out[hit] = count[at[hit]]
+    return out
 
-    laid = counted.repartition(min(segments, 4096), "seg").sortWithinPartitions("seg")
-    return laid.mapInArrow(run, "kind int, key int, n long, data binary, tokens long, types long, entries long, bits long")
 
+def score_broadcast(rows: DataFrame, pieces: DataFrame, segments: int, tokens: int, types: int, p: LMParams) -> DataFrame:
+    """Scores of (doc_id, train, text), with all pieces in every worker. The caller has checked their size."""
+    got = sorted(pieces.select("seg", "types", "size", "top", "words", "bits").collect(), key=lambda r: r["seg"])
+    have = {r["seg"]: r for r in got}
+    empty = np.zeros(0, np.uint8)
+    all_ = range(segments)
+    table = Pieces([np.frombuffer(have[s]["bits"], np.uint8) if s in have else empty for s in all_], [have[s]["size"] if s in have else 64 for s in all_],
+                   [have[s]["top"] if s in have else 0 for s in all_], segments, p.hashes)
+    words = [expand(r["words"], r["types"], "<u8", "<u8") for r in got]
+    word, count = (np.concatenate([w[k] for w in words] or [np.zeros(0, U)]) for k in (0, 1))
+    given = rows.sparkSession.sparkContext.broadcast((table, word, count.astype(np.int64)))
 
-def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, filter_load for every row of ``docs``
-    (doc_id, text); learns from the rows for which the condition ``train`` holds."""
-    spark = docs.sparkSession
-    rows = stored(docs.select("doc_id", train.alias("train"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part")), "lm-docs")
-    octets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, word, count = given.value
+        scorer = Scorer(lambda h: (counts_of(h, word, count), table.level(h, 0)), lambda h: table.level(h, 1), tokens, types, p)
+        for b in batches:
+            yield from scorer.blocks(*b.columns)
+
+    out = stored(rows.select("doc_id", "train", "text").mapInArrow(run, SCORED), "lm-scores")
+    given.destroy()
+    return out
+
+
+ANSWER = "part int, side int, seg int, n long, data binary"
+
+
+def score_by_segment(rows: DataFrame, pieces: DataFrame, segments: int, tokens: int, types: int, p: LMParams) -> DataFrame:
+    """Scores of (doc_id, train, text), with the n-grams of each part sent to the segments and answered there."""
+    rows = stored(rows.withColumn("part", F.spark_partition_id()), "lm-docs")
     # input partitions with much text are several parts
     most = rows.groupBy("part").agg(F.sum(F.octet_length("text")).alias("octets")).agg(F.max("octets")).first()[0] or 0
     if most > p.part_bytes:
         cut = -(-most // p.part_bytes)
         rows = rows.withColumn("part", (F.col("part") * cut + F.pmod(F.xxhash64("doc_id", "text"), F.lit(cut))).cast("int"))
-    segments = 1 << int(np.clip(np.ceil(np.log2(max(octets / p.segment_bytes, 1))), 3, 16))
-    made = stored(add_up(count_parts(rows, segments, p), segments, p), "lm-counts")
-    tokens, types, entries, bits = (x or 0 for x in made.where("kind = 2").agg(*(F.sum(c) for c in ("tokens", "types", "entries", "bits"))).first())
-    load = bits / max(entries, 1)
-    log_total = float(np.log10(tokens + 0.5 * (types + 1)))
-    grid = np.array(GRID)
-
-    # each part's words and then its texts
-    words = made.where("kind < 2").select(F.col("key").alias("part"), F.col("kind").alias("side"), F.col("tokens").cast("int").alias("seg"), F.lit(None).cast("long").alias("doc_id"),
-                                          F.lit(False).alias("train"), F.lit(None).cast("string").alias("text"), "n", "data")
-    texts = rows.select("part", F.lit(2).alias("side"), F.lit(0).alias("seg"), F.col("doc_id").cast("long").alias("doc_id"), "train", "text", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"))
-    laid = words.unionAll(texts).repartition("part").sortWithinPartitions("part", "side")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, held, total = Vocabulary(p.cache_words), {}, 0
+
+        def emit() -> pa.RecordBatch:
+            out = []
+            for part, both in held.items():
+                for side, parts in enumerate(both):
+                    h = np.unique(np.concatenate(parts))
+                    out += [(part, side, s, b - a, squeeze(h[a:b].astype("<u8"))) for s, a, b in by_segment(h, segments)]
+            held.clear()
+            return record(out, ANSWER)
+
+        for b in batches:
+            part, text = np.array(b.column(0)), b.column(1).to_pylist()
+            for which in np.unique(part).tolist():
+                for both in read_ngrams([text[k] for k in np.flatnonzero(part == which)], vocab, p.flush):
+                    total += len(both[0])
+                    for parts, h in zip(held.setdefault(which, ([], [])), both, strict=True):
+                        parts.append(np.unique(h))
+            if total >= p.flush:
+                yield emit()
+                total = 0
+        if held:
+            yield emit()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = table = word = count = None
+        for b in batches:
+            col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in b.schema.names}
+            out = []
+            for k, seg in enumerate(col["seg"]):
+                if seg != now:
+                    now, table = seg, Pieces([np.zeros(0, np.uint8)], [64], [0], segments, p.hashes, seg)
+                    word, count = np.zeros(0, U), np.zeros(0, np.int64)
+                if col["side"][k] < 0:
+                    table = Pieces([np.frombuffer(col["bits"][k], np.uint8)], [col["size"][k]], [col["top"][k]], segments, p.hashes, seg)
+                    word, count = expand(col["data"][k], col["n"][k], "<u8", "<u8")
+                    continue
+                h, = expand(col["data"][k], col["n"][k], "<u8")
+                level = table.level(h, col["side"][k])
+                more = (level,) if col["side"][k] else (counts_of(h, word, count.astype(np.int64)).astype("<u8"), level)
+                out.append((col["part"][k], col["side"][k], seg, len(h), squeeze(h, *more)))
+            yield record(out, ANSWER)
+
+    asked = rows.select("part", "text").mapInArrow(ask, ANSWER)
+    null = F.lit(None)
+    both = pieces.select("seg", F.lit(-1).alias("side"), F.lit(-1).alias("part"), F.col("types").alias("n"), "size", "top", F.col("words").alias("data"), "bits").unionAll(
+        asked.select("seg", "side", "part", "n", null.cast("long"), null.cast("int"), "data", null.cast("binary")))
+    answers = stored(both.repartition(segments, "seg").sortWithinPartitions("seg", "side").mapInArrow(answer, ANSWER), "lm-answers")
+
+    # each part's answers and then its texts
+    texts = rows.select("part", F.lit(2).alias("side"), "doc_id", "train", "text", F.lit(0).cast("long").alias("n"), null.cast("binary").alias("data"))
+    laid = answers.select("part", "side", null.cast("long").alias("doc_id"), F.lit(False).alias("train"), null.cast("string").alias("text"), "n", "data").unionAll(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = level_values(p.base)
-        smooth = tokens + 0.5 * (types + 1)
-        vocab = Vocabulary(p.cache_words)
-        now, blobs, known = None, ([], []), None
-        count = np.zeros(0, np.int64)
-        alone = np.zeros(0)
+        now, got, scorer = None, ([], []), None
+
+        def made() -> Scorer:
+            def merged(blocks: list, *types: str) -> list[np.ndarray]:
+                key, at = np.unique(np.concatenate([x[0] for x in blocks]), return_index=True)
+                return [key, *(np.concatenate([x[k] for x in blocks])[at] for k in range(1, len(types)))]
 
-        def one_of_each(blobs: list) -> list[np.ndarray]:
-            key, at = np.unique(np.concatenate([b[0] for b in blobs]), return_index=True)
-            return [key, *(np.concatenate([b[k] for b in blobs])[at] for k in range(1, len(blobs[0])))]
+            word, count, level = merged(got[0], "h", "count", "level")
+            pair, pair_level = merged(got[1], "h", "level")
 
-        def exact(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.searchsorted(known[0][0], h)
-            return known[0][1][at].astype(np.int64), value[known[0][2][at]]
+            def words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at = np.searchsorted(word, h)
+                return count[at].astype(np.int64), level[at]
 
-        def pair_level(h: np.ndarray) -> np.ndarray:
-            key = (segment_of(h, segments).astype(U) << U(32)) | (h & U(0xFFFFFFFF))
-            return known[1][1][np.searchsorted(known[1][0], key)]
+            return Scorer(words, lambda h: pair_level[np.searchsorted(pair, h)], tokens, types, p)
 
         for b in batches:
             col = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
             part, side = np.array(col["part"]), np.array(col["side"])
-            cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (side[1:] != side[:-1])])) if len(part) else []
-            for lo, hi in zip(cut, [*cut[1:], len(part)], strict=True):
+            edge = [*np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (side[1:] != side[:-1])])).tolist(), len(part)] if len(part) else [0]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if part[lo] != now:
-                    now, blobs, known = part[lo], ([], []), None
-                    vocab.clear()
-                    count, alone = np.zeros(0, np.int64), np.zeros(0)
+                    now, got, scorer = part[lo], ([], []), None
+                some = {c: x.slice(lo, hi - lo) for c, x in col.items()}
                 if side[lo] < 2:
-                    for seg, n, d in zip(*(col[c].slice(lo, hi - lo).to_pylist() for c in ("seg", "n", "data")), strict=True):
-                        if side[lo] == 0:
-                            blobs[0].append(expand(d, n, "<u8", "<u8", "<u2"))
-                        else:
-                            low, level = expand(d, n, "<u4", "<u2")
-                            blobs[1].append(((U(seg) << U(32)) | low.astype(U), level))
+                    kinds = ("<u8", "<u2") if side[lo] else ("<u8", "<u8", "<u2")
+                    got[side[lo]].extend(tuple(expand(d, n, *kinds)) for n, d in zip(some["n"].to_pylist(), some["data"].to_pylist(), strict=True))
                     continue
-                if known is None:
-                    known = one_of_each(blobs[0]), one_of_each(blobs[1])
-                    blobs = ([], [])
-                    end_count, end_value = (x[0] for x in exact(np.array([END])))
-                for at in range(lo, hi, 250):
-                    upto = min(at + 250, hi)
-                    ids, n, void = vocab.read(col["text"].slice(at, upto - at).to_pylist())
-                    if void:
-                        count, alone = np.zeros(0, np.int64), np.zeros(0)
-                    if len(vocab.hash) > len(count):
-                        new = vocab.hash[len(count):]
-                        count, alone = (np.concatenate(x) for x in zip((count, alone), exact(new), strict=True))
-                    h, before = with_ends(vocab.hash[ids], n)
-                    ends = np.cumsum(n + 1)
-                    start = ends - n - 1
-                    c = np.insert(count[ids], np.cumsum(n), end_count)
-                    one = np.insert(alone[ids], np.cumsum(n), end_value)
-                    hist = np.empty_like(one)
-                    hist[1:] = one[:-1]
-                    hist[start] = end_value
-                    two = np.minimum(value[pair_level(pair_hash(before, h))], hist)
-                    single = (one + 0.5) / smooth
-                    pair = two / np.maximum(hist, 1)
-                    less = np.maximum(two - 1, 0) / np.maximum(hist - 1, 1)
-                    own = np.array(col["train"].slice(at, upto - at))
-                    score_, out_ = [], []
-                    for w in grid:
-                        score_.append(np.add.reduceat(np.log10(w * pair + (1 - w) * single), start))
-                        out_.append(np.where(own, np.add.reduceat(np.log10(w * less + (1 - w) * single), start), 0))
-                    flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * len(x[0]) + 1, len(x), dtype=np.int32)), pa.array(np.stack(x, 1).ravel()))
-                    yield pa.RecordBatch.from_arrays([
-                        col["doc_id"].slice(at, upto - at), col["train"].slice(at, upto - at), pa.array(n + 1),
-                        pa.array(np.add.reduceat((c > 0).astype(np.int64), start)),
-                        pa.array(np.add.reduceat(np.log10(c + 0.5), start) - (n + 1) * log_total), flat(score_), flat(out_)],
-                        names=["doc_id", "train", "n_tokens", "n_known", "base_score", "scores", "left_out"])
-
-    got = stored(laid.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"), "lm-scores")
+                if scorer is None:
+                    scorer = made()
+                    got = ([], [])
+                yield from scorer.blocks(some["doc_id"], some["train"], some["text"])
+
+    return stored(laid.repartition("part").sortWithinPartitions("part", "side").mapInArrow(run, SCORED), "lm-scores")
+
+
+def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, filter_load for every row of ``docs``
+    (doc_id, text); learns from the rows for which the condition ``train`` holds."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
+    octets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(8, -(-octets // p.segment_bytes))
+    pieces = stored(make_pieces(count_ngrams(rows.where("train"), segments, p), segments, p), "lm-pieces")
+    tokens, types, entries, size, stored_bytes = (x or 0 for x in pieces.agg(*(F.sum(c) for c in ("tokens", "types", "entries", "size")), F.sum(F.octet_length("bits"))).first())
+    way = score_broadcast if stored_bytes + 16 * types <= p.broadcast_bytes else score_by_segment
+    got = way(rows, pieces, segments, int(tokens), int(types), p)
     sums = got.agg(*(F.sum(F.col("left_out")[k]).alias(str(k)) for k in range(len(GRID)))).first()
     best = max(range(len(GRID)), key=lambda k: sums[k] if sums[k] is not None else 0)
     return got.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score",
-                      F.col("scores")[best].alias("score"), F.lit(float(load)).alias("filter_load"))
+                      F.col("scores")[best].alias("score"), F.lit(float(size / max(entries, 1))).alias("filter_load"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,7 +238,12 @@ def test_packing_places_every_piece(spark, odd):
 def test_lm_counts_and_base(spark, odd):
     import math
     import re
-    rows = lm.score(odd.select("doc_id", "text"), F.coalesce(F.col("doc_id"), F.lit(0)) != 5).collect()
+    given, train = odd.select("doc_id", "text"), F.coalesce(F.col("doc_id"), F.lit(0)) != 5
+    rows = lm.score(given, train).collect()
+    key = lambda r: (r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["base_score"], r["score"])
+    assert sorted(map(key, rows)) == sorted(map(key, lm.score(given, train, lm.LMParams(broadcast_bytes=0)).collect()))
+    assert lm.score(given.limit(0), train).count() == lm.score(given.limit(0), train, lm.LMParams(broadcast_bytes=0)).count() == 0
+    assert {r["n_known"] for r in lm.score(given, F.lit(False)).collect()} == {0}
     count = collections.Counter()
     for i, t in ODD:
         if i != 5:
@@ -256,11 +261,12 @@ def test_lm_filter_keeps_its_bits_for_each_entry(spark):
     rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 3000, 60))) for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {}
-    for p in (lm.LMParams(segment_bytes=1 << 10), lm.LMParams(segment_bytes=1 << 10, part_bytes=4000, flush=500)):
+    for way, p in (("broadcast", lm.LMParams(segment_bytes=1 << 10)), ("segments", lm.LMParams(segment_bytes=1 << 10, broadcast_bytes=0)),
+                   ("small", lm.LMParams(segment_bytes=1 << 10, part_bytes=4000, flush=500, cache_words=100, broadcast_bytes=0))):
         out = lm.score(df, F.col("doc_id") < 150, p).collect()
         assert len(out) == 200 and all(r["filter_load"] >= p.bits for r in out)
-        got[p.flush] = {r["doc_id"]: (r["score"], r["base_score"]) for r in out}
-    assert np.allclose(*(list(dict(sorted(g.items())).values()) for g in got.values()))
+        got[way] = {r["doc_id"]: (r["score"], r["base_score"]) for r in out}
+    assert got["broadcast"] == got["segments"] == got["small"]
     # pairs of the held-out texts, read from the filter, against exact counts
     count, pairs = collections.Counter(), collections.Counter()
     for k, t in rows:
@@ -278,7 +284,7 @@ def test_lm_filter_keeps_its_bits_for_each_entry(spark):
         return sum(np.log10(weight * min(level(pairs[a, b]), ha) / max(ha, 1) + (1 - weight) * (hb + 0.5) / (n + 0.5 * (v + 1)))
                    for a, b, ha, hb in zip(w, w[1:], h, h[1:], strict=False))
 
-    off = min(np.mean([abs(exact(t, w) - got[500][k][0]) / 61 for k, t in rows if k >= 150]) for w in lm.GRID)
+    off = min(np.mean([abs(exact(t, w) - got["broadcast"][k][0]) / 61 for k, t in rows if k >= 150]) for w in lm.GRID)
     assert off < 0.05
     assert len(lm.level_values(1.5)) > lm.levels(np.array([2**62]), 1.5)[0]
 
