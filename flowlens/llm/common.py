@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,26 +76,38 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
 
 
 def bounded_sample(df: DataFrame, by: str, per_value: int, key: str, size: int | None = None) -> list:
-    """At most ``per_value`` rows for each value of ``by`` (a column of few values), chosen by the hash of
-    ``key``: the same rows whatever the partitioning. Only about that many rows reach the driver. With ``size``, so many fewer
-    of a value whose texts (column ``text``) are long that about ``size`` bytes are expected, at least one; texts of any length can be in it."""
-    h = fresh(df, "_h")
-    df = df.withColumn(h, F.xxhash64(F.col(key).cast("string")))
+    """At most ``per_value`` rows for each value of ``by`` (a column of few values): those with the smallest hashes of ``key`` and
+    the column ``text``, the same rows whatever the partitioning. Each task keeps no more than ``per_value`` rows of a value, and
+    no more reach the driver. With ``size``, so many fewer of a value whose texts are long that about ``size`` bytes are expected, at least one."""
+    h, no = fresh(df, "_h"), fresh(df, "_no")
+    df = df.withColumn(h, F.xxhash64(F.col(key).cast("string"), F.col("text")))
     octets = F.lit(0) if size is None else F.sum(F.octet_length("text"))
-    counts = {r[0]: (r[1], r[2]) for r in df.groupBy(by).agg(F.count("*"), octets).collect()}
+    counts = {r[0]: (r[1], r[2]) for r in df.groupBy(by).agg(F.count("*"), octets).collect() if r[0] is not None}
     bound = {v: per_value if size is None or not b else max(1, min(per_value, size * n // b)) for v, (n, b) in counts.items()}
-    share = F.lit(False)
-    for value, (n, _) in counts.items():
-        # 1.5 x the share wanted, so that the hash order, not chance, decides; then trimmed below
-        cut = int(min(1.0, (1.5 * bound[value] + min(200, bound[value] + 20)) / n) * (2**64)) - 2**63
-        share = share | ((F.col(by) == F.lit(value)) & (F.col(h) <= F.lit(min(cut, 2**63 - 1))))
-    rows = sorted(df.where(share).collect(), key=lambda r: (r[h], str(r[key])))
-    out, seen = [], {}
+    w = Window.partitionBy(by).orderBy(h, key)
+
+    def smallest(values: list, share: Callable) -> list:
+        some, most = F.lit(False), F.lit(0)
+        for v in values:
+            own = F.col(by) == F.lit(v)
+            some, most = some | (own & share(v)), F.when(own, F.lit(bound[v])).otherwise(most)
+        return df.where(some).withColumn(no, F.row_number().over(w)).where((F.col(no) <= per_value) & (F.col(no) <= most)).collect()
+
+    def low(v) -> Column:
+        # more than the share that is wanted, so that hardly any rows but those are sorted
+        n = counts[v][0]
+        cut = int(min(1.0, (1.5 * bound[v] + min(200, bound[v] + 20)) / n) * (2**64)) - 2**63
+        return F.col(h) <= F.lit(min(cut, 2**63 - 1))
+
+    rows = smallest(list(counts), low) if counts else []
+    got: dict = {}
     for r in rows:
-        seen[r[by]] = seen.get(r[by], 0) + 1
-        if seen[r[by]] <= bound[r[by]]:
-            out.append(r)
-    return out
+        got[r[by]] = got.get(r[by], 0) + 1
+    # where rows share hashes (one id and text, many times), a share of the hashes may hold too few of them
+    few = [v for v in counts if got.get(v, 0) < min(bound[v], counts[v][0])]
+    if few:
+        rows = [r for r in rows if r[by] not in few] + smallest(few, lambda v: F.lit(True))
+    return sorted(rows, key=lambda r: (r[h], str(r[key])))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -38,15 +38,16 @@ class ToxicityParams:
     dim: int = 3
     n_min: int = 3
     n_max: int = 5
-    min_share: float = 1 / 60      # an n-gram must occur in so many texts of the sample, as a share of the smaller class (two at least)
+    min_texts: int = 3             # an n-gram must occur in so many texts of the sample
     piece: int = 64                # characters of a word; longer tokens are several words
-    window: int = 8
-    least: int = 8                 # words that a bag counts at least; a shorter one is filled with neutral words
+    window: int = 6
+    least: int = 6                 # words that a bag counts at least; a shorter one is filled with neutral words
     steps: int = 100
     rate: float = 0.3
     decay: float = 3e-3
-    per_class: int = 1500          # bound of the training sample, texts of each class
-    max_chars: int = 10_000        # texts above this length are not used for training (they are scored whole)
+    per_class: int = 3000          # bound of the training sample: texts of each class
+    class_bytes: int = 16 << 20    # and the bytes of text expected of each class; texts of any length are in it
+    care: float = 4.0              # a clean text flagged weighs as much as so many shares of toxic texts missed, where the bias is placed
     word_cache: int = 400_000
     seed: int = 7
 
@@ -112,7 +113,7 @@ def train(rows: list[tuple[str | None, int]], p: ToxicityParams) -> tuple[np.nda
     # only buckets met in several texts are trained: an n-gram of one or two texts tells nothing, and stays at 0
     word_of = np.repeat(np.arange(len(vocab)), sub_n)
     met = np.bincount(sub, np.bincount(np.concatenate([np.unique(i) for i in ids]), minlength=len(vocab))[word_of], p.buckets)
-    known = np.unique(sub[met[sub] >= max(2, p.min_share * min(y.sum(), (1 - y).sum()))])
+    known = np.unique(sub[met[sub] >= p.min_texts])
     slot = np.full(p.buckets, len(known))                         # the last slot stands for all others, and is held at 0
     slot[known] = np.arange(len(known))
     sub = slot[sub]
@@ -186,15 +187,16 @@ def train(rows: list[tuple[str | None, int]], p: ToxicityParams) -> tuple[np.nda
     own_y = y[w_doc[top]]
     cut = float(bias[0] - bias[1])
     if (own & (own_y > 0)).any() and (own & (own_y == 0)).any():
-        cut = best_cut(mean[own & (own_y == 0)], mean[own & (own_y > 0)])
+        cut = best_cut(mean[own & (own_y == 0)], mean[own & (own_y > 0)], p.care)
     return out, -cut
 
 
-def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the gap that parts the two samples with the fewest errors, as shares of each."""
+def best_cut(clean: np.ndarray, toxic: np.ndarray, care: float = 1.0) -> float:
+    """The middle of the gap that parts the two samples with the fewest errors, as shares of each; a clean text
+    that is flagged counts ``care`` times."""
     at = np.unique(np.concatenate([clean, toxic]))
     mid = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
-    errors = 1 - np.searchsorted(np.sort(clean), mid) / len(clean) + np.searchsorted(np.sort(toxic), mid) / len(toxic)
+    errors = care * (1 - np.searchsorted(np.sort(clean), mid) / len(clean)) + np.searchsorted(np.sort(toxic), mid) / len(toxic)
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     return float(mid[best[0]] + mid[best[-1]]) / 2
 
@@ -206,11 +208,12 @@ def window_means(value: np.ndarray, start: np.ndarray, end: np.ndarray, p: Toxic
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, p: ToxicityParams = ToxicityParams()) -> tuple[np.ndarray, float]:
-    """Train on a bounded sample of the labelled texts for which the condition ``learn`` (on doc_id) holds.
+    """Train on a sample of the labelled texts, of any length, for which the condition ``learn`` (on doc_id) holds: at most
+    ``per_class`` texts of each class, and fewer where they are long, so that about ``class_bytes`` are expected.
     Labels other than 0 and 1, and null texts, are not used."""
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
-    text = docs.select("doc_id", "text").where(learn & (F.length("text") <= p.max_chars) & (F.length("text") > 0))
-    rows = bounded_sample(text.join(lab, "doc_id"), "toxic", p.per_class, "doc_id")
+    text = docs.select("doc_id", "text").where(learn & (F.length("text") > 0))
+    rows = bounded_sample(text.join(lab, "doc_id"), "toxic", p.per_class, "doc_id", p.class_bytes)
     return train([(r["text"], r["toxic"]) for r in rows], p)
 
 

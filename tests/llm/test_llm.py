@@ -140,6 +140,31 @@ def test_toxicity_reads_tokens_to_their_end(spark):
     assert got[1] < 0.5 and got[2] > got[1] + 0.2 and got[3] > got[1] + 0.2
 
 
+def test_toxicity_learns_from_long_texts_alone(spark):
+    prepare(spark)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeghilmnorst"), 6)) for _ in range(300)]
+    rows = [(k, " ".join([*rng.choice(words, 1800), *["worthlez", "idiotic"] * (k % 2 * 3), *rng.choice(words, 5)])) for k in range(60)]
+    assert min(len(t) for _, t in rows) > 10_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))).collect()
+    assert sum((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got) >= 55
+
+
+def test_bounded_sample_of_one_id_and_of_one_text(spark):
+    from flowlens.llm.common import bounded_sample
+    one_id = spark.createDataFrame([(1, f"text {k}", "en") for k in range(3000)] + [(None, None, None)], "doc_id long, text string, lang string").repartition(4)
+    rows = bounded_sample(one_id, "lang", 50, "doc_id")
+    assert len({r["text"] for r in rows}) == len(rows) == 50
+    again = bounded_sample(one_id.repartition(7), "lang", 50, "doc_id")
+    assert [r["text"] for r in rows] == [r["text"] for r in again]
+    same = spark.createDataFrame([(1, "same", "en")] * 3000 + [(2, "other", "de")], "doc_id long, text string, lang string")
+    got = collections.Counter(r["lang"] for r in bounded_sample(same, "lang", 50, "doc_id"))
+    assert got == {"en": 50, "de": 1}
+    assert bounded_sample(same.limit(0), "lang", 50, "doc_id") == []
+
+
 def test_language_id(spark, odd):
     rows = [("the cat and the dog are in the house with that man " * 3, "en"), ("der Hund und die Katze sind nicht im Haus mit dem Mann " * 3, "de")] * 30
     model = langid.train(rows, langid.LangParams())
