@@ -43,7 +43,7 @@ class LMParams:
     bits: int = 10                 # of the filter for each entry
     hashes: int = 4
     segment_bytes: int = 16 << 20  # input text for each segment
-    broadcast_bytes: int = 192 << 20   # most that is broadcast: the filter's bits, and 16 bytes for each word
+    broadcast_bytes: int = 128 << 20   # most that is broadcast: the filter's bits, and 16 bytes for each word
     part_bytes: int = 16 << 20     # text of a part, about, where the filter is not broadcast
     flush: int = 1_000_000         # tokens that a task counts before it sends them
     cache_words: int = 100_000
@@ -155,12 +155,14 @@ def make_bits(key: np.ndarray, level: np.ndarray, p: LMParams) -> tuple[np.ndarr
 class Pieces:
     """The filter's pieces ``first``, ``first`` + 1, ..., to be probed."""
 
-    def __init__(self, bits: list[np.ndarray], size: list[int], top: list[int], segments: int, hashes: int, first: int = 0):
-        self.bits = np.concatenate([*bits, np.zeros(1, np.uint8)])
-        self.offset = np.cumsum([0, *(len(b) * 8 for b in bits)])[:-1]
-        self.size, self.top = np.array(size, np.int64), np.array(top, np.int64)
+    def __init__(self, bits: np.ndarray, offset: np.ndarray, size: np.ndarray, top: np.ndarray, segments: int, hashes: int, first: int = 0):
+        self.bits, self.offset, self.size, self.top = bits, offset, size, top      # offsets in bits
         self.segments, self.hashes, self.first = segments, hashes, first
 
+    @classmethod
+    def one(cls, seg: int, bits: bytes, size: int, top: int, segments: int, hashes: int) -> Pieces:
+        return cls(np.frombuffer(bits, np.uint8), np.zeros(1, np.int64), np.array([size]), np.array([top]), segments, hashes, seg)
+
     def level(self, h: np.ndarray, kind: int) -> np.ndarray:
         """Level of each n-gram: probe (n-gram, 1), (n-gram, 2), ... until one is not there."""
         out = np.zeros(len(h), "<u2")
@@ -343,15 +345,20 @@ def counts_of(h: np.ndarray, words: np.ndarray, count: np.ndarray) -> np.ndarray
 
 def score_broadcast(rows: DataFrame, pieces: DataFrame, segments: int, tokens: int, types: int, p: LMParams) -> DataFrame:
     """Scores of (doc_id, train, text), with all pieces in every worker. The caller has checked their size."""
-    got = sorted(pieces.select("seg", "types", "size", "top", "words", "bits").collect(), key=lambda r: r["seg"])
-    have = {r["seg"]: r for r in got}
-    empty = np.zeros(0, np.uint8)
-    all_ = range(segments)
-    table = Pieces([np.frombuffer(have[s]["bits"], np.uint8) if s in have else empty for s in all_], [have[s]["size"] if s in have else 64 for s in all_],
-                   [have[s]["top"] if s in have else 0 for s in all_], segments, p.hashes)
-    words = [expand(r["words"], r["types"], "<u8", "<u8") for r in got]
-    word, count = (np.concatenate([w[k] for w in words] or [np.zeros(0, U)]) for k in (0, 1))
-    given = rows.sparkSession.sparkContext.broadcast((table, word, count.astype(np.int64)))
+    # filled in one piece at a time: the driver never holds the pieces twice
+    sizes = {r["seg"]: r for r in pieces.select("seg", "types", "size", "top", F.octet_length("bits").alias("octets")).collect()}
+    of = lambda field, none: np.array([sizes[s][field] if s in sizes else none for s in range(segments)], np.int64)
+    octets, types_ = of("octets", 0), of("types", 0)
+    at, word_at = np.cumsum(octets) - octets, np.cumsum(types_) - types_
+    bits = np.zeros(int(octets.sum()) + 1, np.uint8)
+    word, count = np.zeros(int(types_.sum()), U), np.zeros(int(types_.sum()), np.int64)
+    for r in pieces.select("seg", "types", "words", "bits").toLocalIterator():
+        seg, n = r["seg"], r["types"]
+        bits[at[seg]:at[seg] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        word[word_at[seg]:word_at[seg] + n], count[word_at[seg]:word_at[seg] + n] = expand(r["words"], n, "<u8", "<u8")
+    table = Pieces(bits, at * 8, of("size", 64), of("top", 0), segments, p.hashes)
+    given = rows.sparkSession.sparkContext.broadcast((table, word, count))
+    del table, bits, word, count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, word, count = given.value
@@ -408,10 +415,10 @@ def score_by_segment(rows: DataFrame, pieces: DataFrame, segments: int, tokens:
             out = []
             for k, seg in enumerate(col["seg"]):
                 if seg != now:
-                    now, table = seg, Pieces([np.zeros(0, np.uint8)], [64], [0], segments, p.hashes, seg)
+                    now, table = seg, Pieces.one(seg, b"", 64, 0, segments, p.hashes)
                     word, count = np.zeros(0, U), np.zeros(0, np.int64)
                 if col["side"][k] < 0:
-                    table = Pieces([np.frombuffer(col["bits"][k], np.uint8)], [col["size"][k]], [col["top"][k]], segments, p.hashes, seg)
+                    table = Pieces.one(seg, col["bits"][k], col["size"][k], col["top"][k], segments, p.hashes)
                     word, count = expand(col["data"][k], col["n"][k], "<u8", "<u8")
                     continue
                 h, = expand(col["data"][k], col["n"][k], "<u8")
