@@ -3,7 +3,9 @@
 Every packet gets the identity of its flow:
 
 * ``lo_ip, lo_port, hi_ip, hi_port`` - the unordered endpoint key (C1);
-* ``flow_pkt`` - ``pkt_seq`` of the flow's first packet, which identifies the flow;
+* ``flow_pkt`` - ``pkt_seq`` of the flow's first packet; ``flow_key`` - a hash of the capture (if kept apart), the endpoint
+  key and the time of that packet. Both together identify the flow (C9): packets of several captures may each be numbered from 0,
+  and another run over the same packets gives the same identity;
 * ``flow_us`` - time of that first packet; ``is_fwd`` - direction (C2);
 * ``rep`` - 0, or 1 for the repeated first row when ``first_packet_weight=2`` (C6).
 
@@ -15,25 +17,23 @@ Scale notes. R1 is computed on 240 s time buckets: only the first packet of a bu
 start a session, so the split is a partial aggregation to one row per (key, bucket), a
 window over that small summary and a join back - a hot endpoint pair never lands in one
 window task. R2/R3 are recursive (each cut depends on the previous flow
-start); they run as one sorted pass per idle session over narrow rows with O(1) state in
-``mapInPandas`` that emits flow starts only; packets get their flow by an equi-join on
+start); they are functions composed over segments of time (``cuts``), which emit flow starts
+only; packets get their flow by an equi-join on
 (session, 90 s bucket), since a bucket of that width holds at most one flow start. Flows
-are then re-hashed by ``flow_pkt`` so the feature windows and aggregates spread a hot
+are then re-hashed by their identity so the feature windows and aggregates spread a hot
 session over its flows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from flowlens.operators.cuts import SEGMENT_US, SID, flow_starts
 from flowlens.schemas import FIN_CLOSE_US, IDLE_TIMEOUT_US, LONG_FLOW_US
 
 KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port"]
-FLOW_ID = ["flow_pkt"]
+FLOW_ID = ["flow_key", "flow_pkt"]
 ORDER = ["ts_us", "pkt_seq", "rep"]
 
 
@@ -65,6 +65,12 @@ def key_columns(key_includes_protocol: bool = False, capture_col: str | None = N
     return cols
 
 
+def identity(cols: list[str], salt: int = 0) -> Column:
+    """A 64-bit hash of the columns that tells a null from a value; other salts give other hashes."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")) for c in cols])
+    return F.xxhash64(F.lit(salt), nulls, *cols)
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Equi-join in which null key values match each other (packets without an address or port stay)."""
     r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
@@ -103,101 +109,38 @@ def idle_sessions(packets: DataFrame, key: list[str], idle_us: int = IDLE_TIMEOU
             .drop("sb", "sess"))
 
 
-def _flow_starts(long_us: int, fin_us: int, fin_close: bool, sess: list[str]):
-    """Sorted one-pass R2/R3 cut over narrow rows; yields one row per flow start.
-
-    State carried across Arrow batches: the open flow's session and start time, and whether
-    its last packet closed it. Within a batch the pass jumps from cut to cut with binary
-    search (the next cut is the first packet past start + 120 s, or the first FIN at or
-    past start + 90 s), so Python work is per flow, not per packet."""
-
-    def run(batches):
-        state = None  # (session tuple, flow start us, closed)
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            ts = pdf["ts_us"].to_numpy(dtype=np.int64)
-            fin = pdf["fin"].fillna(False).to_numpy(dtype=bool) if fin_close else np.zeros(n, dtype=bool)
-            sess_cols = [pdf[c].to_numpy() for c in sess]
-            new_sess = np.zeros(n, dtype=bool)
-            new_sess[0] = True
-            for c in sess_cols:
-                new_sess[1:] |= (c[1:] != c[:-1]) & ~(pd.isna(c[1:]) & pd.isna(c[:-1]))
-            bounds = np.flatnonzero(new_sess).tolist() + [n]
-            idx = np.where(fin, np.arange(n), n)
-            next_fin = np.minimum.accumulate(idx[::-1])[::-1]  # next FIN at or after i
-            starts = []
-            for bi in range(len(bounds) - 1):
-                lo, hi = bounds[bi], bounds[bi + 1]
-                sess_key = tuple(None if pd.isna(c[lo]) else c[lo] for c in sess_cols)
-                seg = ts[lo:hi]
-                if state is not None and state[0] == sess_key and not state[2]:
-                    s_us, first_cand = state[1], lo       # flow continues from the previous batch
-                else:
-                    s_us, first_cand = int(ts[lo]), lo + 1
-                    starts.append(lo)
-                closed = False
-                while True:
-                    j_long = max(lo + int(np.searchsorted(seg, s_us + long_us, side="right")), first_cand)
-                    j_fin = hi
-                    if fin_close:
-                        j0 = max(lo + int(np.searchsorted(seg, s_us + fin_us, side="left")), first_cand)
-                        j_fin = int(next_fin[j0]) if j0 < hi else hi
-                    e = min(j_long, j_fin, hi)  # last packet of the flow, or hi if still open
-                    if e >= hi:
-                        closed = False
-                        break
-                    if e + 1 >= hi:
-                        closed = True
-                        break
-                    s_us, first_cand = int(ts[e + 1]), e + 2
-                    starts.append(e + 1)
-                state = (sess_key, s_us, closed)
-            if starts:
-                sel = pdf.iloc[starts]
-                yield pd.DataFrame({**{c: sel[c].to_numpy() for c in sess},
-                                    "flow_us": sel["ts_us"].to_numpy(), "flow_pkt": sel["pkt_seq"].to_numpy(),
-                                    "flow_ip": sel["src_ip"].to_numpy(), "flow_port": sel["src_port"].to_numpy()})
-
-    return run
-
-
 def cut_long_flows(sessions: DataFrame, key: list[str], long_us: int = LONG_FLOW_US,
-                   fin_us: int = FIN_CLOSE_US, fin_close: bool = True) -> DataFrame:
+                   fin_us: int = FIN_CLOSE_US, fin_close: bool = True, segment_us: int = SEGMENT_US) -> DataFrame:
     """C4 (R2) and C5 (R3) on top of idle sessions.
 
-    1. One sorted pass per session over narrow rows (time, seq, source, FIN) emits the flow
-       starts only.
+    1. ``flow_starts`` gives the first packet of every flow, by functions composed over segments of time: a session
+       that never falls idle is spread over its segments.
     2. Consecutive flow starts are at least 90 s apart (120 s without FIN closes), so a
        bucket of that width holds at most one start. Each (session, bucket) that has packets
        gets its own start (if any) and the latest earlier start (carry window over the
        per-bucket summary), and packets join it on (session, bucket): a packet belongs to
        the bucket's start when it is not before it, else to the carried one.
     """
-    sess = [*key, "sess_us", "sess_seq"]
     width = min(fin_us, long_us) if fin_close else long_us
-    narrow = sessions.select(*sess, "ts_us", "pkt_seq", "src_ip", "src_port",
-                             F.coalesce(F.col("tcp_flags"), F.lit("")).contains("F").alias("fin"))
-    ordered = narrow.repartition(*sess).sortWithinPartitions(*sess, "ts_us", "pkt_seq")
-    out_schema = T.StructType([ordered.schema[c] for c in sess] + [
-        T.StructField("flow_us", T.LongType()), T.StructField("flow_pkt", T.LongType()),
-        T.StructField("flow_ip", T.StringType()), T.StructField("flow_port", T.LongType())])
-    starts = ordered.mapInPandas(_flow_starts(long_us, fin_us, fin_close, sess), out_schema)
+    sid = [*key, "sess_us", "sess_seq"]
+    sessions = sessions.withColumns({c: identity(sid, k) for k, c in enumerate(SID)})
+    starts = flow_starts(sessions.select(*SID, "sess_us", "ts_us", "pkt_seq", "src_ip", "src_port",
+                                         F.coalesce(F.col("tcp_flags"), F.lit("")).contains("F").alias("fin")),
+                         long_us, fin_us if fin_close else long_us, fin_close, segment_us)
     fb = F.floor(F.col("ts_us") / F.lit(width)).cast("long")
-    st = starts.select(*sess, F.floor(F.col("flow_us") / F.lit(width)).cast("long").alias("fb"),
+    st = starts.select(*SID, F.floor(F.col("flow_us") / F.lit(width)).cast("long").alias("fb"),
                        F.struct(F.col("flow_us").alias("us"), F.col("flow_pkt").alias("pkt"),
                                 F.col("flow_ip").alias("ip"), F.col("flow_port").alias("port")).alias("own"))
-    buckets = sessions.select(*sess, fb.alias("fb")).distinct()
-    w = Window.partitionBy(*sess).orderBy("fb")
-    summary = _join_null_safe(buckets, st, [*sess, "fb"], "left").withColumn(
+    buckets = sessions.select(*SID, fb.alias("fb")).distinct()
+    w = Window.partitionBy(*SID).orderBy("fb")
+    summary = buckets.join(st, [*SID, "fb"], "left").withColumn(
         "carry", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    j = _join_null_safe(sessions.withColumn("fb", fb), summary, [*sess, "fb"], "inner")
+    j = sessions.withColumn("fb", fb).join(summary, [*SID, "fb"])
     mine = F.col("own").isNotNull() & (
         (F.col("ts_us") > F.col("own.us")) | ((F.col("ts_us") == F.col("own.us")) & (F.col("pkt_seq") >= F.col("own.pkt"))))
     f = F.when(mine, F.col("own")).otherwise(F.col("carry"))
     return j.withColumns({"flow_us": f["us"], "flow_pkt": f["pkt"], "flow_ip": f["ip"], "flow_port": f["port"]}) \
-        .drop("fb", "own", "carry")
+        .drop("fb", "own", "carry", *SID)
 
 
 def assemble_flows(packets: DataFrame, long_flow_cut: bool = True, fin_close: bool = True,
@@ -217,16 +160,22 @@ def assemble_flows(packets: DataFrame, long_flow_cut: bool = True, fin_close: bo
     else:
         f = s.withColumns({"flow_us": F.col("sess_us"), "flow_pkt": F.col("sess_seq"),
                            "flow_ip": F.col("sess_ip"), "flow_port": F.col("sess_port")})
+    f = f.withColumn("flow_key", identity([*key, "flow_us"]))
     f = f.withColumn("is_fwd", F.col("src_ip").eqNullSafe(F.col("flow_ip")) & F.col("src_port").eqNullSafe(F.col("flow_port")))
     f = f.drop("sess_us", "sess_seq", "sess_ip", "sess_port", "flow_ip", "flow_port")
     return weight_first_packet(f, first_packet_weight)
 
 
+def is_first() -> Column:
+    """Whether a packet is its flow's first one."""
+    return (F.col("pkt_seq") == F.col("flow_pkt")) & (F.col("ts_us") == F.col("flow_us"))
+
+
 def weight_first_packet(flows: DataFrame, weight: int = 1) -> DataFrame:
     """Repeat the first packet of every flow ``weight`` times (reference session: 2)."""
     if weight <= 1:
         return flows.withColumn("rep", F.lit(0))
-    reps = F.when(F.col("pkt_seq") == F.col("flow_pkt"), F.sequence(F.lit(0), F.lit(weight - 1))) \
+    reps = F.when(is_first(), F.sequence(F.lit(0), F.lit(weight - 1))) \
         .otherwise(F.array(F.lit(0)))
     return flows.withColumn("rep", F.explode(reps))
 

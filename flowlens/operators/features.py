@@ -1,8 +1,8 @@
 """Flow features: assembled packets -> one record per flow (operators D1-D28).
 
-Plan shape: one exchange on ``flow_pkt``, two window passes with one spec over one sort
+Plan shape: one exchange on the flow's identity, two window passes with one spec over one sort
 (or, opt-in for hot flows, windows per (flow, time bucket) with carries from a small
-per-bucket summary, see ``packet_context``); then one ``groupBy(flow_pkt)`` whose aggregates are all algebraic (counts, sums,
+per-bucket summary, see ``packet_context``); then one ``groupBy`` on it whose aggregates are all algebraic (counts, sums,
 exact sums of squares, min, max), so partial aggregation applies before its exchange.
 Per-direction lags use ``last(..., ignorenulls)`` over ``UNBOUNDED PRECEDING .. 1 PRECEDING``
 instead of a second partitioning, and the bulk state machine (D17) is re-expressed as
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.stats import (dsum, epoch_us_to_string, fcount, mean_of, safe_div, std_of,
                                       sumsq, var_of)
-from flowlens.operators.assemble import FLOW_ID, ORDER
+from flowlens.operators.assemble import FLOW_ID, ORDER, is_first
 from flowlens.schemas import ACTIVE_TIMEOUT_US, BULK_BOUND, CLUMP_TIMEOUT_US, FLOW_COLUMNS_82
 
 US = 1_000_000.0
@@ -217,7 +217,7 @@ def flow_aggregates(ctx: DataFrame) -> DataFrame:
     """One groupBy over the packet context: raw moments for every 82-record field."""
     fwd, bwd = F.col("is_fwd"), ~F.col("is_fwd")
     L, H = F.col("frame_len"), F.col("ip_hdr_len").cast("long")
-    first = F.col("pkt_seq") == F.col("flow_pkt")
+    first = is_first()
     tcp_win = lambda d: F.coalesce(F.min_by(
         F.col("tcp_window"),
         F.when(d & (F.col("protocol") == 6) & (F.col("tcp_window") != 0), F.struct(*ORDER))), F.lit(0).cast("long"))
@@ -259,6 +259,8 @@ def flow_aggregates(ctx: DataFrame) -> DataFrame:
     for d, nm in ((fwd, "fb"), (bwd, "bb")):
         aggs += [fcount(d & F.col("blk_start")).alias(f"{nm}_cnt"), dsum(F.col("blk_pkts"), d).alias(f"{nm}_pkts"),
                  dsum(F.col("blk_bytes"), d).alias(f"{nm}_bytes"), dsum(F.col("blk_us"), d).alias(f"{nm}_us")]
+    if "capture" in ctx.columns:
+        aggs.append(F.max(F.when(first, F.col("capture"))).alias("capture"))
     return ctx.groupBy(*FLOW_ID).agg(*aggs)
 
 
@@ -312,7 +314,12 @@ def flow_record(agg: DataFrame, active_idle: str = "gaps") -> DataFrame:
         cols[f"{d}_blk_rate_avg"] = safe_div(c(f"{nm}_bytes"), c(f"{nm}_us").cast("double") / US)
     out = agg.withColumns(cols)
     out = with_record_copies(out)
-    return out.select(*FLOW_ID, *FLOW_COLUMNS_82)
+    return out.select(*FLOW_ID, *_capture(out), *FLOW_COLUMNS_82)
+
+
+def _capture(df: DataFrame) -> list[str]:
+    """A flow's record names the capture of its first packet, where packets name theirs."""
+    return [c for c in ("capture",) if c in df.columns]
 
 
 def with_record_copies(df: DataFrame) -> DataFrame:
@@ -336,7 +343,7 @@ def flow_features(assembled: DataFrame, active_idle: str = "gaps", fields: list[
     rec = flow_record(flow_aggregates(packet_context(assembled, bucket_us)), active_idle)
     if fields is not None:
         wanted = set(fields)
-        rec = rec.select(*FLOW_ID, *[c for c in FLOW_COLUMNS_82 if c in wanted])
+        rec = rec.select(*FLOW_ID, *_capture(rec), *[c for c in FLOW_COLUMNS_82 if c in wanted])
     return rec
 
 
@@ -457,7 +464,7 @@ def flow_byte_rates(assembled: DataFrame) -> DataFrame:
 
 def flow_initial_ttl(assembled: DataFrame) -> DataFrame:
     """TTL of the first packet (needs the optional ``ttl`` packet column)."""
-    return assembled.filter((F.col("pkt_seq") == F.col("flow_pkt")) & (F.col("rep") == 0)) \
+    return assembled.filter(is_first() & (F.col("rep") == 0)) \
         .select(*FLOW_ID, F.col("ttl").alias("init_ttl"))
 
 

@@ -7,6 +7,8 @@ record; Catalyst prunes the aggregates they do not use.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens import oracle as O
@@ -63,6 +65,11 @@ def flow_record_reference_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_features(assemble_flows(fx.packets(spark, sf_dir), first_packet_weight=2), active_idle="reference")
 
 
+def flow_record_by_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures kept apart, though each of them numbers its packets from 0."""
+    return flow_features(assemble_flows(fx.captures(spark, sf_dir), capture_col="capture"))
+
+
 # B2: a --fields list; unknown names are ignored and record order is kept
 FIELDS = ["flow_duration", "no_such_field", "tot_fwd_pkts", "src_ip", "syn_flag_cnt", "idle_mean"]
 
@@ -98,11 +105,13 @@ def queries() -> dict:
         q[name] = _subset(full, cols)
     q["flow_record_82"] = flow_record_82
     q["flow_record_reference_mode"] = flow_record_reference_mode
+    q["flow_record_by_capture"] = flow_record_by_capture
     q["flow_fields_projection"] = flow_fields_projection
     for name, fn in EXTENDED.items():
         q[name] = _extended(fn)
     q["session_window_flows"] = session_window_flows
-    return q
+    # flow_key, a hash, has no counterpart in SQL; flow_pkt alone identifies the flows of these packets
+    return {name: functools.wraps(fn)(lambda spark, sf_dir, fn=fn: fn(spark, sf_dir).drop("flow_key")) for name, fn in q.items()}
 
 
 def oracle() -> dict:
@@ -112,6 +121,10 @@ def oracle() -> dict:
         o[name] = O.features_sql(HEADER + cols, full)
     o["flow_record_82"] = O.features_sql(["flow_pkt", *FLOW_COLUMNS_82], True)
     o["flow_record_reference_mode"] = O.features_sql(["flow_pkt", *FLOW_COLUMNS_82], True, 2, "reference")
+    one = O.features_sql(["flow_pkt", *FLOW_COLUMNS_82], True)
+    all_, taps = O.packets_cte(), fx.duckdb_view("captures")
+    o["flow_record_by_capture"] = " UNION ALL ".join(
+        f"SELECT * FROM ({one.replace(all_, f'packets AS (SELECT * FROM ({taps}) WHERE capture = {tap!r})')}), (SELECT {tap!r} AS capture)" for tap in ("tap0", "tap1", "tap2"))
     o["flow_fields_projection"] = O.features_sql(["flow_pkt"] + [c for c in FLOW_COLUMNS_82 if c in FIELDS], True)
     o.update({"flow_response_time": O.response_time_sql(), "flow_time_moments": O.time_moments_sql(),
               "flow_length_moments": O.length_moments_sql(), "flow_first_sizes": O.first_sizes_sql(),

@@ -63,6 +63,11 @@ SELECT pkt_seq, ts_us,
 FROM b
 """
 
+#: The same packets as three taps would have written them: each names its capture, and every capture counts from 0.
+CAPTURES_SQL = """
+SELECT p.* EXCEPT (pkt_seq), pkt_seq {DIV} 3 AS pkt_seq, concat('tap', cast(pkt_seq % 3 AS {STR})) AS capture FROM ({PACKETS}) p
+"""
+
 LABELLED_SQL = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
  cast(cast(l_shipdate AS date) AS {STR}) AS ship_day, l_suppkey % 8 AS file_no,
@@ -104,7 +109,8 @@ def render(sql: str, dialect: str) -> str:
 
 def duckdb_view(name: str) -> str:
     """SQL text of a fixture view for DuckDB (base tables are pre-registered views)."""
-    sql = {"packets": PACKETS_SQL, "labelled": LABELLED_SQL, "flow_csv": FLOW_CSV_SQL}[name]
+    sql = {"packets": PACKETS_SQL, "labelled": LABELLED_SQL, "flow_csv": FLOW_CSV_SQL,
+           "captures": CAPTURES_SQL.replace("{PACKETS}", PACKETS_SQL).replace("EXCEPT", "EXCLUDE")}[name]
     return render(sql, "duckdb").replace("{events}", "events").replace("{lineitem}", "lineitem")
 
 
@@ -119,6 +125,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(render(PACKETS_SQL, "spark"), events=table(spark, sf_dir, "events"))
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets view with a ``capture`` column, numbered from 0 in each capture."""
+    sql = render(CAPTURES_SQL.replace("{PACKETS}", PACKETS_SQL), "spark")
+    return spark.sql(sql, events=table(spark, sf_dir, "events"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled-flows view derived from ``lineitem`` (dirty f1, padded labels)."""
     return spark.sql(render(LABELLED_SQL, "spark"), lineitem=table(spark, sf_dir, "lineitem"))

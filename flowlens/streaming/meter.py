@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from flowlens.operators.assemble import KEY, tcp_udp_only, weight_first_packet, with_flow_key
+from flowlens.operators.assemble import KEY, identity, tcp_udp_only, weight_first_packet, with_flow_key
 from flowlens.operators.features import flow_features
 from flowlens.schemas import FIN_CLOSE_US, IDLE_TIMEOUT_US, LONG_FLOW_US, PACKETS
 
@@ -162,16 +162,17 @@ def flows_batch_writer(tagged_path: str, flows_path: str, first_packet_weight: i
 
     def _write(spark, batch: DataFrame, batch_id: int) -> None:
         pk = batch.filter(F.col("kind") == "pkt").drop("kind", "closed_us") \
+            .withColumn("flow_key", identity([*KEY, "flow_us"])) \
             .withColumn("hour", F.floor(F.col("ts_us") / F.lit(HOUR_US)).cast("long"))
         pk.write.mode("overwrite").partitionBy("hour").parquet(f"{tagged_path}/batch_id={batch_id}")
-        closed = batch.filter(F.col("kind") == "close").select("flow_pkt", "flow_us", "closed_us")
+        closed = batch.filter(F.col("kind") == "close").select(identity([*KEY, "flow_us"]).alias("flow_key"), "flow_pkt", "flow_us", "closed_us")
         span = closed.agg(F.min("flow_us").alias("lo"), F.max("closed_us").alias("hi")).collect()[0]
         if span["lo"] is None:
             return
         lo_h, hi_h = span["lo"] // HOUR_US, span["hi"] // HOUR_US
         stored = spark.read.option("basePath", tagged_path).parquet(tagged_path) \
             .filter((F.col("hour") >= lo_h) & (F.col("hour") <= hi_h))
-        mine = stored.join(closed.select("flow_pkt"), "flow_pkt", "left_semi").drop("hour", "batch_id")
+        mine = stored.join(closed.select("flow_key", "flow_pkt"), ["flow_key", "flow_pkt"], "left_semi").drop("hour", "batch_id")
         rec = flow_features(weight_first_packet(mine, first_packet_weight), active_idle)
         rec.write.mode("overwrite").parquet(f"{flows_path}/batch_id={batch_id}")
 
