@@ -2,9 +2,8 @@
 
 Column statistics (constants, medians, quantiles) are computed by one aggregation over
 all columns; the single result row - bounded by the number of columns - comes back to
-the driver and is applied as literals in the next projection. Medians and quantiles use
-``percentile_approx`` by default (bounded sketch per column); ``exact=True`` uses the
-exact ``percentile`` (one buffer entry per distinct value: for tests and small tables).
+the driver and is applied as literals in the next projection. Medians and quantiles are exact, by radix
+selection over all columns at once (``quantiles``); ``exact=False`` takes ``percentile_approx``, a bounded sketch per column.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.stats import clip, is_bad_double
+from flowlens.operators.quantiles import exact_quantiles, filled_quantiles
 from flowlens.schemas import BENIGN_LABEL, ID_COLUMNS_DEFAULT, ID_COLUMNS_PAPER
 
 INF = float("inf")
@@ -100,23 +100,22 @@ def inf_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~is_bad_double(F.col(c)), F.col(c)) for c in cols})
 
 
-def _quantile(x: Column, q, exact: bool, accuracy: int) -> Column:
-    if exact:
-        return F.percentile(x, q)
-    return F.percentile_approx(x, q, accuracy)
-
-
-def column_medians(df: DataFrame, cols: list[str], exact: bool = False, accuracy: int = 100000) -> dict:
-    row = df.agg(*[_quantile(F.col(c), 0.5, exact, accuracy).alias(f"m{i}") for i, c in enumerate(cols)]
-                 + [F.avg(F.col(c)).alias(f"a{i}") for i, c in enumerate(cols)]).collect()[0]
-    return {c: (row[f"m{i}"], row[f"a{i}"]) for i, c in enumerate(cols)}
+def column_medians(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 100000, means: bool = True) -> dict:
+    """Median of each column and, with ``means``, its mean; None where it has no value."""
+    if not cols:
+        return {}
+    aggs = [F.avg(F.col(c)).alias(f"a{i}") for i, c in enumerate(cols) if means]
+    aggs += [F.percentile_approx(F.col(c), 0.5, accuracy).alias(f"m{i}") for i, c in enumerate(cols) if not exact]
+    row = df.agg(*aggs).collect()[0] if aggs else None
+    medians = exact_quantiles(df, cols, [0.5]) if exact else {c: [row[f"m{i}"]] for i, c in enumerate(cols)}
+    return {c: (medians[c][0], row[f"a{i}"] if means else None) for i, c in enumerate(cols)}
 
 
-def impute_median(df: DataFrame, cols: list[str], exact: bool = False, fallback: str = "zero") -> DataFrame:
+def impute_median(df: DataFrame, cols: list[str], exact: bool = True, fallback: str = "zero") -> DataFrame:
     """inf/NaN -> null, then fill with the column median; all-null columns get 0
     (``fallback="mean"`` tries the mean first, as the exploration notebook does)."""
     df = inf_to_null(df, cols)
-    stats = column_medians(df, cols, exact)
+    stats = column_medians(df, cols, exact, means=fallback == "mean")
     fills = {}
     for c in cols:
         med, mean = stats[c]
@@ -126,19 +125,34 @@ def impute_median(df: DataFrame, cols: list[str], exact: bool = False, fallback:
 
 
 def cap_extremes(df: DataFrame, cols: list[str], lo_q: float = 0.01, hi_q: float = 0.99,
-                 threshold: float = 1e8, exact: bool = False, accuracy: int = 100000) -> DataFrame:
+                 threshold: float = 1e8, exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """Clip a column to [q01, q99] only when q99 > 1e8 or q01 < -1e8."""
-    row = df.agg(*[_quantile(F.col(c), F.array(F.lit(lo_q), F.lit(hi_q)), exact, accuracy).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).collect()[0]
-    caps = {}
-    for i, c in enumerate(cols):
-        q = row[f"q{i}"]
-        if q is None or q[0] is None:
-            continue
-        lo, hi = float(q[0]), float(q[1])
-        if hi > threshold or lo < -threshold:
-            caps[c] = clip(F.col(c), F.lit(lo), F.lit(hi))
-    return df.withColumns(caps) if caps else df
+    if not cols:
+        return df
+    if exact:
+        found = exact_quantiles(df, cols, [lo_q, hi_q])
+    else:
+        row = df.agg(*[F.percentile_approx(F.col(c), F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).collect()[0]
+        found = {c: row[f"q{i}"] or [None, None] for i, c in enumerate(cols)}
+    return df.withColumns(_caps(found, threshold, lambda c: F.col(c)))
+
+
+def _caps(quantiles: dict, threshold: float, value) -> dict[str, Column]:
+    out = {}
+    for c, (lo, hi) in quantiles.items():
+        if lo is not None and (hi > threshold or lo < -threshold):
+            out[c] = clip(value(c), F.lit(float(lo)), F.lit(float(hi)))
+    return out
+
+
+def impute_and_cap(df: DataFrame, cols: list[str], lo_q: float = 0.01, hi_q: float = 0.99, threshold: float = 1e8) -> DataFrame:
+    """B16 and B17 in the same passes: the quantiles of the filled columns follow from those of the values."""
+    if not cols:
+        return df
+    df = inf_to_null(df, cols)
+    found = filled_quantiles(df, cols, [lo_q, hi_q])
+    filled = {c: F.coalesce(F.col(c), F.lit(0.0 if median is None else float(median))) for c, (median, _) in found.items()}
+    return df.withColumns({**filled, **_caps({c: q for c, (_, q) in found.items()}, threshold, filled.__getitem__)})
 
 
 def drop_bad_rows(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -169,7 +183,7 @@ def feature_columns(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
 
 
 def clean_labelled(df: DataFrame, label: str = "label", profile: str = "default", mode: str = "full",
-                   keep: tuple[str, ...] = (), exact: bool = False, duplicate: tuple[str, str] | None = None) -> DataFrame:
+                   keep: tuple[str, ...] = (), exact: bool = True, duplicate: tuple[str, str] | None = None) -> DataFrame:
     """Composition of B10-B18 in the order of the chosen profile.
 
     ``default``: strip -> drop identifier and constant columns -> target -> inf/NaN to
@@ -191,6 +205,8 @@ def clean_labelled(df: DataFrame, label: str = "label", profile: str = "default"
     df = drop_constant_columns(df, protect)
     df = with_attack_target(df, label)
     cols = feature_columns(df, protect)
+    if exact and mode in ("full", "large", "medium"):
+        return drop_bad_rows(impute_and_cap(df, cols), cols)
     df = impute_median(df, cols, exact)
     if mode in ("full", "large", "medium"):
         df = cap_extremes(df, cols, exact=exact)

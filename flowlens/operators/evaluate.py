@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.stats import safe_div
+from flowlens.operators.quantiles import exact_quantiles
 
 
 def confusion(df: DataFrame, y: str = "Attack", yhat: str = "yhat", by: list[str] | None = None) -> DataFrame:
@@ -71,13 +72,28 @@ def class_report(cm: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per.unionByName(macro).unionByName(weighted)
 
 
-def score_summary(scored: DataFrame, score: str = "score", by: list[str] | None = None, exact: bool = False) -> DataFrame:
-    """Min, max, mean, median, population std of decision scores."""
+def score_summary(scored: DataFrame, score: str = "score", by: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """Min, max, mean, median, population std of decision scores. The groups of ``by`` are few (test sets, models): one
+    row for each of them comes to the driver."""
     by = by or []
-    med = F.percentile(F.col(score), 0.5) if exact else F.percentile_approx(F.col(score), 0.5, 100000)
-    aggs = [F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.avg(score).alias("score_mean"),
-            med.alias("score_median"), F.stddev_pop(score).alias("score_std")]
-    return scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
+    aggs = [F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.avg(score).alias("score_mean")]
+    std = F.stddev_pop(score).alias("score_std")
+    if not exact:
+        aggs += [F.percentile_approx(F.col(score), 0.5, 100000).alias("score_median"), std]
+        return scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
+    groups = scored.select(*by).distinct().collect() if by else [()]
+    own = [F.lit(True) for _ in groups]
+    for i, g in enumerate(groups):
+        for c, v in zip(by, g, strict=True):
+            own[i] = own[i] & F.col(c).eqNullSafe(F.lit(v))
+    each = scored.select(*[F.when(o, F.col(score).cast("double")).alias(f"g{i}") for i, o in enumerate(own)])
+    median = F.lit(None).cast("double")
+    for o, (m,) in zip(own, exact_quantiles(each, each.columns, [0.5]).values(), strict=True):
+        median = F.when(o, F.lit(m).cast("double")).otherwise(median)
+    # the group's median, on each of its rows
+    rows = scored.withColumn("_median", median)
+    aggs += [F.max("_median").alias("score_median"), std]
+    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 
 
 def prediction_distribution(scored: DataFrame, col: str = "prediction", by: list[str] | None = None) -> DataFrame:

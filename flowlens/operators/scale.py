@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.quantiles import exact_quantiles
+
 
 @dataclass
 class Scaler:
@@ -42,18 +44,19 @@ def fit_standard(df: DataFrame, features: list[str]) -> Scaler:
     return Scaler(list(features), center, scale, "standard")
 
 
-def fit_robust(df: DataFrame, features: list[str], exact: bool = False, accuracy: int = 100000) -> Scaler:
-    """Median and interquartile range per column; IQR 0 -> 1."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    aggs = [(F.percentile(F.col(c), q) if exact else F.percentile_approx(F.col(c), q, accuracy)).alias(f"q{i}")
-            for i, c in enumerate(features)]
-    row = df.agg(*aggs).collect()[0]
+def fit_robust(df: DataFrame, features: list[str], exact: bool = True, accuracy: int = 100000) -> Scaler:
+    """Median and interquartile range per column; IQR 0 -> 1, a column without values 0 and 1."""
+    qs = [0.25, 0.5, 0.75]
+    if exact:
+        found = exact_quantiles(df, features, qs)
+    else:
+        row = df.agg(*[F.percentile_approx(F.col(c), F.array(*map(F.lit, qs)), accuracy).alias(f"q{i}") for i, c in enumerate(features)]).collect()[0]
+        found = {c: row[f"q{i}"] or [None] * 3 for i, c in enumerate(features)}
     center, scale = [], []
-    for i in range(len(features)):
-        q25, q50, q75 = (float(v) for v in row[f"q{i}"])
-        center.append(q50)
-        iqr = q75 - q25
-        scale.append(iqr if iqr != 0 else 1.0)
+    for c in features:
+        q25, q50, q75 = found[c]
+        center.append(0.0 if q50 is None else float(q50))
+        scale.append((float(q75) - float(q25) if q50 is not None else 0.0) or 1.0)
     return Scaler(list(features), center, scale, "robust")
 
 
