@@ -67,7 +67,7 @@ def key_columns(key_includes_protocol: bool = False, capture_col: str | None = N
 
 def identity(cols: list[str], salt: int = 0) -> Column:
     """A 64-bit hash of the columns that tells a null from a value; other salts give other hashes."""
-    nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")) for c in cols])
+    nulls = sum((F.col(c).isNull().cast("int") * F.lit(1 << k) for k, c in enumerate(cols)), F.lit(0))
     return F.xxhash64(F.lit(salt), nulls, *cols)
 
 
@@ -110,15 +110,16 @@ def idle_sessions(packets: DataFrame, key: list[str], idle_us: int = IDLE_TIMEOU
 
 
 def cut_long_flows(sessions: DataFrame, key: list[str], long_us: int = LONG_FLOW_US,
-                   fin_us: int = FIN_CLOSE_US, fin_close: bool = True, segment_us: int = SEGMENT_US) -> DataFrame:
+                   fin_us: int = FIN_CLOSE_US, fin_close: bool = True, segment_us: int = SEGMENT_US,
+                   idle_us: int = IDLE_TIMEOUT_US) -> DataFrame:
     """C4 (R2) and C5 (R3) on top of idle sessions.
 
     1. ``flow_starts`` gives the first packet of every flow, by functions composed over segments of time: a session
        that never falls idle is spread over its segments.
     2. Consecutive flow starts are at least 90 s apart (120 s without FIN closes), so a
-       bucket of that width holds at most one start. Each (session, bucket) that has packets
-       gets its own start (if any) and the latest earlier start (carry window over the
-       per-bucket summary), and packets join it on (session, bucket): a packet belongs to
+       bucket of that width holds at most one start. Each start is repeated for the few buckets
+       that its flow can reach, so that a (session, bucket) knows its own start (if any) and the latest earlier
+       one, and packets join it on (session, bucket): a packet belongs to
        the bucket's start when it is not before it, else to the carried one.
     """
     width = min(fin_us, long_us) if fin_close else long_us
@@ -126,16 +127,18 @@ def cut_long_flows(sessions: DataFrame, key: list[str], long_us: int = LONG_FLOW
     sessions = sessions.withColumns({c: identity(sid, k) for k, c in enumerate(SID)})
     starts = flow_starts(sessions.select(*SID, "sess_us", "ts_us", "pkt_seq", "src_ip", "src_port",
                                          F.coalesce(F.col("tcp_flags"), F.lit("")).contains("F").alias("fin")),
-                         long_us, fin_us if fin_close else long_us, fin_close, segment_us)
-    fb = F.floor(F.col("ts_us") / F.lit(width)).cast("long")
-    st = starts.select(*SID, F.floor(F.col("flow_us") / F.lit(width)).cast("long").alias("fb"),
-                       F.struct(F.col("flow_us").alias("us"), F.col("flow_pkt").alias("pkt"),
-                                F.col("flow_ip").alias("ip"), F.col("flow_port").alias("port")).alias("own"))
-    buckets = sessions.select(*SID, fb.alias("fb")).distinct()
-    w = Window.partitionBy(*SID).orderBy("fb")
-    summary = buckets.join(st, [*SID, "fb"], "left").withColumn(
-        "carry", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    j = sessions.withColumn("fb", fb).join(summary, [*SID, "fb"])
+                         long_us, fin_us if fin_close else long_us, fin_close, idle_us, segment_us)
+    start = F.struct(F.col("flow_us").alias("us"), F.col("flow_pkt").alias("pkt"), F.col("flow_ip").alias("ip"), F.col("flow_port").alias("port"))
+    bucket = lambda us: F.floor(us / F.lit(width)).cast("long")
+    w = Window.partitionBy(*SID).orderBy("flow_us", "flow_pkt")
+    starts = starts.select(*SID, start.alias("own"), F.lag(start).over(w).alias("carry"), bucket(F.col("flow_us")).alias("fb"),
+                           bucket(F.lead("flow_us").over(w)).alias("next_fb"))
+    # the buckets up to the next start, and no more than a flow's packets can reach
+    last = F.least(F.coalesce(F.col("next_fb") - 1, F.lit(2**62)), bucket(F.col("own.us") + F.lit(long_us + idle_us)))
+    summary = starts.select(*SID, F.explode(F.sequence("fb", F.greatest("fb", last))).alias("at"), "fb", "own", "carry").select(
+        *SID, F.col("at").alias("fb"), F.when(F.col("at") == F.col("fb"), F.col("own")).alias("own"),
+        F.when(F.col("at") == F.col("fb"), F.col("carry")).otherwise(F.col("own")).alias("carry"))
+    j = sessions.withColumn("fb", bucket(F.col("ts_us"))).join(summary, [*SID, "fb"])
     mine = F.col("own").isNotNull() & (
         (F.col("ts_us") > F.col("own.us")) | ((F.col("ts_us") == F.col("own.us")) & (F.col("pkt_seq") >= F.col("own.pkt"))))
     f = F.when(mine, F.col("own")).otherwise(F.col("carry"))
@@ -156,7 +159,7 @@ def assemble_flows(packets: DataFrame, long_flow_cut: bool = True, fin_close: bo
     p = with_flow_key(tcp_udp_only(packets))
     s = idle_sessions(p, key, idle_us)
     if long_flow_cut:
-        f = cut_long_flows(s, key, long_us, fin_us, fin_close)
+        f = cut_long_flows(s, key, long_us, fin_us, fin_close, idle_us=idle_us)
     else:
         f = s.withColumns({"flow_us": F.col("sess_us"), "flow_pkt": F.col("sess_seq"),
                            "flow_ip": F.col("sess_ip"), "flow_port": F.col("sess_port")})

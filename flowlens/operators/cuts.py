@@ -7,11 +7,12 @@ later the first cut, and from there on everything is fixed. A segment's function
 can be the first cut, which lie in its first 120 s, and each step lists the flow starts that follow and the flow that is open at the end.
 
 1. Every (session, segment) computes its function in one sorted pass; a session's first segment has one step, as it starts afresh.
-2. The functions of up to ``GROUP`` neighbouring segments are composed to one.
+2. The functions of ``GROUP`` neighbouring segments, counted from the session's first one, are composed to one.
 3. Along each session, the composed functions give the open flow at every group's begin.
 4. With that, each group walks its segments and emits the starts of the steps that hold.
 
-Only step 1 reads packets. Steps 2 and 4 read a few rows for each segment, step 3 one composed function for each 16 hours of a session.
+Only step 1 reads packets. Steps 2 and 4 read a few rows for each segment; step 3 concerns sessions of more than one group (16 hours)
+alone, and adaptive execution leaves it out where there is none.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def _segment_maps(long_us: int, fin_us: int, fin_close: bool, segment_us: int, g
             offset = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offset, table.column(c).take(pa.array(at)).combine_chunks()) for c in ("ts_us", "pkt_seq", "src_ip", "src_port")]
             own = table.take(pa.array(row))
-            out = [own.column("s1").combine_chunks(), own.column("s2").combine_chunks(), pa.array(seg[row] // group), own.column("seg").combine_chunks(),
+            out = [own.column("s1").combine_chunks(), own.column("s2").combine_chunks(), pa.array((seg[row] - sess[row] // segment_us) // group), own.column("seg").combine_chunks(),
                    pa.array(first), pa.array(upto), pa.array(exit_us), *lists]
             yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=[f.split()[0] for f in MAPS.split(", ")])
 
@@ -146,8 +147,9 @@ def _after(state: np.ndarray, upto: np.ndarray, exit_us: np.ndarray) -> np.ndarr
     return np.where(at < len(upto), exit_us[np.minimum(at, len(upto) - 1)], state)
 
 
-def _compose():
-    """Maps of a group's segments -> the group's map."""
+def _compose(group: int, reach: int):
+    """Maps of a group's segments -> the group's map. A session that ends in its first group needs none; its next packet
+    would be at most ``reach`` segments behind the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _whole_groups(batches, [*SID, "grp"]):
@@ -155,6 +157,8 @@ def _compose():
             first = table.column("first").to_numpy().astype(bool)
             row, u_all, x_all = [], [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if not grp[lo] and seg[hi - 1] - seg[lo] + reach < group:
+                    continue
                 inner = np.append(np.flatnonzero(np.append(True, seg[lo + 1:hi] != seg[lo:hi - 1])) + lo, hi)
                 u, x = np.array([FRESH]), np.array([FRESH])
                 for a, b in zip(inner[:-1].tolist(), inner[1:].tolist(), strict=True):
@@ -167,6 +171,8 @@ def _compose():
                 row += [lo] * int(keep.sum())
                 u_all.append(u[keep])
                 x_all.append(x[keep])
+            if not row:
+                continue
             row = np.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(s1[row]), pa.array(s2[row]), pa.array(grp[row]), pa.array(first[row]), pa.array(np.concatenate(u_all)),
                                               pa.array(np.concatenate(x_all))], names=[f.split()[0] for f in COMPOSED.split(", ")])
@@ -220,16 +226,17 @@ def _walk():
     return run
 
 
-def flow_starts(packets: DataFrame, long_us: int, fin_us: int, fin_close: bool,
+def flow_starts(packets: DataFrame, long_us: int, fin_us: int, fin_close: bool, idle_us: int,
                 segment_us: int = SEGMENT_US, group: int = GROUP) -> DataFrame:
-    """(s1, s2, sess_us, ts_us, pkt_seq, src_ip, src_port, fin) -> the first packet of every flow of the sessions (s1, s2)."""
+    """(s1, s2, sess_us, ts_us, pkt_seq, src_ip, src_port, fin) -> the first packet of every flow of the sessions (s1, s2), whose
+    packets are never more than ``idle_us`` apart."""
     n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = packets.withColumn("seg", F.floor(F.col("ts_us") / F.lit(segment_us)).cast("long"))
     dealt = dealt.repartition(*SID, "seg").sortWithinPartitions(*SID, "seg", "ts_us", "pkt_seq")
     maps = dealt.mapInArrow(_segment_maps(long_us, fin_us, fin_close, segment_us, group), MAPS)
     # read twice: both reads are of this one exchange
     maps = maps.repartition(n, *SID, "grp")
-    composed = maps.sortWithinPartitions(*SID, "grp", "seg", "upto").mapInArrow(_compose(), COMPOSED)
+    composed = maps.sortWithinPartitions(*SID, "grp", "seg", "upto").mapInArrow(_compose(group, 1 + idle_us // segment_us), COMPOSED)
     entries = composed.repartition(*SID).sortWithinPartitions(*SID, "grp", "upto").mapInArrow(_entries(), ENTRIES)
     known = maps.join(entries, [*SID, "grp"], "left").select(*maps.columns, "entry_us")
     return known.sortWithinPartitions(*SID, "grp", "seg", "upto").mapInArrow(_walk(), STARTS)

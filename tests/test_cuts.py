@@ -42,7 +42,7 @@ def test_composed_cuts_match_one_pass(spark, segment, group, fin_close):
         want |= {(s, t, k, f"ip{k % 3}" if k % 5 else None, k if k % 4 else None) for t, k in brute(own, 120 * S, 90 * S, fin_close)}
     df = spark.createDataFrame(rows, "s1 long, s2 long, sess_us long, ts_us long, pkt_seq long, src_ip string, src_port long, fin boolean").repartition(3)
     got = [(r["s1"], r["flow_us"], r["flow_pkt"], r["flow_ip"], r["flow_port"])
-           for r in flow_starts(df, 120 * S, 90 * S if fin_close else 120 * S, fin_close, segment * S, group).collect()]
+           for r in flow_starts(df, 120 * S, 90 * S if fin_close else 120 * S, fin_close, 400 * S, segment * S, group).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
