@@ -101,11 +101,11 @@ def prediction_distribution(scored: DataFrame, col: str = "prediction", by: list
     return scored.groupBy(*(by or []), col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def batch_totals(scored: DataFrame) -> DataFrame:
-    """Total, benign and attack counts of a scored batch."""
-    return scored.agg(F.count(F.lit(1)).alias("total_flows"),
-                      F.count(F.when(~F.col("is_anomaly"), 1)).alias("benign_count"),
-                      F.count(F.when(F.col("is_anomaly"), 1)).alias("attack_count"))
+def batch_totals(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Total, benign and attack counts of a scored batch, or of each batch of ``by``."""
+    return scored.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("total_flows"), F.count(F.when(~F.col("is_anomaly"), 1)).alias("benign_count"),
+        F.count(F.when(F.col("is_anomaly"), 1)).alias("attack_count"))
 
 
 def evaluate(scored: DataFrame, y: str = "Attack", yhat: str = "yhat", by: list[str] | None = None) -> DataFrame:

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.stats import finite_or_zero, safe_double
 from flowlens.schemas import FEATURE_NAME_MAP, FLOW_COLUMNS_80, FLOW_COLUMNS_82, MODEL_FEATURES_DEFAULT
 
 UNMAPPED = ("src_ip", "dst_ip", "src_port", "protocol", "timestamp")
+#: Fields that tell which flow a scored row is about (E4): its endpoints, protocol and time.
+IDENTITY = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "timestamp"]
 
 
 # Transport fields removed from a shipped event before scoring.
@@ -33,7 +36,7 @@ def csv_prediction(scored: DataFrame) -> DataFrame:
 
 def split_by_width(df: DataFrame, csv: str = "csv", widths: tuple[int, ...] = (80, 82)) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by array width; rejects go to a second output."""
-    ok = F.size(F.col(csv)).isin(*widths)
+    ok = F.coalesce(F.size(F.col(csv)), F.lit(-1)).isin(*widths)      # a line that could not be decoded has no array
     return df.filter(ok), df.filter(~ok)
 
 
@@ -47,8 +50,8 @@ def csv_to_record(df: DataFrame, csv: str = "csv", keep: list[str] | None = None
     """Positional array -> named string columns (82 layout; 80 layout lacks the IPs).
 
     One offset per row (2 for the 80-field layout); each field is then a bounds-safe
-    lookup, so no per-row array is rebuilt."""
-    keep = keep or []
+    lookup, so no per-row array is rebuilt. ``keep`` names columns of ``df``; record fields are kept anyway."""
+    keep = [c for c in keep or [] if c in df.columns]
     off = F.when(F.size(F.col(csv)) == 80, F.lit(2)).otherwise(F.lit(0))
     return df.select(*keep, *[F.get(F.col(csv), F.lit(i) - off).alias(name)
                               for i, name in enumerate(FLOW_COLUMNS_82)])
@@ -79,7 +82,8 @@ def record_to_features(df: DataFrame, keep: list[str] | None = None, features: l
 
 def csv_events_to_features(df: DataFrame, csv: str = "csv", keep: list[str] | None = None,
                            features: list[str] | None = None, drop_header: bool = True) -> DataFrame:
-    """G12 preprocessing: B3 -> (Q10) -> B5 -> B6 -> B7 -> B8 -> B9."""
+    """G12 preprocessing: B3 -> (Q10) -> B5 -> B6 -> B7 -> B8 -> B9. ``keep`` names columns of ``df`` or fields of the
+    record, such as those of ``IDENTITY``."""
     acc, _ = split_by_width(df, csv)
     if drop_header:
         acc = drop_header_rows(acc, csv)
@@ -92,26 +96,71 @@ def records_to_csv_array(df: DataFrame, columns: list[str] | None = None) -> Dat
     return df.select(F.array(*[F.col(c).cast("string") for c in columns]).alias("csv"))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once for each row: what comes later reads it, where the optimizer would repeat a
+    projection's expression in every filter and column that uses it."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def _entries(m: Column) -> Column:
+    """The entries of a ``map<string,string>`` request, with stripped names."""
+    return F.transform(F.map_entries(m), lambda e: F.struct(F.trim(e["key"]).alias("key"), e["value"].try_cast("double").alias("value")))
+
+
+def _reason(entries: Column) -> Column:
+    """Why a request can't be scored; null if it can."""
+    names = F.transform(entries, lambda e: e["key"])
+    return (F.when(entries.isNull(), "no object of names and numbers")
+            .when(F.size(F.array_distinct(names)) < F.size(names), "a name stands there twice")
+            .when(F.exists(entries, lambda e: e["value"].isNull()), "a value is no number"))
+
+
+def split_requests(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """A10: requests (JSON text of an object, or a ``map<string,string>``) -> (accepted with ``col`` a ``map<string,double>`` of
+    stripped names, rejected with a ``reason``). A number may be written as text; anything else that is no number is a reject, never a zero."""
+    m = F.from_json(F.col(col), "map<string,string>") if dict(df.dtypes)[col] == "string" else F.col(col)
+    read = _once(_once(_once(df, "_m", m), "_entries", _entries(F.col("_m"))), "reason", _reason(F.col("_entries")))
+    # the map is built for accepted rows alone: names that are twins can't be in one
+    numbers = F.when(F.col("reason").isNull(), F.map_from_entries("_entries"))
+    return (_once(read.drop(col), col, numbers).filter("reason is null").select(*df.columns),
+            read.filter("reason is not null").drop("_m", "_entries"))
+
+
 def request_map_to_features(df: DataFrame, col: str, keep: list[str] | None = None,
                             features: list[str] | None = None) -> DataFrame:
-    """A10 + B8/B9: a ``map<string,double>`` request (or JSON text of one) -> model features.
-
-    Names are stripped; missing features are 0.0; extra keys are dropped."""
+    """A10 + B8/B9: a ``map<string,double>`` request (or JSON text of one, of which rejects are left out: see ``split_requests``)
+    -> model features. Names are stripped; missing features are 0.0; extra keys are dropped."""
     keep = keep or []
     features = features or MODEL_FEATURES_DEFAULT
-    m = F.col(col)
-    if dict(df.dtypes)[col] == "string":
-        m = F.from_json(m, "map<string,double>")
-    m = F.transform_keys(m, lambda k, v: F.trim(k))
-    return df.select(*keep, *[finite_or_zero(F.coalesce(m[f], F.lit(0.0))).alias(f) for f in features])
+    if dict(df.dtypes)[col] != "map<string,double>":
+        df, _ = split_requests(df, col)
+    # all names are looked up in one pass over the map, not one after the other
+    record = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
+    df = _once(df, "_record", F.from_json(F.to_json(F.col(col)), record))
+    return df.select(*keep, *[finite_or_zero(F.coalesce(F.col("_record").getField(f), F.lit(0.0))).alias(f) for f in features])
 
 
-def explode_batch_request(df: DataFrame, col: str) -> DataFrame:
-    """A10: a JSON list of request maps -> one row per map (with its position)."""
-    arr = F.from_json(F.col(col), "array<map<string,double>>")
-    return df.select("*", F.posexplode(arr).alias("flow_idx", "request")).drop(col)
+def explode_batch_request(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """A10: a JSON list of request objects -> (one row per object: ``flow_idx``, ``request``; rejected lists with a ``reason``).
+    One object that can't be scored rejects its list, as a batch is answered as a whole."""
+    items = _once(df, "_items", F.transform(F.from_json(F.col(col), "array<map<string,string>>"), _entries))
+    reason = F.when(F.col("_items").isNull(), "no list of objects").otherwise(
+        F.get(F.filter(F.transform("_items", _reason), lambda r: r.isNotNull()), F.lit(0)))
+    read = _once(items, "reason", reason)
+    rows = read.filter("reason is null").select(*[c for c in df.columns if c != col], F.posexplode("_items").alias("flow_idx", "request"))
+    return rows.withColumn("request", F.map_from_entries("request")), read.filter("reason is not null").drop("_items")
 
 
 def csv_text_to_array(text: Column) -> Column:
     """A CSV line -> array of trimmed fields."""
     return F.transform(F.split(text, ","), lambda s: F.trim(s))
+
+
+def decode_csv_line(line: Column) -> Column:
+    """A3: a CSV line as the transport decodes it: a quoted field may hold commas, and a doubled quote stands for one.
+    Fields are not trimmed. Null where a quote is not closed."""
+    outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'                # a comma with an even number of quotes behind it
+    open_ = F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1
+    unquoted = F.transform(F.split(line, outside, -1), lambda s: F.when(
+        F.length(s).__ge__(2) & s.startswith('"') & s.endswith('"'), F.replace(F.substring(s, F.lit(2), F.length(s) - 2), F.lit('""'), F.lit('"'))).otherwise(s))
+    return F.when(F.contains(line, F.lit('"')), F.when(~open_, unquoted)).otherwise(F.split(line, ",", -1))

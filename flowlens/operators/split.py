@@ -9,6 +9,8 @@ task ever holds n rows.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +68,18 @@ def is_unknown_label(label: Column) -> Column:
 
 
 def unknown_labels(df: DataFrame, label: str = "label") -> DataFrame:
-    """The distinct unknown-attack labels present (warn if fewer than 3)."""
+    """The distinct unknown-attack labels present."""
     return df.select(label).distinct().filter(is_unknown_label(F.col(label)))
 
 
+def check_unknown_labels(df: DataFrame, label: str = "label", least: int = 3) -> list[str]:
+    """The unknown-attack labels present, few as they are, with a warning if there are fewer than ``least``."""
+    found = sorted(r[0] for r in unknown_labels(df, label).collect())
+    if len(found) < least:
+        warnings.warn(f"{len(found)} unknown-attack labels, {least} expected: {found}", stacklevel=2)
+    return found
+
+
 def label_kind(label: Column) -> Column:
     """benign / unknown / known attack class of a (trimmed) label."""
     return (F.when(label == F.lit(BENIGN_LABEL), F.lit("benign"))

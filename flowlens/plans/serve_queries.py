@@ -52,21 +52,71 @@ def scoring_requests(spark, sf_dir):
 CSV_MODEL_FEATS = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets"]
 
 
-def csv_score(spark, sf_dir):
+def _csv_model(feats):
     from pyspark.sql import Window
     from flowlens.operators.oneclass import model_from_table
     from flowlens.operators.scale import fit_standard
-    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS)
     sc = fit_standard(feats, CSV_MODEL_FEATS)
     sv = sc.transform(feats.orderBy(*KEYS).limit(8))
     tab = sv.select(F.row_number().over(Window.orderBy(*KEYS)).alias("sv_id"),
                     F.array(*[F.col(f"`{c}`") for c in CSV_MODEL_FEATS]).alias("x")) \
         .withColumn("alpha", F.col("sv_id") / F.lit(36.0))
-    model = model_from_table(tab, sc, CSV_MODEL_FEATS, 0.3, "rbf", 0.25)
-    scored = R.csv_prediction(model.transform(feats))
+    return model_from_table(tab, sc, CSV_MODEL_FEATS, 0.3, "rbf", 0.25)
+
+
+def csv_score(spark, sf_dir):
+    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS)
+    scored = R.csv_prediction(_csv_model(feats).transform(feats))
     return scored.select(*KEYS, F.round("score", 9).alias("score"), "prediction")
 
 
+def csv_score_with_identity(spark, sf_dir):
+    """Every scored row says which flow it is about."""
+    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=[*KEYS, *R.IDENTITY], features=CSV_MODEL_FEATS)
+    scored = R.csv_prediction(_csv_model(feats).transform(feats))
+    return scored.select(*KEYS, *R.IDENTITY, F.round("score", 9).alias("score"), "prediction")
+
+
+def batch_requests(spark, sf_dir):
+    """A10 + G11: the events of an order as one JSON list; every list is scored and counted."""
+    from flowlens.operators.evaluate import batch_totals
+    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS)
+    one = F.to_json(F.create_map(*[x for f in CSV_MODEL_FEATS for x in (F.lit(f" {f}"), F.col(f"`{f}`"))]))
+    requests = feats.groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("flows"))
+    rows, _ = R.explode_batch_request(requests, "flows")
+    scored = _csv_model(feats).transform(R.request_map_to_features(rows, "request", keep=["l_orderkey"], features=CSV_MODEL_FEATS))
+    return batch_totals(scored, ["l_orderkey"])
+
+
+def _batch_requests_sql() -> str:
+    return (f"SELECT l_orderkey, count(*) AS total_flows, count(*) FILTER (prediction = 'benign') AS benign_count, "
+            f"count(*) FILTER (prediction = 'attack') AS attack_count FROM ({_csv_score_sql()}) GROUP BY l_orderkey")
+
+
+def bad_requests(spark, sf_dir):
+    """A10: requests that can't be scored, each with its reason."""
+    return R.split_requests(fx.requests(spark, sf_dir), "request")[1].select(*KEYS, "reason")
+
+
+def good_requests(spark, sf_dir):
+    """A10: the others, as features."""
+    return R.request_map_to_features(fx.requests(spark, sf_dir), "request", keep=KEYS, features=CSV_MODEL_FEATS)
+
+
+def flows_csv_text(spark, sf_dir):
+    """A3: lines of text, some of them headers, quoted or broken, to records."""
+    lines = fx.flow_lines(spark, sf_dir).withColumn("csv", R.decode_csv_line(F.col("line")))
+    ok, _ = R.split_by_width(R.drop_header_rows(lines))
+    return R.csv_to_record(ok, keep=KEYS).select(*KEYS, "src_port", "timestamp", "flow_duration", "tot_fwd_pkts", "subflow_bwd_byts")
+
+
+def _flows_csv_text_sql() -> str:
+    field = lambda n: f"CASE WHEN len(csv) = 82 THEN csv[{FLOW_COLUMNS_82.index(n) + 1}] ELSE csv[{FLOW_COLUMNS_80.index(n) + 1}] END"
+    read = ", ".join(f"""CASE WHEN {field(n)} = 'bad' THEN 'b"a,d' ELSE {field(n)} END AS {n}"""
+                     for n in ("src_port", "timestamp", "flow_duration", "tot_fwd_pkts", "subflow_bwd_byts"))
+    return f"WITH {CSV} SELECT {K}, {read} FROM c WHERE len(csv) IN (80, 82) AND l_orderkey % 101 <> 0 AND l_orderkey % 103 <> 0"
+
+
 def _csv_score_sql() -> str:
     q = [f'"{c}"' for c in CSV_MODEL_FEATS]
     st = ", ".join(f"avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1.0) AS s{i}" for i, c in enumerate(q))
@@ -83,9 +133,16 @@ ks AS (SELECT z.rid, any_value(z.l_orderkey) AS l_orderkey, any_value(z.l_linenu
 SELECT {K}, (round(score, 9) + 0.0) AS score, CASE WHEN score <= 0 THEN 'attack' ELSE 'benign' END AS prediction FROM ks"""
 
 
+def _identity_sql() -> str:
+    cols = ", ".join(f"CASE WHEN len(csv) = 82 THEN csv[{FLOW_COLUMNS_82.index(n) + 1}] ELSE "
+                     f"{'NULL' if n not in FLOW_COLUMNS_80 else f'csv[{FLOW_COLUMNS_80.index(n) + 1}]'} END AS {n}" for n in R.IDENTITY)
+    return f"WITH {CSV} SELECT {K}, {cols} FROM c"
+
+
 def queries() -> dict:
     return {"csv_to_features": csv_to_features, "csv_width_rejects": csv_width_rejects,
-            "scoring_requests": scoring_requests, "csv_score": csv_score}
+            "scoring_requests": scoring_requests, "csv_score": csv_score, "csv_score_with_identity": csv_score_with_identity,
+            "batch_requests": batch_requests, "bad_requests": bad_requests, "good_requests": good_requests, "flows_csv_text": flows_csv_text}
 
 
 def oracle() -> dict:
@@ -94,4 +151,10 @@ def oracle() -> dict:
         "csv_width_rejects": f"WITH {CSV} SELECT {K}, CAST(len(csv) AS INTEGER) AS width FROM c WHERE len(csv) NOT IN (80, 82)",
         "scoring_requests": _features_sql("c"),
         "csv_score": _csv_score_sql(),
+        "csv_score_with_identity": f"SELECT s.*, {', '.join(R.IDENTITY)} FROM ({_csv_score_sql()}) s JOIN ({_identity_sql()}) i USING ({K})",
+        "batch_requests": _batch_requests_sql(),
+        "bad_requests": f"SELECT {K}, reason FROM ({duckdb_view('requests')}) WHERE reason IS NOT NULL",
+        "good_requests": (f"SELECT {K}, duration AS \"Flow Duration\", fwd AS \"Total Fwd Packets\", 0.0::DOUBLE AS \"Total Backward Packets\" "
+                          f"FROM ({duckdb_view('requests')}) WHERE reason IS NULL"),
+        "flows_csv_text": _flows_csv_text_sql(),
     }

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 _TOKENS = {
     "spark": {
         "{US}": "unix_micros(cast(ts as timestamp))",
+        "{OPEN}": "{{", "{CLOSE}": "}}",
         "{DIV}": "div",
         "{STR}": "string",
         "{CONCAT}": "concat",
@@ -26,6 +27,7 @@ _TOKENS = {
     },
     "duckdb": {
         "{US}": "epoch_us(ts)",
+        "{OPEN}": "{", "{CLOSE}": "}",
         "{DIV}": "//",
         "{STR}": "varchar",
         "{CONCAT}": "list_concat",
@@ -94,6 +96,18 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
  CASE l_linenumber % 5 WHEN 0 THEN {SLICE(3,82)} WHEN 1 THEN {SLICE(1,81)} ELSE f END AS csv FROM a
 """
 
+#: Request bodies, sound and unsound; ``reason`` and the two numbers are what a reader should find in them.
+REQUESTS_SQL = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ CASE l_orderkey % 7 WHEN 0 THEN concat('{OPEN}"Flow Duration": ', cast(l_partkey AS {STR}), ', " Total Fwd Packets ": ', cast(l_suppkey AS {STR}), ', "Other": 1{CLOSE}')
+  WHEN 1 THEN '{OPEN}"Flow Duration": 1' WHEN 2 THEN '{OPEN}"Flow Duration": "abc"{CLOSE}' WHEN 3 THEN '{OPEN}"Flow Duration": 1, " Flow Duration": 2{CLOSE}'
+  WHEN 4 THEN concat('{OPEN}"Flow Duration": "', cast(l_partkey AS {STR}), '"{CLOSE}') WHEN 5 THEN NULL ELSE '{OPEN}"Flow Duration": null{CLOSE}' END AS request,
+ CASE l_orderkey % 7 WHEN 0 THEN NULL WHEN 4 THEN NULL WHEN 3 THEN 'a name stands there twice' WHEN 2 THEN 'a value is no number'
+  WHEN 6 THEN 'a value is no number' ELSE 'no object of names and numbers' END AS reason,
+ cast(l_partkey AS double) AS duration, cast(CASE l_orderkey % 7 WHEN 0 THEN l_suppkey ELSE 0 END AS double) AS fwd
+FROM {lineitem}
+"""
+
 # Feature columns of the labelled view and the two that feed the fixed scoring model.
 LABELLED_FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5"]
 
@@ -110,6 +124,7 @@ def render(sql: str, dialect: str) -> str:
 def duckdb_view(name: str) -> str:
     """SQL text of a fixture view for DuckDB (base tables are pre-registered views)."""
     sql = {"packets": PACKETS_SQL, "labelled": LABELLED_SQL, "flow_csv": FLOW_CSV_SQL,
+           "requests": REQUESTS_SQL,
            "captures": CAPTURES_SQL.replace("{PACKETS}", PACKETS_SQL).replace("EXCEPT", "EXCLUDE")}[name]
     return render(sql, "duckdb").replace("{events}", "events").replace("{lineitem}", "lineitem")
 
@@ -141,6 +156,21 @@ def flow_csv_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(render(FLOW_CSV_SQL, "spark"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies (JSON text) derived from ``lineitem``."""
+    return spark.sql(render(REQUESTS_SQL, "spark"), lineitem=table(spark, sf_dir, "lineitem")).drop("reason", "duration", "fwd")
+
+
+def flow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow-CSV events as lines of text: one field in some of them needs quotes, some lines are headers, some end in an open quote."""
+    from pyspark.sql import functions as F
+    from flowlens.schemas import FLOW_COLUMNS_82
+    quoted = F.transform("csv", lambda x: F.when(x == "bad", '"b""a,d"').otherwise(x))
+    line = F.when(F.col("l_orderkey") % 103 == 0, ",".join(FLOW_COLUMNS_82)).when(
+        F.col("l_orderkey") % 101 == 0, F.concat(F.array_join(quoted, ","), F.lit('"'))).otherwise(F.array_join(quoted, ","))
+    return flow_csv(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
+
+
 def flow_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow-CSV events (``csv array<string>`` of width 82, 80 or 81) derived from ``lineitem``.
 

@@ -1,7 +1,6 @@
 """Flow-CSV sources and sinks.
 
-Lines stay undecoded text until B3/B5 (an undecodable line is later dropped by the width
-check, as a failed CSV decode is in the reference transport).
+Fields stay text until B5. A line that can't be decoded has no array, and the width check rejects it.
 """
 
 from __future__ import annotations
@@ -9,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.operators.records import decode_csv_line
 from flowlens.schemas import FLOW_COLUMNS_82
 
 
 def _lines_to_csv(lines: DataFrame) -> DataFrame:
-    return lines.select(F.split(F.col("value"), ",", -1).alias("csv"),
+    return lines.select(decode_csv_line(F.col("value")).alias("csv"),
                         F.col("_metadata.file_path").alias("source_file"))
 
 
@@ -44,7 +44,8 @@ def write_flows_csv(flows: DataFrame, path: str, per_capture: str | None = None,
 
 
 def write_scored_batch(batch: DataFrame, batch_id: int, path: str, date_col: str = "date") -> None:
-    """One micro-batch of scored flows as parquet under ``batch_id=N`` partitioned by date.
-    Overwriting the batch's own directory makes a replayed batch idempotent."""
-    out = batch if date_col in batch.columns else batch.withColumn(date_col, F.current_date())
+    """One micro-batch of scored flows as parquet under ``batch_id=N`` partitioned by date: that of the flow's ``timestamp``
+    if there is one, else of today. Overwriting the batch's own directory makes a replayed batch idempotent."""
+    own = F.to_date(F.col("timestamp").try_cast("timestamp")) if "timestamp" in batch.columns else F.lit(None).cast("date")
+    out = batch if date_col in batch.columns else batch.withColumn(date_col, F.coalesce(own, F.current_date()))
     out.write.mode("overwrite").partitionBy(date_col).parquet(f"{path.rstrip('/')}/batch_id={batch_id}")

@@ -53,6 +53,15 @@ TAGGED_SCHEMA = T.StructType(
        T.StructField("closed_us", T.LongType())])
 
 
+def known(v):
+    """None for any of the ways in which a frame says that there is no value."""
+    return None if pd.isna(v) else v
+
+
+def port(v) -> int | None:
+    return None if pd.isna(v) else int(v)
+
+
 def _meter_fn(idle_us: int, long_us: int, fin_us: int, fin_close: bool):
     pcols = [f.name for f in PACKETS.fields]
     out_cols = [f.name for f in TAGGED_SCHEMA.fields]
@@ -85,14 +94,14 @@ def _meter_fn(idle_us: int, long_us: int, fin_us: int, fin_close: bool):
                 is_open = False
             if not is_open:
                 is_open, closed = True, False
-                f_us, f_seq, f_ip, f_port = ts, int(r["pkt_seq"]), r["src_ip"], int(r["src_port"])
+                f_us, f_seq, f_ip, f_port = ts, int(r["pkt_seq"]), known(r["src_ip"]), port(r["src_port"])
             else:
-                fin = fin_close and "F" in (r["tcp_flags"] or "")
+                fin = fin_close and "F" in (known(r["tcp_flags"]) or "")
                 if ts - f_us > long_us or (fin and ts - f_us >= fin_us):
                     closed = True
             last_us = ts
             rows.append({**dict(zip(KEY, key)), **r, "flow_pkt": f_seq, "flow_us": f_us,
-                         "is_fwd": r["src_ip"] == f_ip and int(r["src_port"]) == f_port, "kind": "pkt"})
+                         "is_fwd": known(r["src_ip"]) == f_ip and port(r["src_port"]) == f_port, "kind": "pkt"})
             if closed:
                 close(ts)
         if is_open and (closed or wm - last_us > idle_us):
@@ -122,9 +131,14 @@ def _meter_fn(idle_us: int, long_us: int, fin_us: int, fin_close: bool):
 
 
 def meter_stream(packets: DataFrame, watermark: str = "1 minute", idle_us: int = IDLE_TIMEOUT_US,
-                 long_us: int = LONG_FLOW_US, fin_us: int = FIN_CLOSE_US, fin_close: bool = True) -> DataFrame:
-    """H1: streaming packets -> tagged packets and flow close markers (see module doc)."""
-    p = with_flow_key(tcp_udp_only(packets)).withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
+                 long_us: int = LONG_FLOW_US, fin_us: int = FIN_CLOSE_US, fin_close: bool = True,
+                 control: DataFrame | None = None) -> DataFrame:
+    """H1: streaming packets -> tagged packets and flow close markers (see module doc). ``control``: a stream of end markers."""
+    cols = [f.name for f in PACKETS.fields]
+    packets = tcp_udp_only(packets).select(*cols)
+    if control is not None:
+        packets = packets.unionByName(control.select(*cols))
+    p = with_flow_key(packets).withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
     cols = [*KEY, *[f.name for f in PACKETS.fields]]
     tagged = p.select(*cols, "ts").groupBy(*KEY).applyInPandasWithState(
         _meter_fn(idle_us, long_us, fin_us, fin_close), TAGGED_SCHEMA, STATE_SCHEMA, "append",
@@ -132,12 +146,13 @@ def meter_stream(packets: DataFrame, watermark: str = "1 minute", idle_us: int =
     return tagged.filter(F.coalesce(F.col("lo_port"), F.lit(0)) != END_PORT)
 
 
-def end_of_input(spark: SparkSession, in_dir: str, margin_us: int = 86_400_000_000) -> None:
+def end_of_input(spark: SparkSession, in_dir: str, control_dir: str, margin_us: int = 86_400_000_000) -> None:
     """Declare that no more packets will come to the parquet folder ``in_dir``.
 
-    Writes one marker packet ``margin_us`` after the last packet there. The running query (or its next
-    ``availableNow`` start on the same checkpoint) moves its watermark past every packet, applies those that wait and
-    closes every open flow; the marker itself is not part of the output. Packets that arrive afterwards are late.
+    Writes one marker packet, ``margin_us`` after the last packet there, to ``control_dir``, which ``start_metering`` reads as a second
+    stream; the packets' own folder stays as it is. The running query (or its next ``availableNow`` start on the same checkpoint)
+    moves its watermark past every packet, applies those that wait and closes every open flow; the marker itself is not part
+    of the output. Packets that arrive afterwards are late.
     ``margin_us`` must exceed the watermark delay plus the idle timeout. An empty folder needs no marker."""
     last = spark.read.schema(PACKETS).parquet(in_dir).agg(F.max("ts_us")).first()[0]
     if last is None:
@@ -146,7 +161,7 @@ def end_of_input(spark: SparkSession, in_dir: str, margin_us: int = 86_400_000_0
         "pkt_seq": -1, "ts_us": last + margin_us, "src_ip": "", "dst_ip": "", "src_port": END_PORT, "dst_port": END_PORT,
         "protocol": 6, "tcp_flags": ""}
     row = tuple(0 if marker[f.name] is None and not isinstance(f.dataType, T.StringType) else marker[f.name] for f in PACKETS.fields)
-    spark.createDataFrame([row], PACKETS).write.mode("append").parquet(in_dir)
+    spark.createDataFrame([row], PACKETS).write.mode("append").parquet(control_dir)
 
 
 def flows_batch_writer(tagged_path: str, flows_path: str, first_packet_weight: int = 1, active_idle: str = "gaps"):
@@ -180,9 +195,10 @@ def flows_batch_writer(tagged_path: str, flows_path: str, first_packet_weight: i
 
 
 def start_metering(spark: SparkSession, packets_stream: DataFrame, out_dir: str, checkpoint: str,
-                   watermark: str = "1 minute", trigger: dict | None = None, **meter_kw):
-    """H1 end to end: returns the running StreamingQuery writing ``out_dir/{tagged,flows}``."""
-    tagged = meter_stream(packets_stream, watermark, **meter_kw)
+                   watermark: str = "1 minute", trigger: dict | None = None, control_dir: str | None = None, **meter_kw):
+    """H1 end to end: returns the running StreamingQuery writing ``out_dir/{tagged,flows}``. ``control_dir`` is an existing folder, given
+    from the first start on, to which ``end_of_input`` writes."""
+    tagged = meter_stream(packets_stream, watermark, control=control_dir and spark.readStream.schema(PACKETS).parquet(control_dir), **meter_kw)
     w = tagged.writeStream.foreachBatch(flows_batch_writer(os.path.join(out_dir, "tagged"),
                                                            os.path.join(out_dir, "flows"))) \
         .option("checkpointLocation", checkpoint)
@@ -191,16 +207,19 @@ def start_metering(spark: SparkSession, packets_stream: DataFrame, out_dir: str,
 
 
 def start_csv_scoring(spark: SparkSession, in_dir: str, model, out_dir: str, checkpoint: str,
-                      trigger: dict | None = None, max_files_per_trigger: int = 100):
-    """H3: flow CSV files arriving in ``in_dir`` -> features -> scores -> A8 sink."""
-    from flowlens.operators.records import csv_events_to_features
+                      trigger: dict | None = None, max_files_per_trigger: int = 100, rejects_dir: str | None = None):
+    """H3: flow CSV files arriving in ``in_dir`` -> features -> scores -> A8 sink, each row with its flow's identity, its file and
+    the prediction in lower case. Lines of a wrong width go to ``rejects_dir`` (``out_dir`` with ``_rejected`` behind it)."""
+    from flowlens.operators.records import IDENTITY, csv_events_to_features, csv_prediction, drop_header_rows, split_by_width
     from flowlens.sources.flowcsv import stream_flows_csv, write_scored_batch
     ev = stream_flows_csv(spark, in_dir, max_files_per_trigger)
-    feats = csv_events_to_features(ev, keep=["source_file"], features=model.features)
-    scored = model.transform(feats)
+    rejects = f"{(rejects_dir or out_dir.rstrip('/') + '_rejected').rstrip('/')}"
 
     def sink(batch, batch_id):
-        write_scored_batch(batch, batch_id, out_dir)
+        feats = csv_events_to_features(batch, keep=["source_file", *IDENTITY], features=model.features)
+        write_scored_batch(csv_prediction(model.transform(feats)), batch_id, out_dir)
+        bad = split_by_width(drop_header_rows(batch))[1]
+        bad.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
 
-    w = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = ev.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -99,14 +99,15 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_end_of_input_closes_every_flow(spark, tmp_path):
     from flowlens.streaming.meter import end_of_input, start_metering
-    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    src, out, ckpt, ctl = (str(tmp_path / d) for d in ("in", "out", "ckpt", "ctl"))
     rows = [(i, 1_000_000_000_000_000 + i * 20_000_000, "10.0.0.1", "10.0.0.2", 1000 + i % 3, 80, 6, 20, 5, 59, "A", 100) for i in range(30)]
     p = spark.createDataFrame(rows, PACKETS)
     p.coalesce(1).write.parquet(src)
+    os.mkdir(ctl)
     for last in (False, True):
         if last:
-            end_of_input(spark, src)
-        start_metering(spark, spark.readStream.schema(PACKETS).parquet(src), out, ckpt, watermark="10 seconds").awaitTermination(600)
+            end_of_input(spark, src, ctl)
+        start_metering(spark, spark.readStream.schema(PACKETS).parquet(src), out, ckpt, watermark="10 seconds", control_dir=ctl).awaitTermination(600)
     got = spark.read.parquet(f"{out}/flows").drop("batch_id")
     want = flow_features(assemble_flows(p))
     cols = sorted(want.columns)
