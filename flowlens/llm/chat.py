@@ -6,7 +6,7 @@ part) flattens the parts in order: text is escaped, any other part becomes an or
 ``<|im_start|>role\ntext<|im_end|>\n``. Inside texts and roles a backslash is doubled and ``<|`` becomes
 ``<\|`` (and a line break in a role ``\n``), so no text can hold a control string, and reading back is exact.
 
-Defined results: a null text or role counts as empty; an unknown type of part becomes a placeholder of that
+Defined results: a null text or role counts as empty, a null list of parts as one without parts; an unknown type of part becomes a placeholder of that
 type that expands to no token; turns are ordered by turn (null first), then role and text, so repeated rows stay, side by side;
 a row without conversation id belongs to the conversation null; an empty table gives an empty result
 (the query adds its own conversation -1); columns that are not named above are ignored.
@@ -70,7 +70,7 @@ def format_conversations(messages: DataFrame, train_on: str = "assistant") -> Da
     number, start and length in the formatted text, in code points), attachments, expanded tokens.
 
     Numbers of placeholders start at 0 in each message."""
-    text, attachments = visit(F.col("parts"))
+    text, attachments = visit(F.coalesce(F.col("parts"), F.array().cast(messages.schema["parts"].dataType)))
     role = F.coalesce(F.col("role"), F.lit(""))
     turns = messages.select(
         "conv_id", "turn", role.alias("role"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"),

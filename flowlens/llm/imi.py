@@ -118,9 +118,13 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
                           F.col("embedding").cast("array<double>").alias("embedding"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    # squares of very large or small components leave the range of doubles; a power of two in front changes no other digit
+    most = F.aggregate("embedding", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    scale = F.when((most > 0) & (most < float("inf")), F.pow(F.lit(2.0), F.floor(F.log2(most)).cast("double"))).otherwise(1.0)
+    rows = rows.withColumn("scale", scale)
+    norm = F.col("scale") * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.col("scale")) * (x / F.col("scale"))))
     # a null component makes the norm null, one that is not finite makes it NaN or infinite
-    rows = rows.withColumn("norm", norm)
+    rows = rows.withColumn("norm", norm).drop("scale")
     usable = F.col("label").isNotNull() & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
     good = rows.where(usable)
     key = ["label", "embedding"]
@@ -136,7 +140,7 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     bound = (2 - 2 * p.cosine) * p.reach
     width = max(1, p.block // p.per_cell)                            # cells of a group
     sent_type = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
-    label_key = F.xxhash64("label").alias("label")
+    label_key = F.xxhash64("label", F.size("embedding")).alias("label")      # vectors of other lengths meet nowhere
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +167,7 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
                     met = np.packbits(seen, bitorder="little").tobytes()
                     for g in [home, *groups[groups != home].tolist()]:
                         out["label"].append(label[k])
-                        out["cell"].append(g * 4096 + size % 4096)
+                        out["cell"].append(g)
                         out["node"].append(node[k])
                         out["probe"].append(g != home)
                         out["home"].append(home)
@@ -210,7 +214,7 @@ def links(vectors: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
             a.append(i[exact])
             b.append(j[exact])
         a, b = (np.concatenate(v) if v else np.zeros(0, int) for v in (a, b))
-        group = part["cell"].iloc[0] // 4096
+        group = part["cell"].iloc[0]
         home = part["home"].to_numpy()
         if not alone and home[ri[0]] != group:                    # probes: a pair that both sides find counts in the higher group
             seen = np.zeros((len(node), 8 * len(part["met"].iloc[li[0]])), bool)

@@ -10,7 +10,7 @@ already outdoes with ``docs`` larger doc_ids can change nothing and is not added
 runs, they are merged into one of the next level. As runs share their buckets, the joins shuffle none of them. Batches may come
 in any order; here they are ranges of doc_id from the largest down, so that a key which is settled stays out of all later batches.
 
-Flow: (1) the parts of the input (Spark's own partitions, written once) yield their keys, as 128-bit hashes, of every key at most ``docs`` doc_ids for each
+Flow: (1) the parts of the input (``split`` to each of Spark's partitions, written once) yield their keys, as 128-bit hashes, of every key at most ``docs`` doc_ids for each
 ``flush`` lines: a line that a third of all documents hold is a few rows of each part. (2) Batches go into the runs. (3) Each part asks the
 merged run for the keepers of its keys, once for each key. (4) Those and the part's texts meet sorted, verdicts first; lines
 are dropped as the texts stream by. No text is held but the one at hand, and nothing is broadcast or collected but the bounds of the batches.
@@ -46,6 +46,7 @@ class LineParams:
     docs: int = 3                  # documents that make a key frequent
     batches: int = 6
     fan: int = 3                   # runs of a level that are merged into one of the next
+    split: int = 4                 # parts of an input partition
     flush: int = 500_000           # lines that a task reads before it sends their keys
 
 
@@ -184,7 +185,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Lin
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     part, doc, body = (fresh(docs, c) for c in ("_part", "_doc", "_body"))
-    rows = stored(docs.select("*", F.spark_partition_id().alias(part), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias(doc)), "line-docs")
+    own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+    split = F.spark_partition_id() * p.split + F.pmod(F.xxhash64(own, F.octet_length(text)), F.lit(p.split))
+    rows = stored(docs.select("*", split.cast("int").alias(part), own.alias(doc)), "line-docs")
     cut = [k / p.batches for k in range(1, p.batches)]
     bounds = rows.agg(F.percentile_approx(doc, F.array(*map(F.lit, cut)), 1000)).first()[0] or []
     keys = stored(keys_of_parts(rows.select(F.col(part).alias("part"), F.col(doc).alias("doc"), F.col(text).alias("text")), sorted(set(bounds)), p), "line-keys", "batch")

@@ -397,6 +397,21 @@ def test_embedding_links_odd_rows(spark):
     assert all(out[k] == (0, k) for k in (4, 5, 6, 7, 8, 10, 11, 12)) and len(out) == 12
 
 
+def test_embedding_links_of_any_length_and_size(spark):
+    prepare(spark)
+    rows = [(1, [1.0] * 4, 0), (2, [1.0] * 4100, 0), (3, [2.0] * 4, 0), (4, [3.0] * 4100, 0), (5, [1e200, 0.0], 0), (6, [2e200, 1e190], 0), (7, [1e-200, 0.0], 0),
+            (8, [0.0, 1e-200], 0), (9, [float("inf"), 1.0], 0), (10, [float("nan"), 1.0], 0), (11, [0.0, 0.0], 0), (12, [], 0), (13, None, 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in imi.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 2), 5: (2, 5), 6: (2, 5), 7: (2, 5), **{k: (0, k) for k in range(8, 14)}}
+
+
+def test_chat_turns_without_parts_stay(spark):
+    df = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", [("text", "hi", None, None, None, None, None)])], "conv_id long, turn long, role string, parts array<struct<" + ",".join(
+        f"{f.name}:{f.dataType.simpleString()}" for f in chat.PART.fields) + ">>")
+    got = chat.read_back(chat.format_conversations(df)).first()
+    assert [tuple(t) for t in got["turns"]] == [("user", ""), ("assistant", "hi")] and got["loss"] == ["hi"]
+
+
 def test_embedding_links_lose_none(spark):
     rng = np.random.default_rng(4)
     wide = rng.normal(size=(600, 16)) * np.arange(1, 17.0) ** -1.0
