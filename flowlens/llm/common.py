@@ -19,6 +19,7 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")      # long texts make smaller batches
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")     # ranks are cut off before the shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,39 +76,47 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def bounded_sample(df: DataFrame, by: str, per_value: int, key: str, size: int | None = None) -> list:
+def bounded_sample(df: DataFrame, by: str, per_value: int, key: str, size: int | None = None, labels: DataFrame | None = None) -> list[dict]:
     """At most ``per_value`` rows for each value of ``by`` (a column of few values): those with the smallest hashes of ``key`` and
-    the column ``text``, the same rows whatever the partitioning. Each task keeps no more than ``per_value`` rows of a value, and
-    no more reach the driver. With ``size``, so many fewer of a value whose texts are long that about ``size`` bytes are expected, at least one."""
-    h, no = fresh(df, "_h"), fresh(df, "_no")
-    df = df.withColumn(h, F.xxhash64(F.col(key).cast("string"), F.col("text")))
-    octets = F.lit(0) if size is None else F.sum(F.octet_length("text"))
-    counts = {r[0]: (r[1], r[2]) for r in df.groupBy(by).agg(F.count("*"), octets).collect() if r[0] is not None}
+    the column ``text``, the same rows whatever the partitioning; each as key, value and text. ``labels``: a table (key, by) that is joined
+    where ``df`` has no such column. With ``size``, so many fewer of a value whose texts are long that about ``size`` bytes are expected, at least one.
+
+    Rows are chosen without their texts, which are then looked up by a broadcast of the few that were chosen; each task keeps no more than
+    ``per_value`` rows of a value, and no more reach the driver."""
+    hashed = df.select(F.col(key).alias("k"), F.col("text"), F.xxhash64(F.col(key).cast("string"), F.col("text")).alias("h"), *([] if labels is not None else [F.col(by).alias("v")]))
+    slim = hashed.withColumn("octets", F.octet_length("text")).drop("text")
+    if labels is not None:
+        slim = slim.join(labels.select(F.col(key).alias("k"), F.col(by).alias("v")), "k")
+    counts = {r[0]: (r[1], r[2]) for r in slim.groupBy("v").agg(F.count("*"), F.sum("octets")).collect() if r[0] is not None}
     bound = {v: per_value if size is None or not b else max(1, min(per_value, size * n // b)) for v, (n, b) in counts.items()}
-    w = Window.partitionBy(by).orderBy(h, key)
+    w = Window.partitionBy("v").orderBy("h", "k")
 
     def smallest(values: list, share: Callable) -> list:
         some, most = F.lit(False), F.lit(0)
         for v in values:
-            own = F.col(by) == F.lit(v)
+            own = F.col("v") == F.lit(v)
             some, most = some | (own & share(v)), F.when(own, F.lit(bound[v])).otherwise(most)
-        return df.where(some).withColumn(no, F.row_number().over(w)).where((F.col(no) <= per_value) & (F.col(no) <= most)).collect()
+        return slim.where(some).withColumn("no", F.row_number().over(w)).where((F.col("no") <= per_value) & (F.col("no") <= most)).select("v", "k", "h").collect()
 
     def low(v) -> Column:
         # more than the share that is wanted, so that hardly any rows but those are sorted
         n = counts[v][0]
         cut = int(min(1.0, (1.5 * bound[v] + min(200, bound[v] + 20)) / n) * (2**64)) - 2**63
-        return F.col(h) <= F.lit(min(cut, 2**63 - 1))
+        return F.col("h") <= F.lit(min(cut, 2**63 - 1))
 
     rows = smallest(list(counts), low) if counts else []
     got: dict = {}
     for r in rows:
-        got[r[by]] = got.get(r[by], 0) + 1
+        got[r["v"]] = got.get(r["v"], 0) + 1
     # where rows share hashes (one id and text, many times), a share of the hashes may hold too few of them
     few = [v for v in counts if got.get(v, 0) < min(bound[v], counts[v][0])]
     if few:
-        rows = [r for r in rows if r[by] not in few] + smallest(few, lambda v: F.lit(True))
-    return sorted(rows, key=lambda r: (r[h], str(r[key])))
+        rows = [r for r in rows if r["v"] not in few] + smallest(few, lambda v: F.lit(True))
+    if not rows:
+        return []
+    wanted = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in {r["h"] for r in rows}], "h long"))
+    texts = {(r["k"], r["h"]): r["text"] for r in hashed.select("k", "h", "text").join(wanted, "h").groupBy("k", "h").agg(F.first("text").alias("text")).collect()}
+    return [{key: r["k"], by: r["v"], "text": texts[r["k"], r["h"]]} for r in sorted(rows, key=lambda r: (r["h"], str(r["k"])))]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

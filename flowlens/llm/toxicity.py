@@ -45,8 +45,8 @@ class ToxicityParams:
     steps: int = 100
     rate: float = 0.3
     decay: float = 3e-3
-    per_class: int = 3000          # bound of the training sample: texts of each class
-    class_bytes: int = 16 << 20    # and the bytes of text expected of each class; texts of any length are in it
+    per_class: int = 1500          # bound of the training sample: texts of each class
+    class_bytes: int = 8 << 20    # and the bytes of text expected of each class; texts of any length are in it
     care: float = 4.0              # a clean text flagged weighs as much as so many shares of toxic texts missed, where the bias is placed
     word_cache: int = 400_000
     seed: int = 7
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, p: ToxicityParams = ToxicityP
     Labels other than 0 and 1, and null texts, are not used."""
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
     text = docs.select("doc_id", "text").where(learn & (F.length("text") > 0))
-    rows = bounded_sample(text.join(lab, "doc_id"), "toxic", p.per_class, "doc_id", p.class_bytes)
+    rows = bounded_sample(text, "toxic", p.per_class, "doc_id", p.class_bytes, lab)
     return train([(r["text"], r["toxic"]) for r in rows], p)
 
 
