@@ -136,7 +136,7 @@ SELECT {K}, (round(score, 9) + 0.0) AS score, CASE WHEN score <= 0 THEN 'attack'
 def _identity_sql() -> str:
     cols = ", ".join(f"CASE WHEN len(csv) = 82 THEN csv[{FLOW_COLUMNS_82.index(n) + 1}] ELSE "
                      f"{'NULL' if n not in FLOW_COLUMNS_80 else f'csv[{FLOW_COLUMNS_80.index(n) + 1}]'} END AS {n}" for n in R.IDENTITY)
-    return f"WITH {CSV} SELECT {K}, {cols} FROM c"
+    return f"WITH {CSV} SELECT DISTINCT {K}, {cols} FROM c"          # rows with one key are alike
 
 
 def queries() -> dict:
