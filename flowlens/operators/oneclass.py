@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import warnings
 from dataclasses import dataclass, field
 from itertools import product
@@ -203,24 +204,36 @@ def fit_one_class(train: DataFrame, features: list[str], kernel: str = "rbf", ga
 def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf", gamma="scale",
                       nus: list[float] = (0.05,), n_landmarks: int = 256, iterations: int = 40,
                       hash_col: str = "row_hash", degree: int = 3, coef0: float = 0.0,
-                      scaler: Scaler | None = None, cache: bool = True, tol: float = 0.02) -> list[OneClassModel]:
+                      scaler: Scaler | None = None, cache: bool = True, tol: float = 0.02,
+                      on_failure: str = "raise") -> list[OneClassModel | FitFailure]:
     """One scaler, landmark set and cached feature map per (kernel, gamma), then one
-    optimisation per nu value over the same cache."""
-    import time as _time
-    _t0 = _time.time()
-    _lap = (lambda tag: print(f"[fit] {tag} {_time.time() - _t0:.1f}s", flush=True)) if os.environ.get("FLOWLENS_TRACE") else (lambda tag: None)
+    optimisation per nu value over the same cache. With ``on_failure="keep"`` a nu whose
+    optimisation fails numerically has its ``FitFailure`` in its place."""
     if n_landmarks > MAX_LANDMARKS:
         raise ValueError("n_landmarks exceeds MAX_LANDMARKS")
-    src = train.select(hash_col, *features)
-    if cache:  # read by the scaler, gamma, landmark and phi jobs; released at the end
-        src = src.persist()
+    held = []                # tables kept for the scaler, gamma, landmark, phi and optimisation jobs
+
+    def hold(df: DataFrame) -> DataFrame:
+        if cache:
+            held.append(df.persist())
+        return df
+
+    try:
+        return _fit_nus(train.select(hash_col, *features), features, kernel, gamma, nus, n_landmarks, iterations, hash_col,
+                        degree, coef0, scaler, tol, on_failure, hold)
+    finally:
+        for t in held:
+            t.unpersist()
+
+
+def _fit_nus(src, features, kernel, gamma, nus, n_landmarks, iterations, hash_col, degree, coef0, scaler, tol, on_failure,
+             hold) -> list[OneClassModel | FitFailure]:
+    started = time.monotonic()
+    src = hold(src)
     scaler = scaler or fit_standard(src, features)
-    _lap("scaler")
     z = scaler.transform(src)
     g = gamma_value(gamma, z, features)
-    _lap("gamma")
     L = seeded_sample(z, n_landmarks, hash_col).select(*features).toPandas().to_numpy(dtype=np.float64)
-    _lap("landmarks")
     Kmm = kernel_matrix(L, L, kernel, g, degree, coef0)
     Kmm = (Kmm + Kmm.T) / 2.0
     if not np.isfinite(Kmm).all():
@@ -234,13 +247,10 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
         raise FitFailure("the kernel matrix of the landmarks has no positive eigenvalue")
     Tm = U[:, keep] / np.sqrt(lam[keep])
     r = Tm.shape[1]
-    phi = _phi_frame(z, features, L, Tm, kernel, g, degree, coef0, [hash_col])
-    if cache:
-        phi = phi.persist()
+    phi = hold(_phi_frame(z, features, L, Tm, kernel, g, degree, coef0, [hash_col]))
     pc = [F.col(f"phi{k}") for k in range(r)]
     n_row = phi.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(pc)]).collect()[0]
     n = n_row["n"]
-    _lap("phi materialised")
     w0 = np.array([n_row[f"m{k}"] for k in range(r)], dtype=np.float64)  # nu = 1 solution
 
     def score_expr(wv):
@@ -253,8 +263,7 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
             raise FitFailure("the scores of the training rows are not finite")
         return float(rho)
 
-    models = []
-    for nu in nus:
+    def solve(nu: float) -> tuple[np.ndarray, float]:
         w = w0.copy()
         for t in range(iterations):
             # the violators of the current w give the fixed-point target; the score is
@@ -267,18 +276,27 @@ def fit_one_class_nus(train: DataFrame, features: list[str], kernel: str = "rbf"
             target = np.array([row[f"g{k}"] or 0.0 for k in range(r)], dtype=np.float64) / (nu * n)
             # Frank-Wolfe step; w . (w - target) is the duality gap of the current iterate
             gap = float(w @ (w - target)) / max(float(w @ w), 1e-300)
-            _lap(f"nu {nu} iteration {t} gap={gap:.2e} rho={rho:.6f}")
             if gap < tol:
                 break
             eta = 2.0 / (t + 2.0)
             w = (1.0 - eta) * w + eta * target
-        rho = rho_of(w, nu)
+        return w, rho_of(w, nu)
+
+    shared = (time.monotonic() - started) / len(nus)
+    models = []
+    for nu in nus:
+        began = time.monotonic()
+        try:
+            w, rho = solve(nu)
+        except FitFailure as e:
+            if on_failure == "raise":
+                raise
+            models.append(e)
+            continue
         models.append(OneClassModel(list(features), scaler, L, Tm @ w, rho, kernel, g, degree, coef0, nu,
                                     {"kernel": kernel, "gamma": gamma, "nu": nu, "n_landmarks": n_landmarks,
-                                     "iterations": iterations, "n_train": n}))
-    if cache:
-        phi.unpersist()
-        src.unpersist()
+                                     "iterations": iterations, "n_train": n,
+                                     "fit_seconds": round(shared + time.monotonic() - began, 3)}))
     return models
 
 
@@ -309,39 +327,63 @@ def param_grid(spark: SparkSession, grid: dict | None = None, quick: bool = Fals
 
 
 def tune(train: DataFrame, validation: DataFrame, features: list[str], grid_df: DataFrame, label_col: str = "Attack",
-         **fit_kw) -> tuple[DataFrame, dict]:
-    """Fit every grid row on ``train``, evaluate on ``validation``; the best is the first
-    strictly greater F1. The grid is bounded (72 rows), so it is iterated on the driver;
-    rows sharing (kernel, gamma) share one scaler, landmark set and cached feature map, and
-    each fit and evaluation is a distributed job. Returns (results table, best params)."""
-    from flowlens.operators.evaluate import confusion, metrics_from_confusion
+         **fit_kw) -> tuple[DataFrame, dict | None]:
+    """Fit every grid row on ``train``, evaluate on ``validation``; the best is the first strictly greater F1, None
+    if no combination could be fitted. The grid is bounded (72 rows), so it is iterated on the driver; rows sharing
+    (kernel, gamma) share one scaler, landmark set and cached feature map, and all models are scored in one pass over
+    ``validation``. A combination whose fit fails numerically keeps its row, with the reason in ``error`` and no metrics,
+    and leaves the others; any other error is raised. ``fit_seconds``: its own optimisation and its share of the feature
+    map; ``support_ratio``: landmarks with a weight by training rows. Returns (results table, best params)."""
+    from flowlens.operators.evaluate import metrics_from_confusion
     spark = train.sparkSession
-    results, best, best_f1 = [], None, -1.0
     scaler = fit_standard(train, features)
     rows = grid_df.orderBy("idx").collect()
     groups: dict[tuple, list] = {}
     for g in rows:
         groups.setdefault((g["kernel"], g["gamma"]), []).append(g)
-    fitted = {}
+    fitted: dict[int, OneClassModel] = {}
+    errors: dict[int, str] = {}
     for (kernel, gamma_s), members in groups.items():  # one feature cache per (kernel, gamma)
         gamma = gamma_s if gamma_s in ("scale", "auto") else float(gamma_s)
-        ms = fit_one_class_nus(train, features, kernel, gamma, [m["nu"] for m in members], scaler=scaler, **fit_kw)
-        fitted.update({m["idx"]: (mod, gamma) for m, mod in zip(members, ms)})
-    for g in rows:  # evaluate and pick the first strictly greater F1 in grid order
-        model, gamma = fitted[g["idx"]]
-        scored = model.transform(validation).withColumn("yhat", F.col("is_anomaly").cast("int"))
-        m = metrics_from_confusion(confusion(scored, label_col, "yhat")).collect()[0].asDict()
-        n_train = model.params.get("n_train", 0)
-        results.append((g["idx"], g["kernel"], str(g["gamma"]), float(g["nu"]), float(model.gamma),
-                        m["accuracy"], m["precision"], m["recall"], m["f1_score"], float(model.rho), int(n_train)))
+        try:
+            ms = fit_one_class_nus(train, features, kernel, gamma, [m["nu"] for m in members], scaler=scaler,
+                                   on_failure="keep", **fit_kw)
+        except FitFailure as e:                        # the landmarks' kernel matrix: no nu can be fitted
+            ms = [e] * len(members)
+        for g, m in zip(members, ms):
+            if isinstance(m, FitFailure):
+                errors[g["idx"]] = str(m)
+            else:
+                fitted[g["idx"]] = m
+    cells = {}
+    if fitted:
+        scored = validation.select(F.col(label_col).alias("_y"),
+                                   *[(m.decision_column(validation) <= 0).alias(f"p{i}") for i, m in fitted.items()])
+        counts = scored.agg(*[F.count(F.when((F.col("_y") == y) & (F.col(f"p{i}") == bool(p)), 1)).alias(f"{name}{i}")
+                              for i in fitted for name, y, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])
+        row = counts.collect()[0]
+        cm = spark.createDataFrame([(i, *(row[f"{n}{i}"] for n in ("tn", "fp", "fn", "tp"))) for i in fitted],
+                                   "idx int, tn bigint, fp bigint, fn bigint, tp bigint")
+        cells = {r["idx"]: r for r in metrics_from_confusion(cm).collect()}
+    results, best, best_f1 = [], None, -1.0
+    for g in rows:  # pick the first strictly greater F1 in grid order
+        i, model, m = g["idx"], fitted.get(g["idx"]), cells.get(g["idx"])
+        if model is None:
+            results.append((i, g["kernel"], str(g["gamma"]), float(g["nu"]), *[None] * 9, errors[i]))
+            continue
+        n_train = int(model.params["n_train"])
+        results.append((i, g["kernel"], str(g["gamma"]), float(g["nu"]), float(model.gamma),
+                        m["accuracy"], m["precision"], m["recall"], m["f1_score"], float(model.rho), n_train,
+                        float(model.params["fit_seconds"]), float(np.count_nonzero(model.coef)) / n_train, None))
         if m["f1_score"] > best_f1:
+            gamma = g["gamma"] if g["gamma"] in ("scale", "auto") else float(g["gamma"])
             best_f1, best = m["f1_score"], {"kernel": g["kernel"], "gamma": gamma, "nu": g["nu"]}
     res = spark.createDataFrame(results, "idx int, kernel string, gamma string, nu double, gamma_value double, "
                                          "accuracy double, precision double, recall double, f1_score double, "
-                                         "rho double, n_train bigint")
+                                         "rho double, n_train bigint, fit_seconds double, support_ratio double, error string")
     return res, best
 
 
 def top_results(results: DataFrame, k: int = 5) -> DataFrame:
     """top k by F1, ties kept in grid order."""
-    return results.orderBy(F.col("f1_score").desc(), F.col("idx").asc()).limit(k)
+    return results.orderBy(F.col("f1_score").desc_nulls_last(), F.col("idx").asc()).limit(k)

@@ -434,6 +434,27 @@ def labelled_csv_roundtrip(spark, sf_dir):
                      F.col("l_linenumber").cast("int").alias("l_linenumber"), "label", *FEATS)
 
 
+CAPPED_ROWS = 5_000     # rows_per_file of the "hyperparam" mode
+
+
+def labelled_capped(spark, sf_dir):
+    """The first rows of each file, by position. The files are the labelled view by file_no, each in key order."""
+    import os
+    import uuid
+    from flowlens.plans.training import MODES
+    from flowlens.session import ensure_checkpoint_dir
+    from flowlens.sources.labelled import read_labelled
+    assert CAPPED_ROWS == MODES["hyperparam"]["rows_per_file"]
+    path = os.path.join(ensure_checkpoint_dir(spark), "fixtures", f"labelled-{uuid.uuid4().hex}")
+    view = fx.labelled(spark, sf_dir)
+    (view.repartition("file_no").sortWithinPartitions("file_no", *KEYS).write.partitionBy("file_no").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    files = sorted({f.rsplit("/", 1)[0] for f in spark.read.text(path).inputFiles()})
+    df = read_labelled(spark, files, rows_per_file=CAPPED_ROWS, label="label", keep_text=("label", "ship_day", "row_hash"))
+    return df.select(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")],
+                     F.col("l_linenumber").cast("int").alias("l_linenumber"), "label", *FEATS)
+
+
 def queries() -> dict:
     return {
         "label_distribution": label_distribution, "distinct_labels": distinct_labels,
@@ -449,7 +470,7 @@ def queries() -> dict:
         "one_class_fit": one_class_fit, "tuning_results": tuning_results,
         "alerts_per_day": _alerts("1 day"), "alerts_sliding_2d": _alerts("2 days", "1 day"),
         "training_run_summary": training_run_summary, "model_description": model_description,
-        "labelled_csv_roundtrip": labelled_csv_roundtrip,
+        "labelled_csv_roundtrip": labelled_csv_roundtrip, "labelled_capped": labelled_capped,
     }
 
 
@@ -487,6 +508,9 @@ SELECT test_set, kind, n, CAST(n AS DOUBLE) * 100.0 / CAST(sum(n) OVER (PARTITIO
         "alerts_per_day": _alerts_sql(False), "alerts_sliding_2d": _alerts_sql(True),
         "labelled_csv_roundtrip": f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, label, {', '.join(FEATS)} "
                                   f"FROM ({duckdb_view('labelled')})",
+        "labelled_capped": f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, label, {', '.join(FEATS)} "
+                           f"FROM ({duckdb_view('labelled')}) QUALIFY row_number() OVER (PARTITION BY file_no "
+                           f"ORDER BY {K}) <= {CAPPED_ROWS}",
         "eval_by_test_set": f"""WITH {sc}, {_paper_split_cte(False)},
 j AS (SELECT ps.test_set, sd.Attack, sd.yhat FROM ps JOIN sd USING (row_hash) WHERE ps.test_set <> 'train'),
 cm AS (SELECT test_set, {CM} FROM j GROUP BY test_set)

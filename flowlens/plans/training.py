@@ -10,11 +10,13 @@ import json
 import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import clean, evaluate as ev, split
-from flowlens.operators.oneclass import OneClassModel, fit_with_fallback
+from flowlens.operators.oneclass import OneClassModel, fit_with_fallback, tune
+from flowlens.sources.labelled import read_labelled_with_fallback
 
 # ---------------------------------------------------------------------------
 # The reference's sample-size modes (total rows, rows per file, benign
@@ -34,11 +36,15 @@ MODES = {
 }
 
 
+SAVED_TABLES = ("metrics", "summary", "tuning")    # beside the model's own tables in its directory
+
+
 @dataclass
 class TrainingRun:
     model: OneClassModel
     metrics: DataFrame      # one row per test set (G14-G17, G20)
     summary: DataFrame      # G22 one-row record
+    tuning: DataFrame | None = None     # G13 results, one row per combination
 
 
 def modes_table(spark) -> DataFrame:
@@ -49,10 +55,33 @@ def modes_table(spark) -> DataFrame:
                                        "fallback_rows bigint, params string")
 
 
+def read_for_mode(spark, files: list[str], mode: str, label: str = "Label", **kw) -> DataFrame:
+    """Labelled files under the row limits of ``mode``: the first ``rows_per_file`` rows of each file until
+    ``target_rows`` are reached, then a seeded sample of that many. Encodings are decided file by file (A6)."""
+    cfg = MODES[mode]
+    return read_labelled_with_fallback(spark, files, rows_per_file=cfg["rows_per_file"], target_rows=cfg["target_rows"],
+                                       label=label, sample=True, **kw)
+
+
+def load_training(spark, path: str) -> TrainingRun:
+    """The model of a directory with the tables that its run saved beside it."""
+    tables = {}
+    for name in SAVED_TABLES:
+        try:
+            tables[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND" or name != "tuning":     # only a tuned run has that one
+                raise
+    return TrainingRun(OneClassModel.load(spark, path), tables["metrics"], tables["summary"], tables.get("tuning"))
+
+
 def run_training(labelled: DataFrame, features: list[str] | None = None, mode: str = "small", profile: str = "default",
                  label: str = "label", keep: tuple[str, ...] = (), hash_col: str = "row_hash",
                  n_landmarks: int = 256, iterations: int = 30, out_dir: str | None = None,
-                 params: dict | None = None) -> TrainingRun:
+                 params: dict | None = None, grid: DataFrame | None = None) -> TrainingRun:
+    """One training run. With ``grid`` (``param_grid``) every combination is fitted first and the best one's values
+    replace those of the mode (G13). With ``out_dir`` the model, the metrics of each test set, the summary and the
+    tuning results are saved there (A9, G22) and come back by ``load_training``."""
     cfg = MODES[mode]
     p = dict(cfg["params"], **(params or {}))
     t0 = time.time()
@@ -66,26 +95,40 @@ def run_training(labelled: DataFrame, features: list[str] | None = None, mode: s
     train = sets.filter(F.col("test_set") == "train")
     if cfg["benign_rows"]:
         train = split.seeded_sample(train, cfg["benign_rows"], hash_col)
+    test = sets.filter(F.col("test_set") != "train")
+    tuning = None
+    if grid is not None:
+        # "overall" holds every test row; the paper profile's other sets are parts of it
+        tuning, best = tune(train, test.filter(F.col("test_set") == "overall"), feats, grid, n_landmarks=n_landmarks,
+                            iterations=iterations, hash_col=hash_col)
+        p.update(best or {})
     fit_kw = dict(kernel=p["kernel"], gamma=p["gamma"], nu=p["nu"], n_landmarks=n_landmarks,
                   iterations=iterations, hash_col=hash_col)
     model = fit_with_fallback(train, feats, cfg["fallback_rows"], **fit_kw)    # G9
     n_train_used = model.params.get("n_train")
     fit_s = time.time() - t0
-    test = sets.filter(F.col("test_set") != "train")
     scored = model.transform(test).withColumn("yhat", F.col("is_anomaly").cast("int"))
     metrics = ev.evaluate(scored, "Attack", "yhat", by=["test_set"])
     m_rows = {r["test_set"]: r.asDict() for r in metrics.collect()}
     model.metrics = {k: {m: v[m] for m in ("accuracy", "precision", "recall", "f1_score")} for k, v in m_rows.items()}
-    if out_dir:
-        model.save(labelled.sparkSession, out_dir)
+    sizes = {r["test_set"]: r["count"] for r in test.groupBy("test_set").count().collect()}
     spark = labelled.sparkSession
     ov = m_rows.get("overall", {})
     summary = spark.createDataFrame(
         [(mode, profile, p["kernel"], str(p["gamma"]), float(p["nu"]), float(model.gamma), len(feats),
           int(n_train_used or 0), int(len(model.coef)), float(model.rho), ov.get("accuracy"), ov.get("precision"),
           ov.get("recall"), ov.get("f1_score"), round(fit_s, 3), json.dumps(model.metrics),
-          model.params["fallback_used"])],
+          model.params["fallback_used"], json.dumps(dict(sorted(sizes.items()))), len(m_rows),
+          None if tuning is None else tuning.count())],
         "mode string, profile string, kernel string, gamma string, nu double, gamma_value double, n_features int, "
         "n_train bigint, n_landmarks int, rho double, accuracy double, precision double, recall double, "
-        "f1_score double, train_seconds double, metrics_by_set string, fallback_used boolean")
-    return TrainingRun(model, metrics, summary)
+        "f1_score double, train_seconds double, metrics_by_set string, fallback_used boolean, test_sizes string, "
+        "n_test_sets int, n_combinations bigint")
+    run = TrainingRun(model, metrics, summary, tuning)
+    if out_dir:
+        model.save(spark, out_dir)
+        for name in SAVED_TABLES:
+            table = getattr(run, name)
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{out_dir}/{name}")
+    return run
