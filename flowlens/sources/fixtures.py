@@ -7,11 +7,14 @@ one SQL text with dialect tokens, so Spark and the DuckDB oracle read identical
 
 from __future__ import annotations
 
-import hashlib
-
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _TOKENS = {
     "spark": {
@@ -152,7 +155,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_csv_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow-CSV events as a view (recomputed by every query that reads it)."""
+    """Flow-CSV events as ``FLOW_CSV_SQL`` says them."""
     return spark.sql(render(FLOW_CSV_SQL, "spark"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
@@ -171,17 +174,42 @@ def flow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_csv(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
 
 
+def _csv_arrays(b: pa.RecordBatch) -> pa.Array:
+    """The ``csv`` column of ``FLOW_CSV_SQL`` for a batch of (l_orderkey, l_linenumber, ..., l_suppkey): every text that occurs
+    is written once, and the arrays are taken from those."""
+    order, line, supp = (b.column(b.schema.get_field_index(c)) for c in ("l_orderkey", "l_linenumber", "l_suppkey"))
+    i = np.arange(7, 83)
+    lines, supps = line.dictionary_encode(), supp.dictionary_encode()
+    products = pa.array(np.multiply.outer(lines.dictionary.to_numpy(zero_copy_only=False).astype(np.int64), i).ravel()).cast(pa.string())
+    fixed = pa.array(["10.1.0.1", "10.0.0.1", "40000", "6", "2024-01-01 00:00:00", "", "bad", None], pa.string())
+    pool = pa.concat_arrays([fixed, supps.dictionary.cast(pa.string()), products])
+    null = len(fixed) - 1
+    s = pc.fill_null(supps.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.fill_null(lines.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.empty((b.num_rows, 82), np.int64)
+    at[:, :6] = [0, 1, 2, null, 3, 4]
+    at[:, 3] = np.where(s < 0, null, s + len(fixed))
+    at[:, 6:] = np.where(n[:, None] < 0, null, len(fixed) + len(supps.dictionary) + n[:, None] * len(i) + (i - 7))
+    known = order.is_valid().to_numpy(zero_copy_only=False)[:, None]
+    key = pc.fill_null(order, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at[:, 6:][known & ((key[:, None] % 59 + i) % 59 == 0)] = 6
+    at[:, 6:][known & ((key[:, None] % 53 + i) % 53 == 0)] = 5
+    kind = np.where(n < 0, -1, pc.fill_null(line, 0).to_numpy(zero_copy_only=False) % 5)
+    there = np.ones(at.shape, bool)
+    there[kind == 0, :2] = False
+    there[kind == 1, 81] = False
+    ends = np.append(0, there.sum(1).cumsum()).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pool.take(pa.array(at[there])))
+
+
 def flow_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow-CSV events (``csv array<string>`` of width 82, 80 or 81) derived from ``lineitem``.
-
-    Serving input is a file in practice, so the view is written once as a parquet table
-    under the session's shared ``spark.checkpoint.dir`` and read from there; filters on
-    it then no longer re-derive the 82 strings of every row."""
-    from flowlens.session import ensure_checkpoint_dir
-    src = os.path.join(sf_dir, "lineitem.parquet")
-    tag = f"{hashlib.md5(os.path.abspath(src).encode()).hexdigest()[:12]}_{int(os.path.getmtime(src)) if os.path.exists(src) else 0}"
-    path = os.path.join(ensure_checkpoint_dir(spark), "fixtures", tag, "flow_csv.parquet")
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
-        flow_csv_view(spark, sf_dir).write.mode("overwrite").parquet(path)
-    from flowlens.sources.io import read_parquet
-    return read_parquet(spark, path)
+    """Flow-CSV events (``csv array<string>`` of width 82, 80 or 81) derived from ``lineitem``: the rows of ``flow_csv_view``,
+    built batch by batch. Nothing is stored; a query that reads them more than once keeps what it needs of them."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, _csv_arrays(b)], names=[*b.schema.names, "csv"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("csv", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(build, schema).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "csv")
