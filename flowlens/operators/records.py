@@ -1,11 +1,19 @@
 """Flow CSV records -> model features (operators B2-B9, B20, A10, G12 preprocessing).
 
 All steps are projections and filters on one row at a time; the whole serve path is a
-single stage without a shuffle.
+single stage without a shuffle. Many features at once are read batch by batch (``mapInArrow``):
+a projection of that many texts is too long a method for the JVM to compile.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +95,86 @@ def csv_events_to_features(df: DataFrame, csv: str = "csv", keep: list[str] | No
     acc, _ = split_by_width(df, csv)
     if drop_header:
         acc = drop_header_rows(acc, csv)
-    return record_to_features(csv_to_record(acc, csv, keep), keep, features)
+    features = features or MODEL_FEATURES_DEFAULT
+    at = _places(features, keep or [])
+    if at is None or len(at) <= FEW_FEATURES:
+        return record_to_features(csv_to_record(acc, csv, keep), keep, features)
+    rows = csv_to_record(acc.withColumn("_csv", F.col(csv)), "_csv", [*(keep or []), "_csv"]).select(*(keep or []), "_csv")
+    places = np.array([-1 if k is None else k for k in at])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.num_columns - 1)
+            width = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.append(0, width.cumsum()[:-1]) - np.where(width == 80, 2, 0)
+            x = np.zeros((len(places), b.num_rows))
+            there = places >= 0
+            value, _ = read_numbers(texts.flatten().take(pa.array((first + places[there, None]).ravel())))
+            x[there] = value.reshape(-1, b.num_rows)
+            yield _with_features(b.columns[:-1], b.schema.names[:-1], x, features)
+
+    return rows.mapInArrow(read, _features_schema(rows, keep or [], features))
+
+
+#: More features than these are read batch by batch.
+FEW_FEATURES = 16
+
+
+def _places(features: list[str], keep: list[str]) -> list[int | None] | None:
+    """Each feature's place in the 82-field record (None: it has none, and is 0.0); None if one is a column of another kind."""
+    inv = {v: k for k, v in FEATURE_NAME_MAP.items()}
+    if any(f in keep or f in FLOW_COLUMNS_82 for f in features):
+        return None
+    return [FLOW_COLUMNS_82.index(inv[f]) if f in inv and inv[f] not in UNMAPPED else None for f in features]
+
+
+def _features_schema(df: DataFrame, keep: list[str], features: list[str]) -> T.StructType:
+    return T.StructType([*[df.schema[c] for c in keep], *[T.StructField(f, T.DoubleType()) for f in features]])
+
+
+def _with_features(columns: list, names: list[str], x: np.ndarray, features: list[str]) -> pa.RecordBatch:
+    """The columns with the features (one a row of ``x``) behind them; what is not finite is 0.0."""
+    return pa.RecordBatch.from_arrays([*columns, *[pa.array(v) for v in np.where(np.isfinite(x), x, 0.0)]], names=[*names, *features])
+
+
+_PLAIN = r"^-?[0-9]{1,17}(\.[0-9]{1,17})?([eE][+-]?[0-9]{1,2})?$"
+_DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[fFdD]?")
+_HEX = re.compile(r"[+-]?0[xX](?:[0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?[0-9]+[fFdD]?")
+_BLANKS = "".join(map(chr, range(33)))
+
+
+def _number(text: str) -> float | None:
+    """A text as Spark's ``try_cast`` to double reads it; None if it is no number."""
+    t = text.strip(_BLANKS)
+    sign = -1.0 if t[:1] == "-" else 1.0
+    if t.lower().removeprefix("+").removeprefix("-") in ("inf", "infinity") and t[:2] not in ("+-", "-+"):
+        return sign * math.inf
+    if t.lower() == "nan" or t in ("+NaN", "-NaN"):
+        return math.nan
+    if _DECIMAL.fullmatch(t):
+        return float(t.rstrip("fFdD"))
+    if _HEX.fullmatch(t):
+        try:
+            return float.fromhex(t.rstrip("fFdD"))
+        except OverflowError:
+            return sign * math.inf
+    return None
+
+
+def read_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether each is a number) of texts, as ``try_cast`` to double reads them. Each distinct text is read once; plain
+    ones all together."""
+    coded = texts.dictionary_encode()
+    known = coded.dictionary
+    plain = pc.match_substring_regex(known, _PLAIN)
+    value = np.append(pc.if_else(plain, known, None).cast(pa.float64()).to_numpy(zero_copy_only=False), np.nan)
+    ok = np.append(plain.to_numpy(zero_copy_only=False).astype(bool), False)
+    for k in np.flatnonzero(~ok[:-1]):
+        x = _number(known[k].as_py())
+        if x is not None:
+            value[k], ok[k] = x, True
+    at = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)        # the last entry stands for null
+    return value[at], ok[at]
 
 
 def records_to_csv_array(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
