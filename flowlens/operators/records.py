@@ -219,12 +219,44 @@ def request_map_to_features(df: DataFrame, col: str, keep: list[str] | None = No
     -> model features. Names are stripped; missing features are 0.0; extra keys are dropped."""
     keep = keep or []
     features = features or MODEL_FEATURES_DEFAULT
-    if dict(df.dtypes)[col] != "map<string,double>":
-        df, _ = split_requests(df, col)
-    # all names are looked up in one pass over the map, not one after the other
-    record = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
-    df = _once(df, "_record", F.from_json(F.to_json(F.col(col)), record))
-    return df.select(*keep, *[finite_or_zero(F.coalesce(F.col("_record").getField(f), F.lit(0.0))).alias(f) for f in features])
+    kind = dict(df.dtypes)[col]
+    if kind == "map<string,double>":
+        # all names are looked up in one pass over the map, not one after the other
+        record = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
+        df = _once(df, "_record", F.from_json(F.to_json(F.col(col)), record))
+        return df.select(*keep, *[finite_or_zero(F.coalesce(F.col("_record").getField(f), F.lit(0.0))).alias(f) for f in features])
+    rows = df.select(*keep, (F.from_json(F.col(col), "map<string,string>") if kind == "string" else F.col(col)).alias("_m"))
+    column = {f: i for i, f in enumerate(features)}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good, x = _read_maps(b.column(b.num_columns - 1), column)
+            yield _with_features([c.filter(pa.array(good)) for c in b.columns[:-1]], b.schema.names[:-1], x[:, good], features)
+
+    return rows.mapInArrow(read, _features_schema(rows, keep, features))
+
+
+def _read_maps(maps: pa.MapArray, column: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows without a ``_reason``, the numbers by name: one row for each of ``column``) of a batch of requests."""
+    n, ends = len(maps), maps.offsets.to_numpy()
+    row = np.repeat(np.arange(n), np.diff(ends))
+    names = maps.keys[ends[0]:ends[-1]].dictionary_encode()
+    stripped: dict[str, int] = {}
+    code = np.array([stripped.setdefault(k.strip(" "), len(stripped)) for k in names.dictionary.to_pylist()] or [0], np.int64)[names.indices.to_numpy()]
+    value, ok = read_numbers(maps.items[ends[0]:ends[-1]])
+    cell = row * len(stripped) + code
+    if n * len(stripped) <= 4 * len(cell) + 1_000_000:
+        twice = np.flatnonzero(np.bincount(cell) > 1)
+    else:                                                     # many names in few maps
+        cells, times = np.unique(cell, return_counts=True)
+        twice = cells[times > 1]
+    good = maps.is_valid().to_numpy(zero_copy_only=False).copy()
+    good[row[~ok]] = False
+    good[twice // max(len(stripped), 1)] = False
+    to = np.array([column.get(k, -1) for k in stripped] or [0])[code]
+    x = np.zeros((len(column), n))
+    x[to[to >= 0], row[to >= 0]] = value[to >= 0]
+    return good, x
 
 
 def explode_batch_request(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
