@@ -8,6 +8,7 @@ from flowlens.operators import records as R
 from flowlens.schemas import FEATURE_NAME_MAP, FLOW_COLUMNS_80, FLOW_COLUMNS_82, MODEL_FEATURES_DEFAULT
 from flowlens.sources import fixtures as fx
 from flowlens.sources.fixtures import duckdb_view
+from flowlens.sources.io import materialize
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 K = ", ".join(KEYS)
@@ -64,14 +65,14 @@ def _csv_model(feats):
 
 
 def csv_score(spark, sf_dir):
-    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS)
+    feats = materialize(R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS), "features")
     scored = R.csv_prediction(_csv_model(feats).transform(feats))
     return scored.select(*KEYS, F.round("score", 9).alias("score"), "prediction")
 
 
 def csv_score_with_identity(spark, sf_dir):
     """Every scored row says which flow it is about."""
-    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=[*KEYS, *R.IDENTITY], features=CSV_MODEL_FEATS)
+    feats = materialize(R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=[*KEYS, *R.IDENTITY], features=CSV_MODEL_FEATS), "features")
     scored = R.csv_prediction(_csv_model(feats).transform(feats))
     return scored.select(*KEYS, *R.IDENTITY, F.round("score", 9).alias("score"), "prediction")
 
