@@ -80,7 +80,7 @@ def csv_score_with_identity(spark, sf_dir):
 def batch_requests(spark, sf_dir):
     """A10 + G11: the events of an order as one JSON list; every list is scored and counted."""
     from flowlens.operators.evaluate import batch_totals
-    feats = R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS)
+    feats = materialize(R.csv_events_to_features(fx.flow_csv(spark, sf_dir), keep=KEYS, features=CSV_MODEL_FEATS), "features")
     one = F.to_json(F.create_map(*[x for f in CSV_MODEL_FEATS for x in (F.lit(f" {f}"), F.col(f"`{f}`"))]))
     requests = feats.groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("flows"))
     rows, _ = R.explode_batch_request(requests, "flows")
@@ -105,7 +105,7 @@ def good_requests(spark, sf_dir):
 
 def flows_csv_text(spark, sf_dir):
     """A3: lines of text, some of them headers, quoted or broken, to records."""
-    lines = fx.flow_lines(spark, sf_dir).withColumn("csv", R.decode_csv_line(F.col("line")))
+    lines = R.decode_lines(fx.flow_lines(spark, sf_dir), "line")
     ok, _ = R.split_by_width(R.drop_header_rows(lines))
     return R.csv_to_record(ok, keep=KEYS).select(*KEYS, "src_port", "timestamp", "flow_duration", "tot_fwd_pkts", "subflow_bwd_byts")
 

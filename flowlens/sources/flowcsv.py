@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators.records import decode_csv_line
+from flowlens.operators.records import decode_lines
 from flowlens.schemas import FLOW_COLUMNS_82
 
 
 def _lines_to_csv(lines: DataFrame) -> DataFrame:
-    return lines.select(decode_csv_line(F.col("value")).alias("csv"),
-                        F.col("_metadata.file_path").alias("source_file"))
+    placed = lines.select("value", F.col("_metadata.file_path").alias("source_file"))
+    return decode_lines(placed, "value").select("csv", "source_file")
 
 
 def read_flows_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
