@@ -14,12 +14,14 @@ from flowlens.functions.stats import safe_div
 from flowlens.operators.quantiles import exact_quantiles
 
 
-def confusion(df: DataFrame, y: str = "Attack", yhat: str = "yhat", by: list[str] | None = None) -> DataFrame:
-    """Tn, fp, fn, tp (positive class = attack = 1), optionally per group."""
+def confusion(df: DataFrame, y: str = "Attack", yhat: str = "yhat", by: list[str] | None = None, rows: str | None = None) -> DataFrame:
+    """Tn, fp, fn, tp (positive class = attack = 1), optionally per group. ``rows``: name of one more column that counts all
+    rows, those without a class or a prediction too."""
     by = by or []
     Y, P = F.col(y) == 1, F.col(yhat) == 1
     aggs = [F.count(F.when(~Y & ~P, 1)).alias("tn"), F.count(F.when(~Y & P, 1)).alias("fp"),
-            F.count(F.when(Y & ~P, 1)).alias("fn"), F.count(F.when(Y & P, 1)).alias("tp")]
+            F.count(F.when(Y & ~P, 1)).alias("fn"), F.count(F.when(Y & P, 1)).alias("tp"),
+            *([F.count(F.lit(1)).alias(rows)] if rows else [])]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 

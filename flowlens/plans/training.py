@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import clean, evaluate as ev, split
 from flowlens.operators.oneclass import OneClassModel, fit_with_fallback, tune
+from flowlens.sources.io import materialize
 from flowlens.sources.labelled import read_labelled_with_fallback
 
 # ---------------------------------------------------------------------------
@@ -36,6 +37,7 @@ MODES = {
 }
 
 
+FILE_ROWS = 500_000    # of the stored clean rows
 SAVED_TABLES = ("metrics", "summary", "tuning")    # beside the model's own tables in its directory
 
 
@@ -85,8 +87,13 @@ def run_training(labelled: DataFrame, features: list[str] | None = None, mode: s
     cfg = MODES[mode]
     p = dict(cfg["params"], **(params or {}))
     t0 = time.time()
-    df = clean.clean_labelled(labelled, label=label, profile=profile, mode=mode, keep=(*keep, hash_col))
+    # Stored before and after cleaning, in files of bounded rows: cleaning passes over the first several times, splits, fits
+    # and scores over the second, and neither computes again what the rows are made of. Kept columns play no part in a run.
+    rows = clean.strip_column_names(labelled)
+    rows = materialize(rows.drop(*(set(keep) - {label, hash_col, *(features or ())})), "labelled", FILE_ROWS)
+    df = clean.clean_labelled(rows, label=label, profile=profile, mode=mode, keep=(*keep, hash_col))
     feats = features or clean.feature_columns(df, (label, "Attack", *keep, hash_col))
+    df = materialize(df.select(*dict.fromkeys((label, "Attack", hash_col, *feats))), "clean", FILE_ROWS)
     if profile == "paper":
         sets = split.paper_split(df, label, hash_col=hash_col)
     else:
@@ -108,11 +115,13 @@ def run_training(labelled: DataFrame, features: list[str] | None = None, mode: s
     n_train_used = model.params.get("n_train")
     fit_s = time.time() - t0
     scored = model.transform(test).withColumn("yhat", F.col("is_anomaly").cast("int"))
-    metrics = ev.evaluate(scored, "Attack", "yhat", by=["test_set"])
+    cm = ev.confusion(scored, "Attack", "yhat", by=["test_set"], rows="n")
+    spark = labelled.sparkSession
+    cm = spark.createDataFrame(cm.collect(), cm.schema)        # one row per test set: the test rows are scored once
+    metrics = ev.detection_rates(ev.metrics_from_confusion(cm.drop("n")))
     m_rows = {r["test_set"]: r.asDict() for r in metrics.collect()}
     model.metrics = {k: {m: v[m] for m in ("accuracy", "precision", "recall", "f1_score")} for k, v in m_rows.items()}
-    sizes = {r["test_set"]: r["count"] for r in test.groupBy("test_set").count().collect()}
-    spark = labelled.sparkSession
+    sizes = {r["test_set"]: r["n"] for r in cm.collect()}
     ov = m_rows.get("overall", {})
     summary = spark.createDataFrame(
         [(mode, profile, p["kernel"], str(p["gamma"]), float(p["nu"]), float(model.gamma), len(feats),

@@ -28,14 +28,14 @@ def read_parquet(spark: SparkSession, path: str | list[str], schema=None, balanc
     return spread(df) if balance else df
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as parquet under the session's shared ``spark.checkpoint.dir`` and read it
     back: cuts lineage so plans that branch over it do not recompute its inputs, and the
-    table survives executor loss."""
+    table survives executor loss. ``rows_per_file`` (0: no bound) ends a file early, so that few writers leave many splits."""
     import os
     import uuid
     from flowlens.session import ensure_checkpoint_dir
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "flowlens", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.parquet(path)

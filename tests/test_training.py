@@ -75,3 +75,22 @@ def test_rows_of_a_mode(spark, tmp_path, monkeypatch):
         rows = training.read_for_mode(spark, files, "small").collect()
         assert len(rows) == 100 and {r["Label"] for r in rows} == {"é0", "é1", "é2"} and max(r["A"] for r in rows) < 40
         assert training.read_for_mode(spark, files, "full").count() == 240
+
+
+def test_rows_are_cleaned_and_scored_once(spark, labelled, monkeypatch):
+    """The input is read once, to store its rows; cleaning reads those; splits, fit and scores read the clean ones."""
+    stored, real = [], training.materialize
+    monkeypatch.setattr(training, "materialize", lambda df, *a: stored.append(real(df, *a)) or stored[-1])
+    scored, transform = [], training.OneClassModel.transform
+    monkeypatch.setattr(training.OneClassModel, "transform", lambda self, df: scored.append(df) or transform(self, df))
+    rows = labelled.withColumn("f0", F.lit(1.0) * F.col("id"))
+    run = training.run_training(rows, ["x", "y", "z"], mode="hyperparam", profile="paper", keep=("id", "f0"), n_landmarks=8, iterations=1)
+    first, clean = stored
+    assert set(first.columns) == {"label", "row_hash", "x", "y", "z"} and set(clean.columns) == {*first.columns, "Attack"}
+    assert len(scored) == 1 and set(scored[0].inputFiles()) == set(clean.inputFiles())
+    s = run.summary.collect()[0]
+    sizes = json.loads(s["test_sizes"])
+    assert sizes["overall"] + s["n_train"] == 1500
+    assert "Scan" not in run.metrics._jdf.queryExecution().toString().replace("LocalTableScan", "").replace("Scan ExistingRDD", "")
+    m = run.metrics.collect()[0]
+    assert m["tn"] + m["fp"] + m["fn"] + m["tp"] == sizes["overall"] and "n" not in run.metrics.columns
