@@ -97,3 +97,56 @@ def test_fallback_only_for_numeric_failures(spark, toy, monkeypatch):
         oneclass.fit_with_fallback(train, ["a", "b"], 500)
     with pytest.raises(oneclass.FitFailure):
         real(train.withColumn("a", toy.a * float("inf")), ["a", "b"], n_landmarks=8, iterations=1)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_fit_equals_brute_force(spark, ties):
+    import math
+    rng = np.random.RandomState(7)
+    x = rng.normal(size=(4000, 2)).round(0 if ties else 12)
+    train = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double") \
+        .withColumn("row_hash", row_hash(["id"])).repartition(3)
+    m = fit_one_class(train, ["a", "b"], "rbf", "scale", 0.1, n_landmarks=12, iterations=6, tol=0.0)
+    z = (x - np.array(m.scaler.center)) / np.array(m.scaler.scale)
+    lam, u = np.linalg.eigh(kernel_matrix(m.landmarks, m.landmarks, "rbf", m.gamma))
+    phi = kernel_matrix(z, m.landmarks, "rbf", m.gamma) @ (u[:, lam > 1e-10] / np.sqrt(lam[lam > 1e-10]))
+    w = phi.mean(0)
+    for t in range(7):
+        s = phi @ w
+        rho = np.sort(s)[math.ceil(400) - 1]
+        if t < 6:
+            eta = 2.0 / (t + 2.0)
+            w = (1.0 - eta) * w + eta * phi[s < rho - 1e-10].sum(0) / 400
+    assert m.rho == pytest.approx(rho, abs=1e-9)
+    assert np.allclose(kernel_matrix(z, m.landmarks, "rbf", m.gamma) @ m.coef, phi @ w, atol=1e-9)
+
+
+def test_rank_is_found_without_good_pivots(spark, monkeypatch):
+    """Pivots that say nothing about the scores cost passes, not rows: all rows are counted, whatever the pivots are."""
+    from flowlens.operators import oneclass
+    rng = np.random.RandomState(8)
+    rows = [(i, float(v)) for i, v in enumerate(rng.normal(size=3000) * 10.0 ** rng.randint(-8, 2, 3000))]
+    train = spark.createDataFrame(rows, "id long, a double").withColumn("row_hash", row_hash(["id"])).repartition(4)
+    kw = dict(n_landmarks=8, iterations=2, tol=0.0)
+    want = fit_one_class(train, ["a"], "rbf", "scale", 0.2, **kw)
+    passes, real = [], oneclass._bins
+    monkeypatch.setattr(oneclass, "_bins", lambda *a: passes.append(1) or real(*a))
+    monkeypatch.setattr(oneclass, "_edges_near", lambda *a: np.array([1e300]))
+    got = fit_one_class(train, ["a"], "rbf", "scale", 0.2, **kw)
+    assert got.rho == pytest.approx(want.rho, abs=1e-12) and np.allclose(got.coef, want.coef, rtol=1e-6)
+    assert 4 < len(passes) <= 1 + 3 * 11
+
+
+def test_fit_keeps_no_feature_map_and_evens_out_its_rows(spark, monkeypatch):
+    """What is kept is the training columns, once and over all slots; formerly r columns of phi for each row too."""
+    from flowlens.operators import oneclass
+    monkeypatch.setattr(oneclass, "SPREAD_ROWS", 1000)
+    frame, kept = type(spark.range(0)), []
+    real = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: kept.append(self) or real(self, *a))
+    rows = spark.range(0, 5000, 1, 1).select("id", F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"))
+    train = rows.withColumn("row_hash", row_hash(["id"]))
+    m = fit_one_class(train, ["a", "b"], "rbf", "scale", 0.1, n_landmarks=16, iterations=2)
+    assert m.params["n_train"] == 5000
+    assert all(set(k.columns) == {"row_hash", "a", "b"} for k in kept)
+    assert kept[-1].rdd.getNumPartitions() > 1 and not any(k.is_cached for k in kept)
