@@ -9,10 +9,12 @@ picked from a grid by the likelihood of all training text, each pair counted wit
 Flow: (1) the tasks send the n-grams of training texts, counted, as packed blocks to segments by hash. (2) A segment adds them up and stores
 its piece: the bits of its n-grams, and the exact counts of its words, which the base score needs. (3) While all pieces together take at most
 ``broadcast_bytes``, which is checked before anything is collected, they are broadcast to the workers, and texts are scored as they are
-scanned: every pair of a batch is probed level by level. Beyond that, the texts go to the filter in two steps: parts of about ``part_bytes`` of text send their distinct n-grams to the
-segments, which probe their pieces for them, and get the levels back. Both ways probe the same bits in the same manner, so scores are equal.
+scanned. Beyond that, texts are packed and stored in blocks of about ``part_bytes`` at most; a block sends its distinct n-grams, ascending, to the
+segments, which probe their pieces for them, and gets the levels back in the same order, without the n-grams, which it finds again. Both ways probe
+the same bits in the same manner, level by level, so scores are equal. The second way removes its blocks and answers when the scores are stored, and
+all shuffle files of n-grams go when their step has ended.
 Every n-gram has ``bits`` bits whatever the size of the input, and the number of segments follows the input. Memory of a task: ``flush`` tokens in (1),
-the n-grams of a segment in (2), the pieces or the distinct n-grams of a part in (3), besides a batch of texts.
+the n-grams of a segment, twice, in (2), the pieces or the distinct n-grams of a block in (3), besides a batch of texts.
 
 Defined results: a null text counts as empty (one token, the end); repeated rows count and are scored each; rows with a null id are
 in training by the hash of the empty id; an empty table gives an empty result; other columns are not read; a very long text is counted and scored whole,
@@ -22,15 +24,18 @@ in a batch of its own. Words and pairs are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_mod, mix64, prepare, stored, table
+from flowlens.llm.common import crc_mod, discard, mix64, prepare, shared_path, stored, table
 
 U = np.uint64
 END = U(0x243F6A8885A308D3)                                 # the hash that stands for the end of a text
@@ -44,9 +49,9 @@ class LMParams:
     hashes: int = 4
     segment_bytes: int = 16 << 20  # input text for each segment
     broadcast_bytes: int = 192 << 20   # most that is broadcast: the filter's bits, and 16 bytes for each word
-    part_bytes: int = 16 << 20     # text of a part, about, where the filter is not broadcast
-    flush: int = 1_000_000         # tokens that a task counts before it sends them
-    cache_words: int = 100_000
+    part_bytes: int = 16 << 20     # most text of a block, about, where the filter is not broadcast
+    flush: int = 1_000_000         # tokens that a task counts before it sends them; a block of texts has about as many at most
+    cache_words: int = 100_000     # not used: words are numbered block by block
 
 
 def levels(count: np.ndarray, base: float) -> np.ndarray:
@@ -62,45 +67,62 @@ def level_values(base: float) -> np.ndarray:
     return np.array(out)
 
 
-class Vocabulary:
-    """Numbers words as they come, and keeps their hashes; bounded."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.hash = np.zeros(0, U)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Word numbers of all texts, words of each text, and whether earlier numbers are void. Only A to Z are lower-cased, and only
-        ASCII white space parts words: that is what these two do to bytes."""
-        words = [t.encode("utf-8").lower().split() if t else [] for t in texts]
-        new = set().union(*words).difference(self.number)
-        void = len(self.number) + len(new) > self.limit
-        if void:
-            self.clear()
-            new = set().union(*words)
-        at = len(self.number)
-        new = list(new)
-        self.number.update(zip(new, range(at, at + len(new)), strict=True))
-        self.hash = np.concatenate([self.hash, np.fromiter(map(xxhash.xxh3_64_intdigest, new), U, len(new))])
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        get = self.number.__getitem__
-        flat = np.fromiter((k for ws in words for k in map(get, ws)), np.int64, int(n.sum()))
-        return flat, n, void
-
-
-def with_ends(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes with the end after each text, and in front of each token the one before it (an end, at the start)."""
-    at = np.cumsum(n)
-    out = np.insert(h, at, END)
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    if len(out):
-        before[0] = END
-    return out, before
+def chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts, of about ``most`` bytes or one text; a text counts 8 bytes more, as its end is a token."""
+    size, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def read_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all texts, an end after each text, as numbers of words; words of each text; and the words' hashes, ascending, among them END.
+    Only A to Z are lower-cased, and only ASCII white space parts words."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    some = pc.greater(pc.binary_length(trimmed), 0)
+    split = pc.ascii_split_whitespace(trimmed.filter(some))
+    n = np.zeros(len(texts), np.int64)
+    n[some.to_numpy(zero_copy_only=False)] = split.value_lengths().to_numpy(zero_copy_only=False)
+    coded = split.flatten().dictionary_encode()
+    found = coded.dictionary
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found.cast(pa.binary())), b" ")[0].as_py()
+    word, number = np.unique(np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, joined.split()), U, len(found)), END), return_inverse=True)
+    return np.insert(number[coded.indices.to_numpy()], np.cumsum(n), number[-1]), n, word
+
+
+def before_each(x: np.ndarray, end) -> np.ndarray:
+    """In front of each token the one before it (an end, at the start). Texts end with an end."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[:1] = end
+    return out
+
+
+def pairs_of(ids: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = word[ids]
+    return pair_hash(before_each(h, END), h)
+
+
+def ascending(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different hashes, and where each starts among all of them, sorted."""
+    h = np.sort(h)
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[start], start
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different hashes, and the number of each one's among them. Sorts by the first bits, with places in the last ones."""
+    bits = U(max(len(h) - 1, 1).bit_length())
+    at = (np.sort(h >> bits << bits | np.arange(len(h), dtype=U)) & ((U(1) << bits) - U(1))).astype(np.int64)
+    s = h[at]
+    if (s[1:] < s[:-1]).any():              # hashes with the same first bits
+        return np.unique(h, return_inverse=True)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    back = np.empty(len(h), np.int64)
+    back[at] = np.cumsum(new) - 1
+    return s[new], back
 
 
 def pair_hash(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -116,27 +138,39 @@ def entry_key(h: np.ndarray, kind: int) -> np.ndarray:
     return mix64(h ^ (U(kind) * U(0xD6E8FEB86659FD93)))
 
 
-def filter_bit(key: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The bits of (n-gram, level), one for each hash, in a piece of ``size`` bits."""
-    a = mix64(key + np.asarray(level).astype(U) * U(0x9E3779B97F4A7C15))
-    high, low, size = a >> U(32), (a & U(0xFFFFFFFF)) | U(1), np.asarray(size).astype(U)
-    while True:
-        yield ((high * size) >> U(32)).astype(np.int64)
-        high = (high + low) & U(0xFFFFFFFF)
+def two_hashes(key: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (n-gram, level): the first hash, and what is added for each further one, modulo 2^32."""
+    step = 0x9E3779B97F4A7C15
+    a = mix64(key + (level.astype(U) * U(step) if isinstance(level, np.ndarray) else U(level * step % 2**64)))
+    return a >> U(32), (a & U(0xFFFFFFFF)) | U(1)
 
 
-def squeeze(key: np.ndarray, *more: np.ndarray) -> bytes:
-    """An ascending column, as differences, and others beside it, compressed byte plane by byte plane."""
-    columns = np.diff(key, prepend=np.zeros(1, key.dtype)), *more
+def place(high: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """The bit of a hash in a piece of ``size`` bits."""
+    return ((high * (size.astype(U) if isinstance(size, np.ndarray) else U(size))) >> U(32)).view(np.int64)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns, compressed byte plane by byte plane."""
     return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns), codec="zstd", asbytes=True)
 
 
-def expand(data: bytes, n: int, *types: str) -> list[np.ndarray]:
+def unpack(data: bytes, n: int, *types: str) -> list[np.ndarray]:
     wide = [np.dtype(t).itemsize for t in types]
     raw, at, out = np.frombuffer(pa.decompress(data, n * sum(wide), codec="zstd", asbytes=True), np.uint8), 0, []
     for t, w in zip(types, wide, strict=True):
         out.append(np.ascontiguousarray(raw[at:at + n * w].reshape(w, n).T).view(t).ravel())
         at += n * w
+    return out
+
+
+def squeeze(key: np.ndarray, *more: np.ndarray) -> bytes:
+    """An ascending column, as differences, and others beside it."""
+    return pack(np.diff(key, prepend=np.zeros(1, key.dtype)), *more)
+
+
+def expand(data: bytes, n: int, *types: str) -> list[np.ndarray]:
+    out = unpack(data, n, *types)
     out[0] = np.cumsum(out[0], dtype=out[0].dtype)
     return out
 
@@ -146,9 +180,10 @@ def make_bits(key: np.ndarray, level: np.ndarray, p: LMParams) -> tuple[np.ndarr
     size = max(int(level.sum()) * p.bits, 64)
     table = np.zeros(-(-size // 8) * 8, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
-        some = key[level >= j]
-        for _, bit in zip(range(p.hashes), filter_bit(some, j, size), strict=False):
-            table[bit] = True
+        high, low = two_hashes(key[level >= j], j)
+        for _ in range(p.hashes):
+            table[place(high, size)] = True
+            high = (high + low) & U(0xFFFFFFFF)
     return np.packbits(table, bitorder="little"), size
 
 
@@ -164,23 +199,45 @@ class Pieces:
         return cls(np.frombuffer(bits, np.uint8), np.zeros(1, np.int64), np.array([size]), np.array([top]), segments, hashes, seg)
 
     def level(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """Level of each n-gram: probe (n-gram, 1), (n-gram, 2), ... until one is not there."""
-        out = np.zeros(len(h), "<u2")
-        live, key, seg = np.arange(len(h)), entry_key(h, kind), segment_of(h, self.segments) - self.first
-        for level in range(1, int(self.top.max(initial=0)) + 1):
-            below = self.top[seg] >= level
-            if not below.all():
-                live, key, seg = live[below], key[below], seg[below]
-            hit = np.ones(len(live), bool)
-            for _, bit in zip(range(self.hashes), filter_bit(key, level, self.size[seg]), strict=False):
-                bit += self.offset[seg]
-                hit &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & np.uint8(1) > 0
+        """Level of each n-gram: probe (n-gram, 1), (n-gram, 2), ... until one is not there. Segments ascend; they are probed one by one, in runs
+        that stay in a processor's cache, and the few n-grams of high levels together."""
+        out, rest, run, few = np.zeros(len(h), "<u2"), [], 1 << 15, 300
+        for seg, a, b in by_segment(h, self.segments):
+            k = seg - self.first
+            offset, size, top = int(self.offset[k]), int(self.size[k]), int(self.top[k])
+            for lo in range(a, b, run):
+                live, level = np.arange(lo, min(lo + run, b)), 0
+                key = entry_key(h[lo:lo + len(live)], kind)
+                while level < top and len(live) > few:
+                    level += 1
+                    hit = self.there(key, level, size, offset)
+                    live, key = live[hit], key[hit]
+                    out[live] = level
+                if level < top:
+                    rest.append(live)
+        live = np.concatenate(rest) if rest else np.zeros(0, np.int64)
+        key, seg = entry_key(h[live], kind), segment_of(h[live], self.segments) - self.first
+        while len(live):
+            level = out[live] + 1
+            some = np.flatnonzero(level <= self.top[seg])
+            hit = some[self.there(key[some], level[some], self.size[seg[some]], self.offset[seg[some]])]
             live, key, seg = live[hit], key[hit], seg[hit]
-            out[live] = level
-            if not len(live):
-                break
+            out[live] = level[hit]
         return out
 
+    def there(self, key: np.ndarray, level: np.ndarray | int, size: np.ndarray | int, offset: np.ndarray | int) -> np.ndarray:
+        """Which of (n-gram, level) have all their bits; level, size and offset are one for all or each one's."""
+        (high, low), at = two_hashes(key, level), np.arange(len(key))
+        for k in range(self.hashes):
+            bit = place(high, size) + offset
+            hit = np.flatnonzero(((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & np.uint8(1)).view(bool))
+            if len(hit) < len(high):
+                high, low, at = high[hit], low[hit], at[hit]
+                size, offset = (x[hit] if isinstance(x, np.ndarray) else x for x in (size, offset))
+            if k < self.hashes - 1:
+                high = (high + low) & U(0xFFFFFFFF)
+        return at
+
 
 def by_segment(h: np.ndarray, segments: int) -> Iterator[tuple[int, int, int]]:
     """(segment, from, to) of ascending hashes."""
@@ -204,20 +261,6 @@ def record(rows: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def read_ngrams(texts: list[str | None], vocab: Vocabulary, flush: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the tokens of some texts, and of the pairs that end in them; about ``flush`` tokens at most, or one text."""
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or (hi - lo < 250 and size + len(texts[hi] or "") < 8 * flush)):
-            size += len(texts[hi] or "")
-            hi += 1
-        ids, n, _ = vocab.read(texts[lo:hi])
-        h, before = with_ends(vocab.hash[ids], n)
-        yield h, pair_hash(before, h)
-        lo = hi
-
-
 COUNTED = "seg int, kind int, n long, data binary"
 
 
@@ -225,21 +268,25 @@ def count_ngrams(texts: DataFrame, segments: int, p: LMParams) -> DataFrame:
     """(text) -> counts of the n-grams, packed by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held, total = Vocabulary(p.cache_words), ([], []), 0
+        words, pairs, total = [], [], 0
 
         def emit() -> pa.RecordBatch:
-            rows: list = []
-            for kind, parts in enumerate(held):
-                h, c = add_equal(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                parts.clear()
-                rows += [(s, kind, b - a, squeeze(h[a:b].astype("<u8"), c[a:b].astype("<u4"))) for s, a, b in by_segment(h, segments)]
-            return record(rows, COUNTED)
-
-        for b in batches:
-            for both in read_ngrams(b.column(0).to_pylist(), vocab, p.flush):
-                total += len(both[0])
-                for parts, h in zip(held, both, strict=True):
-                    parts.append(np.unique(h, return_counts=True))
+            w, wc = add_equal(*(np.concatenate(x) for x in zip(*words, strict=True)))
+            g, start = ascending(np.concatenate(pairs))
+            gc = np.diff(start, append=total)
+            words.clear()
+            pairs.clear()
+            return record([(s, kind, b - a, squeeze(h[a:b].astype("<u8"), c[a:b].astype("<u4"))) for kind, (h, c) in enumerate(((w, wc), (g, gc)))
+                           for s, a, b in by_segment(h, segments)], COUNTED)
+
+        for batch in batches:
+            texts = batch.column(0)
+            for lo, hi in chunks(texts, 4 * p.flush):
+                ids, _, word = read_words(texts.slice(lo, hi - lo))
+                c = np.bincount(ids, minlength=len(word))
+                words.append((word[c > 0], c[c > 0]))
+                pairs.append(pairs_of(ids, word))
+                total += len(ids)
                 if total >= p.flush:
                     yield emit()
                     total = 0
@@ -262,17 +309,20 @@ def make_pieces(counted: DataFrame, segments: int, p: LMParams) -> DataFrame:
         return record([(seg, int(wc.sum()), len(w), int(level.sum()), size, int(level.max(initial=0)), squeeze(w.astype("<u8"), wc.astype("<u8")), bits.tobytes())], PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks = None, ([], [])
+        now, blocks, new = None, ([], []), [0, 0]
         for b in batches:
             for seg, kind, n, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("seg", "kind", "n", "data")), strict=True):
                 if seg != now:
                     if now is not None:
                         yield piece(now, blocks)
-                    now, blocks = seg, ([], [])
+                    now, blocks, new = seg, ([], []), [0, 0]
                 h, c = expand(data, n, "<u8", "<u4")
                 blocks[kind].append((h, c.astype(np.int64)))
-                if len(blocks[kind]) == 64:                  # blocks of equal n-grams shrink as they are added up
+                new[kind] += n
+                # equal n-grams are added up when as many have come as were left the last time, so that work follows the input
+                if len(blocks[kind]) > 1 and new[kind] >= max(1 << 18, len(blocks[kind][0][0])):
                     blocks[kind][:] = [add_equal(*(np.concatenate(x) for x in zip(*blocks[kind], strict=True)))]
+                    new[kind] = 0
         if now is not None:
             yield piece(now, blocks)
 
@@ -283,53 +333,43 @@ SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score do
 
 
 class Scorer:
-    """Scores batches of texts with the counts and levels that ``lookup`` finds: of words (counts, levels) and of pairs (levels)."""
+    """Scores batches of texts with the counts and levels that ``lookup`` finds for ascending hashes: of words (counts, levels) and of pairs (levels)."""
 
     def __init__(self, words, pairs, tokens: int, types: int, p: LMParams):
         self.words, self.pairs = words, pairs
         self.value, self.smooth = level_values(p.base), tokens + 0.5 * (types + 1)
-        self.vocab, self.flush = Vocabulary(p.cache_words), p.flush
-        self.count, self.alone = np.zeros(0, np.int64), np.zeros(0)
-        count, level = words(np.array([END]))
-        self.end_count, self.end_value = count[0], self.value[level[0]]
+        self.most = 4 * p.flush
 
     def blocks(self, ids: pa.Array, train: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        size = np.cumsum([len(t or "") for t in texts.to_pylist()])
-        lo = 0
-        while lo < len(texts):
-            done = size[lo - 1] if lo else 0
-            hi = min(lo + 250, max(lo + 1, int(np.searchsorted(size, done + 8 * self.flush, side="right"))))
+        for lo, hi in chunks(texts, self.most):
             yield self.block(*(x.slice(lo, hi - lo) for x in (ids, train, texts)))
-            lo = hi
 
     def block(self, doc_id: pa.Array, train: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        ids, n, void = self.vocab.read(texts.to_pylist())
-        if void:
-            self.count, self.alone = np.zeros(0, np.int64), np.zeros(0)
-        if len(self.vocab.hash) > len(self.count):
-            count, level = self.words(self.vocab.hash[len(self.count):])
-            self.count, self.alone = np.concatenate([self.count, count]), np.concatenate([self.alone, self.value[level]])
-        h, before = with_ends(self.vocab.hash[ids], n)
-        ends = np.cumsum(n + 1)
-        start = ends - n - 1
-        c = np.insert(self.count[ids], np.cumsum(n), self.end_count)
-        one = np.insert(self.alone[ids], np.cumsum(n), self.end_value)
-        hist = np.empty_like(one)
-        hist[1:] = one[:-1]
-        hist[start] = self.end_value
-        pair, back = np.unique(pair_hash(before, h), return_inverse=True)
-        two = np.minimum(self.value[self.pairs(pair)][back], hist)
-        single = (one + 0.5) / self.smooth
+        ids, n, word = read_words(texts)
+        start = np.cumsum(n + 1) - n - 1
+        count, level = self.words(word)
+        pair, back = distinct(pairs_of(ids, word))
+        one, two = level.astype(np.int64)[ids], self.pairs(pair).astype(np.int64)[back]
+        # a token's probability depends on three levels: its own, that of the word before, and the pair's
+        high = 1 + max(int(one.max(initial=0)), int(two.max(initial=0)))
+        code = (one * high + before_each(one, level[np.searchsorted(word, END)])) * high + two
+        used = np.flatnonzero(np.bincount(code, minlength=high**3))
+        number = np.zeros(high**3, np.int64)
+        number[used] = np.arange(len(used))
+        code = number[code]
+        hist = self.value[used // high % high]
+        two = np.minimum(self.value[used % high], hist)
+        single = (self.value[used // high // high] + 0.5) / self.smooth
         share = two / np.maximum(hist, 1)
         less = np.maximum(two - 1, 0) / np.maximum(hist - 1, 1)
         own = np.array(train)
         score, out = [], []
         for w in GRID:
-            score.append(np.add.reduceat(np.log10(w * share + (1 - w) * single), start))
-            out.append(np.where(own, np.add.reduceat(np.log10(w * less + (1 - w) * single), start), 0))
+            score.append(np.add.reduceat(np.log10(w * share + (1 - w) * single)[code], start))
+            out.append(np.where(own, np.add.reduceat(np.log10(w * less + (1 - w) * single)[code], start), 0))
         flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * len(x[0]) + 1, len(x), dtype=np.int32)), pa.array(np.stack(x, 1).ravel()))
-        base = np.add.reduceat(np.log10(c + 0.5), start) - (n + 1) * np.log10(self.smooth)
-        return pa.RecordBatch.from_arrays([doc_id, train, pa.array(n + 1), pa.array(np.add.reduceat((c > 0).astype(np.int64), start)), pa.array(base), flat(score), flat(out)],
+        base = np.add.reduceat(np.log10(count + 0.5)[ids], start) - (n + 1) * np.log10(self.smooth)
+        return pa.RecordBatch.from_arrays([doc_id, train, pa.array(n + 1), pa.array(np.add.reduceat((count > 0).astype(np.int64)[ids], start)), pa.array(base), flat(score), flat(out)],
                                           names=[f.split()[0] for f in SCORED.split(", ")])
 
 
@@ -371,107 +411,127 @@ def score_broadcast(rows: DataFrame, pieces: DataFrame, segments: int, tokens: i
     return out
 
 
-ANSWER = "part int, side int, seg int, n long, data binary"
+BLOCK = "block long, data binary"
+ANSWER = "block long, side int, seg int, n long, data binary"
 
 
-def score_by_segment(rows: DataFrame, pieces: DataFrame, segments: int, tokens: int, types: int, p: LMParams) -> DataFrame:
-    """Scores of (doc_id, train, text), with the n-grams of each part sent to the segments and answered there."""
-    rows = stored(rows.withColumn("part", F.spark_partition_id()), "lm-docs")
-    # input partitions with much text are several parts
-    most = rows.groupBy("part").agg(F.sum(F.octet_length("text")).alias("octets")).agg(F.max("octets")).first()[0] or 0
-    if most > p.part_bytes:
-        cut = -(-most // p.part_bytes)
-        rows = rows.withColumn("part", (F.col("part") * cut + F.pmod(F.xxhash64("doc_id", "text"), F.lit(cut))).cast("int"))
+def packed(rows: DataFrame, p: LMParams) -> DataFrame:
+    """(doc_id, train, text) -> blocks of rows, compressed."""
+    most = min(p.part_bytes, 8 * p.flush)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held, total = Vocabulary(p.cache_words), {}, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def emit() -> pa.RecordBatch:
-            out = []
-            for part, both in held.items():
-                for side, parts in enumerate(both):
-                    h = np.unique(np.concatenate(parts))
-                    out += [(part, side, s, b - a, squeeze(h[a:b].astype("<u8"))) for s, a, b in by_segment(h, segments)]
-            held.clear()
-            return record(out, ANSWER)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                for b in held:
+                    to.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
         for b in batches:
-            part, text = np.array(b.column(0)), b.column(1).to_pylist()
-            for which in np.unique(part).tolist():
-                for both in read_ngrams([text[k] for k in np.flatnonzero(part == which)], vocab, p.flush):
-                    total += len(both[0])
-                    for parts, h in zip(held.setdefault(which, ([], [])), both, strict=True):
-                        parts.append(np.unique(h))
-            if total >= p.flush:
-                yield emit()
-                total = 0
+            texts = b.column(2)
+            for lo, hi in chunks(texts, most):
+                more = (pc.sum(pc.binary_length(texts.slice(lo, hi - lo))).as_py() or 0) + 8 * (hi - lo)
+                if held and size + more > most:
+                    yield emit()
+                    made, held, size = made + 1, [], 0
+                held.append(b.slice(lo, hi - lo))
+                size += more
         if held:
             yield emit()
 
+    return rows.select("doc_id", "train", "text").mapInArrow(run, BLOCK)
+
+
+def unpacked(data: bytes) -> list[pa.Array]:
+    return [pa.concat_arrays(c.chunks) for c in pa.ipc.open_stream(data).read_all().columns]
+
+
+def score_by_segment(rows: DataFrame, pieces: DataFrame, segments: int, tokens: int, types: int, p: LMParams) -> DataFrame:
+    """Scores of (doc_id, train, text), with the n-grams of each block sent to the segments and answered there."""
+    spark = rows.sparkSession
+    blocks, blocks_path = kept(packed(rows, p), "lm-docs")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids, _, word = read_words(unpacked(data.as_py())[2])
+                yield record([(block, side, s, hi - lo, squeeze(h[lo:hi].astype("<u8"))) for side, h in enumerate((word, ascending(pairs_of(ids, word))[0]))
+                              for s, lo, hi in by_segment(h, segments)], ANSWER)
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = table = word = count = None
         for b in batches:
             col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in b.schema.names}
-            out = []
-            for k, seg in enumerate(col["seg"]):
+            out, k = [], 0
+            while k < len(col["seg"]):
+                seg, side, last = col["seg"][k], col["side"][k], k + 1
                 if seg != now:
                     now, table = seg, Pieces.one(seg, b"", 64, 0, segments, p.hashes)
                     word, count = np.zeros(0, U), np.zeros(0, np.int64)
-                if col["side"][k] < 0:
+                if side < 0:
                     table = Pieces.one(seg, col["bits"][k], col["size"][k], col["top"][k], segments, p.hashes)
                     word, count = expand(col["data"][k], col["n"][k], "<u8", "<u8")
-                    continue
-                h, = expand(col["data"][k], col["n"][k], "<u8")
-                level = table.level(h, col["side"][k])
-                more = (level,) if col["side"][k] else (counts_of(h, word, count.astype(np.int64)).astype("<u8"), level)
-                out.append((col["part"][k], col["side"][k], seg, len(h), squeeze(h, *more)))
+                else:                                           # of several blocks at once
+                    while last < len(col["seg"]) and (col["seg"][last], col["side"][last]) == (seg, side):
+                        last += 1
+                    h = np.concatenate([expand(col["data"][x], col["n"][x], "<u8")[0] for x in range(k, last)])
+                    level, at = table.level(h, side), 0
+                    found = (level,) if side else (counts_of(h, word, count.astype(np.int64)).astype("<u8"), level)
+                    for x in range(k, last):
+                        n = col["n"][x]
+                        out.append((col["block"][x], side, seg, n, pack(*(f[at:at + n] for f in found))))
+                        at += n
+                k = last
             yield record(out, ANSWER)
 
-    asked = rows.select("part", "text").mapInArrow(ask, ANSWER)
+    asked = blocks.mapInArrow(ask, ANSWER)
     null = F.lit(None)
-    both = pieces.select("seg", F.lit(-1).alias("side"), F.lit(-1).alias("part"), F.col("types").alias("n"), "size", "top", F.col("words").alias("data"), "bits").unionAll(
-        asked.select("seg", "side", "part", "n", null.cast("long"), null.cast("int"), "data", null.cast("binary")))
-    answers = stored(both.repartition(segments, "seg").sortWithinPartitions("seg", "side").mapInArrow(answer, ANSWER), "lm-answers")
+    both = pieces.select("seg", F.lit(-1).alias("side"), F.lit(-1).cast("long").alias("block"), F.col("types").alias("n"), "size", "top", F.col("words").alias("data"), "bits").unionAll(
+        asked.select("seg", "side", "block", "n", null.cast("long"), null.cast("int"), "data", null.cast("binary")))
+    answers, answers_path = kept(both.repartition(segments, "seg").sortWithinPartitions("seg", "side").mapInArrow(answer, ANSWER), "lm-answers")
 
-    # each part's answers and then its texts
-    texts = rows.select("part", F.lit(2).alias("side"), "doc_id", "train", "text", F.lit(0).cast("long").alias("n"), null.cast("binary").alias("data"))
-    laid = answers.select("part", "side", null.cast("long").alias("doc_id"), F.lit(False).alias("train"), null.cast("string").alias("text"), "n", "data").unionAll(texts)
+    # each block's answers, in the order of its n-grams, and then its texts
+    laid = answers.unionAll(blocks.select("block", F.lit(2).alias("side"), F.lit(0).alias("seg"), F.lit(0).cast("long").alias("n"), "data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got, scorer = None, ([], []), None
-
-        def made() -> Scorer:
-            def merged(blocks: list, *types: str) -> list[np.ndarray]:
-                key, at = np.unique(np.concatenate([x[0] for x in blocks]), return_index=True)
-                return [key, *(np.concatenate([x[k] for x in blocks])[at] for k in range(1, len(types)))]
-
-            word, count, level = merged(got[0], "h", "count", "level")
-            pair, pair_level = merged(got[1], "h", "level")
+        got: tuple[list, list] = ([], [])
+        for b in batches:
+            for block, side, n, data in zip(*(b.column(b.schema.get_field_index(c)) for c in ("block", "side", "n", "data")), strict=True):
+                side, data = side.as_py(), data.as_py()
+                if side < 2:
+                    got[side].append(unpack(data, n.as_py(), *(("<u2",) if side else ("<u8", "<u2"))))
+                    continue
+                (count, level), (pair_level,) = ([np.concatenate(x) for x in zip(*g, strict=True)] for g in got)
+                got = ([], [])
+                yield Scorer(lambda _, c=count, v=level: (c.astype(np.int64), v), lambda _, v=pair_level: v, tokens, types, p).block(*unpacked(data))
+
+    with shuffles_removed(spark):
+        out = stored(laid.repartition("block").sortWithinPartitions("block", "side", "seg").mapInArrow(run, SCORED), "lm-scores")
+    discard(spark, blocks_path)
+    discard(spark, answers_path)
+    return out
 
-            def words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                at = np.searchsorted(word, h)
-                return count[at].astype(np.int64), level[at]
 
-            return Scorer(words, lambda h: pair_level[np.searchsorted(pair, h)], tokens, types, p)
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Each job removes its shuffle files when it has ended, not when the driver happens to collect its garbage. For jobs that write a table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-        for b in batches:
-            col = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
-            part, side = np.array(col["part"]), np.array(col["side"])
-            edge = [*np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (side[1:] != side[:-1])])).tolist(), len(part)] if len(part) else [0]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if part[lo] != now:
-                    now, got, scorer = part[lo], ([], []), None
-                some = {c: x.slice(lo, hi - lo) for c, x in col.items()}
-                if side[lo] < 2:
-                    kinds = ("<u8", "<u2") if side[lo] else ("<u8", "<u8", "<u2")
-                    got[side[lo]].extend(tuple(expand(d, n, *kinds)) for n, d in zip(some["n"].to_pylist(), some["data"].to_pylist(), strict=True))
-                    continue
-                if scorer is None:
-                    scorer = made()
-                    got = ([], [])
-                yield from scorer.blocks(some["doc_id"], some["train"], some["text"])
 
-    return stored(laid.repartition("part").sortWithinPartitions("part", "side").mapInArrow(run, SCORED), "lm-scores")
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, stored, and where."""
+    path = shared_path(df.sparkSession, name)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame:
@@ -480,10 +540,11 @@ def score(docs: DataFrame, train: Column, p: LMParams = LMParams()) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     octets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(8, -(-octets // p.segment_bytes))
-    pieces = stored(make_pieces(count_ngrams(rows.where("train"), segments, p), segments, p), "lm-pieces")
+    pieces, pieces_path = kept(make_pieces(count_ngrams(rows.where("train"), segments, p), segments, p), "lm-pieces")
     tokens, types, entries, size, stored_bytes = (x or 0 for x in pieces.agg(*(F.sum(c) for c in ("tokens", "types", "entries", "size")), F.sum(F.octet_length("bits"))).first())
     way = score_broadcast if stored_bytes + 16 * types <= p.broadcast_bytes else score_by_segment
     got = way(rows, pieces, segments, int(tokens), int(types), p)
+    discard(docs.sparkSession, pieces_path)
     sums = got.agg(*(F.sum(F.col("left_out")[k]).alias(str(k)) for k in range(len(GRID)))).first()
     best = max(range(len(GRID)), key=lambda k: sums[k] if sums[k] is not None else 0)
     return got.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score",

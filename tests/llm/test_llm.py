@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.llm import bpe, chat, imi, langid, lm, neardup, packing, spm, syncmers, tokenscan, toxicity
-from flowlens.llm.common import prepare
+from flowlens.llm.common import prepare, stored
 from tests.conftest import SF001
 from tests.oracle_check import compare, duck
 
@@ -314,6 +314,60 @@ def test_lm_filter_keeps_its_bits_for_each_entry(spark):
     assert len(lm.level_values(1.5)) > lm.levels(np.array([2**62]), 1.5)[0]
 
 
+def test_lm_reads_words_as_bytes_do():
+    import pyarrow as pa
+    import xxhash
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abABÄéß \t\n\r\x0b\x0c\x1c\x85\u2003日"), int(k))) for k in rng.integers(0, 30, 300)] + [" ", "", None]
+    for lo in range(0, len(texts), 3):
+        some = texts[lo:lo + 3]
+        ids, n, word = lm.read_words(pa.array(some, pa.string()))
+        words = [(t or "").encode().lower().split() for t in some]
+        want = [h for ws in words for h in [*map(xxhash.xxh3_64_intdigest, ws), int(lm.END)]]
+        assert word[ids].tolist() == want and n.tolist() == [*map(len, words)] and (word[1:] > word[:-1]).all()
+    for most in (50, 2**40, 2**60):
+        h = rng.integers(0, most, 500, dtype=np.uint64) << np.uint64(3)     # also with equal first bits
+        for got, expected in zip(lm.distinct(h), np.unique(h, return_inverse=True), strict=True):
+            assert got.tolist() == expected.tolist()
+
+
+def test_lm_segment_adds_up_in_proportion_to_its_blocks(monkeypatch):
+    summed, blocks, add_equal = [], 4000, lm.add_equal
+    monkeypatch.setattr(lm, "add_equal", lambda h, c: summed.append(len(h)) or add_equal(h, c))
+
+    class Plan:             # the step's function, without Spark
+        repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = staticmethod(lambda run, _: run)   # noqa: N815
+
+    rng = np.random.default_rng(5)
+    h = np.sort(rng.integers(0, 2**64, (blocks, 50), dtype=np.uint64), 1)
+    h[:, 7] = 12345
+    h.sort(1)
+    rows = [(0, 0, 50, lm.squeeze(x.astype("<u8"), np.ones(50, "<u4"))) for x in h]
+    (piece,) = [r for b in lm.make_pieces(Plan(), 1, lm.LMParams())(lm.record(rows[k:k + 500], lm.COUNTED) for k in range(0, blocks, 500)) for r in b.to_pylist()]
+    word, count = lm.expand(piece["words"], piece["types"], "<u8", "<u8")
+    found = np.unique(h, return_counts=True)
+    assert word.tolist() == found[0].tolist() and count.tolist() == found[1].tolist() and count.max() == blocks
+    assert sum(summed) <= 4 * h.size
+
+
+def test_lm_by_segment_leaves_its_scores_only(spark):
+    import os
+    from flowlens.session import ensure_checkpoint_dir
+    prepare(spark)
+    top = f"{ensure_checkpoint_dir(spark).removeprefix('file://')}/flowlens-llm"
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: files.getAllFiles().mkString("\n").count("/shuffle_")
+    kept = lambda: {*os.listdir(top)} if os.path.isdir(top) else set()
+    df = spark.createDataFrame([(k, f"a{k % 50} b{k % 7} c{k}") for k in range(300)], "doc_id long, text string").repartition(12)
+    df = stored(df, "lm-test")
+    had, were = shuffled(), kept()
+    out = lm.score(df, F.col("doc_id") < 150, lm.LMParams(segment_bytes=1 << 10, part_bytes=2000, broadcast_bytes=0))
+    assert {x.rpartition("-")[0] for x in kept() - were} == {"lm-scores"}
+    assert shuffled() <= had + 3 * 2 * 12       # of the three sums, not those of the n-grams
+    assert out.count() == 300
+
+
 def test_fingerprints(spark, odd):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
     rows = sorted(docs.collect(), key=lambda r: -r["doc_id"])
